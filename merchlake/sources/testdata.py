@@ -423,7 +423,7 @@ def payment_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("quantity").alias("quantity"),
     )
     checkouts = shop.order_lines.groupBy("reference", "user_id", "status", "created_at").agg(
-        F.collect_list(line).alias("lines"), F.sum("amount").alias("total")
+        F.sort_array(F.collect_list(line)).alias("lines"), F.sum("amount").alias("total")
     )
     homes = shop.customers.filter("is_default_address").select("user_id", "address", "city", "state", "country")
     paid = F.col("status") == "success"
@@ -454,7 +454,7 @@ def payment_events(spark: SparkSession, folder: str) -> DataFrame:
         reference, F.col("created_at").alias("sent_at"), F.to_json(body).alias("body")
     )
     signature = hmac_sha512(F.col("body"), TEST_SECRET)
-    forged = F.when(reference % 11 == 0, F.concat(F.lit("0"), F.substring(signature, 2, 127)))
+    forged = F.when(reference % 11 == 0, F.concat(F.lit("x"), F.substring(signature, 2, 127)))
     sendings = F.when(reference % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return bodies.select(
         "sent_at", "body",
