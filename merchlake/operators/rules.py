@@ -22,10 +22,15 @@ def not_empty(column: str, message: str) -> Rule:
     return Rule(message, trimmed(F.col(column)) == "")
 
 
-def validate(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and rejects with all their failures in ``errors``. A null condition is a failure."""
+def with_errors(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Each row with its failures in ``errors``. A null condition is a failure."""
     marks = F.array(*[F.when(F.coalesce(rule.fails, F.lit(True)), F.lit(rule.message)) for rule in rules])
-    checked = df.withColumn("errors", F.array_compact(marks))
+    return df.withColumn("errors", F.array_compact(marks))
+
+
+def validate(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and rejects with all their failures in ``errors``."""
+    checked = with_errors(df, rules)
     valid = checked.filter(F.size("errors") == 0).drop("errors")
     return valid, checked.filter(F.size("errors") > 0)
 

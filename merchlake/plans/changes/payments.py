@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions import first_reason, stable_id
-from merchlake.operators import first_request, reject_split
+from merchlake.operators import first_request
 from merchlake.plans.changes.carts import clear_carts
 from merchlake.plans.quality import address_is_incomplete, line_is_complete
 from merchlake.sources.payments import parse_payment_events, payment_lines, signature_is_valid
@@ -26,47 +26,61 @@ class Payments(NamedTuple):
     rejects: DataFrame
 
 
-def signed_payments(events: DataFrame, secret: str, key_type: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed events whose signature is valid, and rejects."""
-    valid = signature_is_valid(F.col("body"), F.col("signature"), secret)
-    signed, forged = reject_split(events, F.when(~valid, "Invalid signature"))
-    rejects = forged.select(F.col("event_id").alias("request_id"), "reason")
-    return parse_payment_events(signed, key_type), rejects
+def signed_payments(events: DataFrame, secret: str, key_type: str) -> DataFrame:
+    """Parsed events with the verdict on their signature in ``signature_ok``."""
+    verdict = signature_is_valid(F.col("body"), F.col("signature"), secret)
+    return parse_payment_events(events.select("event_id", "body", verdict.alias("signature_ok")), key_type)
 
 
-def new_payments(shop: Shop, events: DataFrame, secret: str, stored: DataFrame | None = None) -> Payments:
-    """Check events ``(event_id, signature, body)`` and keep what becomes orders.
+def valid_payments(parsed: DataFrame) -> DataFrame:
+    """The first sending of each reference among the genuine, successful payments."""
+    good = parsed.filter(F.col("signature_ok") & F.col("payment_status").eqNullSafe("success"))
+    return first_request(good, "reference", request_id="event_id")
+
+
+def new_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> Payments:
+    """Check parsed events and keep what becomes orders.
 
     A reference that already has orders is passed over, as is the repeated sending of an event, so
     the same events can be applied any number of times. ``stored`` are the references with orders;
     by default those of ``shop.order_lines``.
+
+    The events are read several times here, so write the result of :func:`signed_payments` to the
+    shared folder first (``write_snapshot``): the passes then read columns instead of JSON.
     """
-    key_type = shop.key_type("order_lines", "reference")
-    parsed, forged = signed_payments(events, secret, key_type)
-    failure = F.concat(F.lit("Payment verification failed: "), F.coalesce("gateway_response", F.lit("Unknown error")))
-    paid, unpaid = reject_split(parsed, F.when(~F.col("payment_status").eqNullSafe("success"), failure))
     if stored is None:
         stored = shop.order_lines.select("reference")
     booked = stored.select(F.col("reference").alias("_booked"))
-    fresh = first_request(paid, "reference", request_id="event_id").join(
-        booked, F.col("reference") == F.col("_booked"), "left_anti"
-    )
+    good = parsed.filter(F.col("signature_ok") & F.col("payment_status").eqNullSafe("success"))
+    # Reduced to one narrow row per reference before the stored orders are asked.
+    firsts = good.groupBy("reference").agg(F.min("event_id").alias("_first"))
+    fresh = firsts.join(booked, F.col("reference") == F.col("_booked"), "left_anti").select("_first")
     users = shop.users.select(F.col("id").alias("_user"), F.col("name").alias("customer_name"))
-    known = fresh.join(users, F.col("user_id") == F.col("_user"), "left")
-    complete = known.withColumn("lines", F.filter("lines", line_is_complete))
-    accepted, refused = reject_split(complete, first_reason(
-        (~F.col("has_products"), "Invalid payment metadata"),
-        (F.col("lines").isNull(), "Invalid product descriptions"),
-        (
-            address_is_incomplete(),
-            "Delivery address details are incomplete. Please provide complete address information.",
-        ),
-        (F.col("_user").isNull(), "User not found"),
-        (F.size("lines") == 0, "No valid orders were created"),
-    ))
-    rejects = forged
-    for part in (unpaid, refused):
-        rejects = rejects.unionByName(part.select(F.col("event_id").alias("request_id"), "reason"))
+    judged = (
+        parsed.withColumn("lines", F.filter("lines", line_is_complete))
+        .join(fresh, F.col("event_id") == F.col("_first"), "left")
+        .join(users, F.col("user_id") == F.col("_user"), "left")
+    )
+    is_new = F.col("_first").isNotNull()
+    failure = F.concat(F.lit("Payment verification failed: "), F.coalesce("gateway_response", F.lit("Unknown error")))
+    unpaid = ~F.col("payment_status").eqNullSafe("success")
+    reason = F.coalesce(
+        F.when(~F.col("signature_ok"), "Invalid signature"),
+        F.when(unpaid, failure),
+        F.when(is_new, first_reason(
+            (~F.col("has_products"), "Invalid payment metadata"),
+            (F.col("lines").isNull(), "Invalid product descriptions"),
+            (
+                address_is_incomplete(),
+                "Delivery address details are incomplete. Please provide complete address information.",
+            ),
+            (F.col("_user").isNull(), "User not found"),
+            (F.size("lines") == 0, "No valid orders were created"),
+        )),
+    )
+    judged = judged.withColumn("reason", reason)
+    accepted = judged.filter(is_new & F.col("reason").isNull())
+    rejects = judged.filter(F.col("reason").isNotNull()).select(F.col("event_id").alias("request_id"), "reason")
     lines = payment_lines(accepted, "reference", "user_id", "customer_name", "paid_at")
     return Payments(accepted, lines, rejects)
 
@@ -104,11 +118,11 @@ def decrement_stock(products: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def apply_payments(shop: Shop, events: DataFrame, secret: str, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+def apply_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """All that a batch of payment events changes: new orders and deliveries to append, the new
     state of products and carts, and rejects.
     """
-    payments = new_payments(shop, events, secret, stored)
+    payments = new_payments(shop, parsed, stored)
     orders = order_rows(shop, payments.lines)
     return {
         "order_lines": orders,

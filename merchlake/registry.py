@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchlake.functions import timestamp_text
-from merchlake.operators import first_request, validate
+from merchlake.operators import with_errors
 from merchlake.plans import blogs, carts, catalog, charts, customers, dashboard, insights, orders, quality, sales
 from merchlake.plans.changes import accounts, addresses, payments
 from merchlake.plans.changes import blogs as blog_changes
@@ -26,6 +26,7 @@ from merchlake.plans.changes.outcome import Outcome
 from merchlake.session import configure, work_folder
 from merchlake.sources import testdata
 from merchlake.sources.shop import Shop
+from merchlake.sources.snapshots import write_snapshot
 from merchlake.sources.tables import conform
 from merchlake.streaming import jobs
 
@@ -139,11 +140,18 @@ _report("rp_blogs_page", blogs.blogs_page)
 _report("rp_blogs_all", blogs.blogs_all)
 
 
+def _parsed_events(spark: SparkSession, sf_dir: str, shop: Shop) -> DataFrame:
+    """The payment feed, checked and parsed once into a table in the shared folder."""
+    events = testdata.payment_events(spark, sf_dir)
+    parsed = payments.signed_payments(events, testdata.TEST_SECRET, shop.key_type("order_lines", "reference"))
+    return write_snapshot(parsed, work_folder(spark, "parsed-events"))
+
+
 @_query("rp_order_payment_details")
 def _payment_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shop, events = testdata.bind(spark, sf_dir), testdata.payment_events(spark, sf_dir)
-    parsed, _ = payments.signed_payments(events, testdata.TEST_SECRET, shop.key_type("order_lines", "reference"))
-    return _flat(orders.order_payment_details(shop, first_request(parsed, "reference", request_id="event_id")))
+    shop = testdata.bind(spark, sf_dir)
+    paid = payments.valid_payments(_parsed_events(spark, sf_dir, shop))
+    return _flat(orders.order_payment_details(shop, paid))
 
 
 @_query("rp_json_order_quote")
@@ -201,10 +209,10 @@ _flow("ch_blog_create", blog_changes.create_blogs, testdata.blog_forms,
 _flow("ch_blog_toggle", blog_changes.toggle_blogs, testdata.blog_toggles, {"blogs": ["id", "status"]})
 
 
-def _replayed(spark: SparkSession, sf_dir: str) -> tuple[Shop, DataFrame]:
-    """The shop with its early orders only, and the feed of all payments."""
+def _replayed(spark: SparkSession, sf_dir: str) -> Shop:
+    """The shop with its early orders only, to which all payments are fed again."""
     shop = testdata.bind(spark, sf_dir)
-    return shop.replace(order_lines=testdata.stored_orders(shop)), testdata.payment_events(spark, sf_dir)
+    return shop.replace(order_lines=testdata.stored_orders(shop))
 
 
 _ORDER = ["reference", "product_id", "product_name", "customer_name", "amount", "user_id", "quantity", "status", "created_at"]
@@ -212,8 +220,8 @@ _ORDER = ["reference", "product_id", "product_name", "customer_name", "amount",
 
 @_query("ch_orders_from_payment")
 def _orders_from_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shop, events = _replayed(spark, sf_dir)
-    taken = payments.new_payments(shop, events, testdata.TEST_SECRET)
+    shop = _replayed(spark, sf_dir)
+    taken = payments.new_payments(shop, _parsed_events(spark, sf_dir, shop))
     created = payments.order_rows(shop, taken.lines)
     return _state("order_lines", created, "reference", *_ORDER[1:]).unionByName(_rejects(taken.rejects))
 
@@ -236,8 +244,8 @@ def _cart_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("ch_delivery_create")
 def _delivery_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shop, events = _replayed(spark, sf_dir)
-    taken = payments.new_payments(shop, events, testdata.TEST_SECRET)
+    shop = _replayed(spark, sf_dir)
+    taken = payments.new_payments(shop, _parsed_events(spark, sf_dir, shop))
     created = payments.delivery_rows(taken.accepted)
     return _flat(created.select("order_id", "address", "city", "state", "country", "delivery_fee", "status", "created_at"))
 
@@ -265,9 +273,7 @@ def _conform_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(df: DataFrame, rules: list, *keys: str) -> DataFrame:
-    valid, rejects = validate(df, rules)
-    good = valid.select(*keys, F.lit("").alias("errors"))
-    return good.unionByName(rejects.select(*keys, F.array_join("errors", "; ").alias("errors")))
+    return with_errors(df, rules).select(*keys, F.array_join("errors", "; ").alias("errors"))
 
 
 _query("dq_customer")(lambda spark, sf_dir: _verdicts(
@@ -316,7 +322,7 @@ def _event_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 @_query("st_payment_ingest")
 def _payment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "payment-ingest")
-    shop, _ = _replayed(spark, sf_dir)
+    shop = _replayed(spark, sf_dir)
     feed = _event_files(spark, sf_dir, f"{base}/events")
     jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint")
     return _flat(spark.read.parquet(f"{base}/out/order_lines").select(_ORDER))
@@ -325,7 +331,7 @@ def _payment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("st_payment_dedup")
 def _payment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "payment-dedup")
-    shop, _ = _replayed(spark, sf_dir)
+    shop = _replayed(spark, sf_dir)
     feed = _event_files(spark, sf_dir, f"{base}/events")
     stored = shop.order_lines.select("reference")
     writer = jobs.dedup_payments(feed, stored, testdata.TEST_SECRET, "bigint", f"{base}/out")

@@ -28,12 +28,17 @@ def signature_is_valid(body: Column, signature: Column, secret: str) -> Column:
 
 
 def parse_payment_events(events: DataFrame, key_type: str = "string") -> DataFrame:
-    """Flat columns of ``(event_id, body)`` events; lines stay an array of one spelling.
+    """Flat columns of events with a JSON ``body``; lines stay an array of one spelling. Other
+    columns of the events are kept.
+
+    The body is parsed in a generator: its result is a column like any other, so neither the
+    fields nor the filters on them make Spark parse the text again.
 
     ``key_type`` is the type of the shop's keys. A key that does not fit it becomes null and is
     handled as missing by the rules on lines and users.
     """
-    parsed = events.withColumn("data", F.from_json("body", EVENT_BODY)["data"])
+    kept = [name for name in events.columns if name != "body"]
+    parsed = events.select(*kept, F.inline_outer(F.array(F.from_json("body", EVENT_BODY))))
     data, meta = F.col("data"), F.col("data.metadata")
     address = meta["products"]["deliveryDetails"]
 
@@ -46,7 +51,7 @@ def parse_payment_events(events: DataFrame, key_type: str = "string") -> DataFra
         )
 
     return parsed.select(
-        "event_id",
+        *kept,
         data["reference"].try_cast(key_type).alias("reference"),
         data["status"].alias("payment_status"),
         data["gateway_response"].alias("gateway_response"),

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from merchlake.plans.changes import carts as cart_changes
 from merchlake.plans.changes.payments import apply_payments, signed_payments
 from merchlake.sources.shop import Shop
-from merchlake.sources.snapshots import last_batch, publish, published
+from merchlake.sources.snapshots import last_batch, publish, published, write_snapshot
 
 EVENT_SCHEMA = "event_id string, sent_at timestamp, signature string, body string"
 
@@ -46,20 +46,17 @@ def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str) -> DataS
 
     def book(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
-        events.persist()
-        try:
-            # The references of the batch pick the few stored ones that matter; the store is
-            # scanned for one column and neither shuffled nor copied.
-            asked = signed_payments(events, secret, key_type)[0].select(F.col("reference").alias("_asked")).distinct()
-            earlier = _earlier(spark, f"{out}/order_lines", f"reference {key_type}", batch_id)
-            stored = shop.order_lines.select("reference").unionByName(earlier).join(
-                asked, F.col("reference") == F.col("_asked"), "left_semi"
-            ).distinct()
-            written = apply_payments(shop, events, secret, stored)
-            for table in ("deliveries", "rejects", "order_lines"):
-                written[table].write.mode("overwrite").parquet(f"{out}/{table}/batch_id={batch_id}")
-        finally:
-            events.unpersist()
+        parsed = write_snapshot(signed_payments(events, secret, key_type), f"{out}/parsed/batch_id={batch_id}")
+        # The references of the batch pick the few stored ones that matter; the store is scanned
+        # for one column and neither shuffled nor copied.
+        asked = parsed.select(F.col("reference").alias("_asked")).distinct()
+        earlier = _earlier(spark, f"{out}/order_lines", f"reference {key_type}", batch_id)
+        stored = shop.order_lines.select("reference").unionByName(earlier).join(
+            asked, F.col("reference") == F.col("_asked"), "left_semi"
+        ).distinct()
+        written = apply_payments(shop, parsed, stored)
+        for table in ("deliveries", "rejects", "order_lines"):
+            written[table].write.mode("overwrite").parquet(f"{out}/{table}/batch_id={batch_id}")
 
     return feed.writeStream.foreachBatch(book)
 
@@ -72,9 +69,7 @@ def dedup_payments(feed: DataFrame, stored: DataFrame, secret: str, key_type: st
     that of arrival, so no event is ever too late. Later repeats are found among the references
     stored before or written by earlier batches.
     """
-    arrived = feed.withColumn("arrived_at", F.current_timestamp())
-    parsed, _ = signed_payments(arrived.drop("sent_at"), secret, key_type)
-    # Parsing keeps the event's own columns only; the arrival time is the watermark's column.
+    parsed = signed_payments(feed, secret, key_type).filter("signature_ok")
     timed = parsed.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", remember)
     once = timed.dropDuplicatesWithinWatermark(["reference"])
     columns = ["reference", "payment_status", "amount_minor", "customer_email"]
