@@ -12,16 +12,20 @@ def computed_once(short: DataFrame) -> DataFrame:
     The list becomes a scalar subquery, which Spark evaluates once per query. Only for frames
     whose row count is fixed by a limit: the whole list is held in one value.
     """
-    rows = short.agg(F.collect_list(F.struct(*short.columns)).alias("rows")).scalar()
-    return short.sparkSession.range(1).select(rows.alias("rows")).select(F.inline("rows"))
+    row = F.struct(F.lit(True).alias("_row"), *short.columns)
+    rows = short.agg(F.collect_list(row).alias("rows")).scalar()
+    # The outer form, as the plain one makes Spark add conditions on two more copies of the list.
+    listed = short.sparkSession.range(1).select(rows.alias("rows")).select(F.inline_outer("rows"))
+    return listed.filter(F.col("_row").isNotNull()).drop("_row")
 
 
-def look_up(short: DataFrame, wide: DataFrame, key: str, wide_key: str) -> DataFrame:
+def look_up(short: DataFrame, wide: DataFrame, key: str, wide_key: str, keys: DataFrame | None = None) -> DataFrame:
     """Left join of a short list with a large table, reading only the rows the list asks for.
 
     The large side is first cut down by a semi join with the list's keys, so it is scanned but
-    neither shuffled nor sorted. ``wide`` must not share column names with ``short``.
+    neither shuffled nor sorted. ``wide`` must not share column names with ``short``. When several
+    tables are looked up in turn, ``keys`` is the list as it was before the first.
     """
-    keys = short.select(F.col(key).alias("_wanted")).distinct()
+    keys = (short if keys is None else keys).select(F.col(key).alias("_wanted")).distinct()
     found = wide.join(keys, F.col(wide_key) == F.col("_wanted"), "left_semi")
     return short.join(found, F.col(key) == F.col(wide_key), "left")

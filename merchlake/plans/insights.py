@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.plans.facts import money_columns, sold_per_product
@@ -21,59 +19,63 @@ def sales_by_product(shop: Shop) -> DataFrame:
     return money_columns(named, "total_sales")
 
 
-def _entry(kind: str, category: F.Column, value: F.Column) -> F.Column:
+def _entry(kind: str, category: Column, value: Column, owner: Column | None = None) -> Column:
     return F.struct(
-        F.lit(kind).alias("type"), category.cast("string").alias("category"),
+        F.lit(kind).alias("type"),
+        category.cast("string").alias("category"),
         value.cast("decimal(38,2)").alias("value"),
+        (F.lit(None) if owner is None else owner).cast("string").alias("owner"),
     )
 
 
-def _by_day_and_status(lines: DataFrame) -> DataFrame:
-    """Sales by date, the successful total and the states, from one small (day, status) grouping."""
-    small = lines.groupBy(F.col("created_at").cast("date").alias("day"), "status").agg(
-        F.count("*").alias("n"), F.sum("amount").alias("paid")
-    )
-    done = F.col("status") == "success"
-    entries = small.select(F.inline(F.array(
-        _entry("sales_by_date", F.col("day"), F.col("paid")),
-        _entry("status_distribution", F.col("status"), F.col("n")),
-        _entry("order_summary", F.lit("Total Orders"), F.when(done, F.col("n")).otherwise(0)),
-        _entry("order_summary", F.lit("Total Revenue"), F.when(done, F.col("paid"))),
-    )))
-    # The two totals exist even where there is no order at all.
-    totals = lines.sparkSession.range(1).select(F.inline(F.array(
-        _entry("order_summary", F.lit("Total Orders"), F.lit(0)),
-        _entry("order_summary", F.lit("Total Revenue"), F.lit(None)),
-    )))
-    return entries.unionByName(totals).groupBy("type", "category").agg(F.sum("value").alias("value"))
-
-
 def insights(shop: Shop) -> DataFrame:
     """Sales by date, product, user and category over all states, totals of the successful ones,
     and the number of lines by state.
 
-    Three groupings of the fact feed the seven parts. Each reads only its own columns and reduces
-    before it is joined; products and categories share one of them.
+    One pass over the fact: grouping sets reduce it by product, by user and by (day, status) at
+    once. The reduced rows get their names in one join and then become the entries of all parts.
     """
-    lines = shop.order_lines
-    by_product = lines.groupBy(F.col("product_id").alias("sold_product_id")).agg(F.sum("amount").alias("paid"))
-    products = shop.products.select(F.col("id").alias("_product"), "name", "category_id")
-    sold = by_product.join(products, F.col("sold_product_id") == F.col("_product"))
+    lines = shop.order_lines.select(
+        "product_id", "user_id", F.col("created_at").cast("date").alias("day"), "status", "amount"
+    )
+    keys = ["product_id", "user_id", "day", "status"]
+    reduced = lines.groupingSets([["product_id"], ["user_id"], ["day", "status"]], *keys).agg(
+        F.sum("amount").alias("paid"), F.count("*").alias("n"),
+        F.grouping("product_id").alias("no_product"), F.grouping("user_id").alias("no_user"),
+    )
+    kind = F.when(F.col("no_product") == 0, "product").when(F.col("no_user") == 0, "user")
+    key = F.coalesce(F.col("product_id").cast("string"), F.col("user_id").cast("string"))
+    small = reduced.select(kind.alias("kind"), key.alias("key"), "day", "status", "paid", "n")
+
     categories = shop.categories.select(F.col("id").alias("_category"), F.col("name").alias("category_name"))
-    by_category = (
-        sold.join(categories, F.col("category_id") == F.col("_category"))
-        .groupBy("category_name").agg(F.sum("paid").alias("paid"))
+    products = shop.products.join(categories, F.col("category_id") == F.col("_category"), "left").select(
+        F.lit("product").alias("kind"), F.col("id").cast("string").alias("key"), "name", "category_name"
     )
-    users = shop.users.select(F.col("id").alias("_user"), F.col("name").alias("user_name"))
-    by_user = (
-        lines.groupBy("user_id").agg(F.sum("amount").alias("paid"))
-        .join(users, F.col("user_id") == F.col("_user"))
+    users = shop.users.select(
+        F.lit("user").alias("kind"), F.col("id").cast("string").alias("key"), "name",
+        F.lit(None).cast("string").alias("category_name"),
+    )
+    names = products.unionByName(users).withColumn("known", F.lit(True))
+    paid, done = F.col("paid"), F.col("status") == "success"
+    # Products and users of one name stay apart, so the entry carries their key.
+    entries = F.when(F.col("kind") == "product", F.when(F.col("known"), F.array(
+        _entry("sales_by_product", F.col("name"), paid, F.col("key")),
+        _entry("sales_by_category", F.col("category_name"), paid),
+    ))).when(F.col("kind") == "user", F.when(F.col("known"), F.array(
+        _entry("sales_by_user", F.col("name"), paid, F.col("key")),
+    ))).otherwise(F.array(
+        _entry("sales_by_date", F.col("day"), paid),
+        _entry("status_distribution", F.col("status"), F.col("n")),
+        _entry("order_summary", F.lit("Total Orders"), F.when(done, F.col("n")).otherwise(0)),
+        _entry("order_summary", F.lit("Total Revenue"), F.when(done, paid)),
+    ))
+    named = small.join(names, ["kind", "key"], "left").select(F.inline(entries)).filter(
+        (F.col("type") != "sales_by_category") | F.col("category").isNotNull()
     )
-    parts = [
-        _by_day_and_status(lines),
-        sold.select(F.inline(F.array(_entry("sales_by_product", F.col("name"), F.col("paid"))))),
-        by_user.select(F.inline(F.array(_entry("sales_by_user", F.col("user_name"), F.col("paid"))))),
-        by_category.select(F.inline(F.array(_entry("sales_by_category", F.col("category_name"), F.col("paid"))))),
-    ]
-    long = reduce(DataFrame.unionByName, parts)
-    return money_columns(long, "value")
+    # The two totals exist even where there is no order at all.
+    totals = lines.sparkSession.range(1).select(F.inline(F.array(
+        _entry("order_summary", F.lit("Total Orders"), F.lit(0)),
+        _entry("order_summary", F.lit("Total Revenue"), F.lit(None)),
+    )))
+    summed = named.unionByName(totals).groupBy("type", "category", "owner").agg(F.sum("value").alias("value"))
+    return money_columns(summed.drop("owner"), "value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlake.functions import from_minor
 from merchlake.operators import (
-    attach_images, computed_once, envelope, first_rows, image_lists, look_up, page, page_per,
+    attach_images, computed_once, envelope, first_rows, look_up, page, page_per,
 )
 from merchlake.plans.facts import money_columns, newest_first
 from merchlake.sources.shop import Shop
@@ -36,7 +36,8 @@ def orders_page(shop: Shop, page_no: int = 1, size: int = 10) -> DataFrame:
     order = newest_first()
     columns = [*_LINE, "user_id", "quantity", "status", "created_at"]
     head = computed_once(first_rows(shop.order_lines.select(columns), order, page_no, size))
-    joined = look_up(look_up(head, _emails(shop), "user_id", "_user"), _deliveries(shop), "reference", "_order")
+    joined = look_up(head, _emails(shop), "user_id", "_user")
+    joined = look_up(joined, _deliveries(shop), "reference", "_order", keys=head)
     shown = page(joined.select(*columns, "user_email", *_PLACE, "delivery_status"), order, page_no, size)
     return money_columns(shown, "amount")
 
@@ -129,9 +130,3 @@ def page_envelopes(shop: Shop, page_no: int = 1, size: int = 10) -> DataFrame:
         .unionByName(count(shop.categories, "categories")).unionByName(count(shop.blogs, "blogs"))
     )
     return envelope(counts, page_no, size, ~F.col("entity").isin("categories", "blogs"))
-
-
-__all__ = [
-    "image_lists", "my_orders", "order_details", "order_payment_details", "orders_by_reference", "orders_page",
-    "page_envelopes",
-]

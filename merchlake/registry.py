@@ -339,16 +339,10 @@ def _payment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
-def _stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A test file as a stream; the source takes a pattern, not a single file."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parq*")
-
-
 @_query("st_cart_state")
 def _cart_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "cart-state")
-    log = testdata.cart_log_rows(_stream_of(spark, sf_dir, "events"))
+    log = testdata.cart_log_rows(testdata.stream(spark, sf_dir, "events"))
     jobs.run_to_end(jobs.cart_feed(log, f"{base}/state"), f"{base}/checkpoint")
     state = jobs.published(spark, f"{base}/state", "carts")
     return _flat(state.select("user_id", "product_id", "quantity", "created_at"))
@@ -357,8 +351,8 @@ def _cart_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("st_daily_sales")
 def _daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "daily-sales")
-    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("created_at"))
-    lines = _stream_of(spark, sf_dir, "lineitem").select(
+    days = testdata.order_days(spark, sf_dir)
+    lines = testdata.stream(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"))
     dated = lines.join(days, F.col("l_orderkey") == F.col("o_orderkey"))
     jobs.run_to_end(jobs.daily_sales(dated.select("created_at", "amount"), f"{base}/out"), f"{base}/checkpoint")

@@ -20,8 +20,33 @@ TEST_SECRET = "test-secret"
 UNKNOWN = 1_000_000_000
 
 
+# The columns of the test files that are read. A declared schema saves a job that
+# would look into the files for it.
+FILES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,
+        props string""",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(FILES[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test file as a stream; the source takes a pattern, not a single file."""
+    return spark.readStream.schema(FILES[name]).parquet(f"{folder}/{name}.parq*")
 
 
 def _text(column: str) -> Column:
@@ -77,7 +102,8 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (checkout, product).
 
-    The join key is also a grouping key, so the grouping reuses the join's partitioning.
+    The join key is also a grouping key. Joined by shuffle, the rows already lie as the grouping
+    needs them, so there is one exchange of the lines in all; a broadcast would save none.
     """
     lines = _read(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", F.col("l_extendedprice").cast("decimal(12,2)").alias("price")
@@ -85,7 +111,7 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     orders = _read(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"
     )
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     grouped = joined.groupBy(
         "l_orderkey", "l_partkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"
     ).agg(F.sum("l_quantity").cast("long").alias("quantity"), F.sum("price").alias("amount"))
@@ -109,6 +135,11 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Each checkout with its time."""
+    return _read(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
 def users(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"),
