@@ -38,8 +38,8 @@ def valid_payments(parsed: DataFrame) -> DataFrame:
     return first_request(good, "reference", request_id="event_id")
 
 
-def new_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> Payments:
-    """Check parsed events and keep what becomes orders.
+def judge_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Parsed events with ``is_new`` and, where they are refused, a ``reason``.
 
     A reference that already has orders is passed over, as is the repeated sending of an event, so
     the same events can be applied any number of times. ``stored`` are the references with orders;
@@ -67,6 +67,7 @@ def new_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None)
     reason = F.coalesce(
         F.when(~F.col("signature_ok"), "Invalid signature"),
         F.when(unpaid, failure),
+        # Everything else passed over is a repeat: neither new nor refused.
         F.when(is_new, first_reason(
             (~F.col("has_products"), "Invalid payment metadata"),
             (F.col("lines").isNull(), "Invalid product descriptions"),
@@ -78,13 +79,22 @@ def new_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None)
             (F.size("lines") == 0, "No valid orders were created"),
         )),
     )
-    judged = judged.withColumn("reason", reason)
-    accepted = judged.filter(is_new & F.col("reason").isNull())
+    return judged.withColumns({"is_new": is_new, "reason": reason}).drop("_first", "_user")
+
+
+def split_payments(judged: DataFrame) -> Payments:
+    """What becomes orders, and what was refused."""
+    accepted = judged.filter(F.col("is_new") & F.col("reason").isNull())
     rejects = judged.filter(F.col("reason").isNotNull()).select(F.col("event_id").alias("request_id"), "reason")
     lines = payment_lines(accepted, "reference", "user_id", "customer_name", "paid_at")
     return Payments(accepted, lines, rejects)
 
 
+def new_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> Payments:
+    """Judge and split in one go. For several outputs, store the judged events in between."""
+    return split_payments(judge_payments(shop, parsed, stored))
+
+
 def order_rows(shop: Shop, lines: DataFrame) -> DataFrame:
     """One successful order per payment line, dated by the payment."""
     rows = lines.select(
@@ -118,11 +128,10 @@ def decrement_stock(products: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def apply_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+def apply_payments(shop: Shop, payments: Payments) -> dict[str, DataFrame]:
     """All that a batch of payment events changes: new orders and deliveries to append, the new
     state of products and carts, and rejects.
     """
-    payments = new_payments(shop, parsed, stored)
     orders = order_rows(shop, payments.lines)
     return {
         "order_lines": orders,

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from merchlake.plans.changes import carts as cart_changes
-from merchlake.plans.changes.payments import apply_payments, signed_payments
+from merchlake.plans.changes.payments import apply_payments, judge_payments, signed_payments, split_payments
 from merchlake.sources.shop import Shop
-from merchlake.sources.snapshots import last_batch, publish, published, write_snapshot
+from merchlake.sources.snapshots import last_batch, publish, published
 
 EVENT_SCHEMA = "event_id string, sent_at timestamp, signature string, body string"
 
@@ -46,7 +46,7 @@ def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str) -> DataS
 
     def book(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
-        parsed = write_snapshot(signed_payments(events, secret, key_type), f"{out}/parsed/batch_id={batch_id}")
+        parsed = signed_payments(events, secret, key_type).persist()
         # The references of the batch pick the few stored ones that matter; the store is scanned
         # for one column and neither shuffled nor copied.
         asked = parsed.select(F.col("reference").alias("_asked")).distinct()
@@ -54,9 +54,14 @@ def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str) -> DataS
         stored = shop.order_lines.select("reference").unionByName(earlier).join(
             asked, F.col("reference") == F.col("_asked"), "left_semi"
         ).distinct()
-        written = apply_payments(shop, parsed, stored)
-        for table in ("deliveries", "rejects", "order_lines"):
-            written[table].write.mode("overwrite").parquet(f"{out}/{table}/batch_id={batch_id}")
+        judged = judge_payments(shop, parsed, stored).persist()
+        try:
+            written = apply_payments(shop, split_payments(judged))
+            for table in ("deliveries", "rejects", "order_lines"):
+                written[table].write.mode("overwrite").parquet(f"{out}/{table}/batch_id={batch_id}")
+        finally:
+            judged.unpersist()
+            parsed.unpersist()
 
     return feed.writeStream.foreachBatch(book)
 
@@ -69,10 +74,11 @@ def dedup_payments(feed: DataFrame, stored: DataFrame, secret: str, key_type: st
     that of arrival, so no event is ever too late. Later repeats are found among the references
     stored before or written by earlier batches.
     """
-    parsed = signed_payments(feed, secret, key_type).filter("signature_ok")
+    columns = ["reference", "payment_status", "amount_minor", "customer_email"]
+    # Only these columns go through the shuffle and the state.
+    parsed = signed_payments(feed, secret, key_type).filter("signature_ok").select(columns)
     timed = parsed.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", remember)
     once = timed.dropDuplicatesWithinWatermark(["reference"])
-    columns = ["reference", "payment_status", "amount_minor", "customer_email"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         earlier = _earlier(batch.sparkSession, out, f"reference {key_type}", batch_id)

@@ -83,7 +83,7 @@ def test_a_batch_applied_twice_changes_nothing_more(spark):
 def test_stock_and_cart_follow_the_orders(spark):
     shop = small_shop(spark)
     feed = spark.createDataFrame(EVENTS, "event_id string, signature string, body string")
-    done = payments.apply_payments(shop, payments.signed_payments(feed, SECRET, "bigint"))
+    done = payments.apply_payments(shop, payments.new_payments(shop, payments.signed_payments(feed, SECRET, "bigint")))
     stock = {r.id: r.total_stock for r in done["products"].collect()}
     assert stock == {1: 7, 2: 2, 3: 0, 4: 3, 5: 1}
     assert {r.id for r in done["carts"].collect()} == {"k3"}
@@ -106,7 +106,7 @@ def test_text_keys_work_as_well(spark):
     texts = {t: getattr(shop, t).withColumns({c: F.col(c).cast("string") for c in cs}) for t, cs in kinds.items()}
     shop = shop.replace(**texts)
     feed = spark.createDataFrame(EVENTS, "event_id string, signature string, body string")
-    done = payments.apply_payments(shop, payments.signed_payments(feed, SECRET, "string"))
+    done = payments.apply_payments(shop, payments.new_payments(shop, payments.signed_payments(feed, SECRET, "string")))
     assert {(r.reference, r.product_id) for r in done["order_lines"].collect()} == {("50", "1"), ("50", "2"), ("57", "2")}
 
 
