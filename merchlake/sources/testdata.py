@@ -108,18 +108,17 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = _read(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", F.col("l_extendedprice").cast("decimal(12,2)").alias("price")
     )
-    orders = _read(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"
-    )
-    joined = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-    grouped = joined.groupBy(
-        "l_orderkey", "l_partkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"
-    ).agg(F.sum("l_quantity").cast("long").alias("quantity"), F.sum("price").alias("amount"))
     # One branch per level: a filter on the status then folds to one on the file's own column.
     unpaid = F.when(F.col("o_orderpriority") == "5-LOW", "declined").otherwise("initiated")
     open_or_unpaid = F.when(F.col("o_orderstatus") == "P", "pending").otherwise(unpaid)
     status = F.when(F.col("o_orderstatus") == "F", "success").otherwise(open_or_unpaid)
-    created = F.col("o_orderdate").cast("timestamp")
+    orders = _read(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at")
+    )
+    joined = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    grouped = joined.groupBy("l_orderkey", "l_partkey", "o_custkey", "status", "created_at").agg(
+        F.sum("l_quantity").cast("long").alias("quantity"), F.sum("price").alias("amount")
+    )
     return grouped.select(
         F.concat(_text("l_orderkey"), F.lit("-"), _text("l_partkey")).alias("id"),
         F.col("l_orderkey").alias("reference"),
@@ -129,9 +128,9 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("amount").cast("decimal(18,2)").alias("amount"),
         F.col("o_custkey").alias("user_id"),
         "quantity",
-        status.alias("status"),
-        created.alias("created_at"),
-        created.alias("updated_at"),
+        "status",
+        "created_at",
+        F.col("created_at").alias("updated_at"),
     )
 
 
