@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from merchlake.functions import bucket, month_label, since, week_label
 from merchlake.operators import as_document, computed_once, rows_as_list
 from merchlake.plans.facts import money_columns, paid_lines, sold_per_product
-from merchlake.plans.sales import Day, by_product
+from merchlake.plans.sales import Day
 from merchlake.sources.shop import Shop
 
 
