@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import packing, sharding
+from merchlake.llm import language, packing, quality, sharding, toxicity
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -38,3 +38,32 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "documents").select("doc_id", size.alias("size"), crc32_text(F.col("text")).alias("text_crc32"))
     placed = sharding.shard(rows, 24, ties=("text_crc32", "size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _remainder(divisor: int):
+    return F.coalesce(crc32_text(F.col("doc_id")), F.lit(0)) % divisor
+
+
+@_query
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = quality.fit(docs, labels, _remainder(5) != 0)
+    scored = docs.select("doc_id", (_remainder(5) == 0).alias("held_out"), quality.scorer(model, spark)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    predict = language.predictor(language.fit(docs, _remainder(4) != 2))
+    found = docs.select("doc_id", (_remainder(4) == 2).alias("held_out"), predict("text").alias("_p"))
+    return found.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), "_p.score")
+
+
+@_query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels, _remainder(3) != 1)
+    found = docs.select("doc_id", (_remainder(3) == 1).alias("held_out"), toxicity.scorer(model, spark)("text").alias("_s"))
+    return found.select("doc_id", "held_out", "_s.score", (F.col("_s.score") >= 0.7).cast("int").alias("predicted"),
+                        F.size("_s.passages").alias("n_passages"))
