@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,35 @@ def text_batches(texts: list, chars: int, rows: int) -> Iterator[tuple[int, int]
         size += length
     if start < len(texts):
         yield start, len(texts)
+
+
+# --- sums of long vectors over partitions ----------------------------------------------------------
+
+SLICE = 4096  # numbers per row, so that a long vector is summed in many tasks
+
+
+def vector_rows(totals: np.ndarray) -> pd.DataFrame:
+    """One partition's totals as rows (slice, values)."""
+    flat = np.ascontiguousarray(totals, "<i8").ravel()
+    parts = [(at // SLICE, flat[at:at + SLICE].tobytes()) for at in range(0, len(flat), SLICE)]
+    return pd.DataFrame(parts, columns=["slice", "values"])
+
+
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums: dict[int, np.ndarray] = {}
+    for frame in frames:
+        for number, values in zip(frame["slice"].tolist(), frame["values"]):
+            own = np.frombuffer(values, "<i8")
+            sums[number] = sums[number] + own if number in sums else own
+    yield pd.DataFrame({"slice": list(sums), "values": [value.tobytes() for value in sums.values()]})
+
+
+def summed_vector(parts: DataFrame, length: int) -> np.ndarray:
+    """Sum of all partitions' vectors of a fixed length; each slice is added up in one task, row by row."""
+    slices = -(-length // SLICE)
+    sums = parts.repartition(slices, "slice").mapInPandas(_added, "slice int, values binary").toPandas()
+    total = np.zeros(slices * SLICE, np.int64)
+    for number, values in zip(sums["slice"].tolist(), sums["values"]):
+        own = np.frombuffer(values, "<i8")
+        total[number * SLICE:number * SLICE + len(own)] += own
+    return total[:length]

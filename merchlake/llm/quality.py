@@ -13,11 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import labelled_sample, text_batches
+from merchlake.llm.common import labelled_sample, staged, summed_vector, text_batches, vector_rows
 
 GRAMS, SHAPES, STEPS = 1536, 384, 16
 TERMS = GRAMS + SHAPES + 2 * STEPS
@@ -111,56 +110,40 @@ class Model:
         return np.where(total > 0, np.clip(share, 0.0, 1.0), 0.5)
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per term of this partition, and the vectors of its labelled documents."""
-    names = ["_label", "_documents", "_vector"]
-    totals, documents = np.zeros(TERMS, np.int64), 0
+def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents per term of this partition (and of all, in the last place), and the vectors of its labelled documents."""
+    totals = np.zeros(TERMS + 1, np.int64)
     for batch in batches:
-        texts, labels = [text or "" for text in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+        texts, labels = [text or "" for text in batch["_text"]], batch["_label"].to_numpy(float)
         for start, end in text_batches(texts, BATCH_CHARS, BATCH_TEXTS):
             raw = raw_vectors(texts[start:end])
-            totals += (raw > 0).sum(axis=0)
-            documents += end - start
-            kept = [at for at in range(start, end) if labels[at] is not None]
-            if kept:
-                vectors = [raw[at - start].astype(np.float16).tobytes() for at in kept]
-                yield pa.RecordBatch.from_arrays([pa.array([labels[at] for at in kept], pa.int32()),
-                                                  pa.array([None] * len(kept), pa.int64()), pa.array(vectors, pa.binary())], names=names)
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([documents], pa.int64()),
-                                      pa.array([totals.astype("<i8").tobytes()], pa.binary())], names=names)
-
-
-def _add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    totals, documents = np.zeros(TERMS, np.int64), 0
-    for frame in frames:
-        documents += int(frame["_documents"].sum())
-        for vector in frame["_vector"]:
-            totals += np.frombuffer(vector, "<i8")
-    yield pd.DataFrame({"_documents": [documents], "_vector": [totals.tobytes()]})
+            totals[:-1] += (raw > 0).sum(axis=0)
+            totals[-1] += end - start
+            kept = np.flatnonzero(~np.isnan(labels[start:end]))
+            if len(kept):
+                yield pd.DataFrame({"slice": -1, "values": [raw[at].astype(np.float16).tobytes() for at in kept],
+                                    "label": labels[start:end][kept]})
+    yield vector_rows(totals).assign(label=np.nan)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
     """Learn from at most ``SAMPLE`` labelled documents where ``learn`` (over ``labels``) holds.
 
-    Inverse document frequencies count every document. To the driver come one row of counts per group
-    of partitions, and the sample's vectors, from which it computes the latent directions.
+    Inverse document frequencies count every document. To the driver come one vector of counts
+    and the sample's vectors, from which it computes the latent directions.
     """
-    from merchlake.llm.common import staged
-
     chosen = labelled_sample(labels, label, learn, SAMPLE)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key", "left")
-    found = staged(rows.select("_text", "_label").mapInArrow(_survey, "_label int, _documents bigint, _vector binary"), "quality")
-    # Counts of all partitions are summed in at most 16 tasks, whose 16 rows are then added here.
-    counts = found.filter("_documents is not null").select("_documents", "_vector").repartition(16).mapInPandas(
-        _add_up, "_documents bigint, _vector binary").toPandas()
-    documents = int(counts["_documents"].sum())
-    frequency = sum((np.frombuffer(vector, "<i8") for vector in counts["_vector"]), np.zeros(TERMS, np.int64))
-    sample = found.filter("_label is not null").select("_label", "_vector").orderBy(F.crc32("_vector"), "_vector").toPandas()
+    found = staged(rows.select("_text", F.col("_label").cast("double")).mapInPandas(
+        _survey, "slice int, values binary, label double"), "quality")
+    totals = summed_vector(found.filter("slice >= 0").select("slice", "values"), TERMS + 1)
+    frequency, documents = totals[:-1], int(totals[-1])
+    sample = found.filter("slice < 0").select("label", "values").orderBy(F.crc32("values"), "values", "label").toPandas()
     weights = (np.log((documents + 1.0) / (frequency + 1.0)) + 0.2).astype(np.float32)
-    labels_of = sample["_label"].to_numpy(np.float64)
+    labels_of = sample["label"].to_numpy(np.float64)
     if not len(labels_of):
         return Model(weights, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels_of)
-    raw = np.frombuffer(b"".join(sample["_vector"]), np.float16).reshape(-1, TERMS)
+    raw = np.frombuffer(b"".join(sample["values"]), np.float16).reshape(-1, TERMS)
     square = np.zeros((TERMS, TERMS), np.float32)
     for start in range(0, len(raw), 512):
         block = raw[start:start + 512].astype(np.float32) * weights

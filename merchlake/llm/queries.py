@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import language, packing, quality, sharding, toxicity
+from merchlake.llm import language, packing, quality, sharding, similarity, toxicity
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -52,6 +52,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.classes(_table(spark, folder, "documents"), words_each=3, percent=90)
+
+
 @_query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import labelled_sample
+from merchlake.llm.common import labelled_sample, summed_vector, vector_rows
 
 BUCKETS = 2**17  # words by hash, so that the model's size does not follow the vocabulary
 PRIOR_SHARE = 2.0  # weight of the corpus frequencies, in times the words of the toxic documents
@@ -101,22 +100,17 @@ class Model:
         return np.interp(evidence, self.evidence, self.probability)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents by bucket: all, toxic and clean ones."""
     words, totals = Buckets(), np.zeros((3, BUCKETS), np.int64)
     for batch in batches:
-        labels = batch.column(1).to_pylist()
-        for at, text in enumerate(batch.column(0)):
-            found = words.of_text(text.as_py())
-            if len(found) > BUCKETS // 8:
-                counted, values = np.arange(BUCKETS), np.bincount(found, minlength=BUCKETS)
-            else:
-                counted, values = np.unique(found, return_counts=True)
-            totals[0, counted] += values
-            if labels[at] is not None:
-                totals[1 if labels[at] else 2, counted] += values
-    used = np.flatnonzero(totals[0])
-    columns = [pa.array(used.astype(np.int32))] + [pa.array(row[used]) for row in totals]
-    yield pa.RecordBatch.from_arrays(columns, names=["_bucket", "_all", "_toxic", "_clean"])
+        for text, label in zip(batch["_text"], batch["_label"].tolist()):
+            # A word counts once per document, so a passage repeated within one adds no evidence.
+            counted = np.unique(words.of_text(text))
+            totals[0, counted] += 1
+            if label == label:
+                totals[1 if label else 2, counted] += 1
+    yield vector_rows(totals)
 
 
 def log_odds(everything: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -167,11 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     spark = docs.sparkSession
     chosen = labelled_sample(labels, label, learn, SAMPLE)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    counts = rows.join(chosen, "_key", "left").select("_text", "_label").mapInArrow(
-        _count, "_bucket int, _all bigint, _toxic bigint, _clean bigint")
-    sums = counts.groupBy("_bucket").agg(*[F.sum(name).alias(name) for name in ("_all", "_toxic", "_clean")]).toPandas()
-    table = np.zeros((3, BUCKETS))
-    table[:, sums["_bucket"].to_numpy(np.int64)] = sums[["_all", "_toxic", "_clean"]].to_numpy(float).T
+    counts = rows.join(chosen, "_key", "left").select("_text", F.col("_label").cast("double")).mapInPandas(
+        _count, "slice int, values binary")
+    table = summed_vector(counts, 3 * BUCKETS).reshape(3, BUCKETS).astype(float)
     if not table[1].sum() or not table[2].sum():
         return Model(np.full(BUCKETS, -MARGIN, np.float32), 1.0, 1.0, np.array([0.0]), np.array([0.0]))
     scores = log_odds(*table)
