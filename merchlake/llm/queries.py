@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import language, packing, quality, sharding, similarity, toxicity
+from merchlake.llm import language, lines, packing, quality, sharding, similarity, toxicity
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -72,3 +72,9 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = docs.select("doc_id", (_remainder(3) == 1).alias("held_out"), toxicity.scorer(model, spark)("text").alias("_s"))
     return found.select("doc_id", "held_out", "_s.score", (F.col("_s.score") >= 0.7).cast("int").alias("predicted"),
                         F.size("_s.passages").alias("n_passages"))
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.dedupe(_table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "lines_removed", F.length("text").cast("bigint").alias("chars_left"), crc32_text(F.col("text")).alias("text_crc32"))
