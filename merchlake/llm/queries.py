@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import language, lines, packing, quality, sharding, similarity, toxicity
+from merchlake.llm import decontamination, language, lines, packing, quality, sharding, similarity, topk, toxicity
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -74,6 +74,18 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                         F.size("_s.passages").alias("n_passages"))
 
 
+@_query
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@_query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    share = F.round(F.col("covered") / F.col("words"), 6)
+    return found.select("doc_id", "item_id", "covered", share.alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
 @_query
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = lines.dedupe(_table(spark, folder, "documents").select("doc_id", "text"))

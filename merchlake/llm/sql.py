@@ -45,4 +45,16 @@ select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as
   (row_number() over (partition by shard order by name_crc32 % b, doc_id nulls first, text_crc32 nulls first, size) - 1)::bigint as slot,
   grown_shard::int as grown_shard
 from measured join ends using (k0), buckets""",
+    "op7_topk": """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+components as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as d from whole),
+scores as (
+  select a.vec_id as query_id, b.vec_id, sum(a.x * b.x) as score
+  from components a join components b on a.d = b.d and a.vec_id <> b.vec_id
+  where a.vec_id % 50 = 0 group by all)
+select query_id, rank::int as rank, vec_id, score::bigint as score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5""",
 }
