@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merchlake.llm.common import staged, summed_vector, vector_rows
@@ -23,6 +24,8 @@ from merchlake.llm.common import staged, summed_vector, vector_rows
 CACHED_WORDS = 300_000
 SKETCH_BITS = 18  # shingle frequencies are kept in 2^18 counters, whatever the number of shingles
 LIST_BLOCK = 2048  # longer lists are dealt out in blocks, and blocks meet in pairs
+BINS = 64
+BROADCAST_PAIRS = 1_000_000  # pairs of row numbers (16 bytes each) up to which no set is shuffled to be picked
 # Odd 64-bit constants of the mixing steps (fixed values).
 MIX = tuple(np.uint64(value) for value in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -98,18 +101,23 @@ def least_overlap(one, other, percent: int):
 
 
 def _prefixes(counters, percent: int):
-    """Prefix of every set: its rarest shingles, as many as a linked set cannot all miss."""
+    """Per set: its rarest shingles, as many as a linked set cannot all miss, and its shingles by bin.
+
+    The overlap of two sets is at most the sum over all bins of the smaller count.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_counts = counters.value
         for batch in batches:
-            prefixes = []
+            prefixes, profiles = [], []
             for own in batch["set"]:
                 values = np.frombuffer(own, np.uint64)
+                bins = (values % np.uint64(BINS)).astype(np.int64)
+                profiles.append(np.bincount(bins, minlength=BINS).astype("<u4").tobytes())
                 length = len(values) - -(-percent * len(values) // 100) + 1
                 counts = own_counts[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefixes.append(values[np.lexsort((values, counts))[:length]].view(np.int64))
-            yield batch[["row", "n", "s1", "s2"]].assign(prefix=prefixes)
+            yield batch[["row", "n", "s1", "s2"]].assign(prefix=prefixes, profile=profiles)
 
     return run
 
@@ -191,9 +199,6 @@ def _candidates(shared: DataFrame, percent: int, star: bool) -> DataFrame:
     return rows.mapInPandas(_list_pairs(percent, star), "a bigint, b bigint").distinct()
 
 
-BINS = 64
-
-
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -201,21 +206,13 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b", "n_a", "n_b"]].assign(common=np.array(common, np.int64))
 
 
-def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles by bin: the overlap of two sets is at most the sum of the smaller counts."""
-    for batch in batches:
-        profile = [np.bincount((np.frombuffer(own, np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype("<u4").tobytes()
-                   for own in batch["set"]]
-        yield batch[["node", "n"]].assign(profile=profile)
-
-
 def _bounded(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 one, two = (np.frombuffer(b"".join(batch[name]), "<u4").reshape(-1, BINS) for name in ("profile_a", "profile_b"))
                 most = np.minimum(one, two).sum(axis=1)
-                yield batch[["a", "b", "n_a", "n_b"]][most >= least_overlap(batch["n_a"], batch["n_b"], percent)]
+                yield batch[["a", "b", "n_a", "n_b", "row_a", "row_b"]][most >= least_overlap(batch["n_a"], batch["n_b"], percent)]
 
     return run
 
@@ -234,33 +231,47 @@ class Join:
         counts = summed_vector(filled.select("set").mapInPandas(_frequencies, "slice int, values binary"), 1 << SKETCH_BITS)
         counters = docs.sparkSession.sparkContext.broadcast(counts)
         prefixes = filled.select("row", "n", "s1", "s2", "set").mapInPandas(
-            _prefixes(counters, percent), "row bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>")
-        nodes = prefixes.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("prefix").alias("prefix"))
+            _prefixes(counters, percent), "row bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
+        nodes = prefixes.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
         self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        self.own_sets = None
 
     def shared_lists(self) -> DataFrame:
-        """Prefix entries of shingles that at least two nodes list."""
+        """Prefix entries of shingles that at least two nodes list, with the length of the list.
+
+        Only such entries are kept after the one shuffle of all; the lists are then counted.
+        """
         entries = self.nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-        lists = entries.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1")
-        return staged(entries.join(lists, "token").select("token", "node", "n", "place", "listed"), "lists")
-
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """Sets of some nodes: (node, n, set)."""
-        wanted = self.nodes.select("node", "n", F.col("row").alias("_row")).join(nodes.distinct(), "node", "left_semi")
-        return wanted.join(self.sets.select("row", "set"), F.col("_row") == F.col("row")).select("node", "n", "set")
-
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with sizes and exact overlaps, without those that cannot link by their profiles."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-        sets = staged(self.sets_of(ends), "compared")
-        profiles = sets.mapInPandas(_profiles, "node bigint, n int, profile binary")
-        left = profiles.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("profile").alias("profile_a"))
-        right = profiles.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("profile_b"))
-        near = pairs.join(left, "a").join(right, "b").mapInPandas(_bounded(self.percent), "a bigint, b bigint, n_a int, n_b int")
-        near = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        near = near.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return near.mapInPandas(_overlaps, "a bigint, b bigint, n_a int, n_b int, common bigint")
+        in_list = W.partitionBy("token").orderBy("node")
+        near = F.lag("node").over(in_list).isNotNull() | F.lead("node").over(in_list).isNotNull()
+        kept = staged(entries.withColumn("_shared", near).filter("_shared").drop("_shared"), "entries")
+        lists = kept.groupBy("token").agg(F.count("*").alias("listed"))
+        return staged(kept.join(lists, "token").select("token", "node", "n", "place", "listed"), "lists")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with sizes and rows, without those whose profiles rule out a link."""
+        def side(name: str) -> DataFrame:
+            return self.nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("row").alias(f"row_{name}"),
+                                     F.col("profile").alias(f"profile_{name}"))
+
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(
+            _bounded(self.percent), "a bigint, b bigint, n_a int, n_b int, row_a bigint, row_b bigint")
+
+    def overlaps(self, near: DataFrame) -> DataFrame:
+        """Exact overlaps: (a, b, n_a, n_b, common).
+
+        Up to ``BROADCAST_PAIRS`` pairs their row numbers are broadcast, and only the sets they name are
+        shuffled; beyond, rows and sets are joined by shuffling both.
+        """
+        near = staged(near, "near")
+        small = near.count() <= BROADCAST_PAIRS
+
+        def side(name: str) -> DataFrame:
+            asked = near.select("a", "b", F.col(f"row_{name}").alias("_row"))
+            asked = F.broadcast(asked) if small else asked
+            return self.sets.select("row", F.col("set").alias(f"set_{name}")).join(asked, F.col("row") == F.col("_row")).drop("row", "_row")
+
+        both = side("a").join(side("b"), ["a", "b"]).join(near.select("a", "b", "n_a", "n_b"), ["a", "b"])
+        return both.mapInPandas(_overlaps, "a bigint, b bigint, n_a int, n_b int, common bigint")
 
     def linked(self, overlaps: DataFrame) -> DataFrame:
         return overlaps.filter(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
@@ -304,14 +315,14 @@ def classes(docs: DataFrame, words_each: int = 5, percent: int = 80, key: str =
     join = Join(docs, words_each, percent, key, text)
     shared = join.shared_lists()
     alone = F.col("node").alias("kind")
-    first = staged(join.linked(join.overlaps(staged(_candidates(shared.select("*", alone), percent, True), "pairs"))), "links")
+    first = staged(join.linked(join.overlaps(join.near(_candidates(shared.select("*", alone), percent, True)))), "links")
     roots = staged(components(first), "roots")
 
     # Lists whose members are not all of one class go into the second round.
     placed = shared.join(roots, "node", "left").withColumn("kind", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("token").agg(F.min("kind").alias("_low"), F.max("kind").alias("_high")).filter("_low <> _high").select("token")
-    pairs = staged(_candidates(placed.join(mixed, "token", "left_semi"), percent, False), "pairs")
-    second = staged(_between_classes(join, pairs, first, roots), "links")
+    near = staged(join.near(_candidates(placed.join(mixed, "token", "left_semi"), percent, False)), "between")
+    second = staged(_between_classes(join, near, first, roots), "links")
 
     links = first.select("a", "b").union(second.select("a", "b"))
     found = components(links)
@@ -327,8 +338,8 @@ def classes(docs: DataFrame, words_each: int = 5, percent: int = 80, key: str =
     return named.union(empty)
 
 
-def _between_classes(join: Join, pairs: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links among candidate pairs of different classes.
+def _between_classes(join: Join, near: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links among near pairs of different classes.
 
     Where a set's leader (the root it is linked to) is known with their overlap, the leader's overlap with
     the other set bounds its own from above: at most the leader's plus what the leader lacks.
@@ -336,21 +347,17 @@ def _between_classes(join: Join, pairs: DataFrame, first: DataFrame, roots: Data
     to_root = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), F.col("n_a").alias("n"), "common").union(
         first.select(F.col("b"), F.col("a"), F.col("n_b"), "common"))
     to_root = to_root.join(roots, "node").filter("leader = root").select("node", "leader", (F.col("n") - F.col("common")).alias("extra"))
-    led = pairs.join(to_root.withColumnsRenamed({"node": "a", "leader": "la", "extra": "ea"}), "a", "left")
+    led = near.join(to_root.withColumnsRenamed({"node": "a", "leader": "la", "extra": "ea"}), "a", "left")
     led = led.join(to_root.withColumnsRenamed({"node": "b", "leader": "lb", "extra": "eb"}), "b", "left")
     led = led.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b"),
                            "extra": F.coalesce("ea", F.lit(0)) + F.coalesce("eb", F.lit(0))})
-    led = staged(led.select("a", "b", F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"), "extra"), "led")
-    sizes = join.nodes.select("node", "n")
-    known = led.filter("extra > 0").select("x", "y").distinct()
-    sets = staged(join.sets_of(known.select(F.col("x").alias("node")).union(known.select("y"))), "leaders")
-    leaders = known.join(sets.select(F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("set").alias("set_a")), "x")
-    leaders = leaders.join(sets.select(F.col("node").alias("y"), F.col("n").alias("n_b"), F.col("set").alias("set_b")), "y")
-    leaders = leaders.withColumnsRenamed({"x": "a", "y": "b"}).mapInPandas(
-        _overlaps, "a bigint, b bigint, n_a int, n_b int, common bigint").select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
-    open_pairs = led.join(leaders, ["x", "y"], "left")
-    open_pairs = open_pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(
-        sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
+    led = staged(led.select(*near.columns, F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"), "extra"), "led")
+    # One comparison of two leaders serves all pairs of their followers.
+    of_node = join.nodes.select("node", "n", "row")
+    leaders = led.filter("extra > 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    leaders = leaders.join(of_node.withColumnsRenamed({"node": "a", "n": "n_a", "row": "row_a"}), "a")
+    leaders = leaders.join(of_node.withColumnsRenamed({"node": "b", "n": "n_b", "row": "row_b"}), "b")
+    known = join.overlaps(leaders).select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
     needed = F.ceil(join.percent * (F.col("n_a") + F.col("n_b")) / (100 + join.percent))
     possible = F.col("common").isNull() | (F.col("common") + F.col("extra") >= needed)
-    return join.linked(join.overlaps(staged(open_pairs.filter(possible).select("a", "b"), "open")))
+    return join.linked(join.overlaps(led.join(known, ["x", "y"], "left").filter(possible).select(*near.columns)))
