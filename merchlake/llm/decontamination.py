@@ -173,6 +173,16 @@ def _search(shared, coverage: float):
     return run
 
 
+def _blocks(benchmark: DataFrame, shortest: int, item: str, item_text: str) -> Iterator:
+    """The benchmark in blocks of bounded size, each broadcast."""
+    items = benchmark.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull())
+    chars = items.agg(F.sum(F.length("_text"))).first()[0] or 0
+    blocks = max(1, -(-2 * chars // BLOCK_CHARS))
+    for block in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("_text", "_item"), F.lit(blocks)) == block).orderBy("_item", "_text")
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([tuple(row) for row in own.collect()], shortest))
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST,
                     key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and benchmark item: ``key``, ``item``, ``covered`` and ``words`` (of the item), ``tiles``.
@@ -182,17 +192,32 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COV
     nowhere. Repeated rows and equal or null keys give a row each. The benchmark is searched for in blocks
     of bounded size, each broadcast on its own to one pass over the documents; an empty one gives no row.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull())
-    chars, largest = items.agg(F.sum(F.length("_text")), F.max(F.length("_text"))).first()
-    blocks = max(1, -(-2 * (chars or 0) // BLOCK_CHARS))
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"key {kinds[0]}, item {kinds[1]}, covered bigint, words bigint, tiles array<struct<item_start:bigint,doc_start:bigint,length:bigint>>"
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = []
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("_text", "_item"), F.lit(blocks)) == block).orderBy("_item", "_text")
-        shared = spark.sparkContext.broadcast(Items([tuple(row) for row in own.collect()], shortest))
-        found.append(rows.mapInPandas(_search(shared, coverage), schema))
+    found = [rows.mapInPandas(_search(shared, coverage), schema) for shared in _blocks(benchmark, shortest, item, item_text)]
     result = reduce(DataFrame.union, found)
     return result.select(F.col("key").alias(key), F.col("item").alias(item), "covered", "words", "tiles")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST,
+                         text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts contain no benchmark item (see ``contained_items``)."""
+    for shared in _blocks(benchmark, shortest, item, item_text):
+        docs = docs.filter(~_contaminated(shared, coverage)(F.col(text)))
+    return docs
+
+
+def _contaminated(shared, coverage: float):
+    search = _search(shared, coverage)
+
+    @F.pandas_udf("boolean")
+    def contaminated(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in columns:
+            numbered = pd.DataFrame({"key": np.arange(len(column)), "text": column.to_numpy()})
+            flags = np.zeros(len(column), bool)
+            for hits in search(iter([numbered])):
+                flags[hits["key"].to_numpy(np.int64)] = True
+            yield pd.Series(flags)
+
+    return contaminated

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontamination, language, lines, packing, quality, sharding, similarity, topk, toxicity
+from merchlake.llm import decontamination, language, lines, packing, quality, sharding, similarity, topk, toxicity, urls
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -52,6 +52,16 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@_query
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urls.judge(_table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("log_odds", 6).alias("log_odds"))
+
+
 @_query
 def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.classes(_table(spark, folder, "documents"), words_each=3, percent=90)

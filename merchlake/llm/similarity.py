@@ -68,13 +68,13 @@ def _sets(words_each: int):
         hashes, rows, size = WordHashes(), [], 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["key", "n", "s1", "s2", "set"])
+            return pd.DataFrame(rows, columns=["key", "digest", "n", "s1", "s2", "set"])
 
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
+            for key, digest, text in zip(batch["key"], batch["digest"], batch["text"]):
                 own = shingle_set(text, words_each, hashes)
                 one, two = int(own.sum(dtype=np.uint64)), int(_mixed(own).sum(dtype=np.uint64))
-                rows.append((key, len(own), one - 2**63, two - 2**63, own.tobytes()))
+                rows.append((key, digest, len(own), one - 2**63, two - 2**63, own.tobytes()))
                 size += own.nbytes
                 if size > 8_000_000:
                     yield flush()
@@ -223,8 +223,8 @@ class Join:
     def __init__(self, docs: DataFrame, words_each: int, percent: int, key: str, text: str):
         self.percent = percent
         kind = docs.schema[key].dataType.simpleString()
-        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        sets = texts.mapInPandas(_sets(words_each), f"key {kind}, n int, s1 bigint, s2 bigint, set binary")
+        texts = docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+        sets = texts.mapInPandas(_sets(words_each), f"key {kind}, digest binary, n int, s1 bigint, s2 bigint, set binary")
         # The numbers of rows and nodes hold because the tables are written before they are used.
         self.sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
         filled = self.sets.filter("n > 0")
@@ -304,14 +304,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("root"))
 
 
-def classes(docs: DataFrame, words_each: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Class of every row: ``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
-
-    Two rows link when 100 * overlap >= percent * union of their shingle sets. Null and empty texts, and
-    texts of blanks, have no shingles and link with nothing: their class is their own key. Equal texts,
-    repeated rows and rows with equal keys are linked like any others; a null key never names a class
-    unless no row of the class has a key. Other columns are not read, and an empty table gives no row.
-    """
+def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str) -> DataFrame:
+    """Class of every row: (key, digest of the text, n, class); the class of a row without shingles is null."""
     join = Join(docs, words_each, percent, key, text)
     shared = join.shared_lists()
     alone = F.col("node").alias("kind")
@@ -324,18 +318,48 @@ def classes(docs: DataFrame, words_each: int = 5, percent: int = 80, key: str =
     near = staged(join.near(_candidates(placed.join(mixed, "token", "left_semi"), percent, False)), "between")
     second = staged(_between_classes(join, near, first, roots), "links")
 
-    links = first.select("a", "b").union(second.select("a", "b"))
-    found = components(links)
+    found = components(first.select("a", "b").union(second.select("a", "b")))
     of_node = join.nodes.select("node", "s1", "s2", F.col("n").alias("_n")).join(found, "node", "left")
-    of_node = of_node.select("s1", "s2", "_n", F.coalesce("root", "node").alias("_class"))
-    rows = join.sets.select("key", "n", "s1", "s2")
-    filled = rows.filter("n > 0").join(of_node.withColumnsRenamed({"s1": "_s1", "s2": "_s2"}),
-                                       (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n")))
-    members = staged(filled.select("key", "n", "_class"), "members")
-    names = members.groupBy("_class").agg(F.min("key").alias("component_id"))
-    named = members.join(names, "_class").select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), "component_id")
-    empty = rows.filter("n = 0").select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.col("key").alias("component_id"))
-    return named.union(empty)
+    of_node = of_node.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "_n", F.coalesce("root", "node").alias("_class"))
+    same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
+    rows = join.sets.select("key", "digest", "n", "s1", "s2")
+    filled = rows.filter("n > 0").join(of_node, same).select("key", "digest", "n", "_class")
+    empty = rows.filter("n = 0").select("key", "digest", "n", F.lit(None).cast("bigint").alias("_class"))
+    return staged(filled.union(empty), "members")
+
+
+def classes(docs: DataFrame, words_each: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Class of every row: ``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
+
+    Two rows link when 100 * overlap >= percent * union of their shingle sets. Null and empty texts, and
+    texts of blanks, have no shingles and link with nothing: their class is their own key. Equal texts,
+    repeated rows and rows with equal keys are linked like any others; a null key never names a class
+    unless no row of the class has a key. Other columns are not read, and an empty table gives no row.
+    """
+    members = _members(docs, words_each, percent, key, text)
+    filled = members.filter("_class is not null")
+    names = filled.groupBy("_class").agg(F.min("key").alias("_name"))
+    named = filled.join(names, "_class").select("key", "n", "_name")
+    empty = members.filter("_class is null").select("key", "n", F.col("key").alias("_name"))
+    return named.union(empty).select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.col("_name").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, with all its columns: the one with the smallest key, then text digest.
+
+    A null key comes last, and of repeated rows one stays. Rows without shingles are in no class and all stay.
+    """
+    members = _members(docs, words_each, percent, key, text).filter("_class is not null")
+    rank = F.struct(F.col("key").isNull(), F.col("key"), F.col("digest"))
+    chosen = members.groupBy("_class").agg(F.min_by(F.struct("key", "digest"), rank).alias("_row")).select("_row.*")
+    chosen = chosen.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.lit(True).alias("_chosen"))
+    # A row without shingles is never chosen; it stays because no row of the members names it.
+    filled = F.coalesce(F.trim(F.translate(F.col(text), "\t\n\u000b\f\r", "     ")), F.lit("")) != ""
+    rows = docs.withColumn("_own", F.unhex(F.md5(F.col(text).cast("binary"))))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_digest"))
+    kept = rows.filter(filled).join(chosen, same, "left_semi")
+    once = kept.withColumn("_times", F.row_number().over(W.partitionBy(key, "_own").orderBy(key))).filter("_times = 1")
+    return once.select(docs.columns).unionByName(docs.filter(~filled))
 
 
 def _between_classes(join: Join, near: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
