@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.llm import decontamination, lines, packing, similarity, toxicity
-from merchlake.llm.common import staged
+from merchlake.llm.common import fresh_name, staged
 
 TOXIC_FROM = 0.7
 
@@ -21,16 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.lit(True))
-    scored = docs.withColumn("_toxicity", toxicity.scorer(model, spark)("text").getField("score"))
-    return scored.filter(F.col("_toxicity") < TOXIC_FROM).select(docs.columns)
+    return docs.filter(toxicity.scorer(model, spark)("text").getField("score") < TOXIC_FROM)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and with them documents of which nothing else is left."""
-    cleaned = lines.dedupe(docs)
-    changed = F.col("lines_removed") > 0
+    counter = fresh_name(docs, "lines_removed")
+    cleaned = lines.dedupe(docs, counter=counter)
+    changed = F.col(counter) > 0
     columns = {"n_chars": F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return cleaned.filter(~changed | (F.trim("text") != "")).withColumns(columns).select(docs.columns)
+    return cleaned.filter(~changed | (F.trim("text") != "")).withColumns(columns).drop(counter)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

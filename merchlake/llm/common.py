@@ -24,6 +24,19 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns, but for those named, as one struct ``_row``, so that none clashes with an operator's own."""
+    return F.struct(*[df[f"`{column}`"] for column in df.columns if column.lower() not in without]).alias("_row")
+
+
 def crc32_text(column: Column) -> Column:
     """CRC-32 of a value as text, unsigned; null stays null."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import staged
+from merchlake.llm.common import as_row, staged
 
 MIN_WORDS = 50
 RANK_BUCKETS = 4096
@@ -150,8 +150,8 @@ def removed_lines(copies: DataFrame) -> DataFrame:
     return grouped.select("_key", "_doc", F.flatten(F.transform("_spans", lambda span: F.sequence(span["a"], span["b"]))).alias("_removed"))
 
 
-def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns with the text without later copies of repeated line runs, and ``lines_removed``.
+def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counter: str = "lines_removed") -> DataFrame:
+    """All columns with the text without later copies of repeated line runs, and ``counter``: how many lines went.
 
     A run is repeated if another document, or another place of the same one, has the same lines, and it
     counts from ``min_words`` words on (words are stretches without blanks). Its first occurrence stays;
@@ -159,14 +159,15 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", tex
     Rows that agree in key and text are one document: they lose the same lines. Rows with equal keys and
     different texts are different documents, and a null key comes before all others. A null text stays
     null with no line removed, an empty one stays empty. A text that loses all its lines becomes empty.
+    A column named like the counter is replaced; all others are kept whatever their names.
     """
     removed = removed_lines(later_copies(docs, min_words, key, text))
-    rows = docs.drop("lines_removed")
-    same = F.col(key).eqNullSafe(F.col("_key")) & (_doc_id(F.col(text)) == F.col("_doc"))
+    rows = docs.select(as_row(docs, (counter.lower(),)), F.col(key).alias("_id"), F.col(text).alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("_key")) & (_doc_id(F.col("_text")) == F.col("_doc"))
     joined = rows.join(removed, same, "left")
-    lines = F.split(F.col(text), "\n", -1)
+    lines = F.split("_text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     cleaned = F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n")
-    columns = {text: F.when(F.col("_removed").isNull(), F.col(text)).otherwise(cleaned)}
-    return joined.select(*[columns.get(name, F.col(name)).alias(name) for name in rows.columns],
-                         F.coalesce(F.array_size("_removed"), F.lit(0)).alias("lines_removed"))
+    cleaned = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(cleaned)
+    return joined.select(F.col("_row").withField(f"`{text}`", cleaned).alias("_row"), F.coalesce(F.array_size("_removed"), F.lit(0)).alias("_n")).select(
+        "_row.*", F.col("_n").alias(counter))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merchlake.llm.common import crc32_text, staged
+from merchlake.llm.common import as_row, crc32_text, staged
 
 # Multiplier of the published jump hash (a 64-bit linear congruential generator), and 2^64.
 MULTIPLIER = 2862933555777941757
@@ -65,17 +65,18 @@ def shard(rows: DataFrame, shards: int, key: str = "doc_id", ties: tuple[str, ..
     bucket), and bucket counts are summed up per shard. An empty table gives no row. The names ``shard``,
     ``slot`` and ``grown_shard`` are replaced if the input has them.
     """
-    rows = rows.drop("shard", "slot", "grown_shard")
-    number = key_number(F.col(key), rows.schema[key].dataType)
+    own = F.col(key)
+    number = key_number(own, rows.schema[key].dataType)
     buckets = max(1, math.ceil(rows.count() / (shards * bucket_rows)))
-    bucket = F.coalesce(crc32_text(F.col(key)), F.lit(0)) % buckets
+    order = [own.alias("_key"), *[F.col(name).alias(f"_tie{at}") for at, name in enumerate(ties)]]
     # Written once: the hash chain is not repeated for the counts and the numbering.
-    placed = staged(rows.select("*", jump_shard(number, shards).alias("shard"), jump_shard(number, shards + 1).alias("grown_shard"),
-                                bucket.alias("_bucket")), "shards")
+    placed = staged(rows.select(as_row(rows, ("shard", "slot", "grown_shard")), *order, jump_shard(number, shards).alias("shard"),
+                                jump_shard(number, shards + 1).alias("grown_shard"),
+                                (F.coalesce(crc32_text(own), F.lit(0)) % buckets).alias("_bucket")), "shards")
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_count"))
     earlier = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("shard", "_bucket", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("shard", "_bucket").orderBy(key, *ties)
-    numbered = placed.withColumn("_row", F.row_number().over(inside) - 1)
+    inside = W.partitionBy("shard", "_bucket").orderBy("_key", *[f"_tie{at}" for at in range(len(ties))])
+    numbered = placed.withColumn("_number", F.row_number().over(inside) - 1)
     found = numbered.join(bases, ["shard", "_bucket"])
-    return found.select(*rows.columns, "shard", (F.col("_base") + F.col("_row")).cast("bigint").alias("slot"), "grown_shard")
+    return found.select("_row.*", "shard", (F.col("_base") + F.col("_number")).cast("bigint").alias("slot"), "grown_shard")

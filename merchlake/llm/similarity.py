@@ -2,10 +2,10 @@
 
 Equal sets are one node. Every node is listed under the shingles of its prefix (rarest first), each list
 sorted by set size and read only as far as sizes and positions allow a link. Nodes that already belong
-together are skipped: a first round links every list's members to its head and to their neighbours, so a
-group of near copies becomes one class from a number of pairs in proportion to its size. Between classes,
-a set's overlaps are derived from those of its class's leader and the few shingles in which the two
-differ; only what these bounds leave open is compared shingle by shingle.
+together are skipped: a first round compares every list's members with the partner that looks most like
+them, so a group of near copies becomes one class from a number of pairs in proportion to its size. Between
+classes, a set's overlaps are derived from those of its class's leader and the few shingles in which the
+two differ; only what these bounds leave open is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import staged, summed_vector, vector_rows
+from merchlake.llm.common import as_row, staged
 
 CACHED_WORDS = 300_000
-SKETCH_BITS = 18  # shingle frequencies are kept in 2^18 counters, whatever the number of shingles
+SKETCH_BITS = 22  # shingle frequencies are kept in 2^22 counters, whatever the number of shingles
+SKETCH_SLICE = 2**16
 LIST_BLOCK = 2048  # longer lists are dealt out in blocks, and blocks meet in pairs
-BINS = 64
+BINS, FULL = 64, 255
 BROADCAST_PAIRS = 1_000_000  # pairs of row numbers (16 bytes each) up to which no set is shuffled to be picked
 # Odd 64-bit constants of the mixing steps (fixed values).
 MIX = tuple(np.uint64(value) for value in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -86,13 +87,44 @@ def _sets(words_each: int):
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counters of this partition as rows (slice, at, count): all counts of a slice, or places and counts."""
     totals = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         for own in batch["set"]:
             # A set's hashes are sorted, so equal counters are neighbours.
             counters, counts = np.unique(np.frombuffer(own, np.uint64) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             totals[counters.astype(np.int64)] += counts
-    yield vector_rows(totals)
+    rows = []
+    for number, own in enumerate(totals.reshape(-1, SKETCH_SLICE)):
+        used = np.flatnonzero(own)
+        if len(used) > SKETCH_SLICE // 4 and own.max() < 2**16:
+            rows.append((number, b"", own.astype("<u2").tobytes()))
+        elif len(used):
+            rows.append((number, used.astype("<u2").tobytes(), own[used].astype("<i8").tobytes()))
+    yield pd.DataFrame(rows, columns=["slice", "at", "count"])
+
+
+def _added_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for number, at, count in zip(batch["slice"].tolist(), batch["at"], batch["count"]):
+            own = sums.setdefault(number, np.zeros(SKETCH_SLICE, np.int64))
+            if len(at):
+                own[np.frombuffer(at, "<u2")] += np.frombuffer(count, "<i8")
+            else:
+                own += np.frombuffer(count, "<u2")
+    rows = [(number, np.minimum(own, 2**32 - 1).astype("<u4").tobytes()) for number, own in sums.items()]
+    yield pd.DataFrame(rows, columns=["slice", "count"])
+
+
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall on each counter, over all sets."""
+    parts = sets.select("set").mapInPandas(_frequencies, "slice int, at binary, count binary")
+    sums = parts.repartition((1 << SKETCH_BITS) // SKETCH_SLICE, "slice").mapInPandas(_added_frequencies, "slice int, count binary").toPandas()
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICE * SKETCH_SLICE, np.uint32).reshape(-1, SKETCH_SLICE)
+    for number, count in zip(sums["slice"].tolist(), sums["count"]):
+        total[number] = np.frombuffer(count, "<u4")
+    return total.ravel()
 
 
 def least_overlap(one, other, percent: int):
@@ -103,7 +135,8 @@ def least_overlap(one, other, percent: int):
 def _prefixes(counters, percent: int):
     """Per set: its rarest shingles, as many as a linked set cannot all miss, and its shingles by bin.
 
-    The overlap of two sets is at most the sum over all bins of the smaller count.
+    The overlap of two sets is at most the sum over all bins of the smaller count. A large set, of which a
+    bin is full, has a profile of full bins, which rules nothing out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +146,8 @@ def _prefixes(counters, percent: int):
             for own in batch["set"]:
                 values = np.frombuffer(own, np.uint64)
                 bins = (values % np.uint64(BINS)).astype(np.int64)
-                profiles.append(np.bincount(bins, minlength=BINS).astype("<u4").tobytes())
+                profile = np.bincount(bins, minlength=BINS)
+                profiles.append((profile if profile.max() < FULL else np.full(BINS, FULL)).astype(np.uint8).tobytes())
                 length = len(values) - -(-percent * len(values) // 100) + 1
                 counts = own_counts[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefixes.append(values[np.lexsort((values, counts))[:length]].view(np.int64))
@@ -122,61 +156,70 @@ def _prefixes(counters, percent: int):
     return run
 
 
-def _list_pairs(percent: int, star: bool):
-    """Pairs from lists that arrive sorted by (token, block pair, size, position).
+def _possible(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Largest overlap that two profiles allow."""
+    most = np.minimum(one, other).sum(axis=1, dtype=np.int64)
+    return np.where((one[:, 0] == FULL) | (other[:, 0] == FULL), np.iinfo(np.int64).max // 4, most)
+
+
+def _list_pairs(percent: int, nearest: bool):
+    """Pairs of different classes from lists that arrive sorted by (token, block pair, size, position).
 
-    ``star``: each member with the head of its list and the one before it. Otherwise all pairs of
-    different classes. Both pass the bounds of sizes and positions; a member whose partner's size is out
-    of bounds skips the rest of its list.
+    All pairs pass the bounds of sizes, positions and profiles; a member whose partner's size is out of
+    bounds skips the rest of its list. ``nearest``: of each member's pairs in a list only the one whose
+    bounds leave the largest similarity.
     """
+    heads = ("token", "one", "two")
 
     def of_lists(rows: dict[str, np.ndarray]) -> pd.DataFrame:
-        size, place, node, kind = (rows[name] for name in ("n", "place", "node", "kind"))
+        size, place, node, kind, profile = (rows[name] for name in ("n", "place", "node", "kind", "profile"))
         changed = np.zeros(len(size), bool)
         changed[0] = True
-        for name in ("token", "one", "two"):
+        for name in heads:
             changed[1:] |= rows[name][1:] != rows[name][:-1]
-        starts = np.flatnonzero(changed)
-        ends = np.append(starts[1:], len(size))
-        owner = np.cumsum(changed) - 1
-        last, head = ends[owner], starts[owner]
+        last = np.append(np.flatnonzero(changed)[1:], len(size))[np.cumsum(changed) - 1]
         crossing = rows["one"] != rows["two"]
-        found = []
-
-        def passing(a: np.ndarray, b: np.ndarray) -> None:
-            small, large = size[a], size[b]
-            good = np.minimum(small - place[a], large - place[b]) >= least_overlap(small, large, percent)
-            good &= (kind[a] != kind[b]) & (100 * small >= percent * large) & (node[a] != node[b])
+        found, closest, partner = [], np.full(len(size), -1.0), np.full(len(size), -1)
+        alive, step = np.arange(len(size)), 1
+        while True:
+            alive = alive[alive + step < last[alive]]
+            alive = alive[100 * size[alive] >= percent * size[alive + step]]
+            if not len(alive):
+                break
+            a, b = alive, alive + step
+            needed = least_overlap(size[a], size[b], percent)
+            good = (np.minimum(size[a] - place[a], size[b] - place[b]) >= needed) & (kind[a] != kind[b])
             good &= ~crossing[a] | (rows["block"][a] != rows["block"][b])
-            if good.any():
-                found.append(np.stack((node[a[good]], node[b[good]]), axis=1))
-
-        everyone = np.arange(len(size))
-        if star:
-            passing(head, everyone)
-            inner = everyone[~changed]
-            passing(inner - 1, inner)
-        else:
-            alive, step = everyone, 1
-            while True:
-                alive = alive[alive + step < last[alive]]
-                alive = alive[100 * size[alive] >= percent * size[alive + step]]
-                if not len(alive):
-                    break
-                passing(alive, alive + step)
-                step += 1
+            a, b, needed = a[good], b[good], needed[good]
+            most = _possible(profile[a], profile[b])
+            good = most >= needed
+            a, b, most = a[good], b[good], most[good]
+            if nearest:
+                share = np.minimum(most, size[a]) / (size[a] + size[b])
+                for mine, other in ((a, b), (b, a)):
+                    better = share > closest[mine]
+                    closest[mine[better]], partner[mine[better]] = share[better], other[better]
+            elif len(a):
+                found.append(np.stack((node[a], node[b]), axis=1))
+            step += 1
+        if nearest:
+            mine = np.flatnonzero(partner >= 0)
+            found.append(np.stack((node[mine], node[partner[mine]]), axis=1))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, held = ["token", "one", "two", "block", "n", "place", "node", "kind"], None
+        names, held = [*heads, "block", "n", "place", "node", "kind", "profile"], None
         for batch in batches:
-            own = {name: batch[name].to_numpy() for name in names}
+            if not len(batch):
+                continue
+            own = {name: batch[name].to_numpy() for name in names[:-1]}
+            own["profile"] = np.frombuffer(b"".join(batch["profile"]), np.uint8).reshape(-1, BINS)
             if held is not None:
                 own = {name: np.concatenate((held[name], own[name])) for name in names}
             # The last list may go on in the next batch; a block pair holds at most a few thousand rows.
             same = np.ones(len(own["n"]), bool)
-            for name in ("token", "one", "two"):
+            for name in heads:
                 same &= own[name] == own[name][-1]
             cut = len(same) - int(same[::-1].cumprod().sum())
             if cut:
@@ -188,15 +231,15 @@ def _list_pairs(percent: int, star: bool):
     return run
 
 
-def _candidates(shared: DataFrame, percent: int, star: bool) -> DataFrame:
+def _candidates(shared: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Distinct candidate pairs of nodes from the shared lists, which are dealt out in bounded blocks."""
     blocks = F.ceil(F.col("listed") / LIST_BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = shared.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("one", F.least("block", "_other")).withColumn("two", F.greatest("block", "_other"))
-    rows = rows.select("token", "one", "two", "block", "n", "place", "node", "kind")
+    rows = rows.select("token", "one", "two", "block", "n", "place", "node", "kind", "profile")
     rows = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "place", "node")
-    return rows.mapInPandas(_list_pairs(percent, star), "a bigint, b bigint").distinct()
+    return rows.mapInPandas(_list_pairs(percent, nearest), "a bigint, b bigint").distinct()
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,17 +249,6 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b", "n_a", "n_b"]].assign(common=np.array(common, np.int64))
 
 
-def _bounded(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                one, two = (np.frombuffer(b"".join(batch[name]), "<u4").reshape(-1, BINS) for name in ("profile_a", "profile_b"))
-                most = np.minimum(one, two).sum(axis=1)
-                yield batch[["a", "b", "n_a", "n_b", "row_a", "row_b"]][most >= least_overlap(batch["n_a"], batch["n_b"], percent)]
-
-    return run
-
-
 class Join:
     """One join: nodes with their sets written to the shared folder, and the steps on pairs of nodes."""
 
@@ -228,8 +260,7 @@ class Join:
         # The numbers of rows and nodes hold because the tables are written before they are used.
         self.sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
         filled = self.sets.filter("n > 0")
-        counts = summed_vector(filled.select("set").mapInPandas(_frequencies, "slice int, values binary"), 1 << SKETCH_BITS)
-        counters = docs.sparkSession.sparkContext.broadcast(counts)
+        counters = docs.sparkSession.sparkContext.broadcast(_sketch(filled))
         prefixes = filled.select("row", "n", "s1", "s2", "set").mapInPandas(
             _prefixes(counters, percent), "row bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
         nodes = prefixes.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
@@ -245,16 +276,15 @@ class Join:
         near = F.lag("node").over(in_list).isNotNull() | F.lead("node").over(in_list).isNotNull()
         kept = staged(entries.withColumn("_shared", near).filter("_shared").drop("_shared"), "entries")
         lists = kept.groupBy("token").agg(F.count("*").alias("listed"))
-        return staged(kept.join(lists, "token").select("token", "node", "n", "place", "listed"), "lists")
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with sizes and rows, without those whose profiles rule out a link."""
-        def side(name: str) -> DataFrame:
-            return self.nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("row").alias(f"row_{name}"),
-                                     F.col("profile").alias(f"profile_{name}"))
+        rows = kept.join(lists, "token").join(self.nodes.select("node", "profile"), "node")
+        return staged(rows.select("token", "node", "n", "place", "listed", "profile"), "lists")
 
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(
-            _bounded(self.percent), "a bigint, b bigint, n_a int, n_b int, row_a bigint, row_b bigint")
+    def sized(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the sizes and row numbers of their sets."""
+        for name in ("a", "b"):
+            side = self.nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("row").alias(f"row_{name}"))
+            pairs = pairs.join(side, name)
+        return pairs
 
     def overlaps(self, near: DataFrame) -> DataFrame:
         """Exact overlaps: (a, b, n_a, n_b, common).
@@ -309,13 +339,13 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
     join = Join(docs, words_each, percent, key, text)
     shared = join.shared_lists()
     alone = F.col("node").alias("kind")
-    first = staged(join.linked(join.overlaps(join.near(_candidates(shared.select("*", alone), percent, True)))), "links")
+    first = staged(join.linked(join.overlaps(join.sized(_candidates(shared.select("*", alone), percent, True)))), "links")
     roots = staged(components(first), "roots")
 
     # Lists whose members are not all of one class go into the second round.
     placed = shared.join(roots, "node", "left").withColumn("kind", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("token").agg(F.min("kind").alias("_low"), F.max("kind").alias("_high")).filter("_low <> _high").select("token")
-    near = staged(join.near(_candidates(placed.join(mixed, "token", "left_semi"), percent, False)), "between")
+    near = staged(join.sized(_candidates(placed.join(mixed, "token", "left_semi"), percent, False)), "between")
     second = staged(_between_classes(join, near, first, roots), "links")
 
     found = components(first.select("a", "b").union(second.select("a", "b")))
@@ -352,14 +382,13 @@ def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80, key: st
     members = _members(docs, words_each, percent, key, text).filter("_class is not null")
     rank = F.struct(F.col("key").isNull(), F.col("key"), F.col("digest"))
     chosen = members.groupBy("_class").agg(F.min_by(F.struct("key", "digest"), rank).alias("_row")).select("_row.*")
-    chosen = chosen.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.lit(True).alias("_chosen"))
-    # A row without shingles is never chosen; it stays because no row of the members names it.
-    filled = F.coalesce(F.trim(F.translate(F.col(text), "\t\n\u000b\f\r", "     ")), F.lit("")) != ""
-    rows = docs.withColumn("_own", F.unhex(F.md5(F.col(text).cast("binary"))))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_digest"))
-    kept = rows.filter(filled).join(chosen, same, "left_semi")
-    once = kept.withColumn("_times", F.row_number().over(W.partitionBy(key, "_own").orderBy(key))).filter("_times = 1")
-    return once.select(docs.columns).unionByName(docs.filter(~filled))
+    chosen = chosen.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"))
+    rows = docs.select(as_row(docs), F.col(key).alias("_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_own"),
+                       (F.coalesce(F.trim(F.translate(F.col(text), "\t\n\u000b\f\r", "     ")), F.lit("")) != "").alias("_filled"))
+    kept = rows.filter("_filled").join(chosen, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    # Copies of the chosen row itself, equal in key and text, are numbered where the join has put them.
+    once = kept.withColumn("_times", F.row_number().over(W.partitionBy("_id", "_own").orderBy("_id"))).filter("_times = 1")
+    return once.select("_row.*").union(rows.filter("not _filled").select("_row.*"))
 
 
 def _between_classes(join: Join, near: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
@@ -377,11 +406,8 @@ def _between_classes(join: Join, near: DataFrame, first: DataFrame, roots: DataF
                            "extra": F.coalesce("ea", F.lit(0)) + F.coalesce("eb", F.lit(0))})
     led = staged(led.select(*near.columns, F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"), "extra"), "led")
     # One comparison of two leaders serves all pairs of their followers.
-    of_node = join.nodes.select("node", "n", "row")
     leaders = led.filter("extra > 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    leaders = leaders.join(of_node.withColumnsRenamed({"node": "a", "n": "n_a", "row": "row_a"}), "a")
-    leaders = leaders.join(of_node.withColumnsRenamed({"node": "b", "n": "n_b", "row": "row_b"}), "b")
-    known = join.overlaps(leaders).select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
+    known = join.overlaps(join.sized(leaders)).select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
     needed = F.ceil(join.percent * (F.col("n_a") + F.col("n_b")) / (100 + join.percent))
     possible = F.col("common").isNull() | (F.col("common") + F.col("extra") >= needed)
     return join.linked(join.overlaps(led.join(known, ["x", "y"], "left").filter(possible).select(*near.columns)))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import summed_vector, vector_rows
+from merchlake.llm.common import as_row, summed_vector, vector_rows
 
 LEXICON = 50_000  # words of the unigram model, the most frequent ones
 LONGEST_WORD = 20
@@ -154,8 +154,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     are replaced; an empty table gives no row.
     """
     spark = pages.sparkSession
-    rows = pages.drop(*[name for name in ("host", "path", "rule", "log_odds", "verdict") if name not in (url, text)])
-    rows = rows.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    rows = pages.select(as_row(pages, ("host", "path", "rule", "log_odds", "verdict")), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
     model = fit(rows.filter("verdict is not null"), pages, text)
@@ -170,4 +169,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
 
     scored = rows.withColumn("log_odds", log_odds("host", "path"))
     by_model = F.when(F.col("log_odds") >= 0, F.lit("allow")).otherwise(F.lit("block"))
-    return scored.withColumn("verdict", F.coalesce("verdict", by_model))
+    return scored.select("_row.*", "host", "path", "rule", "log_odds", F.coalesce("verdict", by_model).alias("verdict"))
