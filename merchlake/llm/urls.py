@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import as_row, summed_vector, vector_rows
+from merchlake.llm.common import as_row, staged, summed_vector, vector_rows
 
 LEXICON = 50_000  # words of the unigram model, the most frequent ones
 LONGEST_WORD = 20
@@ -64,6 +64,21 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     return words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("count"))
 
 
+def _most_frequent(counts: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` words of the highest counts, ties by word.
+
+    A histogram of the counts' logarithms, of fixed length, tells how frequent a word must be at least;
+    only such words are sorted.
+    """
+    step = F.floor(F.log2("count") * 16).cast("int")
+    least, words = 0, 0
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        least, words = row["step"], words + row["n"]
+        if words >= bound:
+            break
+    return counts.filter(step >= least).orderBy(F.desc("count"), "word").limit(bound)
+
+
 class Segmenter(dict):
     """Words of a name written together: the split of highest unigram probability.
 
@@ -121,9 +136,9 @@ def fit(decided: DataFrame, texts: DataFrame, column: str) -> Model:
     With one class alone, or none, no token speaks for either side.
     """
     spark = decided.sparkSession
-    counts = word_counts(texts, column)
+    counts = staged(word_counts(texts, column), "words")
     total = counts.agg(F.sum("count")).first()[0] or 0
-    lexicon = counts.orderBy(F.desc("count"), "word").limit(LEXICON).toPandas()
+    lexicon = _most_frequent(counts, LEXICON).toPandas()
     logs = {word: math.log(count / total) for word, count in zip(lexicon["word"], lexicon["count"].tolist())}
     shared = spark.sparkContext.broadcast((logs, float(total)))
 
