@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def hmac_sha512(body: Column, secret: str) -> Column:
     """HMAC-SHA-512 of a text column in lower-case hex (RFC 2104, over the built-in ``sha2``)."""
     key = secret.encode("utf-8")
     if len(key) > _SHA512_BLOCK:
-        raise ValueError(f"the secret may have at most {_SHA512_BLOCK} bytes")
+        key = hashlib.sha512(key).digest()
     key = key.ljust(_SHA512_BLOCK, b"\0")
     inner_pad = F.lit(bytearray(b ^ 0x36 for b in key))
     outer_pad = F.lit(bytearray(b ^ 0x5C for b in key))

@@ -35,8 +35,5 @@ def toggle_blogs(shop: Shop, requests: DataFrame) -> Outcome:
         "status", F.when(odd, ~F.col("status")).otherwise(F.col("status"))
     ).select(shop.blogs.columns)
     known = shop.blogs.select(F.col("id").alias("_known"))
-    unknown = flips.join(known, F.col("_blog") == F.col("_known"), "left_anti")
-    return Outcome(
-        {"blogs": state},
-        unknown.select(F.col("_blog").alias("request_id"), F.lit("blog not found").alias("reason")),
-    )
+    unknown = requests.join(known, F.col("blog_id") == F.col("_known"), "left_anti")
+    return Outcome({"blogs": state}, rejected(unknown, "blog not found"))

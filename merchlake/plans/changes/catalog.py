@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlake.functions import first_reason, missing, missing_number, stable_id
 from merchlake.operators import first_request, last_given, reject_split, validate
-from merchlake.plans.changes.outcome import Outcome, rejected
+from merchlake.plans.changes.outcome import Outcome, per_request, rejected
 from merchlake.plans.quality import product_rules
 from merchlake.sources.shop import Shop
 from merchlake.sources.snapshots import with_defaults
@@ -98,7 +98,6 @@ def delete_categories(shop: Shop, requests: DataFrame) -> Outcome:
     categories = shop.categories.join(wanted, F.col("id") == F.col("_category"), "left_anti")
     gone = shop.categories.join(wanted, F.col("id") == F.col("_category"), "left_semi")
     known = gone.select(F.col("id").alias("_known"))
-    unknown = wanted.join(known, F.col("_category") == F.col("_known"), "left_anti")
     doomed = shop.products.join(known, F.col("category_id") == F.col("_known"), "left_semi")
     doomed_ids = doomed.select(F.col("id").alias("_doomed"))
     return Outcome(
@@ -107,7 +106,7 @@ def delete_categories(shop: Shop, requests: DataFrame) -> Outcome:
             "products": shop.products.join(known, F.col("category_id") == F.col("_known"), "left_anti"),
             "images": shop.images.join(doomed_ids, F.col("product_id") == F.col("_doomed"), "left_anti"),
         },
-        unknown.select(F.col("_category").alias("request_id"), F.lit("Category not found").alias("reason")),
+        per_request(requests, "category_id", known, "Category not found"),
         gone,
     )
 
@@ -115,16 +114,19 @@ def delete_categories(shop: Shop, requests: DataFrame) -> Outcome:
 def create_products(shop: Shop, requests: DataFrame, as_of: Time = None) -> Outcome:
     """New products from form text, with one image row per address given.
 
-    A price or stock that is no number falls back to the table's default.
+    A price or stock that is no finite number, or does not fit the column, falls back to the table's default.
     """
     valid, invalid = validate(requests, product_rules())
     product_id = stable_id(F.lit("product"), F.col("request_id"), key_type=shop.key_type("products", "id"))
     image_type = shop.key_type("images", "id")
+    price, stock = F.col("price").try_cast("double"), F.col("total_stock").try_cast("double")
+    creator = [F.col("user_id")] if "user_id" in valid.columns and "user_id" in shop.products.columns else []
     rows = valid.select(
+        *creator,
         F.col("product_name").alias("name"),
-        F.col("price").try_cast("double").alias("price"),
+        F.when(F.abs(price) < F.lit(float("inf")), price).alias("price"),
         "description", "category_id",
-        F.floor(F.col("total_stock").try_cast("double")).cast("int").alias("total_stock"),
+        F.when(F.abs(stock) < 2.0**31, F.floor(stock)).try_cast("int").alias("total_stock"),
         *[F.when(~missing(F.col(name)), F.col(name)).alias(name) for name in ("benefits", "ingredients", "howtouse")],
         "request_id",
     )
@@ -200,8 +202,7 @@ def delete_products(shop: Shop, requests: DataFrame) -> Outcome:
     """Remove products. Their orders and images stay."""
     wanted = requests.select(F.col("product_id").alias("_product")).distinct()
     ids = shop.products.select(F.col("id").alias("_known"))
-    unknown = wanted.join(ids, F.col("_product") == F.col("_known"), "left_anti")
     return Outcome(
         {"products": shop.products.join(wanted, F.col("id") == F.col("_product"), "left_anti")},
-        unknown.select(F.col("_product").alias("request_id"), F.lit("Product not found").alias("reason")),
+        per_request(requests, "product_id", ids, "Product not found"),
     )

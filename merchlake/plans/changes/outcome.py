@@ -14,6 +14,16 @@ class Outcome(NamedTuple):
     changed: DataFrame | None = None
 
 
+def per_request(requests: DataFrame, key: str, known: DataFrame, message: str) -> DataFrame:
+    """A reject for every request that finds nothing: an unknown key, or one that an earlier request removed.
+
+    ``known`` has the keys that exist, in ``_known``. Of the requests for such a key the first is served.
+    """
+    first = requests.groupBy(F.col(key).alias("_key")).agg(F.min("request_id").alias("_first"))
+    served = first.join(known, F.col("_key") == F.col("_known"), "left_semi").select("_first")
+    return rejected(requests.join(served, F.col("request_id") == F.col("_first"), "left_anti"), message)
+
+
 def rejected(requests: DataFrame, message: str | Column) -> DataFrame:
     reason = F.lit(message) if isinstance(message, str) else message
     return requests.select("request_id", reason.alias("reason"))

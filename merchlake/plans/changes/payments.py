@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions import first_reason, stable_id
-from merchlake.operators import first_request
 from merchlake.plans.changes.carts import clear_carts
 from merchlake.plans.quality import address_is_incomplete, line_is_complete
 from merchlake.sources.payments import parse_payment_events, payment_lines, signature_is_valid
@@ -32,54 +31,67 @@ def signed_payments(events: DataFrame, secret: str, key_type: str) -> DataFrame:
     return parse_payment_events(events.select("event_id", "body", verdict.alias("signature_ok")), key_type)
 
 
+def _paid(parsed: DataFrame):
+    """Genuine, successful, and with a reference that fits the shop's keys."""
+    return F.col("signature_ok") & F.col("payment_status").eqNullSafe("success") & F.col("reference").isNotNull()
+
+
 def valid_payments(parsed: DataFrame) -> DataFrame:
-    """The first sending of each reference among the genuine, successful payments."""
-    good = parsed.filter(F.col("signature_ok") & F.col("payment_status").eqNullSafe("success"))
-    return first_request(good, "reference", request_id="event_id")
+    """The first sending of each reference among the genuine, successful payments, by one grouping."""
+    fields = [name for name in parsed.columns if name not in ("reference", "lines")]
+    first = F.min_by(F.struct(*fields), F.col("event_id")).alias("_first")
+    return parsed.filter(_paid(parsed)).groupBy("reference").agg(first).select("reference", "_first.*")
 
 
 def judge_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Parsed events with ``is_new`` and, where they are refused, a ``reason``.
 
-    A reference that already has orders is passed over, as is the repeated sending of an event, so
-    the same events can be applied any number of times. ``stored`` are the references with orders;
-    by default those of ``shop.order_lines``.
+    Every event is judged for itself; of the acceptable ones of a reference the first counts. A bad
+    sending before it is refused and does not stand in its way. What comes after it, or for a
+    reference that already has orders, is passed over, so the same events can be applied any number
+    of times, in one batch or in many. ``stored`` are the references with orders; by default those of
+    ``shop.order_lines``.
 
     The events are read several times here, so write the result of :func:`signed_payments` to the
     shared folder first (``write_snapshot``): the passes then read columns instead of JSON.
     """
     if stored is None:
         stored = shop.order_lines.select("reference")
-    booked = stored.select(F.col("reference").alias("_booked"))
-    good = parsed.filter(F.col("signature_ok") & F.col("payment_status").eqNullSafe("success"))
-    # Reduced to one narrow row per reference before the stored orders are asked.
-    firsts = good.groupBy("reference").agg(F.min("event_id").alias("_first"))
-    fresh = firsts.join(booked, F.col("reference") == F.col("_booked"), "left_anti").select("_first")
+    asked = parsed.filter(_paid(parsed)).select(F.col("reference").alias("_asked")).distinct()
+    booked = asked.join(stored.select(F.col("reference").alias("_stored")), F.col("_asked") == F.col("_stored"), "left_semi")
+    booked = booked.select(F.col("_asked").alias("_booked"))
     users = shop.users.select(F.col("id").alias("_user"), F.col("name").alias("customer_name"))
-    judged = (
+    fault = first_reason(
+        (~F.col("has_products"), "Invalid payment metadata"),
+        (F.col("lines").isNull(), "Invalid product descriptions"),
+        (
+            address_is_incomplete(),
+            "Delivery address details are incomplete. Please provide complete address information.",
+        ),
+        (F.col("_user").isNull(), "User not found"),
+        (F.size("lines") == 0, "No valid orders were created"),
+    )
+    events = (
         parsed.withColumn("lines", F.filter("lines", line_is_complete))
-        .join(fresh, F.col("event_id") == F.col("_first"), "left")
+        .join(booked, F.col("reference") == F.col("_booked"), "left")
         .join(users, F.col("user_id") == F.col("_user"), "left")
+        .withColumns({"_fault": fault, "_open": _paid(parsed) & F.col("_booked").isNull()})
     )
-    is_new = F.col("_first").isNotNull()
+    acceptable = F.col("_open") & F.col("_fault").isNull()
+    firsts = events.filter(acceptable).groupBy(F.col("reference").alias("_reference")).agg(F.min("event_id").alias("_first"))
+    judged = events.join(firsts, F.col("reference") == F.col("_reference"), "left")
+    is_new = acceptable & F.col("event_id").eqNullSafe(F.col("_first"))
     failure = F.concat(F.lit("Payment verification failed: "), F.coalesce("gateway_response", F.lit("Unknown error")))
     unpaid = ~F.col("payment_status").eqNullSafe("success")
+    before = F.col("_first").isNull() | (F.col("event_id") < F.col("_first"))
     reason = F.coalesce(
         F.when(~F.col("signature_ok"), "Invalid signature"),
         F.when(unpaid, failure),
+        F.when(F.col("reference").isNull(), "Invalid payment reference"),
         # Everything else passed over is a repeat: neither new nor refused.
-        F.when(is_new, first_reason(
-            (~F.col("has_products"), "Invalid payment metadata"),
-            (F.col("lines").isNull(), "Invalid product descriptions"),
-            (
-                address_is_incomplete(),
-                "Delivery address details are incomplete. Please provide complete address information.",
-            ),
-            (F.col("_user").isNull(), "User not found"),
-            (F.size("lines") == 0, "No valid orders were created"),
-        )),
+        F.when(F.col("_open") & before, F.col("_fault")),
     )
-    return judged.withColumns({"is_new": is_new, "reason": reason}).drop("_first", "_user")
+    return judged.withColumns({"is_new": is_new, "reason": reason}).drop("_first", "_user", "_booked", "_fault", "_open", "_reference")
 
 
 def split_payments(judged: DataFrame) -> Payments:
@@ -121,9 +133,11 @@ def decrement_stock(products: DataFrame, lines: DataFrame) -> DataFrame:
     Quantities are summed per product first: a product in very many lines is one row in the join.
     """
     taken = lines.groupBy(F.col("product_id").alias("_product")).agg(F.sum("quantity").alias("_taken"))
-    left = F.col("total_stock") - F.coalesce("_taken", F.lit(0).cast("long"))
+    kind = products.schema["total_stock"].dataType
+    left = F.col("total_stock").cast("long") - F.coalesce("_taken", F.lit(0).cast("long"))
     joined = products.join(taken, F.col("id") == F.col("_product"), "left")
-    return joined.withColumn("total_stock", left).withColumn("oversold", F.col("total_stock") < 0).select(
+    # The stored type stays; an amount beyond it is left as null and stands out, since stock is never null.
+    return joined.withColumn("total_stock", left.try_cast(kind)).withColumn("oversold", F.coalesce(F.col("total_stock") < 0, F.lit(True))).select(
         *products.columns, "oversold"
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlake.functions import hmac_sha512, to_minor
@@ -86,12 +86,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = (
-        _read(spark, folder, "lineitem")
-        .filter(F.col("l_suppkey") % 10 == 0)
-        .select("l_partkey", "l_suppkey")
-        .distinct()
-    )
+    pairs = _read(spark, folder, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return pairs.select(
         F.concat(F.lit("i"), _text("l_partkey"), F.lit("-"), _text("l_suppkey")).alias("id"),
         F.col("l_partkey").alias("product_id"),
@@ -189,7 +184,7 @@ def blogs(spark: SparkSession, folder: str) -> DataFrame:
     created = start + F.make_interval(mins=F.col("doc_id").cast("int"))
     return _read(spark, folder, "documents").select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("title"),
         F.col("source").alias("cover_image"),
         F.col("text").alias("text_content"),
         (F.col("doc_id") % 2 == 0).alias("status"),
@@ -284,9 +279,12 @@ def category_updates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def category_deletes(spark: SparkSession, folder: str) -> DataFrame:
-    """All inactive categories, and region names, which are no category."""
+    """All inactive categories, each twice, and region names, which are no category."""
     known = categories(spark, folder).filter(~F.col("status")).select(F.col("id").alias("category_id"))
-    return known.union(_read(spark, folder, "region").select("r_name"))
+    asked = known.union(known).union(_read(spark, folder, "region").select("r_name"))
+    # Numbered by content; the order among equal requests does not matter.
+    order = Window.partitionBy("category_id").orderBy("category_id")
+    return asked.select(F.concat_ws("#", "category_id", F.row_number().over(order)).alias("request_id"), "category_id")
 
 
 def product_requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -340,9 +338,15 @@ def product_replacements(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def product_deletes(spark: SparkSession, folder: str) -> DataFrame:
-    """All inactive products, and suppliers' keys moved out of range, which are no product."""
+    """All inactive products, some twice, and suppliers' keys moved out of range, which are no product, twice."""
     known = products(spark, folder).filter(~F.col("status")).select(F.col("id").alias("product_id"))
-    return known.union(_read(spark, folder, "supplier").select(F.col("s_suppkey") + UNKNOWN))
+    again = known.filter(F.col("product_id") % 20 == 0)
+    unknown = _read(spark, folder, "supplier").select((F.col("s_suppkey") + UNKNOWN).alias("product_id"))
+
+    def sent(rows: DataFrame, time: int) -> DataFrame:
+        return rows.select((F.col("product_id") * 2 + time).alias("request_id"), "product_id")
+
+    return sent(known, 0).union(sent(again, 1)).union(sent(unknown, 0)).union(sent(unknown, 1))
 
 
 def cart_adds(spark: SparkSession, folder: str) -> DataFrame:
@@ -371,12 +375,16 @@ def cart_quantities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cart_removals(spark: SparkSession, folder: str) -> DataFrame:
-    """A removal per view or purchase event; most name no cart row, some another user's."""
+    """A removal per event: most name no cart row, some another user's, some nothing, some an unknown row."""
+    kind = F.col("event_type")
     cart_id = F.concat(F.lit("c"), _text("user_id"), F.lit("-"), _text("product_id"))
-    return cart_log(spark, folder).filter(F.col("event_type").isin("view", "purchase")).select(
+    return cart_log(spark, folder).select(
         F.col("event_id").alias("request_id"),
-        F.when(F.col("event_type") == "purchase", F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
-        cart_id.alias("cart_id"),
+        F.when(kind == "purchase", F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(kind == "signup", F.lit(None)).when(kind == "error", F.lit("no such row"))
+        # Of those who click, every fourth takes the product back.
+        .when((kind == "click") & (F.col("event_id") % 4 != 0), F.lit(""))
+        .otherwise(cart_id).alias("cart_id"),
     )
 
 
@@ -416,14 +424,15 @@ def address_updates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def address_deletes(spark: SparkSession, folder: str) -> DataFrame:
-    """A removal per sign-up, error or purchase event, of the own first, second or a neighbour's address."""
+    """A removal per event: of the own first or second address, a neighbour's, an unknown one, or none."""
     kind, user = F.col("event_type"), F.col("user_id")
     address_id = (
         F.when(kind == "signup", F.concat(F.lit("a"), user.cast("string")))
         .when(kind == "error", F.concat(F.lit("b"), user.cast("string")))
-        .otherwise(F.concat(F.lit("a"), (user + 1).cast("string")))
+        .when(kind == "purchase", F.concat(F.lit("a"), (user + 1).cast("string")))
+        .when(kind == "view", F.concat(F.lit("z"), user.cast("string")))
     )
-    return _read(spark, folder, "events").filter(kind.isin("signup", "error", "purchase")).select(
+    return _read(spark, folder, "events").select(
         F.col("event_id").alias("request_id"), "user_id", address_id.alias("address_id")
     )
 
@@ -438,7 +447,8 @@ def order_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payment_events(spark: SparkSession, folder: str) -> DataFrame:
-    """One signed event per checkout; some are sent twice, forged, unpaid or incomplete."""
+    """Signed events of each checkout. Every seventh is sent twice: alike, or first without address, with an
+    unknown user or failed, and then right. Some are forged, unpaid or incomplete, some references are no key."""
     shop = bind(spark, folder)
     reference, user, product = F.col("reference"), F.col("user_id"), F.col("product_id")
     camel = reference % 2 == 0
@@ -456,9 +466,12 @@ def payment_events(spark: SparkSession, folder: str) -> DataFrame:
         F.sort_array(F.collect_list(line)).alias("lines"), F.sum("amount").alias("total")
     )
     homes = shop.customers.filter("is_default_address").select("user_id", "address", "city", "state", "country")
-    paid = F.col("status") == "success"
+    first = F.col("sending") == 1
+    paid = (F.col("status") == "success") & ~((reference % 49 == 0) & first)
+    name_of = F.when(reference % 23 == 0, F.concat(F.lit("no-key-"), reference.cast("string"))).otherwise(reference.cast("string"))
+    no_user, no_country = (user % 19 == 0) | ((reference % 35 == 0) & first), (user % 17 == 0) | ((reference % 21 == 0) & first)
     body = F.struct(F.struct(
-        reference.cast("string").alias("reference"),
+        name_of.alias("reference"),
         F.when(paid, "success").otherwise("failed").alias("status"),
         F.when(paid, "Approved").when(F.col("status") == "declined", "Declined").alias("gateway_response"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("paid_at"),
@@ -470,29 +483,26 @@ def payment_events(spark: SparkSession, folder: str) -> DataFrame:
             F.lpad((reference % 10000).cast("string"), 4, "0").alias("last4"),
         ).alias("authorization"),
         F.struct(
-            F.when(user % 19 == 0, user + UNKNOWN).otherwise(user).cast("string").alias("userId"),
+            F.when(no_user, user + UNKNOWN).otherwise(user).cast("string").alias("userId"),
             F.struct(
                 F.col("lines").alias("productDescriptions"),
                 F.struct(
                     "address", "city", "state",
-                    F.when(user % 17 != 0, F.col("country")).alias("country"),
+                    F.when(~no_country, F.col("country")).alias("country"),
                 ).alias("deliveryDetails"),
             ).alias("products"),
         ).alias("metadata"),
     ).alias("data"))
-    bodies = checkouts.join(homes, "user_id").select(
-        reference, F.col("created_at").alias("sent_at"), F.to_json(body).alias("body")
+    sendings = F.when(reference % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    sent = checkouts.join(homes, "user_id").withColumn("sending", F.explode(sendings))
+    bodies = sent.select(
+        reference, "sending", F.col("created_at").alias("sent_at"), F.to_json(body).alias("body")
     )
     signature = hmac_sha512(F.col("body"), TEST_SECRET)
     forged = F.when(reference % 11 == 0, F.concat(F.lit("x"), F.substring(signature, 2, 127)))
-    sendings = F.when(reference % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return bodies.select(
-        "sent_at", "body",
-        F.coalesce(forged, signature).alias("signature"),
-        F.explode(sendings).alias("sending"),
-        "reference",
-    ).select(
-        F.concat_ws("#", "reference", "sending").alias("event_id"), "sent_at", "signature", "body"
+        F.concat_ws("#", "reference", "sending").alias("event_id"), "sent_at",
+        F.coalesce(forged, signature).alias("signature"), "body"
     )
 
 
@@ -535,4 +545,6 @@ def blog_toggles(spark: SparkSession, folder: str) -> DataFrame:
     targets = F.array_compact(F.array(
         doc, F.when(F.col("toxic") == 1, doc), F.when(F.col("quality") == 1, doc + UNKNOWN)
     ))
-    return labels.select(F.explode(targets).alias("blog_id"))
+    return labels.select("doc_id", F.posexplode(targets).alias("_n", "blog_id")).select(
+        (F.col("doc_id") * 3 + F.col("_n")).alias("request_id"), "blog_id"
+    )

@@ -76,7 +76,9 @@ def dedup_payments(feed: DataFrame, stored: DataFrame, secret: str, key_type: st
     """
     columns = ["reference", "payment_status", "amount_minor", "customer_email"]
     # Only these columns go through the shuffle and the state.
-    parsed = signed_payments(feed, secret, key_type).filter("signature_ok").select(columns)
+    # A failed attempt must not stand in the way of the payment that follows it.
+    paid = F.col("signature_ok") & F.col("payment_status").eqNullSafe("success") & F.col("reference").isNotNull()
+    parsed = signed_payments(feed, secret, key_type).filter(paid).select(columns)
     timed = parsed.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", remember)
     once = timed.dropDuplicatesWithinWatermark(["reference"])
 

@@ -49,7 +49,7 @@ BASE: dict[str, str] = {
     "shop_images": """
         select distinct 'i' || l_partkey || '-' || l_suppkey as id, l_partkey as product_id,
             'img/' || l_partkey || '/' || l_suppkey as image_url
-        from lineitem where l_suppkey % 10 = 0""",
+        from lineitem""",
     "shop_lines": """
         select l_orderkey || '-' || l_partkey as id, l_orderkey as reference, l_partkey as product_id,
             'Part#' || l_partkey as product_name, 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') as customer_name,
@@ -81,7 +81,7 @@ BASE: dict[str, str] = {
         from orders join shop_customers a on a.user_id = o_custkey and a.is_default_address
         where o_orderstatus = 'F'""",
     "shop_blogs": """
-        select doc_id as id, substr(text, 1, 40) as title, source as cover_image, text as text_content,
+        select doc_id as id, source || ' ' || lang || ' ' || doc_id as title, source as cover_image, text as text_content,
             doc_id % 2 = 0 as status, timestamp '2024-01-01' + to_minutes(cast(doc_id as int)) as created_at
         from documents""",
     "cart_log": """
@@ -106,17 +106,24 @@ BASE: dict[str, str] = {
     "events_sent": """
         select reference || '#' || n as event_id, n, c.*
         from checkouts c, (values (1), (2)) sendings(n) where n = 1 or reference % 7 = 0""",
+    # What is wrong with an event that is genuine, paid and new.
+    "faulty_events": """
+        select *, n = 1 and reference % 49 = 0 as failed_first, case
+            when user_id % 17 = 0 or (n = 1 and reference % 21 = 0) then
+                'Delivery address details are incomplete. Please provide complete address information.'
+            when user_id % 19 = 0 or (n = 1 and reference % 35 = 0) then 'User not found'
+            when complete_lines = 0 then 'No valid orders were created' end as fault
+        from events_sent""",
     "judged_events": """
         select *, case
             when reference % 11 = 0 then 'Invalid signature'
             when status = 'declined' then 'Payment verification failed: Declined'
-            when status <> 'success' then 'Payment verification failed: Unknown error'
-            when n = 2 or created_at < timestamp '1998-01-01' then 'passed over'
-            when user_id % 17 = 0 then
-                'Delivery address details are incomplete. Please provide complete address information.'
-            when user_id % 19 = 0 then 'User not found'
-            when complete_lines = 0 then 'No valid orders were created' end as reason
-        from events_sent""",
+            when status <> 'success' or failed_first then 'Payment verification failed: Unknown error'
+            when reference % 23 = 0 then 'Invalid payment reference'
+            when created_at < timestamp '1998-01-01' or n > first_good then 'passed over'
+            else fault end as reason
+        from (select *, min(case when fault is null and not failed_first then n end) over (partition by reference) as first_good
+            from faulty_events)""",
     "accepted": "select * from judged_events where reason is null",
     "new_orders": """
         select l.* from shop_lines l where product_id % 13 <> 0 and reference in (select reference from accepted)""",
@@ -175,8 +182,9 @@ BASE: dict[str, str] = {
         left join shop_products p on p.id = c.product_id""",
     "removal_requests": """
         select event_id as request_id, case when event_type = 'purchase' then user_id + 1 else user_id end as user_id,
-            'c' || user_id || '-' || product_id as cart_id
-        from cart_log where event_type in ('view', 'purchase')""",
+            case when event_type = 'signup' then null when event_type = 'error' then 'no such row'
+                when event_type = 'click' and event_id % 4 <> 0 then '' else 'c' || user_id || '-' || product_id end as cart_id
+        from cart_log""",
     "address_forms": f"""
         select event_id as request_id, ts, case when event_type = 'signup' then user_id + {UNKNOWN} else user_id end as user_id,
             'Road ' || event_id as address, 'City ' || user_id as city, event_type as state, 'Home' as country,
@@ -193,9 +201,9 @@ BASE: dict[str, str] = {
             when c.id is null then 'Address not found' end as reason
         from address_changes r left join shop_customers c on c.id = r.address_id and c.user_id = r.user_id""",
     "address_removals": """
-        select event_id as request_id, user_id, case event_type when 'signup' then 'a' || user_id
-            when 'error' then 'b' || user_id else 'a' || (user_id + 1) end as address_id
-        from events where event_type in ('signup', 'error', 'purchase')""",
+        select event_id as request_id, user_id, case event_type when 'signup' then 'a' || user_id when 'error' then 'b' || user_id
+            when 'purchase' then 'a' || (user_id + 1) when 'view' then 'z' || user_id end as address_id
+        from events""",
     # The n-th distinct own address a user asks to remove goes while another one is left.
     "removal_steps": """
         select request_id, address_id, user_id, tries,

@@ -123,7 +123,8 @@ BODIES: dict[str, str] = {
         state("products", "id", value("category_id"), "from shop_products where category_id not in (select id from shop_categories where not status)"),
         state("images", "id", value("product_id"), """from shop_images where product_id in (select id from shop_products
             where category_id not in (select id from shop_categories where not status))"""),
-        "select 'rejected', 'Category not found', cast(count(*) as varchar) from region",
+        """select 'rejected', 'Category not found', cast((select count(*) from region)
+            + (select count(*) from shop_categories where not status) as varchar)""",
     ),
     "ch_product_create": joined(
         state("products", "id", value(*PRODUCT, stamp("created_at")), "from shop_products"),
@@ -162,7 +163,8 @@ BODIES: dict[str, str] = {
     ),
     "ch_product_delete": joined(
         state("products", "id", value("name"), "from shop_products where status"),
-        "select 'rejected', 'Product not found', cast(count(*) as varchar) from supplier",
+        """select 'rejected', 'Product not found', cast(2 * (select count(*) from supplier)
+            + (select count(*) from shop_products where not status and id % 20 = 0) as varchar)""",
     ),
     "ch_cart_apply": f"""with last_add as (
             select * from (select *, row_number() over (partition by user_id, product_id order by request_id desc) as place
@@ -224,18 +226,18 @@ BODIES: dict[str, str] = {
     "ch_blog_toggle": joined(
         state("blogs", "id", value(f"case when (select count(*) from {TOGGLES} t where t.blog_id = b.id) % 2 = 1 then not status else status end"),
               "from shop_blogs b"),
-        f"select 'rejected', 'blog not found', cast(count(distinct blog_id) as varchar) from {TOGGLES} where blog_id not in (select id from shop_blogs)",
+        f"select 'rejected', 'blog not found', cast(count(*) as varchar) from {TOGGLES} where blog_id not in (select id from shop_blogs)",
     ),
     "ch_orders_from_payment": joined(
         f"select 'order_lines' as section, cast(reference as varchar) as key, {value('product_id', 'product_name', 'customer_name', 'cast(amount as decimal(18,2))', 'user_id', 'quantity', 'status', 'created_at')} as value from ({ORDER})",
         rejects("judged_events", "reason is not null and reason <> 'passed over'"),
     ),
     "ch_stock_decrement": """
-        select p.id, cast(p.total_stock - coalesce(s.q, 0) as bigint) as total_stock, p.total_stock < coalesce(s.q, 0) as oversold
+        select p.id, cast(p.total_stock - coalesce(s.q, 0) as int) as total_stock, p.total_stock < coalesce(s.q, 0) as oversold
         from shop_products p left join (select product_id, sum(quantity) as q from paid group by 1) s on s.product_id = p.id""",
     "ch_cart_clear": f"""
         select id, user_id, product_id, quantity, {stamp('created_at')} as created_at from shop_carts
-        where user_id not in (select user_id from paid where created_at >= timestamp '2001-02-01')""",
+        where user_id not in (select user_id from shop_lines where status = 'declined')""",
     "ch_delivery_create": f"""
         select a.reference as order_id, c.address, c.city, c.state, c.country, cast(0 as double) as delivery_fee,
             'pending' as status, {stamp('a.created_at')} as created_at
@@ -269,7 +271,7 @@ BODIES: dict[str, str] = {
         select e.event_id, l.product_id, case when l.product_id % 13 = 0 then 'productName is missing' else '' end as errors
         from events_sent e join shop_lines l on l.reference = e.reference""",
     "dq_delivery_address": """
-        select event_id, case when user_id % 17 = 0 then
+        select event_id, case when user_id % 17 = 0 or (n = 1 and reference % 21 = 0) then
             'Delivery address details are incomplete. Please provide complete address information.' else '' end as errors
         from events_sent""",
     "dq_orphans": """
@@ -287,9 +289,9 @@ BODIES: dict[str, str] = {
         from (select email from shop_users union all select email from signups where email is not null) group by email having count(*) > 1""",
     "st_payment_ingest": ORDER,
     "st_payment_dedup": """
-        select reference, case when status = 'success' then 'success' else 'failed' end as payment_status,
+        select reference, 'success' as payment_status,
             cast(total * 100 as bigint) as amount_minor, 'payer.' || user_id || '@example.com' as customer_email
-        from checkouts where reference % 11 <> 0 and created_at >= timestamp '1998-01-01'""",
+        from checkouts where status = 'success' and reference % 11 <> 0 and reference % 23 <> 0 and created_at >= timestamp '1998-01-01'""",
     "st_cart_state": f"select user_id, product_id, quantity, {stamp('created_at')} as created_at from shop_carts",
     "st_daily_sales": """
         select cast(o_orderdate as date) as day, cast(sum(cast(l_extendedprice as decimal(12,2))) as double) as total

@@ -207,7 +207,7 @@ BODIES: dict[str, str] = {
             cast(k.total as double) as paid_amount, 'payer.' || k.user_id || '@example.com' as customer_email,
             'visa' as card_type, 'Test Bank' as bank, lpad(cast(b.reference % 10000 as varchar), 4, '0') as last4
         from ({BY_REFERENCE}) b join checkouts k on k.reference = b.reference
-        where k.status = 'success' and k.reference % 11 <> 0""",
+        where k.status = 'success' and k.reference % 11 <> 0 and k.reference % 23 <> 0""",
     "rp_json_order_quote": f"""
         select o.reference as order_key, p.id as product_id, p.name, p.description, p.price, o.quantity,
             cast({money('p.price')} * o.quantity as double) as product_total,

@@ -50,11 +50,13 @@ def test_categories_by_batch(spark):
 
 def test_category_delete_cascades_but_keeps_orders(spark):
     shop = small_shop(spark)
-    done = catalog.delete_categories(shop, spark.createDataFrame([("c1",), ("c9",)], "category_id string"))
+    done = catalog.delete_categories(shop, spark.createDataFrame(
+        [(1, "c1"), (2, "c9"), (3, "c1"), (4, "c9"), (5, None)], "request_id bigint, category_id string"))
     assert {r.id for r in done.state["categories"].collect()} == {"c2", "c3"}
     assert {r.id for r in done.state["products"].collect()} == {3, 4, 5}
     assert done.state["images"].count() == 0 and "order_lines" not in done.state
-    assert reasons(done) == {"c9": "Category not found"}
+    # Every request gets its answer: the second one for a category finds it gone.
+    assert reasons(done) == {at: "Category not found" for at in (2, 3, 4, 5)}
 
 
 def test_product_forms(spark):
@@ -90,9 +92,10 @@ def test_product_replacement_needs_all_fields_and_only_activates(spark):
 
 
 def test_product_delete_keeps_images_and_orders(spark):
-    done = catalog.delete_products(small_shop(spark), spark.createDataFrame([(1,), (8,)], "product_id bigint"))
+    done = catalog.delete_products(small_shop(spark), spark.createDataFrame(
+        [(1, 1), (2, 8), (3, 8), (4, 1)], "request_id bigint, product_id bigint"))
     assert {r.id for r in done.state["products"].collect()} == {2, 3, 4, 5} and set(done.state) == {"products"}
-    assert reasons(done) == {8: "Product not found"}
+    assert reasons(done) == {at: "Product not found" for at in (2, 3, 4)}
 
 
 def test_cart_adds_replace_quantities(spark):
@@ -266,5 +269,15 @@ def test_blog_flows(spark):
     made = blogs.create_blogs(shop, spark.createDataFrame([(1, "\tGood one\n", "c", "t"), (2, " a ", "", None)], kinds), NOW)
     assert [(r.title, r.status, r.likes) for r in made.changed.collect()] == [("Good one", True, 0)]
     assert reasons(made) == {2: "title  must be at least 3 characters long; coverImage is empty; textContent is required"}
-    odd = blogs.toggle_blogs(shop, spark.createDataFrame([(1,), (1,), (1,), (9,), (9,)], "blog_id bigint"))
-    assert odd.state["blogs"].first().status is False and reasons(odd) == {9: "blog not found"}
+    odd = blogs.toggle_blogs(shop, spark.createDataFrame(
+        [(1, 1), (2, 1), (3, 1), (4, 9), (5, 9)], "request_id bigint, blog_id bigint"))
+    assert odd.state["blogs"].first().status is False and reasons(odd) == {4: "blog not found", 5: "blog not found"}
+
+
+def test_odd_numbers_in_product_forms(spark):
+    kinds = "request_id bigint, product_name string, price string, description string, category_id string, total_stock string, howtouse string, benefits string, ingredients string, images array<string>"
+    odd = [("NaN", "99999999999"), ("Infinity", "-99999999999"), ("-Infinity", "NaN"), ("1e400", "Infinity"), ("2.5", "2147483647")]
+    rows = [(at, "gel", price, "d", "c1", stock, None, None, None, ["u"]) for at, (price, stock) in enumerate(odd)]
+    done = catalog.create_products(small_shop(spark), spark.createDataFrame(rows, kinds), NOW)
+    made = sorted((r.price, r.total_stock) for r in done.changed.collect())
+    assert made == [(0.0, 1)] * 4 + [(2.5, 2147483647)] and reasons(done) == {}

@@ -50,7 +50,7 @@ def judged(spark, shop, events=EVENTS):
 
 def test_signature_equals_hmac(spark):
     texts = ["", "a", "ünïcode ☃", "x" * 500]
-    for secret in ("k", "a longer secret " * 8):
+    for secret in ("k", "a longer secret " * 8, "longer than a block " * 20):
         df = spark.createDataFrame([(t,) for t in texts], "body string").select("body", hmac_sha512(F.col("body"), secret).alias("h"))
         assert {r.body: r.h for r in df.collect()} == {
             t: hmac.new(secret.encode(), t.encode(), hashlib.sha512).hexdigest() for t in texts}
@@ -119,3 +119,36 @@ def test_derived_events_are_signed_as_stated(spark):
 
 def test_frames_are_complete(spark):
     assert frame(spark, "users").count() == len(ROWS["users"])
+
+
+def sent(event_id, reference, status="success", city="C", user=1):
+    line = {"productId": "1", "productName": "soap", "productTotal": 5.0, "quantity": 2}
+    body = json.dumps({"data": {"reference": reference, "status": status, "paid_at": "2024-05-01T00:00:00Z", "metadata": {
+        "userId": str(user), "products": {"productDescriptions": [line], "deliveryDetails": {"address": "A", "city": city, "state": "S", "country": "K"}}}}})
+    return event_id, hmac.new(SECRET.encode(), body.encode(), hashlib.sha512).hexdigest(), body
+
+
+CORRECTED = [sent("e1", "70", city=None), sent("e2", "70"), sent("e3", "70", user=77), sent("e4", "71", status="failed"), sent("e5", "71"),
+             sent("e6", "no-key"), sent("e7", "other"), sent("e8", None), sent("e9", "72", user=77)]
+
+
+def test_a_corrected_payment_is_booked(spark):
+    done = judged(spark, small_shop(spark), CORRECTED)
+    assert {r.event_id for r in done.accepted.collect()} == {"e2", "e5"}
+    assert {r.request_id: r.reason for r in done.rejects.collect()} == {
+        "e1": "Delivery address details are incomplete. Please provide complete address information.",
+        "e4": "Payment verification failed: Unknown error", "e6": "Invalid payment reference", "e7": "Invalid payment reference",
+        "e8": "Invalid payment reference", "e9": "User not found"}
+
+
+def test_batch_borders_change_nothing(spark):
+    shop, accepted, rejects = small_shop(spark), set(), {}
+    for event in CORRECTED:
+        done = judged(spark, shop, [event])
+        accepted |= {r.event_id for r in done.accepted.collect()}
+        rejects |= {r.request_id: r.reason for r in done.rejects.collect()}
+        orders_now = spark.createDataFrame(payments.order_rows(shop, done.lines).collect(), shop.order_lines.schema)
+        shop = shop.replace(order_lines=shop.order_lines.unionByName(orders_now))
+    whole = judged(spark, small_shop(spark), CORRECTED)
+    assert accepted == {r.event_id for r in whole.accepted.collect()}
+    assert rejects == {r.request_id: r.reason for r in whole.rejects.collect()}
