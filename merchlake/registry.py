@@ -325,7 +325,14 @@ def _payment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     shop = _replayed(spark, sf_dir)
     feed = _event_files(spark, sf_dir, f"{base}/events")
     jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint")
-    return _flat(spark.read.parquet(f"{base}/out/order_lines").select(_ORDER))
+    out = {table: spark.read.parquet(f"{base}/out/{table}") for table in ("order_lines", "deliveries", "rejects")}
+    stock, carts_left = jobs.products_after(spark, shop, f"{base}/out"), jobs.carts_after(spark, shop, f"{base}/out")
+    parts = [
+        _state("order_lines", out["order_lines"], "reference", *_ORDER[1:]),
+        _state("deliveries", out["deliveries"], "order_id", "address", "city", "state", "country", "status"),
+        _state("products", stock, "id", "total_stock", "oversold"), _state("carts", carts_left, "id", "user_id", "product_id", "quantity"),
+    ]
+    return reduce(DataFrame.unionByName, [*parts, _rejects(out["rejects"])])
 
 
 @_query("st_payment_dedup")
@@ -336,7 +343,7 @@ def _payment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = shop.order_lines.select("reference")
     writer = jobs.dedup_payments(feed, stored, testdata.TEST_SECRET, "bigint", f"{base}/out")
     jobs.run_to_end(writer, f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out").drop("batch_id")
+    return spark.read.parquet(f"{base}/out").drop("stream", "batch_id")
 
 
 @_query("st_cart_state")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from merchlake.plans.changes import carts as cart_changes
-from merchlake.plans.changes.payments import apply_payments, judge_payments, signed_payments, split_payments
+from merchlake.plans.changes.payments import (
+    decrement_stock, delivery_rows, judge_payments, order_rows, signed_payments, split_payments,
+)
 from merchlake.sources.shop import Shop
 from merchlake.sources.snapshots import last_batch, publish, published
 
@@ -26,21 +28,29 @@ def payment_feed(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.json(folder)
 
 
-def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows written by the micro-batches before this one."""
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all feeds and micro-batches so far, with ``stream`` and ``batch_id``."""
     try:
-        written = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+        return spark.read.schema(f"{schema}, stream string, batch_id bigint").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return written.filter(F.col("batch_id") < batch_id).drop("batch_id")
+        return spark.createDataFrame([], f"{schema}, stream string, batch_id bigint")
 
 
-def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str) -> DataStreamWriter:
-    """Signed events to order lines and deliveries, each reference once.
+def _earlier(spark: SparkSession, path: str, schema: str, stream: str, batch_id: int) -> DataFrame:
+    """Rows written by other feeds, and by the micro-batches of this one before the given batch."""
+    written = _written(spark, path, schema)
+    return written.filter((F.col("stream") != stream) | (F.col("batch_id") < batch_id)).drop("stream", "batch_id")
 
-    Writes below ``out``: ``order_lines``, ``deliveries`` and ``rejects``, partitioned by batch id.
+
+def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str, stream: str = "main") -> DataStreamWriter:
+    """Signed events to order lines, deliveries, stock and carts, each reference once.
+
+    Writes below ``out``: ``order_lines``, ``deliveries``, ``rejects``, and the changes ``stock_taken`` and
+    ``cleared_carts``, partitioned by the feed's name and the batch id. A batch that runs again overwrites
+    only what it wrote. Feeds with checkpoints of their own need names of their own. The state after
+    all batches is that of :func:`products_after` and :func:`carts_after`.
     """
     key_type = shop.key_type("order_lines", "reference")
 
@@ -50,15 +60,22 @@ def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str) -> DataS
         # The references of the batch pick the few stored ones that matter; the store is scanned
         # for one column and neither shuffled nor copied.
         asked = parsed.select(F.col("reference").alias("_asked")).distinct()
-        earlier = _earlier(spark, f"{out}/order_lines", f"reference {key_type}", batch_id)
+        earlier = _earlier(spark, f"{out}/order_lines", f"reference {key_type}", stream, batch_id)
         stored = shop.order_lines.select("reference").unionByName(earlier).join(
             asked, F.col("reference") == F.col("_asked"), "left_semi"
         ).distinct()
         judged = judge_payments(shop, parsed, stored).persist()
         try:
-            written = apply_payments(shop, split_payments(judged))
-            for table in ("deliveries", "rejects", "order_lines"):
-                written[table].write.mode("overwrite").parquet(f"{out}/{table}/batch_id={batch_id}")
+            taken = split_payments(judged)
+            orders = order_rows(shop, taken.lines)
+            written = {
+                "deliveries": delivery_rows(taken.accepted), "rejects": taken.rejects,
+                "stock_taken": orders.groupBy("product_id").agg(F.sum("quantity").alias("quantity")),
+                "cleared_carts": taken.accepted.select("user_id").distinct(), "order_lines": orders,
+            }
+            # The order lines come last: by them a reference counts as booked.
+            for table, rows in written.items():
+                rows.write.mode("overwrite").parquet(f"{out}/{table}/stream={stream}/batch_id={batch_id}")
         finally:
             judged.unpersist()
             parsed.unpersist()
@@ -66,8 +83,21 @@ def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str) -> DataS
     return feed.writeStream.foreachBatch(book)
 
 
+def products_after(spark: SparkSession, shop: Shop, out: str) -> DataFrame:
+    """The shop's products with all stock taken off that :func:`ingest_payments` has booked."""
+    kind = shop.key_type("products", "id")
+    taken = _written(spark, f"{out}/stock_taken", f"product_id {kind}, quantity bigint")
+    return decrement_stock(shop.products, taken)
+
+
+def carts_after(spark: SparkSession, shop: Shop, out: str) -> DataFrame:
+    """The shop's carts without those of users whose payments :func:`ingest_payments` has booked."""
+    payers = _written(spark, f"{out}/cleared_carts", f"user_id {shop.key_type('carts', 'user_id')}")
+    return cart_changes.clear_carts(shop, payers.select("user_id")).state["carts"]
+
+
 def dedup_payments(feed: DataFrame, stored: DataFrame, secret: str, key_type: str, out: str,
-                   remember: str = "1 day") -> DataStreamWriter:
+                   remember: str = "1 day", stream: str = "main") -> DataStreamWriter:
     """Valid events, each reference once, however often it is sent.
 
     Repeats within ``remember`` of the first arrival are dropped by the state store. The time is
@@ -83,7 +113,7 @@ def dedup_payments(feed: DataFrame, stored: DataFrame, secret: str, key_type: st
     once = timed.dropDuplicatesWithinWatermark(["reference"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        earlier = _earlier(batch.sparkSession, out, f"reference {key_type}", batch_id)
+        earlier = _earlier(batch.sparkSession, out, f"reference {key_type}", stream, batch_id)
         batch.persist()
         try:
             asked = batch.select(F.col("reference").alias("_asked"))
@@ -91,7 +121,7 @@ def dedup_payments(feed: DataFrame, stored: DataFrame, secret: str, key_type: st
                 asked, F.col("reference") == F.col("_asked"), "left_semi"
             ).distinct()
             fresh = batch.select(columns).join(known, "reference", "left_anti")
-            fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            fresh.write.mode("overwrite").parquet(f"{out}/stream={stream}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
@@ -102,21 +132,21 @@ def cart_feed(log: DataFrame, base: str) -> DataStreamWriter:
     """Keyed cart state from the cart log, published batch by batch.
 
     The state is the last setting per (user, product) and the last payment per user. Both are
-    maxima, so log pieces may arrive in any order and more than once. ``carts`` is derived from it.
+    maxima, so log pieces may arrive in any order and more than once, from one feed or from several in
+    turn: each batch is merged into the newest state and published as the next one, whatever number
+    its own feed gives it. ``carts`` is derived from it.
     """
 
     def merge(piece: DataFrame, batch_id: int) -> None:
         spark = piece.sparkSession
         done = last_batch(spark, base)
-        if done is not None and done >= batch_id:
-            return
         piece.persist()
         try:
             settings, payments = cart_changes.last_settings(piece), cart_changes.last_payments(piece)
             if done is not None:
                 settings = cart_changes.merge_settings(published(spark, base, "settings"), settings)
                 payments = cart_changes.merge_payments(published(spark, base, "payments"), payments)
-            publish(base, batch_id, {
+            publish(base, 0 if done is None else done + 1, {
                 "settings": settings, "payments": payments,
                 "carts": cart_changes.carts_from(settings, payments),
             })
@@ -126,7 +156,7 @@ def cart_feed(log: DataFrame, base: str) -> DataStreamWriter:
     return log.writeStream.foreachBatch(merge)
 
 
-def daily_sales(lines: DataFrame, out: str, lateness: str | None = None) -> DataStreamWriter:
+def daily_sales(lines: DataFrame, out: str, lateness: str | None = None, stream: str = "main") -> DataStreamWriter:
     """Sales by day from a stream of ``(created_at, amount)``; each batch writes the days it changed.
 
     The state holds one row per day, so by default all days stay open and no late row is lost. With
@@ -138,12 +168,13 @@ def daily_sales(lines: DataFrame, out: str, lateness: str | None = None) -> Data
     days = per_day.select(F.col("window.start").cast("date").alias("day"), "total")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/stream={stream}/batch_id={batch_id}")
 
     return days.writeStream.outputMode("update").foreachBatch(write)
 
 
 def latest_days(spark: SparkSession, out: str) -> DataFrame:
-    """The newest figure of each day written by :func:`daily_sales`."""
-    written = spark.read.schema("day date, total decimal(38,2), batch_id bigint").parquet(out)
-    return written.groupBy("day").agg(F.max_by("total", "batch_id").alias("total"))
+    """The newest figure of each day written by :func:`daily_sales`, summed over its feeds."""
+    written = _written(spark, out, "day date, total decimal(38,2)")
+    newest = written.groupBy("stream", "day").agg(F.max_by("total", "batch_id").alias("total"))
+    return newest.groupBy("day").agg(F.sum("total").cast("decimal(38,2)").alias("total"))

@@ -287,7 +287,15 @@ BODIES: dict[str, str] = {
     "dq_unique_email": """
         select email, count(*) as row_count
         from (select email from shop_users union all select email from signups where email is not null) group by email having count(*) > 1""",
-    "st_payment_ingest": ORDER,
+    "st_payment_ingest": joined(
+        f"select 'order_lines' as section, cast(reference as varchar) as key, {value('product_id', 'product_name', 'customer_name', 'cast(amount as decimal(18,2))', 'user_id', 'quantity', 'status', 'created_at')} as value from ({ORDER})",
+        state("deliveries", "a.reference", value("c.address", "c.city", "c.state", "c.country", "'pending'"),
+              "from accepted a join shop_customers c on c.user_id = a.user_id and c.is_default_address"),
+        state("products", "p.id", value("p.total_stock - coalesce(n.q, 0)", "p.total_stock < coalesce(n.q, 0)"),
+              "from shop_products p left join (select product_id, sum(quantity) as q from new_orders group by 1) n on n.product_id = p.id"),
+        state("carts", "id", value("user_id", "product_id", "quantity"), "from shop_carts where user_id not in (select user_id from accepted)"),
+        rejects("judged_events", "reason is not null and reason <> 'passed over'"),
+    ),
     "st_payment_dedup": """
         select reference, 'success' as payment_status,
             cast(total * 100 as bigint) as amount_minor, 'payer.' || user_id || '@example.com' as customer_email

@@ -110,3 +110,37 @@ def test_daily_sales_keep_late_rows(spark, tmp_path):
 
 def test_daily_sales_close_old_days_on_request(spark, tmp_path):
     assert daily_rows(spark, tmp_path, FILES, "1 day") == {dt.date(2024, 1, 1): 6.5, dt.date(2024, 1, 9): 4.5}
+
+
+def test_a_second_feed_is_not_lost(spark, tmp_path):
+    kinds = "event_id bigint, ts timestamp, user_id bigint, event_type string, product_id bigint, quantity bigint"
+    base = str(tmp_path / "state")
+    for name, rows in (("one", [(1, T0, 1, "click", 1, 2)]), ("two", [(2, T0, 2, "click", 5, 3)])):
+        spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / name))
+        feed = spark.readStream.schema(kinds).parquet(str(tmp_path / name))
+        jobs.run_to_end(jobs.cart_feed(feed, base), str(tmp_path / f"ckpt-{name}"))
+    got = published(spark, base, "carts").select("user_id", "product_id", "quantity").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2), (2, 5, 3)]
+
+
+def test_stock_and_carts_follow_the_feed(spark, tmp_path):
+    shop, out = small_shop(spark), str(tmp_path / "out")
+    drop_files(tmp_path / "in", EVENTS)
+    for attempt in ("first", "second"):
+        feed = jobs.payment_feed(spark, str(tmp_path / "in"))
+        jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out), str(tmp_path / f"ckpt-{attempt}"))
+        stock = {r.id: r.total_stock for r in jobs.products_after(spark, shop, out).collect()}
+        assert stock == {1: 7, 2: 2, 3: 0, 4: 3, 5: 1}
+        assert {r.id for r in jobs.carts_after(spark, shop, out).collect()} == {"k3"}
+    # Another feed with the same events books nothing more.
+    feed = jobs.payment_feed(spark, str(tmp_path / "in"))
+    jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out, stream="other"), str(tmp_path / "ckpt-other"))
+    assert spark.read.parquet(f"{out}/order_lines").count() == 3
+
+
+def test_dedup_waits_for_the_paid_event(spark, tmp_path):
+    out, stored = str(tmp_path / "out"), spark.createDataFrame([(10,)], "reference bigint")
+    drop_files(tmp_path / "in", [event("a", 50, [CAMEL], status="failed")], [event("b", 50, [CAMEL])])
+    feed = jobs.payment_feed(spark, str(tmp_path / "in"), files_per_batch=1)
+    jobs.run_to_end(jobs.dedup_payments(feed, stored, SECRET, "bigint", out), str(tmp_path / "ckpt"))
+    assert [(r.reference, r.payment_status) for r in spark.read.parquet(out).collect()] == [(50, "success")]
