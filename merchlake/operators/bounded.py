@@ -19,6 +19,12 @@ def computed_once(short: DataFrame) -> DataFrame:
     return listed.filter(F.col("_row").isNotNull()).drop("_row")
 
 
+def asked_for(short: DataFrame, key: str, wide: DataFrame, wide_key: str) -> DataFrame:
+    """The rows of a large table that a short list asks for: scanned, but neither shuffled nor sorted."""
+    keys = short.select(F.col(key).alias("_wanted")).distinct()
+    return wide.join(keys, F.col(wide_key) == F.col("_wanted"), "left_semi")
+
+
 def look_up(short: DataFrame, wide: DataFrame, key: str, wide_key: str, keys: DataFrame | None = None) -> DataFrame:
     """Left join of a short list with a large table, reading only the rows the list asks for.
 

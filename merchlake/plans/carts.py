@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions import first_reason, line_total, to_minor
-from merchlake.operators import attach_images
+from merchlake.operators import asked_for, attach_images, computed_once
 from merchlake.plans.facts import money_columns, newest_first
 from merchlake.sources.payments import expand_lines
 from merchlake.sources.shop import Shop
@@ -27,13 +27,17 @@ def cart_view(shop: Shop, user_id=None) -> DataFrame:
     The total is a grouping joined back by user, not a window: a window would sort all lines of
     one cart in one task.
     """
-    carts = shop.carts if user_id is None else shop.carts.filter(F.col("user_id") == F.lit(user_id))
+    carts, images = shop.carts, shop.images
+    if user_id is not None:
+        # One user's cart is a short list; only its products' images are collected.
+        carts = computed_once(carts.filter(F.col("user_id") == F.lit(user_id)))
+        images = asked_for(carts, "product_id", images, "product_id")
     priced = _priced(shop, carts)
     totals = priced.groupBy(F.col("user_id").alias("_owner")).agg(
         F.sum(line_total(F.col("price"), F.col("quantity"))).alias("cart_total")
     )
     joined = priced.join(totals, F.col("user_id") == F.col("_owner"))
-    viewed = attach_images(joined, shop.images, "product_id").select(
+    viewed = attach_images(joined, images, "product_id").select(
         F.col("id").alias("cart_id"), "quantity", "created_at", "updated_at", "product_id", "product_name",
         "price", "description", "total_stock", "status", "images", "cart_total",
     )

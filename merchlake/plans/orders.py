@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlake.functions import from_minor
 from merchlake.operators import (
-    attach_images, computed_once, envelope, first_rows, look_up, page, page_per,
+    asked_for, attach_images, computed_once, envelope, first_rows, look_up, page, page_per,
 )
 from merchlake.plans.facts import money_columns, newest_first
 from merchlake.sources.shop import Shop
@@ -60,17 +60,21 @@ def my_orders(shop: Shop, user_id=None, page_no: int = 1, size: int = 10) -> Dat
 
 
 def order_details(shop: Shop, order_ids: Sequence | None = None) -> DataFrame:
-    """The given order lines (or all) with user, delivery, product and images."""
-    lines = shop.order_lines
+    """The given order lines (or all) with user, delivery, product and images.
+
+    With ids, the lines are a short list, and of every other table only the rows they ask for go on.
+    """
+    lines = shop.order_lines.select(*_LINE, "quantity", "status", "created_at", "user_id")
+    items, images, deliveries, emails = shop.products, shop.images, _deliveries(shop), _emails(shop)
     if order_ids is not None:
-        lines = lines.filter(F.col("id").isin(list(order_ids)))
-    products = attach_images(
-        shop.products.select(F.col("id").alias("_product"), "description", "total_stock"), shop.images, "_product"
-    )
+        lines = computed_once(lines.filter(F.col("id").isin(list(order_ids))))
+        items, images = asked_for(lines, "product_id", items, "id"), asked_for(lines, "product_id", images, "product_id")
+        deliveries, emails = asked_for(lines, "reference", deliveries, "_order"), asked_for(lines, "user_id", emails, "_user")
+    products = attach_images(items.select(F.col("id").alias("_product"), "description", "total_stock"), images, "_product")
     joined = (
-        lines.select(*_LINE, "quantity", "status", "created_at", "user_id")
-        .join(_deliveries(shop), F.col("reference") == F.col("_order"), "left")
-        .join(_emails(shop), F.col("user_id") == F.col("_user"), "left")
+        lines
+        .join(deliveries, F.col("reference") == F.col("_order"), "left")
+        .join(emails, F.col("user_id") == F.col("_user"), "left")
         .join(products, F.col("product_id") == F.col("_product"), "left")
     )
     detail = joined.select(
@@ -82,17 +86,23 @@ def order_details(shop: Shop, order_ids: Sequence | None = None) -> DataFrame:
 
 
 def orders_by_reference(shop: Shop, references: Sequence | None = None) -> DataFrame:
-    """Order lines of the given checkouts (or all) with product, images and delivery."""
-    lines = shop.order_lines
+    """Order lines of the given checkouts (or all) with product, images and delivery.
+
+    With references, the lines of those checkouts are a short list, and of every other table only the
+    rows they ask for go on.
+    """
+    lines = shop.order_lines.drop("product_name")
+    items, images, deliveries = shop.products, shop.images, _deliveries(shop)
     if references is not None:
-        lines = lines.filter(F.col("reference").isin(list(references)))
+        lines = computed_once(lines.filter(F.col("reference").isin(list(references))))
+        items, images = asked_for(lines, "product_id", items, "id"), asked_for(lines, "product_id", images, "product_id")
+        deliveries = asked_for(lines, "reference", deliveries, "_order")
     products = attach_images(
-        shop.products.select(F.col("id").alias("_product"), F.col("name").alias("product_name"), "total_stock"),
-        shop.images, "_product",
+        items.select(F.col("id").alias("_product"), F.col("name").alias("product_name"), "total_stock"), images, "_product",
     )
     joined = (
-        lines.drop("product_name")
-        .join(_deliveries(shop), F.col("reference") == F.col("_order"), "left")
+        lines
+        .join(deliveries, F.col("reference") == F.col("_order"), "left")
         .join(products, F.col("product_id") == F.col("_product"))
     )
     detail = joined.select(

@@ -140,6 +140,43 @@ _report("rp_blogs_page", blogs.blogs_page)
 _report("rp_blogs_all", blogs.blogs_all)
 
 
+
+# --- reports for given keys, which the tables themselves provide -----------------------------------
+
+
+def _keyed(key: str, report: Callable[..., DataFrame], pick: Callable[[Shop], dict]) -> None:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shop = testdata.bind(spark, sf_dir)
+        return _flat(report(shop, **pick(shop)))
+
+    _query(key)(build)
+
+
+def _ends(df: DataFrame, column: str) -> list:
+    """The smallest and the largest key."""
+    return list(df.agg(F.min(column), F.max(column)).first())
+
+
+def _last_order(shop: Shop) -> dict:
+    last = _ends(shop.order_lines, "reference")[1]
+    return {"order_ids": [row.id for row in shop.order_lines.filter(F.col("reference") == last).select("id").collect()]}
+
+
+_RANGE = {"start": dt.datetime(1996, 3, 10), "end": dt.datetime(1998, 8, 20)}
+_keyed("rp_category_products_one", catalog.category_products, lambda shop: {"category_id": _ends(shop.products, "category_id")[1]})
+_keyed("rp_product_detail_keys", catalog.product_detail, lambda shop: {"product_ids": _ends(shop.products, "id")})
+_keyed("rp_product_with_images_keys", catalog.product_with_images, lambda shop: {"product_ids": _ends(shop.products, "id")})
+_keyed("rp_order_details_keys", orders.order_details, _last_order)
+_keyed("rp_orders_by_reference_keys", orders.orders_by_reference, lambda shop: {"references": _ends(shop.order_lines, "reference")})
+_keyed("rp_my_orders_one", orders.my_orders, lambda shop: {"user_id": _ends(shop.order_lines, "user_id")[1], "page_no": 2, "size": 5})
+_keyed("rp_addresses_one", customers.addresses, lambda shop: {"user_id": _ends(shop.customers.filter("not is_default_address"), "user_id")[1]})
+_keyed("rp_cart_view_one", carts.cart_view, lambda shop: {"user_id": _ends(shop.carts, "user_id")[1]})
+_report("rp_monthly_sales_range", sales.monthly_sales, **_RANGE)
+_report("rp_monthly_product_sales_range", sales.monthly_product_sales, **_RANGE)
+_report("rp_monthly_category_sales_range", sales.monthly_category_sales, **_RANGE)
+_report("rp_monthly_summary_range", sales.monthly_summary, **_RANGE)
+
+
 def _parsed_events(spark: SparkSession, sf_dir: str, shop: Shop) -> DataFrame:
     """The payment feed, checked and parsed once into a table in the shared folder."""
     events = testdata.payment_events(spark, sf_dir)

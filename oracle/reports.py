@@ -231,4 +231,24 @@ BODIES: dict[str, str] = {
             {stamp('created_at')} as updated_at from shop_blogs""",
 }
 
+# The same reports for given keys.
+ENDS = "in (select unnest([min({0}), max({0})]) from {1})"
+RANGE = "between timestamp '1996-03-10' and timestamp '1998-08-20'"
+BODIES |= {
+    "rp_category_products_one": f"{BODIES['rp_category_products']} where p.category_id = (select max(category_id) from shop_products)",
+    "rp_product_detail_keys": f"{BODIES['rp_product_detail']} where p.id {ENDS.format('id', 'shop_products')}",
+    "rp_product_with_images_keys": f"{BODIES['rp_product_with_images']} where p.id {ENDS.format('id', 'shop_products')}",
+    "rp_order_details_keys": f"{BODIES['rp_order_details']} where o.reference = (select max(reference) from shop_lines)",
+    "rp_orders_by_reference_keys": f"{BY_REFERENCE} where o.reference {ENDS.format('reference', 'shop_lines')}",
+    "rp_my_orders_one": BODIES["rp_my_orders"].replace(
+        "where o.place <= 10", "where o.place between 6 and 10 and o.user_id = (select max(user_id) from shop_lines)"),
+    "rp_addresses_one": f"""{BODIES['rp_addresses']}
+        where user_id = (select max(user_id) from shop_customers where not is_default_address)""",
+    "rp_cart_view_one": f"{BODIES['rp_cart_view']} where c.user_id = (select max(user_id) from shop_carts)",
+    "rp_monthly_sales_range": f"select *, revenue / order_count as average_order_value from ({period_totals('month', f'o.created_at {RANGE}')})",
+    "rp_monthly_product_sales_range": BODIES["rp_monthly_product_sales"].replace("group by", f"where o.created_at {RANGE} group by"),
+    "rp_monthly_category_sales_range": BODIES["rp_monthly_category_sales"].replace("group by", f"where o.created_at {RANGE} group by"),
+    "rp_monthly_summary_range": BODIES["rp_monthly_summary"].replace(MONTHS, MONTHS.replace("group by", f"where created_at {RANGE} group by")),
+}
+
 REPORTS = {key: with_base(body) for key, body in BODIES.items()}

@@ -5,6 +5,8 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry_module
+from merchlake.registry import QUERIES
+from oracle.sql import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -13,13 +15,13 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(entry_module.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_equals_sql(spark, db, key):
-    df = entry_module.queries()[key](spark, SMALL)
-    assert compare.differences(df, db, entry_module.oracle_sql()[key]) == []
+    assert compare.differences(QUERIES[key](spark, SMALL), db, ORACLES[key]) == []
 
 
 def test_entry(spark):
