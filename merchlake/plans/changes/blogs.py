@@ -36,4 +36,5 @@ def toggle_blogs(shop: Shop, requests: DataFrame) -> Outcome:
     ).select(shop.blogs.columns)
     known = shop.blogs.select(F.col("id").alias("_known"))
     unknown = requests.join(known, F.col("blog_id") == F.col("_known"), "left_anti")
-    return Outcome({"blogs": state}, rejected(unknown, "blog not found"))
+    toggled = state.join(flips.select("_blog"), F.col("id") == F.col("_blog"), "left_semi")
+    return Outcome({"blogs": state}, rejected(unknown, "blog not found"), toggled)

@@ -84,7 +84,8 @@ def apply_adds(shop: Shop, requests: DataFrame) -> Outcome:
         F.coalesce("created_at", "_new.requested_at").alias("created_at"),
         F.coalesce("_new.requested_at", "updated_at").alias("updated_at"),
     )
-    return Outcome({"carts": state}, refused.select("request_id", "reason"))
+    written = state.join(latest.select("user_id", "product_id"), ["user_id", "product_id"], "left_semi").select(state.columns)
+    return Outcome({"carts": state}, refused.select("request_id", "reason"), written)
 
 
 def set_quantities(shop: Shop, requests: DataFrame) -> Outcome:
@@ -106,7 +107,8 @@ def set_quantities(shop: Shop, requests: DataFrame) -> Outcome:
         "created_at",
         F.coalesce("_new.requested_at", "updated_at").alias("updated_at"),
     )
-    return Outcome({"carts": state}, refused.select("request_id", "reason"))
+    written = state.join(latest.select("_cart"), F.col("id") == F.col("_cart"), "left_semi")
+    return Outcome({"carts": state}, refused.select("request_id", "reason"), written)
 
 
 def remove_rows(shop: Shop, requests: DataFrame) -> Outcome:
@@ -117,7 +119,8 @@ def remove_rows(shop: Shop, requests: DataFrame) -> Outcome:
     gone = done.select(F.col("cart_id").alias("_gone"))
     refused = requests.join(done.select("request_id"), "request_id", "left_anti")
     state = shop.carts.join(gone, F.col("id") == F.col("_gone"), "left_anti")
-    return Outcome({"carts": state}, rejected(refused, "Cart item not found"))
+    removed = shop.carts.join(gone, F.col("id") == F.col("_gone"), "left_semi")
+    return Outcome({"carts": state}, rejected(refused, "Cart item not found"), removed)
 
 
 def clear_carts(shop: Shop, paying_users: DataFrame) -> Outcome:
@@ -125,7 +128,8 @@ def clear_carts(shop: Shop, paying_users: DataFrame) -> Outcome:
     payers = paying_users.select(F.col("user_id").alias("_payer")).distinct()
     state = shop.carts.join(payers, F.col("user_id") == F.col("_payer"), "left_anti")
     none = paying_users.sparkSession.createDataFrame([], "request_id string, reason string")
-    return Outcome({"carts": state}, none)
+    cleared = shop.carts.join(payers, F.col("user_id") == F.col("_payer"), "left_semi")
+    return Outcome({"carts": state}, none, cleared)
 
 
 def orders_from_carts(shop: Shop, payments: DataFrame, as_of=None) -> Outcome:

@@ -165,6 +165,12 @@ def _apply(shop: Shop, updates: DataFrame, fields: list[str], as_of: Time) -> Da
     return joined.withColumns(changes).select(shop.products.columns)
 
 
+def _written(products: DataFrame, updates: DataFrame) -> DataFrame:
+    """The new rows of the products that the updates name."""
+    named = updates.select(F.col("product_id").alias("_named")).distinct()
+    return products.join(named, F.col("id") == F.col("_named"), "left_semi")
+
+
 def update_products(shop: Shop, requests: DataFrame, as_of: Time = None) -> Outcome:
     """Change the given fields of products; the last given value of each field counts.
 
@@ -179,7 +185,7 @@ def update_products(shop: Shop, requests: DataFrame, as_of: Time = None) -> Outc
         image_id = stable_id(F.lit("update"), F.col("request_id"), key_type=shop.key_type("images", "id"))
         state["images"] = shop.images.unionByName(pictured.select(image_id.alias("id"), "product_id", "image_url"))
     unknown = requests.join(ids, same, "left_anti")
-    return Outcome(state, rejected(unknown, "Product not found"))
+    return Outcome(state, rejected(unknown, "Product not found"), _written(state["products"], requests))
 
 
 def replace_products(shop: Shop, requests: DataFrame, as_of: Time = None) -> Outcome:
@@ -193,9 +199,8 @@ def replace_products(shop: Shop, requests: DataFrame, as_of: Time = None) -> Out
         absent = absent | (missing_number if name in _NUMBER_FIELDS else missing)(F.col(name))
     complete, blanks = reject_split(requests, F.when(absent, "Please enter all fields"))
     active = complete.withColumn("status", F.when(F.col("status"), True))
-    return Outcome(
-        {"products": _apply(shop, active, [*needed, "status"], as_of)}, blanks.select("request_id", "reason")
-    )
+    products = _apply(shop, active, [*needed, "status"], as_of)
+    return Outcome({"products": products}, blanks.select("request_id", "reason"), _written(products, active))
 
 
 def delete_products(shop: Shop, requests: DataFrame) -> Outcome:
@@ -205,4 +210,5 @@ def delete_products(shop: Shop, requests: DataFrame) -> Outcome:
     return Outcome(
         {"products": shop.products.join(wanted, F.col("id") == F.col("_product"), "left_anti")},
         per_request(requests, "product_id", ids, "Product not found"),
+        shop.products.join(wanted, F.col("id") == F.col("_product"), "left_semi"),
     )

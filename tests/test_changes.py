@@ -281,3 +281,17 @@ def test_odd_numbers_in_product_forms(spark):
     done = catalog.create_products(small_shop(spark), spark.createDataFrame(rows, kinds), NOW)
     made = sorted((r.price, r.total_stock) for r in done.changed.collect())
     assert made == [(0.0, 1)] * 4 + [(2.5, 2147483647)] and reasons(done) == {}
+
+
+def test_flows_return_the_rows_they_wrote(spark):
+    shop = small_shop(spark)
+    ids = lambda df: sorted(row.id for row in df.collect())
+    update = spark.createDataFrame([(1, 1, "new"), (2, 99, "none")], "request_id bigint, product_id bigint, name string")
+    changed = catalog.update_products(shop, update, NOW).changed
+    assert [(r.id, r.name, r.updated_at) for r in changed.collect()] == [(1, "new", NOW)]
+    gone = spark.createDataFrame([(1, 1), (2, 99)], "request_id bigint, product_id bigint")
+    assert ids(catalog.delete_products(shop, gone).changed) == [1]
+    toggles = spark.createDataFrame([(1, 1)], "request_id bigint, blog_id bigint")
+    assert ids(blogs.toggle_blogs(shop, toggles).changed) == [1]
+    payers = spark.createDataFrame([(row.user_id,) for row in shop.carts.collect()], "user_id bigint")
+    assert ids(carts.clear_carts(shop, payers).changed) == ids(shop.carts)

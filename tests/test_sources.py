@@ -83,3 +83,9 @@ def test_quality_counts(spark):
     assert {r["check"]: r.row_count for r in quality.enum_domain(odd).collect()} == {"orders": 2, "deliveries": 0, "users": 0}
     twice = shop.users.unionByName(shop.users.filter("id = 1"))
     assert [(r.email, r.row_count) for r in quality.duplicate_emails(twice).collect()] == [("ann@x.com", 2)]
+
+
+def test_columns_of_another_kind_are_refused(spark):
+    rows = spark.createDataFrame([(1, "c1", "soap", "cheap", 3)], "id bigint, category_id string, name string, price string, total_stock int")
+    with pytest.raises(ValueError, match="price is string, not double"):
+        conform(rows, "products")
