@@ -7,20 +7,20 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from small_shop import small_shop
 
-import __spark_entry__ as entry_module
-from merchlake.plans import catalog, orders, sales
+from merchlake.plans import carts, catalog, orders, sales
+from merchlake.registry import QUERIES
 from merchlake.sources import Shop, testdata
 
-STREAMS = {key for key in entry_module.queries() if key.startswith("st_")}
+STREAMS = {key for key in QUERIES if key.startswith("st_")}
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(entry_module.queries()) - STREAMS))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - STREAMS))
 def test_no_product_of_tables_and_no_python_per_row(spark, key):
-    text = plan(entry_module.queries()[key](spark, SMALL))
+    text = plan(QUERIES[key](spark, SMALL))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "InPandas", "LocalTableScan ["):
         assert node not in text, node
 
@@ -70,3 +70,13 @@ def test_a_hot_checkout_is_split(spark):
             spark.conf.set(key, value)
     assert "skew=true" in text
     assert sum(r.n for r in rows) == 200_000 and len({(r.k, r.p) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("report, semi_joins", [
+    (lambda shop: orders.order_details(shop, order_ids=["1-2"]), 4), (lambda shop: orders.orders_by_reference(shop, references=[1]), 3),
+    (lambda shop: carts.cart_view(shop, user_id=1), 1),
+])
+def test_keyed_reports_read_only_what_they_ask_for(spark, report, semi_joins):
+    text = plan(report(testdata.bind(spark, SMALL)))
+    # Each large table is cut down by the short list, which is sent to it.
+    assert len(re.findall(r"BroadcastHashJoin [^\n]*LeftSemi", text)) >= semi_joins
