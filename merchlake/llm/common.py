@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.session import work_folder
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+_INTERIM: list[list[str]] = []
+
+
+def staged(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     """Write a frame below ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage: what an executor computed is then on shared storage and outlives it, and
-    the frame can be read several times.
+    the frame can be read several times. Within :func:`interim` the table lasts until its end, unless
+    it is to be kept.
     """
     spark = df.sparkSession
     path = work_folder(spark, f"llm-{purpose}")
+    if _INTERIM and not keep:
+        _INTERIM[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def interim(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end; what leaves the block must be staged with ``keep``."""
+    _INTERIM.append([])
+    try:
+        yield
+    finally:
+        for path in _INTERIM.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {column.lower() for column in df.columns}

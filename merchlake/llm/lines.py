@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import as_row, staged
+from merchlake.llm.common import as_row, interim, staged
 
 MIN_WORDS = 50
 RANK_BUCKETS = 4096
@@ -161,7 +161,8 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", tex
     null with no line removed, an empty one stays empty. A text that loses all its lines becomes empty.
     A column named like the counter is replaced; all others are kept whatever their names.
     """
-    removed = removed_lines(later_copies(docs, min_words, key, text))
+    with interim(docs.sparkSession):
+        removed = staged(removed_lines(later_copies(docs, min_words, key, text)), "removed", keep=True)
     rows = docs.select(as_row(docs, (counter.lower(),)), F.col(key).alias("_id"), F.col(text).alias("_text"))
     same = F.col("_id").eqNullSafe(F.col("_key")) & (_doc_id(F.col("_text")) == F.col("_doc"))
     joined = rows.join(removed, same, "left")

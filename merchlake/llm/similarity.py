@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import as_row, staged
+from merchlake.llm.common import as_row, interim, staged
 
 CACHED_WORDS = 300_000
 SKETCH_BITS = 22  # shingle frequencies are kept in 2^22 counters, whatever the number of shingles
@@ -31,6 +31,20 @@ BROADCAST_PAIRS = 1_000_000  # pairs of row numbers (16 bytes each) up to which
 MIX = tuple(np.uint64(value) for value in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+WHOLE = np.uint64(0xFFFFFFFFFFFFFF00)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """A set as seven bytes for each hash."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+
+
+def unpacked(own: bytes) -> np.ndarray:
+    out = np.zeros((len(own) // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(own, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -46,7 +60,7 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, words_each: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles: A-Z lower-cased, words between blanks.
+    """Sorted distinct 56-bit hashes (the upper bits of 64) of the word shingles: A-Z lower-cased, words between blanks.
 
     With fewer words than a shingle has, the whole sequence is one shingle.
     """
@@ -61,7 +75,7 @@ def shingle_set(text: str | None, words_each: int, hashes: WordHashes) -> np.nda
     mixed = np.full(count, size, np.uint64)
     for at in range(size):
         mixed = _mixed(mixed * MIX[0] + own[at:at + count])
-    return np.unique(mixed)
+    return np.unique(mixed & WHOLE)
 
 
 def _sets(words_each: int):
@@ -75,7 +89,7 @@ def _sets(words_each: int):
             for key, digest, text in zip(batch["key"], batch["digest"], batch["text"]):
                 own = shingle_set(text, words_each, hashes)
                 one, two = int(own.sum(dtype=np.uint64)), int(_mixed(own).sum(dtype=np.uint64))
-                rows.append((key, digest, len(own), one - 2**63, two - 2**63, own.tobytes()))
+                rows.append((key, digest, len(own), one - 2**63, two - 2**63, packed(own)))
                 size += own.nbytes
                 if size > 8_000_000:
                     yield flush()
@@ -92,7 +106,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for own in batch["set"]:
             # A set's hashes are sorted, so equal counters are neighbours.
-            counters, counts = np.unique(np.frombuffer(own, np.uint64) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            counters, counts = np.unique(unpacked(own) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             totals[counters.astype(np.int64)] += counts
     rows = []
     for number, own in enumerate(totals.reshape(-1, SKETCH_SLICE)):
@@ -144,8 +158,8 @@ def _prefixes(counters, percent: int):
         for batch in batches:
             prefixes, profiles = [], []
             for own in batch["set"]:
-                values = np.frombuffer(own, np.uint64)
-                bins = (values % np.uint64(BINS)).astype(np.int64)
+                values = unpacked(own)
+                bins = (values >> np.uint64(8)).astype(np.int64) % BINS
                 profile = np.bincount(bins, minlength=BINS)
                 profiles.append((profile if profile.max() < FULL else np.full(BINS, FULL)).astype(np.uint8).tobytes())
                 length = len(values) - -(-percent * len(values) // 100) + 1
@@ -244,7 +258,7 @@ def _candidates(shared: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        common = [len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
                   for x, y in zip(batch["set_a"], batch["set_b"])]
         yield batch[["a", "b", "n_a", "n_b"]].assign(common=np.array(common, np.int64))
 
@@ -336,26 +350,27 @@ def components(links: DataFrame) -> DataFrame:
 
 def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str) -> DataFrame:
     """Class of every row: (key, digest of the text, n, class); the class of a row without shingles is null."""
-    join = Join(docs, words_each, percent, key, text)
-    shared = join.shared_lists()
-    alone = F.col("node").alias("kind")
-    first = staged(join.linked(join.overlaps(join.sized(_candidates(shared.select("*", alone), percent, True)))), "links")
-    roots = staged(components(first), "roots")
-
-    # Lists whose members are not all of one class go into the second round.
-    placed = shared.join(roots, "node", "left").withColumn("kind", F.coalesce("root", "node")).drop("root")
-    mixed = placed.groupBy("token").agg(F.min("kind").alias("_low"), F.max("kind").alias("_high")).filter("_low <> _high").select("token")
-    near = staged(join.sized(_candidates(placed.join(mixed, "token", "left_semi"), percent, False)), "between")
-    second = staged(_between_classes(join, near, first, roots), "links")
-
-    found = components(first.select("a", "b").union(second.select("a", "b")))
-    of_node = join.nodes.select("node", "s1", "s2", F.col("n").alias("_n")).join(found, "node", "left")
-    of_node = of_node.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "_n", F.coalesce("root", "node").alias("_class"))
-    same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
-    rows = join.sets.select("key", "digest", "n", "s1", "s2")
-    filled = rows.filter("n > 0").join(of_node, same).select("key", "digest", "n", "_class")
-    empty = rows.filter("n = 0").select("key", "digest", "n", F.lit(None).cast("bigint").alias("_class"))
-    return staged(filled.union(empty), "members")
+    with interim(docs.sparkSession):
+        join = Join(docs, words_each, percent, key, text)
+        shared = join.shared_lists()
+        alone = F.col("node").alias("kind")
+        first = staged(join.linked(join.overlaps(join.sized(_candidates(shared.select("*", alone), percent, True)))), "links")
+        roots = staged(components(first), "roots")
+
+        # Lists whose members are not all of one class go into the second round.
+        placed = shared.join(roots, "node", "left").withColumn("kind", F.coalesce("root", "node")).drop("root")
+        mixed = placed.groupBy("token").agg(F.min("kind").alias("_low"), F.max("kind").alias("_high")).filter("_low <> _high").select("token")
+        near = staged(join.sized(_candidates(placed.join(mixed, "token", "left_semi"), percent, False)), "between")
+        second = staged(_between_classes(join, near, first, roots), "links")
+
+        found = components(first.select("a", "b").union(second.select("a", "b")))
+        of_node = join.nodes.select("node", "s1", "s2", F.col("n").alias("_n")).join(found, "node", "left")
+        of_node = of_node.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "_n", F.coalesce("root", "node").alias("_class"))
+        same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
+        rows = join.sets.select("key", "digest", "n", "s1", "s2")
+        filled = rows.filter("n > 0").join(of_node, same).select("key", "digest", "n", "_class")
+        empty = rows.filter("n = 0").select("key", "digest", "n", F.lit(None).cast("bigint").alias("_class"))
+        return staged(filled.union(empty), "members", keep=True)
 
 
 def classes(docs: DataFrame, words_each: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
