@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from merchlake.llm.common import as_row, interim, staged
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 SKETCH_BITS = 22  # shingle frequencies are kept in 2^22 counters, whatever the number of shingles
 SKETCH_SLICE = 2**16
 LIST_BLOCK = 2048  # longer lists are dealt out in blocks, and blocks meet in pairs
@@ -91,7 +92,7 @@ def _sets(words_each: int):
                 one, two = int(own.sum(dtype=np.uint64)), int(_mixed(own).sum(dtype=np.uint64))
                 rows.append((key, digest, len(own), one - 2**63, two - 2**63, packed(own)))
                 size += own.nbytes
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield flush()
                     rows, size = [], 0
         if rows:
@@ -100,13 +101,13 @@ def _sets(words_each: int):
     return run
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counters of this partition as rows (slice, at, count): all counts of a slice, or places and counts."""
     totals = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        for own in batch["set"]:
+        for own in batch.column(0):
             # A set's hashes are sorted, so equal counters are neighbours.
-            counters, counts = np.unique(unpacked(own) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            counters, counts = np.unique(unpacked(own.as_buffer()) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             totals[counters.astype(np.int64)] += counts
     rows = []
     for number, own in enumerate(totals.reshape(-1, SKETCH_SLICE)):
@@ -115,7 +116,8 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((number, b"", own.astype("<u2").tobytes()))
         elif len(used):
             rows.append((number, used.astype("<u2").tobytes(), own[used].astype("<i8").tobytes()))
-    yield pd.DataFrame(rows, columns=["slice", "at", "count"])
+    columns = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+    yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "count"])
 
 
 def _added_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +135,7 @@ def _added_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 def _sketch(sets: DataFrame) -> np.ndarray:
     """How often shingles fall on each counter, over all sets."""
-    parts = sets.select("set").mapInPandas(_frequencies, "slice int, at binary, count binary")
+    parts = sets.select("set").mapInArrow(_frequencies, "slice int, at binary, count binary")
     sums = parts.repartition((1 << SKETCH_BITS) // SKETCH_SLICE, "slice").mapInPandas(_added_frequencies, "slice int, count binary").toPandas()
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICE * SKETCH_SLICE, np.uint32).reshape(-1, SKETCH_SLICE)
     for number, count in zip(sums["slice"].tolist(), sums["count"]):
@@ -153,19 +155,22 @@ def _prefixes(counters, percent: int):
     bin is full, has a profile of full bins, which rules nothing out.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_counts = counters.value
         for batch in batches:
             prefixes, profiles = [], []
-            for own in batch["set"]:
-                values = unpacked(own)
+            for own in batch.column("set"):
+                values = unpacked(own.as_buffer())
                 bins = (values >> np.uint64(8)).astype(np.int64) % BINS
                 profile = np.bincount(bins, minlength=BINS)
                 profiles.append((profile if profile.max() < FULL else np.full(BINS, FULL)).astype(np.uint8).tobytes())
                 length = len(values) - -(-percent * len(values) // 100) + 1
                 counts = own_counts[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefixes.append(values[np.lexsort((values, counts))[:length]].view(np.int64))
-            yield batch[["row", "n", "s1", "s2"]].assign(prefix=prefixes, profile=profiles)
+            starts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+            names = ["row", "n", "s1", "s2"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), lists, pa.array(profiles, pa.binary())], names=[*names, "prefix", "profile"])
 
     return run
 
@@ -256,11 +261,12 @@ def _candidates(shared: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return rows.mapInPandas(_list_pairs(percent, nearest), "a bigint, b bigint").distinct()
 
 
-def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["a", "b", "n_a", "n_b"]
     for batch in batches:
-        common = [len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
-                  for x, y in zip(batch["set_a"], batch["set_b"])]
-        yield batch[["a", "b", "n_a", "n_b"]].assign(common=np.array(common, np.int64))
+        common = [len(np.intersect1d(unpacked(x.as_buffer()), unpacked(y.as_buffer()), assume_unique=True))
+                  for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(common, pa.int64())], names=[*names, "common"])
 
 
 class Join:
@@ -275,7 +281,7 @@ class Join:
         self.sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
         filled = self.sets.filter("n > 0")
         counters = docs.sparkSession.sparkContext.broadcast(_sketch(filled))
-        prefixes = filled.select("row", "n", "s1", "s2", "set").mapInPandas(
+        prefixes = filled.select("row", "n", "s1", "s2", "set").mapInArrow(
             _prefixes(counters, percent), "row bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
         nodes = prefixes.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
         self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -315,7 +321,7 @@ class Join:
             return self.sets.select("row", F.col("set").alias(f"set_{name}")).join(asked, F.col("row") == F.col("_row")).drop("row", "_row")
 
         both = side("a").join(side("b"), ["a", "b"]).join(near.select("a", "b", "n_a", "n_b"), ["a", "b"])
-        return both.mapInPandas(_overlaps, "a bigint, b bigint, n_a int, n_b int, common bigint")
+        return both.mapInArrow(_overlaps, "a bigint, b bigint, n_a int, n_b int, common bigint")
 
     def linked(self, overlaps: DataFrame) -> DataFrame:
         return overlaps.filter(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
