@@ -4,6 +4,7 @@ Running Karp-Rabin hashes of every document's words are looked up among those of
 shared seed is extended to its whole match; the longest match is marked first, marked words are not used
 again, and the rest of a match that overlaps a marked one is tried again with what is left of it. An item
 whose words are covered by such tiles to the threshold is contained in the document, in whatever order.
+Signs that stand alone ('+', '=', '|') are no words: items and documents are compared without them.
 """
 
 from __future__ import annotations
@@ -26,22 +27,29 @@ PUNCTUATION = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 
 
 class Vocabulary(dict):
-    """Number of a word as it stands in a text, by its form without case and outer punctuation; 0: in no item."""
+    """Number of a word as it stands in a text, by its form without case and outer punctuation.
+
+    0: in no item; -1: punctuation alone.
+    """
 
     def __init__(self, numbers: dict[str, int]):
         super().__init__()
         self.numbers = numbers
 
     def __missing__(self, word: str) -> int:
-        value = self.numbers.get(word.strip(PUNCTUATION), 0)
+        form = word.strip(PUNCTUATION)
+        value = self.numbers.get(form, 0) if form else -1
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = value
         return value
 
-    def of_text(self, text: str) -> np.ndarray:
+    def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's words without punctuation alone, and each one's place with it."""
         words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        places = np.flatnonzero(numbers >= 0)
+        return numbers[places], places
 
 
 def rolling(words: np.ndarray, size: int) -> np.ndarray:
@@ -59,11 +67,12 @@ class Items:
     """Benchmark items of one block with the sorted hashes of their seeds."""
 
     def __init__(self, rows: list[tuple], shortest: int):
-        self.shortest, self.keys, self.texts = shortest, [row[0] for row in rows], []
+        self.shortest, self.keys, self.texts, self.origins = shortest, [row[0] for row in rows], [], []
         numbers: dict[str, int] = {}
         for _, text in rows:
             words = [word.strip(PUNCTUATION) for word in (text or "").lower().split()]
-            self.texts.append(np.array([numbers.setdefault(word, len(numbers) + 1) if word else 0 for word in words], np.int64))
+            self.texts.append(np.array([numbers.setdefault(word, len(numbers) + 1) for word in words if word], np.int64))
+            self.origins.append(np.array([at for at, word in enumerate(words) if word], np.int64))
         self.numbers = numbers
         hashes, owners, places = [], [], []
         for number, words in enumerate(self.texts):
@@ -149,7 +158,7 @@ def _search(shared, coverage: float):
             for key, text in zip(batch["key"], batch["text"]):
                 if not text:
                     continue
-                words = vocabulary.of_text(text)
+                words, origins = vocabulary.of_text(text)
                 owners, places, found = items.seeds(words)
                 if not len(owners):
                     continue
@@ -166,8 +175,9 @@ def _search(shared, coverage: float):
                     own = tiles(item, words, places[span], found[span], items.shortest)
                     covered = sum(tile[2] for tile in own)
                     if covered >= coverage * len(item):
+                        own_origins = items.origins[number]
                         rows.append((key, items.keys[number], covered, len(item),
-                                     [{"item_start": i, "doc_start": d, "length": n} for i, d, n in own]))
+                                     [{"item_start": own_origins[i], "doc_start": origins[d], "length": n} for i, d, n in own]))
             yield pd.DataFrame(rows, columns=columns)
 
     return run
@@ -187,8 +197,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COV
                     key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and benchmark item: ``key``, ``item``, ``covered`` and ``words`` (of the item), ``tiles``.
 
-    Words are compared without case and outer punctuation. An item of fewer than ``shortest`` words cannot
-    be told from chance and is contained nowhere; null and empty texts contain nothing and are contained
+    Words are compared without case and outer punctuation. Punctuation that stands alone is no word: it
+    neither parts a tile nor counts in ``covered``, ``words`` and a tile's length, but a tile's starts are
+    places among all that white space parts. An item of fewer than ``shortest`` words cannot be told from
+    chance and is contained nowhere; null and empty texts contain nothing and are contained
     nowhere. Repeated rows and equal or null keys give a row each. The benchmark is searched for in blocks
     of bounded size, each broadcast on its own to one pass over the documents; an empty one gives no row.
     """

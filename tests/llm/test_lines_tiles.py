@@ -85,6 +85,19 @@ def test_passages_and_reordered_passages(spark):
     assert rows[2, 10].covered == len(own) and len(rows[2, 10].tiles) == 2
 
 
+def test_signs_that_stand_alone(spark):
+    item = "What is 12 + 30 - 5 ? Answer : x = 37 ."
+    texts = {1: f"before | it {item} after", 2: item.replace(" +", "").replace(" :", " |"), 3: "What + is + 12 + now"}
+    rows = found(spark, texts, {10: item, 11: "+ - = | : { }"})
+    assert set(rows) == {(1, 10), (2, 10)}
+    assert all((row.covered, row.words) == (8, 8) for row in rows.values())
+    assert [tuple(tile) for tile in rows[1, 10].tiles] == [(0, 3, 8)]
+    cut = found(spark, {1: "= seven | quick foxes : jumped - over x"}, {10: "; zero seven quick foxes jumped over"})
+    assert [tuple(tile) for tile in cut[1, 10].tiles] == [(2, 1, 5)]
+    kept = decontamination.without_contaminated(plain_docs(spark, texts), spark.createDataFrame([(10, item)], "item_id bigint, text string"))
+    assert [row.doc_id for row in kept.collect()] == [3]
+
+
 def tiles_by_definition(item, text, shortest):
     """Wise's greedy tiling as written: all longest matches of unmarked words, round by round."""
     in_item, in_text, kept = [False] * len(item), [False] * len(text), []
