@@ -77,6 +77,19 @@ def test_viterbi_by_brute_force():
     assert segmenter["cheappills"] == ("cheap", "pills")
 
 
+def test_rare_and_long_words_split_hosts(spark):
+    import itertools
+
+    common = ["".join(letters) for letters in itertools.islice(itertools.product("qxzw", repeat=8), 51_000)]
+    longest = "floccinaucinihilipilification"
+    text = " ".join([*common, *common, "cheap", "pills", longest])
+    urls_of = {1: "http://cheap.com/", 2: "http://pills.com/", 3: f"http://{longest}.com/", 4: "http://other.net/es/", 5: "http://other.net/fr/",
+               6: "http://cheappills.org/", 7: "http://cheap-pills.org/", 8: f"http://{longest}cheap.org/", 9: f"http://{longest}-cheap.org/", 10: "http://nothing.org/"}
+    pages = spark.createDataFrame([(key, url, text if key == 1 else "") for key, url in urls_of.items()], "page_id bigint, url string, html string")
+    odds = {row.page_id: row.log_odds for row in urls.judge(pages, URL_RULES).collect()}
+    assert odds[6] == odds[7] > odds[10] and odds[8] == odds[9] > odds[10]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same_rows(spark, name):
     folder = "/root/testdata/sf0.001"
