@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merchlake.session import work_folder
+
 
 def computed_once(short: DataFrame) -> DataFrame:
     """The rows of a page or top-k list, computed once however often the query reads them.
@@ -19,6 +21,16 @@ def computed_once(short: DataFrame) -> DataFrame:
     return listed.filter(F.col("_row").isNotNull()).drop("_row")
 
 
+def written_once(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: for lists of given keys, which no limit bounds.
+
+    They stay a table of any length, and the size of its files tells Spark what may be broadcast.
+    """
+    path = work_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def asked_for(short: DataFrame, key: str, wide: DataFrame, wide_key: str) -> DataFrame:
     """The rows of a large table that a short list asks for: scanned, but neither shuffled nor sorted."""
     keys = short.select(F.col(key).alias("_wanted")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions import first_reason, line_total, to_minor
-from merchlake.operators import asked_for, attach_images, computed_once
+from merchlake.operators import asked_for, attach_images, written_once
 from merchlake.plans.facts import money_columns, newest_first
 from merchlake.sources.payments import expand_lines
 from merchlake.sources.shop import Shop
@@ -29,8 +29,8 @@ def cart_view(shop: Shop, user_id=None) -> DataFrame:
     """
     carts, images = shop.carts, shop.images
     if user_id is not None:
-        # One user's cart is a short list; only its products' images are collected.
-        carts = computed_once(carts.filter(F.col("user_id") == F.lit(user_id)))
+        # Only the images of the cart's products are collected. A cart may be long, so it is written once.
+        carts = written_once(carts.filter(F.col("user_id") == F.lit(user_id)), "asked-cart")
         images = asked_for(carts, "product_id", images, "product_id")
     priced = _priced(shop, carts)
     totals = priced.groupBy(F.col("user_id").alias("_owner")).agg(

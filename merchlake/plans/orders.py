@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlake.functions import from_minor
 from merchlake.operators import (
-    asked_for, attach_images, computed_once, envelope, first_rows, look_up, page, page_per,
+    asked_for, attach_images, computed_once, envelope, first_rows, look_up, page, page_per, written_once,
 )
 from merchlake.plans.facts import money_columns, newest_first
 from merchlake.sources.shop import Shop
@@ -59,15 +59,20 @@ def my_orders(shop: Shop, user_id=None, page_no: int = 1, size: int = 10) -> Dat
     return money_columns(shown.select(*columns, *_PLACE, "delivery_status"), "amount")
 
 
-def order_details(shop: Shop, order_ids: Sequence | None = None) -> DataFrame:
+def order_details(shop: Shop, order_ids: Sequence | DataFrame | None = None) -> DataFrame:
     """The given order lines (or all) with user, delivery, product and images.
 
-    With ids, the lines are a short list, and of every other table only the rows they ask for go on.
+    With ids, a list or a table with a column ``id``, only the rows that the lines ask for go on of every
+    other table. The lines are written once to the shared folder, since very many may be asked for.
     """
     lines = shop.order_lines.select(*_LINE, "quantity", "status", "created_at", "user_id")
     items, images, deliveries, emails = shop.products, shop.images, _deliveries(shop), _emails(shop)
     if order_ids is not None:
-        lines = computed_once(lines.filter(F.col("id").isin(list(order_ids))))
+        if isinstance(order_ids, DataFrame):
+            lines = asked_for(order_ids, "id", lines, "id")
+        else:
+            lines = lines.filter(F.col("id").isin(list(order_ids)))
+        lines = written_once(lines, "asked-lines")
         items, images = asked_for(lines, "product_id", items, "id"), asked_for(lines, "product_id", images, "product_id")
         deliveries, emails = asked_for(lines, "reference", deliveries, "_order"), asked_for(lines, "user_id", emails, "_user")
     products = attach_images(items.select(F.col("id").alias("_product"), "description", "total_stock"), images, "_product")
@@ -88,13 +93,13 @@ def order_details(shop: Shop, order_ids: Sequence | None = None) -> DataFrame:
 def orders_by_reference(shop: Shop, references: Sequence | None = None) -> DataFrame:
     """Order lines of the given checkouts (or all) with product, images and delivery.
 
-    With references, the lines of those checkouts are a short list, and of every other table only the
-    rows they ask for go on.
+    With references, only the rows that the lines of those checkouts ask for go on of every other table.
+    One reference may hold very many lines, so they are written once to the shared folder.
     """
     lines = shop.order_lines.drop("product_name")
     items, images, deliveries = shop.products, shop.images, _deliveries(shop)
     if references is not None:
-        lines = computed_once(lines.filter(F.col("reference").isin(list(references))))
+        lines = written_once(lines.filter(F.col("reference").isin(list(references))), "asked-lines")
         items, images = asked_for(lines, "product_id", items, "id"), asked_for(lines, "product_id", images, "product_id")
         deliveries = asked_for(lines, "reference", deliveries, "_order")
     products = attach_images(

@@ -159,7 +159,7 @@ def _ends(df: DataFrame, column: str) -> list:
 
 def _last_order(shop: Shop) -> dict:
     last = _ends(shop.order_lines, "reference")[1]
-    return {"order_ids": [row.id for row in shop.order_lines.filter(F.col("reference") == last).select("id").collect()]}
+    return {"order_ids": shop.order_lines.filter(F.col("reference") == last).select("id")}
 
 
 _RANGE = {"start": dt.datetime(1996, 3, 10), "end": dt.datetime(1998, 8, 20)}

@@ -80,3 +80,23 @@ def test_keyed_reports_read_only_what_they_ask_for(spark, report, semi_joins):
     text = plan(report(testdata.bind(spark, SMALL)))
     # Each large table is cut down by the short list, which is sent to it.
     assert len(re.findall(r"BroadcastHashJoin [^\n]*LeftSemi", text)) >= semi_joins
+
+
+@pytest.mark.parametrize("report", [
+    lambda shop: orders.orders_by_reference(shop, references=[1]), lambda shop: carts.cart_view(shop, user_id=1),
+    lambda shop: orders.order_details(shop, order_ids=["1-2"]),
+    lambda shop: orders.order_details(shop, order_ids=shop.order_lines.filter("reference = 1").select("id")),
+])
+def test_keyed_lines_are_never_one_value(spark, report):
+    """A reference or user may hold a third of all rows; only a product's images are gathered."""
+    text = plan(report(testdata.bind(spark, SMALL)))
+    assert "scalar-subquery" not in text and "Subquery" not in text
+    assert len(re.findall(r"keys=\[[^\]]*\], functions=\[collect_list", text)) == text.count("functions=[collect_list")
+    assert "keys=[], functions=[collect_list" not in text
+
+
+def test_details_of_ids_in_a_table(spark):
+    shop = testdata.bind(spark, SMALL)
+    ids = shop.order_lines.filter("reference <= 3").select("id")
+    listed = orders.order_details(shop, order_ids=[row.id for row in ids.collect()]).collect()
+    assert listed and sorted(orders.order_details(shop, order_ids=ids.union(ids)).collect()) == sorted(listed)
