@@ -61,9 +61,11 @@ def shard(rows: DataFrame, shards: int, key: str = "doc_id", ties: tuple[str, ..
     Law: the key and the number of shards decide. Rows with equal keys, and all rows with a null key
     (taken as key 0), share a shard. Slots run by a bucket of the key's CRC-32, then by key, then by
     the columns in ``ties``; rows that agree in all of these are interchangeable. The number of buckets
-    follows the number of rows, so no shard is numbered in one task: rows are numbered within (shard,
-    bucket), and bucket counts are summed up per shard. An empty table gives no row. The names ``shard``,
-    ``slot`` and ``grown_shard`` are replaced if the input has them.
+    follows the number of rows. No shard, bucket or key is numbered in one task: the rows are sorted in
+    ranges of all these columns and at last of a number of the row's own, which splits equal rows too;
+    a row's slot is its place among its shard's rows in its range, after those of the ranges before. An
+    empty table gives no row. The names ``shard``, ``slot`` and ``grown_shard`` are replaced if the input
+    has them.
     """
     own = F.col(key)
     number = key_number(own, rows.schema[key].dataType)
@@ -72,11 +74,13 @@ def shard(rows: DataFrame, shards: int, key: str = "doc_id", ties: tuple[str, ..
     # Written once: the hash chain is not repeated for the counts and the numbering.
     placed = staged(rows.select(as_row(rows, ("shard", "slot", "grown_shard")), *order, jump_shard(number, shards).alias("shard"),
                                 jump_shard(number, shards + 1).alias("grown_shard"),
-                                (F.coalesce(crc32_text(own), F.lit(0)) % buckets).alias("_bucket")), "shards")
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_count"))
-    earlier = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select("shard", "_bucket", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("shard", "_bucket").orderBy("_key", *[f"_tie{at}" for at in range(len(ties))])
-    numbered = placed.withColumn("_number", F.row_number().over(inside) - 1)
-    found = numbered.join(bases, ["shard", "_bucket"])
-    return found.select("_row.*", "shard", (F.col("_base") + F.col("_number")).cast("bigint").alias("slot"), "grown_shard")
+                                (F.coalesce(crc32_text(own), F.lit(0)) % buckets).alias("_bucket"), F.monotonically_increasing_id().alias("_own")), "shards")
+    by = ["shard", "_bucket", "_key", *[f"_tie{at}" for at in range(len(ties))], "_own"]
+    ordered = placed.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    # The place's upper bits are the range; written once, so that no other sort can give it anew.
+    ranged = staged(ordered.select("_row", "shard", "grown_shard", F.shiftright("_place", 33).alias("_range"), "_place"), "slots")
+    counts = ranged.groupBy("shard", "_range").agg(F.count("*").alias("_count"), F.min("_place").alias("_first"))
+    earlier = W.partitionBy("shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select("shard", "_range", (F.coalesce(F.sum("_count").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
+    found = ranged.join(bases, ["shard", "_range"])
+    return found.select("_row.*", "shard", (F.col("_base") + F.col("_place")).cast("bigint").alias("slot"), "grown_shard")

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import no_docs, odd_docs, odd_rows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from merchlake.llm import packing, sharding
@@ -85,6 +86,21 @@ def test_slots_and_growth(spark):
     assert len({row.shard for row in rows if row.doc_id == 2}) == 1
 
 
+def test_a_hot_key_is_numbered_in_many_tasks(spark):
+    """All rows have one key, or none, and many are equal: the slots' order holds, and no window sees a row's key."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("bigint").alias("doc_id"), (F.col("id") % 5000).alias("size"))
+    placed = sharding.shard(rows, 4, ties=("size",))
+    got = placed.collect()
+    for shard in {row.shard for row in got}:
+        own = sorted((row for row in got if row.shard == shard), key=lambda row: row.slot)
+        assert [row.slot for row in own] == list(range(len(own)))
+    for key in (7, None):
+        own = sorted((row for row in got if row.doc_id == key), key=lambda row: row.slot)
+        assert len(own) == 20_000 and [row["size"] for row in own] == sorted(row["size"] for row in own)
+    text = placed._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in text and "_bucket" not in text
+
+
 def test_text_keys_move_to_the_new_shard_only(spark):
     frame = spark.range(2000).selectExpr("concat('k', id) as doc_id")
     rows = sharding.shard(frame, 10).collect()
