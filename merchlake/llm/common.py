@@ -75,6 +75,16 @@ def labelled_sample(labels: DataFrame, label: str, keep: Column, bound: int) ->
     return F.broadcast(near.orderBy(F.pmod(F.xxhash64("_key"), F.lit(2**31)), "_key").limit(bound))
 
 
+def sampled_rows(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row (_key, _text, _label) for each sampled key: of equal keys the text of the smallest hash.
+
+    So the sample's bound is one of rows, however often a key repeats.
+    """
+    text = F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text")).alias("_t")
+    one = rows.select("_key", "_text").join(chosen, "_key").groupBy("_key").agg(text, F.min("_label").alias("_label"))
+    return staged(one.select("_key", "_t._text", "_label"), "sample")
+
+
 def text_batches(texts: list, chars: int, rows: int) -> Iterator[tuple[int, int]]:
     """Spans (from, to) over a list of texts, each of bounded size unless one text alone exceeds it."""
     start, size = 0, 0

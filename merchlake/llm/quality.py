@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import labelled_sample, staged, summed_vector, text_batches, vector_rows
+from merchlake.llm.common import labelled_sample, sampled_rows, summed_vector, text_batches, vector_rows
 
 GRAMS, SHAPES, STEPS = 1536, 384, 16
 TERMS = GRAMS + SHAPES + 2 * STEPS
@@ -111,34 +111,36 @@ class Model:
 
 
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents per term of this partition (and of all, in the last place), and the vectors of its labelled documents."""
+    """Documents per term of this partition (and of all, in the last place)."""
     totals = np.zeros(TERMS + 1, np.int64)
     for batch in batches:
-        texts, labels = [text or "" for text in batch["_text"]], batch["_label"].to_numpy(float)
+        texts = [text or "" for text in batch["_text"]]
         for start, end in text_batches(texts, BATCH_CHARS, BATCH_TEXTS):
-            raw = raw_vectors(texts[start:end])
-            totals[:-1] += (raw > 0).sum(axis=0)
+            totals[:-1] += (raw_vectors(texts[start:end]) > 0).sum(axis=0)
             totals[-1] += end - start
-            kept = np.flatnonzero(~np.isnan(labels[start:end]))
-            if len(kept):
-                yield pd.DataFrame({"slice": -1, "values": [raw[at].astype(np.float16).tobytes() for at in kept],
-                                    "label": labels[start:end][kept]})
-    yield vector_rows(totals).assign(label=np.nan)
+    yield vector_rows(totals)
+
+
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts, labels = [text or "" for text in batch["_text"]], batch["_label"].to_numpy(float)
+        for start, end in text_batches(texts, BATCH_CHARS, BATCH_TEXTS):
+            raw = raw_vectors(texts[start:end]).astype(np.float16)
+            yield pd.DataFrame({"values": [one.tobytes() for one in raw], "label": labels[start:end]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
     """Learn from at most ``SAMPLE`` labelled documents where ``learn`` (over ``labels``) holds.
 
     Inverse document frequencies count every document. To the driver come one vector of counts
-    and the sample's vectors, from which it computes the latent directions.
+    and the sample's vectors, one a key, from which it computes the latent directions.
     """
     chosen = labelled_sample(labels, label, learn, SAMPLE)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key", "left")
-    found = staged(rows.select("_text", F.col("_label").cast("double")).mapInPandas(
-        _survey, "slice int, values binary, label double"), "quality")
-    totals = summed_vector(found.filter("slice >= 0").select("slice", "values"), TERMS + 1)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    totals = summed_vector(rows.select("_text").mapInPandas(_survey, "slice int, values binary"), TERMS + 1)
     frequency, documents = totals[:-1], int(totals[-1])
-    sample = found.filter("slice < 0").select("label", "values").orderBy(F.crc32("values"), "values", "label").toPandas()
+    vectors = sampled_rows(rows, chosen).select("_text", "_label").mapInPandas(_vectors, "values binary, label double")
+    sample = vectors.orderBy(F.crc32("values"), "values", "label").toPandas()
     weights = (np.log((documents + 1.0) / (frequency + 1.0)) + 0.2).astype(np.float32)
     labels_of = sample["label"].to_numpy(np.float64)
     if not len(labels_of):

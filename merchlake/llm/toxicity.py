@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import labelled_sample, summed_vector, vector_rows
+from merchlake.llm.common import labelled_sample, sampled_rows, summed_vector, vector_rows
 
 BUCKETS = 2**17  # words by hash, so that the model's size does not follow the vocabulary
 PRIOR_SHARE = 2.0  # weight of the corpus frequencies, in times the words of the toxic documents
@@ -101,15 +101,13 @@ class Model:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents by bucket: all, toxic and clean ones."""
+    """Documents by bucket: those without a label, which are the whole corpus, toxic and clean ones."""
     words, totals = Buckets(), np.zeros((3, BUCKETS), np.int64)
     for batch in batches:
         for text, label in zip(batch["_text"], batch["_label"].tolist()):
             # A word counts once per document, so a passage repeated within one adds no evidence.
             counted = np.unique(words.of_text(text))
-            totals[0, counted] += 1
-            if label == label:
-                totals[1 if label else 2, counted] += 1
+            totals[0 if label != label else 1 if label else 2, counted] += 1
     yield vector_rows(totals)
 
 
@@ -155,14 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     """Learn from labelled documents where ``learn`` (over ``labels``) holds.
 
     Word frequencies cover every text of ``docs``; the classes are counted over at most ``SAMPLE``
-    labelled documents. What comes to the driver is the table of buckets and one short row per sampled
-    document. Without documents of both labels every text gets the score 0.
+    labelled documents, one text a key. What comes to the driver is the table of buckets and one short
+    row per sampled document. Without documents of both labels every text gets the score 0.
     """
     spark = docs.sparkSession
     chosen = labelled_sample(labels, label, learn, SAMPLE)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    counts = rows.join(chosen, "_key", "left").select("_text", F.col("_label").cast("double")).mapInPandas(
-        _count, "slice int, values binary")
+    sample = sampled_rows(rows, chosen)
+    every = rows.select("_text", F.lit(None).cast("double").alias("_label"))
+    counts = every.union(sample.select("_text", F.col("_label").cast("double"))).mapInPandas(_count, "slice int, values binary")
     table = summed_vector(counts, 3 * BUCKETS).reshape(3, BUCKETS).astype(float)
     if not table[1].sum() or not table[2].sum():
         return Model(np.full(BUCKETS, -MARGIN, np.float32), 1.0, 1.0, np.array([0.0]), np.array([0.0]))
@@ -180,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     # The labelled documents are known, so only their texts go to Python. The best segments are kept,
     # enough for the sum statistic.
     best_first = F.slice(F.sort_array("_m.segments", asc=False), 1, 64)
-    seen = rows.join(chosen, "_key").select("_label", measure("_text").alias("_m")).select(
+    seen = sample.select("_label", measure("_text").alias("_m")).select(
         "_label", best_first.alias("segments"), "_m.words").toPandas()
     label_of, words = seen["_label"].to_numpy(float), seen["words"].to_numpy(float)
     best = np.array([segments[0] if len(segments) else 0.0 for segments in seen["segments"]])

@@ -3,7 +3,7 @@ import pytest
 from helpers import DOCS, labels_of, no_docs, odd_docs, odd_rows, plain_docs
 from pyspark.sql import functions as F
 
-from merchlake.llm import language, quality, toxicity
+from merchlake.llm import common, language, quality, toxicity
 from merchlake.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -121,3 +121,17 @@ def test_nearest_neighbours_by_brute_force(spark):
 
 def test_clashing_schema_stays(spark):
     assert odd_docs(spark).schema.simpleString() == spark.createDataFrame([], DOCS).schema.simpleString()
+
+
+def test_a_sampled_key_brings_one_row(spark):
+    """A key that repeats brings neither its rows' vectors nor their segments to the driver more than once."""
+    texts = [f"clean words number {at} of many here" for at in range(20)] + [f"nasty vile words number {at}" for at in range(20)]
+    rows = [(at, text) for at, text in enumerate(texts)] + [(3, f"repeated text {at % 7}") for at in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = labels_of(spark, [(at, int(at < 20), int(at >= 20)) for at in range(40)])
+    model = quality.fit(docs, labels, F.lit(True))
+    assert len(model.labels) == len(model.vectors) == 40 and sum(model.labels) == 20
+    again = quality.fit(docs.orderBy(F.desc("text")), labels, F.lit(True))
+    assert (again.vectors == model.vectors).all()
+    sample = common.sampled_rows(docs.toDF("_key", "_text"), common.labelled_sample(labels, "toxic", F.lit(True), 40))
+    assert sample.count() == 40 and sample.filter("_label = 1").count() == 20
