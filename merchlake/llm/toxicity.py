@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import labelled_sample, sampled_rows, summed_vector, vector_rows
+from merchlake.llm.common import labelled_sample, sampled_rows, staged, summed_vector, vector_rows
 
 BUCKETS = 2**17  # words by hash, so that the model's size does not follow the vocabulary
 PRIOR_SHARE = 2.0  # weight of the corpus frequencies, in times the words of the toxic documents
@@ -176,21 +176,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
             yield pd.DataFrame({"segments": [[segment[2] for segment in maximal_segments(one)] for one in own],
                                 "words": [len(one) for one in own]})
 
-    # The labelled documents are known, so only their texts go to Python. The best segments are kept,
-    # enough for the sum statistic.
-    best_first = F.slice(F.sort_array("_m.segments", asc=False), 1, 64)
-    seen = sample.select("_label", measure("_text").alias("_m")).select(
-        "_label", best_first.alias("segments"), "_m.words").toPandas()
-    label_of, words = seen["_label"].to_numpy(float), seen["words"].to_numpy(float)
-    best = np.array([segments[0] if len(segments) else 0.0 for segments in seen["segments"]])
+    # The labelled documents are known, so only their texts go to Python. Their segments stay in a table:
+    # the best of each give the law, and with the law all of each give the evidence.
+    measured = staged(sample.select("_label", measure("_text").alias("_m")).select("_label", "_m.segments", "_m.words"), "segments")
+    seen = measured.select("_label", "words", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("best")).toPandas()
+    label_of, words, best = (seen[name].to_numpy(float) for name in ("_label", "words", "best"))
     # The law is that of clean text: all words' frequencies without those of toxic documents.
     background = np.maximum(table[0] - table[1], 0) + 1e-9
     decay = decay_of(scores.astype(float), background / background.sum())
     clean = (label_of == 0) & (words > 0)
     factor = float(np.exp(np.mean(decay * best[clean] - np.log(words[clean])) - np.euler_gamma)) if clean.any() else 1.0
     model = Model(scores, decay, factor, np.array([0.0]), np.array([0.0]))
-    evidence = np.array([model.evidence_of(list(found), n) for found, n in zip(seen["segments"], words)])
-    model.evidence, model.probability = isotonic(evidence, label_of)
+    law = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def evidence_of(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for segments, lengths in columns:
+            yield pd.Series([law.value.evidence_of(list(found), n) for found, n in zip(segments, lengths)], dtype=float)
+
+    judged = measured.select("_label", evidence_of("segments", "words").alias("evidence")).toPandas()
+    model.evidence, model.probability = isotonic(judged["evidence"].to_numpy(float), judged["_label"].to_numpy(float))
     return model
 
 
@@ -211,8 +216,7 @@ def scorer(model: Model, spark):
             for text in column:
                 found = own.scores[words.of_text(text)]
                 segments = maximal_segments(found)
-                best = sorted((segment[2] for segment in segments), reverse=True)[:64]
-                scores.append(float(own.probability_of(own.evidence_of(best, len(found)))))
+                scores.append(float(own.probability_of(own.evidence_of([segment[2] for segment in segments], len(found)))))
                 chances = [float(-np.expm1(-np.exp(own.logs(segment[2], len(found))))) for segment in segments]
                 passages.append([{"first": a, "after": b, "log_odds": s, "chance": p}
                                  for (a, b, s), p in zip(segments, chances) if p < SIGNIFICANT])

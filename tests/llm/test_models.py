@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from helpers import DOCS, labels_of, no_docs, odd_docs, odd_rows, plain_docs
+from helpers import DOCS, labels_of, no_docs, odd_docs, odd_rows, plain_docs, words
 from pyspark.sql import functions as F
 
 from merchlake.llm import common, language, quality, toxicity
@@ -135,3 +135,17 @@ def test_a_sampled_key_brings_one_row(spark):
     assert (again.vectors == model.vectors).all()
     sample = common.sampled_rows(docs.toDF("_key", "_text"), common.labelled_sample(labels, "toxic", F.lit(True), 40))
     assert sample.count() == 40 and sample.filter("_label = 1").count() == 20
+
+
+def test_every_segment_counts_in_fitting(spark):
+    """A text with more than 64 toxic stretches is weighed by all of them."""
+    clean = words(5, 40)
+    long = " ".join(" ".join(["vile", "nasty", *(clean[(at + step) % 40] for step in range(12))]) for at in range(200))
+    texts = {at: " ".join(words(at, 80) + clean) for at in range(30)} | {at: long if at == 30 else f"vile nasty {' '.join(words(at, 60))}" for at in range(30, 60)}
+    docs = plain_docs(spark, texts)
+    model = toxicity.fit(docs, labels_of(spark, [(at, 0, int(at >= 30)) for at in range(60)]), F.lit(True))
+    found = model.scores[toxicity.Buckets().of_text(long)]
+    segments = [segment[2] for segment in toxicity.maximal_segments(found)]
+    assert len(segments) > 64
+    assert np.isclose(model.evidence.max(), model.evidence_of(segments, len(found)), rtol=1e-6)
+    assert model.evidence.max() > model.evidence_of(sorted(segments)[-64:], len(found)) + 1
