@@ -8,6 +8,8 @@ falls below the k-th best score, the block is done.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,6 +60,36 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
 
+def search_exactly(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """As ``search_block``, by full products of whole numbers of any length, for the few vectors that need them."""
+    found = []
+    whole = vectors.astype(object)
+    for query, own in zip(queries.astype(object), query_ids.tolist()):
+        scores = whole @ query
+        best = sorted((-score, other) for score, other in zip(scores.tolist(), ids.tolist()) if other != own)[:k]
+        found.extend((own, other, -score) for score, other in best)
+    return found
+
+
+def search_any(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of one block for each query, with ``fits``: whether the score fits a long.
+
+    Vectors whose products with each other stay within 64 bits are searched by lists; products with a
+    longer one are whole numbers of any length. A score below a long's least stands as that.
+    """
+    limit = math.isqrt((2**63 - 1) // vectors.shape[1])
+    wide, asks_wide = ((peaks.max(axis=1) > limit) | (peaks.min(axis=1) < -limit) for peaks in (vectors, queries))
+    near = search_block(vectors[~wide], ids[~wide], queries[~asks_wide], query_ids[~asks_wide], k).assign(fits=True)
+    far = search_exactly(vectors[wide], ids[wide], queries[~asks_wide], query_ids[~asks_wide], k) if wide.any() else []
+    far += search_exactly(vectors, ids, queries[asks_wide], query_ids[asks_wide], k)
+    for own, other, score in far:
+        if score >= 2**63:
+            # It is among the k best, or k others above it do not fit either.
+            raise OverflowError(f"the inner product of vectors {own} and {other} does not fit a long: {score}")
+    rest = pd.DataFrame([(own, other, max(score, -2**63), score >= -2**63) for own, other, score in far], columns=["query_id", "vec_id", "score", "fits"])
+    return pd.concat((near, rest.astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "fits": "bool"})), ignore_index=True) if far else near
+
+
 def _matrix(values: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(values), width), np.int64)
     for at, value in enumerate(values):
@@ -69,15 +101,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """The k highest integer inner products of every query with all other vectors.
 
     Components become floor(scale * x). ``is_query`` picks the queries among the rows. Vectors that are
-    null, hold a null or a non-finite component, have no key, or a component beyond 2^26 after scaling (the
-    product could leave 64 bits) take no part; a shorter vector counts as filled up with zeros. A query is
+    null, hold a null or a non-finite component, have no key, or a component that does not fit a long after
+    scaling take no part. All others do; a score that does not fit a long is refused by name. A shorter vector counts as filled up with zeros. A query is
     not compared with rows of its own key; rows with equal keys are candidates each. Returns ``query_id``,
     ``rank`` (from 1), ``vec_id``, ``score``; fewer than k rows where there are fewer candidates.
 
     Blocks of vectors meet blocks of queries; both have a bounded number of rows.
     """
     number = F.transform(F.col(vector), lambda x: F.col("_scale") * x.cast("double"))
-    bounded = F.forall(number, lambda x: F.coalesce((F.abs(x) <= 2.0**26) & ~F.isnan(x), F.lit(False)))
+    bounded = F.forall(number, lambda x: F.coalesce((x >= -2.0**63) & (x < 2.0**63) & ~F.isnan(x), F.lit(False)))
     whole = F.transform(number, lambda x: F.floor(x).cast("bigint"))
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector), is_query.alias("asked")).withColumn("_scale", F.lit(scale))
     rows = rows.filter(F.col("id").isNotNull() & F.col(vector).isNotNull() & bounded).select("id", whole.alias("v"), F.coalesce("asked", F.lit(False)).alias("asked"))
@@ -90,11 +122,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     def search(own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         if own.empty or questions.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        return search_block(_matrix(own["v"], width), own["id"].to_numpy(np.int64), _matrix(questions["v"], width),
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "fits": []}, dtype=np.int64).astype({"fits": "bool"})
+        return search_any(_matrix(own["v"], width), own["id"].to_numpy(np.int64), _matrix(questions["v"], width),
                             questions["id"].to_numpy(np.int64), k)
 
     found = held.groupBy("block", "chunk").cogroup(queries.groupBy("block", "chunk")).applyInPandas(
-        search, "query_id bigint, vec_id bigint, score bigint")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        search, "query_id bigint, vec_id bigint, score bigint, fits boolean")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("fits"), "vec_id")))
+    refused = F.raise_error(F.concat(F.lit("the inner product does not fit a long, of vectors "), F.col("query_id"), F.lit(" and "), F.col("vec_id")))
+    score = F.when(F.col("fits"), F.col("score")).otherwise(refused.cast("bigint")).alias("score")
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)

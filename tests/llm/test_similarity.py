@@ -123,6 +123,21 @@ def test_top_k_by_brute_force(spark, monkeypatch):
         assert got[query] == [(at, score) for score, at in scores]
 
 
+def test_top_k_of_long_components(spark):
+    rows = [(0, [1.0, 2.0], 0, 0), (1, [300000.0, 1.0], 0, 0), (2, [2.0**24, -1.0], 0, 0), (3, [1.0, 1.0], 0, 0), (50, [300000.0, 0.0], 0, 0),
+            (4, [-2.0**54, 0.0], 0, 0)]
+    frame = vectors_of(spark, rows)
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(frame, frame.vec_id % 50 == 0, k=4).orderBy("query_id", "rank").collect()]
+    whole = {key: [int(256 * x) for x in vector] for key, vector, *_ in rows}
+    for query in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[query], whole[key])), key) for key in whole if key != query)[:4]
+        assert [(v, s) for q, v, s in got if q == query] == [(key, -score) for score, key in scores]
+    for vector in ([2.0**54, 0.0], [-2.0**54, 0.0]):
+        frame = vectors_of(spark, [(50, [300000.0, 0.0], 0, 0), (1, vector, 0, 0)])
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.top_k(frame, frame.vec_id % 50 == 0).collect()
+
+
 def test_top_k_of_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 2.0], 0, 0), (50, [0.5, -1.0], 0, 0), (51, [1.0, 1.0], 0, 0), (51, [1.0, 1.0], 0, 0), (52, None, 0, 0), (53, [1.0, None], 0, 0),
