@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontamination, language, lines, packing, quality, sharding, similarity, topk, toxicity, urls
+from merchlake.llm import decontamination, language, lines, negatives, packing, quality, sharding, similarity, topk, toxicity, urls
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -100,3 +100,9 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = lines.dedupe(_table(spark, folder, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "lines_removed", F.length("text").cast("bigint").alias("chars_left"), crc32_text(F.col("text")).alias("text_crc32"))
+
+
+@_query
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, noisy)

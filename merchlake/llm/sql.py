@@ -57,4 +57,26 @@ scores as (
   where a.vec_id % 50 = 0 group by all)
 select query_id, rank::int as rank, vec_id, score::bigint as score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5""",
+    "op13_negatives": """
+with named as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding from embeddings),
+whole as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from named
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+components as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as d from whole),
+products as (
+  select a.vec_id as anchor_id, b.vec_id, sum(a.x * b.x)::bigint as score
+  from components a join components b on a.d = b.d and a.vec_id <> b.vec_id
+  where a.vec_id % 100 = 0 group by all),
+scores as (
+  select p.*, a.label = b.label as same from products p
+  join whole a on a.vec_id = p.anchor_id join whole b on b.vec_id = p.vec_id),
+positives as (
+  select * from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+  row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)::int as rank,
+  n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n on n.anchor_id = p.anchor_id and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10""",
 }
