@@ -76,14 +76,14 @@ class WordIds(dict):
 
 
 @functools.lru_cache(maxsize=1)
-def _word_ids(tokenizer_json: str, ranks_file: str) -> WordIds:
+def word_ids(tokenizer_json: str, ranks_file: str) -> WordIds:
     return WordIds(tokenizer_json, ranks_file)
 
 
 def _tokenise(files: tuple[str, str], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, before = TaskContext.get().partitionId(), 0
     end = int(end_id).to_bytes(4, "little")
-    words = _word_ids(*files)
+    words = word_ids(*files)
 
     def batch(rows: list, keys: pa.Array) -> pa.RecordBatch:
         ids, starts = [row[0] for row in rows], [row[1] for row in rows]

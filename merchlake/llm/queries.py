@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontamination, language, lines, negatives, packing, quality, sharding, similarity, topk, toxicity, urls
+from merchlake.llm import bestfit, decontamination, language, lines, negatives, packing, quality, sharding, similarity, topk, toxicity, urls
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -106,3 +106,12 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, noisy)
+
+
+@_query
+def op12_bestfit(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = bestfit.pack(_table(spark, folder, "documents"), *files, length=1024, end_id=2)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
