@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import bestfit, decontamination, language, lines, negatives, packing, quality, sharding, similarity, topk, toxicity, urls
+from merchlake.llm import bestfit, decontamination, language, lines, negatives, packing, quality, sharding, similarity, spelling, topk, toxicity, urls
 from merchlake.llm.common import crc32_text
 from merchlake.llm.sql import ORACLES  # noqa: F401
 
@@ -108,6 +108,11 @@ def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, noisy)
 
 
+@_query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 @_query
 def op12_bestfit(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

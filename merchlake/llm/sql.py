@@ -79,4 +79,29 @@ select p.anchor_id, p.vec_id as positive_id,
   n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
 from positives p join scores n on n.anchor_id = p.anchor_id and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
 qualify rank <= 10""",
+    "op11_spelling": f"""
+with recursive {CRC32},
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents),
+each as (select doc_id, run, count(*) as times from runs where length(run) >= 7 group by all),
+hashed as (select *, {crc32("hex(encode(coalesce(doc_id::varchar, '') || ':' || run))")} as h from each, remainders),
+changed as (
+  select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from hashed),
+words as (select word, sum(times)::bigint as n from changed where length(word) >= 7 group by word having sum(times) >= 2),
+places as (select word, n, unnest(range(1, length(word) + 1)) as pos from words),
+gaps as (select word, n, substr(word, 1, pos - 1) as head, substr(word, pos + 1) as tail from places),
+near as (
+  select a.word, b.word as other, b.n from gaps a join gaps b on a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union select g.word, w.word, w.n from gaps g join words w on w.word = g.head || g.tail
+  union select w.word, g.word, g.n from gaps g join words w on w.word = g.head || g.tail),
+best as (select word, count(*) as n_near, arg_min(other, struct_pack(a := -n, b := encode(other))) as other, max(n) as other_n from near group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * w.n then other end as form, case when other_n >= 10 * w.n then other_n end as form_n
+  from words w left join best using (word)),
+chains as (
+  select word, word as root from forms
+  union all select c.word, f.form from chains c join forms f on f.word = c.root where f.form is not null),
+ends as (select c.word, c.root from chains c join forms f on f.word = c.root where f.form is null)
+select f.word, form, root, n, n_near, form_n from forms f join ends using (word)""",
 }
