@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merchlake.llm.common import staged
-from merchlake.llm.packing import word_ids
+from merchlake.llm.packing import text_ids
 
 BATCH_BYTES = 4_000_000
 BROADCAST_PARTITIONS = 2000  # partitions up to which the numbers before each (8 bytes a length) are broadcast
@@ -192,7 +192,7 @@ class Plan:
 
 def _tokenise(files: tuple[str, str], end_id: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their ids, the size of the first piece, and how many such (or full) ones came before in the partition."""
-    part, end, words = TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little"), word_ids(*files)
+    part, end, known = TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little"), text_ids(*files)
     before, full = np.zeros(length, np.int64), 0
     names = ["_key", "_part", "_n", "_first", "_number", "_full", "_ids"]
 
@@ -205,7 +205,7 @@ def _tokenise(files: tuple[str, str], end_id: int, length: int, batches: Iterato
         keys, rows, start, size = incoming.column(0), [], 0, 0
         for at, text in enumerate(incoming.column(1)):
             text = text.as_py()
-            ids = (words.of_text(text) if text else b"") + end
+            ids = (known.of_text(text) if text else b"") + end
             n = len(ids) // 4
             first = n % length
             rows.append((n, first, int(before[first]) if first else None, full, ids))

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +23,14 @@ from pyspark.sql import functions as F
 from merchlake.llm.common import staged
 
 BLOCK = 1024
-# Words kept per worker process; at the bound the cache starts anew, so its size never follows the data.
-CACHED_WORDS = 300_000
-LONGEST_CACHED = 40
+BROADCAST_PARTITIONS = 500_000  # partitions up to which their offsets (some 20 bytes each) are broadcast
 
-# A cut in front of a single space between two visible characters always lies between two words of the tokenizer.
-BORDER = re.compile(r"(?<=\S) (?=\S)")
-WIDE_SPACE = re.compile(r"\s\s")
 
+class TextIds:
+    """Little-endian 32-bit ids of a text, as the JSON tokenizer gives them.
 
-class WordIds(dict):
-    """Little-endian 32-bit ids by word (with the space before it), as the JSON tokenizer gives them.
-
-    Most words are encoded by the ranks file of the same vocabulary, which is several times faster;
-    a word that holds a special token goes to the tokenizer itself.
+    Texts are encoded by the ranks file of the same vocabulary, which is several times faster; a text that
+    holds a special token goes to the tokenizer itself.
     """
 
     def __init__(self, tokenizer_json: str, ranks_file: str):
@@ -43,7 +38,6 @@ class WordIds(dict):
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.exact = Tokenizer.from_file(tokenizer_json)
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
@@ -53,37 +47,23 @@ class WordIds(dict):
         if self.exact.encode(probe, add_special_tokens=False).ids != self.fast.encode_ordinary(probe):
             raise ValueError(f"{ranks_file} does not hold the vocabulary of {tokenizer_json}")
 
-    def encode(self, word: str) -> bytes:
-        if any(token in word for token in self.special):
-            ids = self.exact.encode(word, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(word)
-        return np.asarray(ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        value = self.encode(word)
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
     def of_text(self, text: str) -> bytes:
-        words = BORDER.split(text) if WIDE_SPACE.search(text) else text.split(" ")
-        ids = [self[words[0]]] if words[0] else []
-        ids += [self[" " + word] for word in words[1:]]
-        return b"".join(ids)
+        if any(token in text for token in self.special):
+            ids = self.exact.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(tokenizer_json: str, ranks_file: str) -> WordIds:
-    return WordIds(tokenizer_json, ranks_file)
+def text_ids(tokenizer_json: str, ranks_file: str) -> TextIds:
+    return TextIds(tokenizer_json, ranks_file)
 
 
 def _tokenise(files: tuple[str, str], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, before = TaskContext.get().partitionId(), 0
     end = int(end_id).to_bytes(4, "little")
-    words = word_ids(*files)
+    known = text_ids(*files)
 
     def batch(rows: list, keys: pa.Array) -> pa.RecordBatch:
         ids, starts = [row[0] for row in rows], [row[1] for row in rows]
@@ -96,7 +76,7 @@ def _tokenise(files: tuple[str, str], end_id: int, batches: Iterator[pa.RecordBa
         keys, rows, first, size = incoming.column(0), [], 0, 0
         for at, text in enumerate(incoming.column(1)):
             text = text.as_py()
-            ids = (words.of_text(text) if text else b"") + end
+            ids = (known.of_text(text) if text else b"") + end
             rows.append((ids, before))
             before += len(ids) // 4
             size += len(ids)
@@ -138,7 +118,10 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks_file: str, length: int = 10
     tokens = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
         lambda batches: _tokenise(files, end_id, batches), schema)
     tokens = staged(tokens, "tokens")
-    placed = tokens.join(partition_offsets(tokens), F.col("_part") == F.col("_of"))
+    # One short row for each partition of the input; without the hint all ids would be shuffled to meet them.
+    offsets = partition_offsets(tokens)
+    few = (tokens.agg(F.max("_part")).first()[0] or 0) < BROADCAST_PARTITIONS
+    placed = tokens.join(F.broadcast(offsets) if few else offsets, F.col("_part") == F.col("_of"))
     at = F.col("_base") + F.col("_before")
     first, last = F.floor(at / length), F.floor((at + F.col("_n") - 1) / length)
 

@@ -49,8 +49,8 @@ def test_sequences_are_padded(spark):
 
 
 @pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "x\n\n y \t z", "it's <|endoftext|> done", "\u00a0 wide\u3000gap", "1 22 333", "don't\r\nstop"])
-def test_words_apart_equal_whole_text(tokenizer, text):
-    own = packing.WordIds(*FILES)
+def test_ids_are_the_tokenizers(tokenizer, text):
+    own = packing.TextIds(*FILES)
     assert np.frombuffer(own.of_text(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
