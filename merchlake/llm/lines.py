@@ -19,6 +19,7 @@ from merchlake.llm.common import as_row, interim, staged
 
 MIN_WORDS = 50
 RANK_BUCKETS = 4096
+BITMAP_BITS = 25  # a bitmap of 4 MB marks the keys of documents that lose lines
 PLACE = ["_key", "_doc", "_pos"]
 
 
@@ -139,15 +140,36 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
         "_key", "_doc", "start", "lines", F.col("_origin._key").alias("first_key"), F.col("_origin.start").alias("first_start"))
 
 
-def removed_lines(copies: DataFrame) -> DataFrame:
-    """Per document: the line numbers to delete, ascending, from stretches that may overlap."""
+def removed_spans(copies: DataFrame) -> DataFrame:
+    """Per document: the spans (a, b) of lines to delete, ascending and apart, from stretches that may overlap."""
     order = W.partitionBy("_key", "_doc").orderBy("start", "lines")
     reach = F.max(F.col("start") + F.col("lines")).over(order.rowsBetween(W.unboundedPreceding, -1))
     fresh = copies.withColumn("_from", F.greatest(F.col("start"), F.coalesce(reach, F.lit(0))))
     spans = fresh.filter(F.col("_from") < F.col("start") + F.col("lines"))
     spans = spans.select("_key", "_doc", F.struct(F.col("_from").alias("a"), (F.col("start") + F.col("lines") - 1).alias("b")).alias("_span"))
-    grouped = spans.groupBy("_key", "_doc").agg(F.array_sort(F.collect_list("_span")).alias("_spans"))
-    return grouped.select("_key", "_doc", F.flatten(F.transform("_spans", lambda span: F.sequence(span["a"], span["b"]))).alias("_removed"))
+    return spans.groupBy("_key", "_doc").agg(F.array_sort(F.collect_list("_span")).alias("_spans"))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """A text without the lines of these spans, in time that follows the number of lines and spans.
+
+    Lines and spans stand in a list of one, so that they are made once and not again for each part that stays.
+    """
+    def cleaned(one: Column) -> Column:
+        lines, gone = one["lines"], one["gone"]
+
+        def kept(at: Column) -> Column:
+            start = F.when(at == 0, 0).otherwise(F.get(gone, at - 1)["b"] + 1)
+            return F.struct(start.alias("start"), (F.coalesce(F.get(gone, at)["a"], F.size(lines)) - start).alias("count"))
+
+        parts = F.filter(F.transform(F.sequence(F.lit(0), F.size(gone)), kept), lambda part: part["count"] > 0)
+        return F.array_join(F.transform(parts, lambda part: F.array_join(F.slice(lines, part["start"] + 1, part["count"]), "\n")), "\n")
+
+    return F.get(F.transform(F.array(F.struct(F.split(text, "\n", -1).alias("lines"), spans.alias("gone"))), cleaned), F.lit(0))
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(2**BITMAP_BITS))
 
 
 def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counter: str = "lines_removed") -> DataFrame:
@@ -160,15 +182,22 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", tex
     different texts are different documents, and a null key comes before all others. A null text stays
     null with no line removed, an empty one stays empty. A text that loses all its lines becomes empty.
     A column named like the counter is replaced; all others are kept whatever their names.
+
+    Only rows whose key falls on the bit of a document that loses lines are shuffled to be joined with its
+    spans; the bitmap has a fixed size, and the join decides.
     """
     with interim(docs.sparkSession):
-        removed = staged(removed_lines(later_copies(docs, min_words, key, text)), "removed", keep=True)
-    rows = docs.select(as_row(docs, (counter.lower(),)), F.col(key).alias("_id"), F.col(text).alias("_text"))
+        removed = staged(removed_spans(later_copies(docs, min_words, key, text)), "removed", keep=True)
+    pages = removed.select(_bit(F.col("_key")).alias("_b")).groupBy(F.shiftright("_b", 15).alias("_page")).agg(
+        F.bitmap_construct_agg(F.col("_b") % 2**15).alias("_bits"))
+    rows = docs.select(as_row(docs, (counter.lower(),)), F.col(key).alias("_id"), F.col(text).alias("_text"), _bit(F.col(key)).alias("_b"))
+    marked = rows.join(F.broadcast(pages), F.shiftright("_b", 15) == F.col("_page"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_b") % 2**15 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("_marked", F.coalesce(F.bit_get(byte, (F.col("_b") % 8).cast("int")) == 1, F.lit(False))).drop("_bits", "_page", "_b")
     same = F.col("_id").eqNullSafe(F.col("_key")) & (_doc_id(F.col("_text")) == F.col("_doc"))
-    joined = rows.join(removed, same, "left")
-    lines = F.split("_text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
-    cleaned = F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n")
-    cleaned = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(cleaned)
-    return joined.select(F.col("_row").withField(f"`{text}`", cleaned).alias("_row"), F.coalesce(F.array_size("_removed"), F.lit(0)).alias("_n")).select(
-        "_row.*", F.col("_n").alias(counter))
+    joined = marked.filter("_marked").join(removed, same, "left")
+    cleaned = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(without_spans(F.col("_text"), F.col("_spans")))
+    count = F.aggregate("_spans", F.lit(0), lambda sofar, span: sofar + (span["b"] - span["a"] + 1).cast("int"))
+    changed = joined.select(F.col("_row").withField(f"`{text}`", cleaned).alias("_row"), F.coalesce(count, F.lit(0)).alias("_n"))
+    others = marked.filter("not _marked").select("_row", F.lit(0).alias("_n"))
+    return changed.union(others).select("_row.*", F.col("_n").alias(counter))

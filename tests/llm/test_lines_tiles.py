@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import pytest
 from helpers import no_docs, odd_docs, odd_rows, plain_docs, words
@@ -152,3 +153,27 @@ def test_odd_rows_and_tables(spark):
     kept = decontamination.without_contaminated(odd_docs(spark), benchmark)
     assert kept.schema == odd_docs(spark).schema and kept.count() == len(odd_rows()) - 5
     assert decontamination.without_contaminated(odd_docs(spark), nothing).count() == len(odd_rows())
+
+
+def plainly_cleaned(text, spans):
+    gone = {at for a, b in spans for at in range(a, b + 1)}
+    return "\n".join(line for at, line in enumerate(text.split("\n")) if at not in gone)
+
+
+@pytest.mark.parametrize("spans", [[], [(0, 0)], [(0, 4)], [(4, 4)], [(1, 2), (4, 4)], [(0, 0), (1, 1), (3, 3)]])
+def test_spans_go_from_texts(spark, spans):
+    texts = ["a\nb\nc\nd\ne", "\n\n\n\n", "x\n\ny\n\n"]
+    df = spark.createDataFrame([(text, spans) for text in texts], "text string, spans array<struct<a: int, b: int>>")
+    got = [row[0] for row in df.select(lines.without_spans(F.col("text"), F.col("spans"))).collect()]
+    assert got == [plainly_cleaned(text, spans) for text in texts]
+
+
+@pytest.mark.parametrize("each", [2, 25_000])
+def test_texts_of_very_many_lines(spark, each):
+    """Cleaning takes linear time, with one long span as with very many short ones."""
+    text = "\n".join(f"line {at}" for at in range(50_000))
+    spans = [(at, at + each // 2 - 1) for at in range(0, 50_000, each)]
+    df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<a: int, b: int>>")
+    began = time.time()
+    got = df.select(lines.without_spans(F.col("text"), F.col("spans"))).first()[0]
+    assert got == plainly_cleaned(text, spans) and time.time() - began < 10
