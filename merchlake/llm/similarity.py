@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from merchlake.llm.common import as_row, interim, staged
 
-CACHED_WORDS = 150_000
+CACHED_WORDS = 30_000
+SET_BYTES = 2_000_000  # sets held before they are sent on
 SKETCH_BITS = 22  # shingle frequencies are kept in 2^22 counters, whatever the number of shingles
 SKETCH_SLICE = 2**16
 LIST_BLOCK = 2048  # longer lists are dealt out in blocks, and blocks meet in pairs
@@ -80,44 +81,54 @@ def shingle_set(text: str | None, words_each: int, hashes: WordHashes) -> np.nda
 
 
 def _sets(words_each: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, rows, size = WordHashes(), [], 0
+    """Rows (key, digest, n, s1, s2, set) of texts; texts and sets are held a few at a time."""
+    names = ["key", "digest", "n", "s1", "s2", "set"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["key", "digest", "n", "s1", "s2", "set"])
+        def part(batch: pa.RecordBatch, start: int, rows: list) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+            return pa.RecordBatch.from_arrays([*(batch.column(at).slice(start, len(rows)) for at in (0, 1)), *columns], names=names)
 
         for batch in batches:
-            for key, digest, text in zip(batch["key"], batch["digest"], batch["text"]):
-                own = shingle_set(text, words_each, hashes)
+            rows, start, size = [], 0, 0
+            for at, text in enumerate(batch.column(2)):
+                own = shingle_set(text.as_py(), words_each, hashes)
                 one, two = int(own.sum(dtype=np.uint64)), int(_mixed(own).sum(dtype=np.uint64))
-                rows.append((key, digest, len(own), one - 2**63, two - 2**63, packed(own)))
+                rows.append((len(own), one - 2**63, two - 2**63, packed(own)))
                 size += own.nbytes
-                if size > 4_000_000:
-                    yield flush()
-                    rows, size = [], 0
-        if rows:
-            yield flush()
+                if size > SET_BYTES:
+                    yield part(batch, start, rows)
+                    rows, start, size = [], at + 1, 0
+            if rows:
+                yield part(batch, start, rows)
+        hashes.clear()
 
     return run
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counters of this partition as rows (slice, at, count): all counts of a slice, or places and counts."""
-    totals = np.zeros(1 << SKETCH_BITS, np.int64)
+    # A task's shingles stay far below what four bytes count; more stand at the most, as in the sum.
+    totals = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         for own in batch.column(0):
             # A set's hashes are sorted, so equal counters are neighbours.
             counters, counts = np.unique(unpacked(own.as_buffer()) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            totals[counters.astype(np.int64)] += counts
-    rows = []
+            at = counters.astype(np.int64)
+            totals[at] += np.minimum(counts, 2**32 - 1 - totals[at].astype(np.int64)).astype(np.uint32)
     for number, own in enumerate(totals.reshape(-1, SKETCH_SLICE)):
         used = np.flatnonzero(own)
         if len(used) > SKETCH_SLICE // 4 and own.max() < 2**16:
-            rows.append((number, b"", own.astype("<u2").tobytes()))
+            row = number, b"", own.astype("<u2").tobytes()
         elif len(used):
-            rows.append((number, used.astype("<u2").tobytes(), own[used].astype("<i8").tobytes()))
-    columns = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-    yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "count"])
+            row = number, used.astype("<u2").tobytes(), own[used].astype("<i8").tobytes()
+        else:
+            continue
+        columns = [pa.array([value], kind) for value, kind in zip(row, (pa.int32(), pa.binary(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "count"])
 
 
 def _added_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +287,7 @@ class Join:
         self.percent = percent
         kind = docs.schema[key].dataType.simpleString()
         texts = docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
-        sets = texts.mapInPandas(_sets(words_each), f"key {kind}, digest binary, n int, s1 bigint, s2 bigint, set binary")
+        sets = texts.mapInArrow(_sets(words_each), f"key {kind}, digest binary, n int, s1 bigint, s2 bigint, set binary")
         # The numbers of rows and nodes hold because the tables are written before they are used.
         self.sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
         filled = self.sets.filter("n > 0")
@@ -285,6 +296,7 @@ class Join:
             _prefixes(counters, percent), "row bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
         nodes = prefixes.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
         self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        counters.destroy()
 
     def shared_lists(self) -> DataFrame:
         """Prefix entries of shingles that at least two nodes list, with the length of the list.
