@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from merchlake.session import work_folder
 
 
+ROW_GROUP = 32 * 2**20
 _INTERIM: list[list[str]] = []
 
 
@@ -27,7 +28,8 @@ def staged(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     path = work_folder(spark, f"llm-{purpose}")
     if _INTERIM and not keep:
         _INTERIM[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups, since a task holds the one that it writes in memory.
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

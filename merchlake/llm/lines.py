@@ -11,6 +11,8 @@ stretches tell which lines are later copies.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,7 +113,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
     positions = staged(repeated_positions(table), "positions")
     wanted = staged(stretches(positions, min_words), "stretches")
     total, longest = positions.count(), wanted.agg(F.max("lines")).first()[0] or 0
-    ranks, reach, found = positions.select(*PLACE, "_run", "_rank"), 1, None
+    ranks, reach, levels = positions.select(*PLACE, "_run", "_rank"), 1, []
     while reach <= longest:
         # The stretches of this level are named by the ranks of their first and last ``reach`` lines.
         own = wanted.filter((F.col("lines") >= reach) & (F.col("lines") < 2 * reach))
@@ -123,14 +125,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
 
         named = looked_up(own, F.col("start"), "_first")
         named = looked_up(named, F.col("start") + F.col("lines") - reach, "_last") if reach > 1 else named.withColumn("_last", F.col("_first"))
-        level_rows = named.select("_key", "_doc", "start", "lines", "_first", "_last")
-        found = level_rows if found is None else found.union(level_rows)
+        # Each level is written by itself, so that no plan holds the joins of all.
+        levels.append(staged(named.select("_key", "_doc", "start", "lines", "_first", "_last"), "intervals"))
         reach *= 2
         if reach <= longest:
             ranks = staged(doubled(ranks, reach // 2, total), "ranks")
-    if found is None:
-        found = wanted.select("*", F.lit(0).cast("bigint").alias("_first"), F.lit(0).cast("bigint").alias("_last"))
-    found = staged(found, "intervals")
+    none = wanted.select("*", F.lit(0).cast("bigint").alias("_first"), F.lit(0).cast("bigint").alias("_last"))
+    found = reduce(DataFrame.union, levels) if levels else none
     place = F.struct("_key", "_doc", "start")
     first = found.groupBy("lines", "_first", "_last").agg(F.min(place).alias("_origin"), F.count("*").alias("_times")).filter("_times > 1")
     first = first.select(F.col("lines").alias("_l"), F.col("_first").alias("_f"), F.col("_last").alias("_e"), "_origin")
