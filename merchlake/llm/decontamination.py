@@ -12,12 +12,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merchlake.llm.common import staged
+
 SHORTEST = 5  # words of the shortest tile
 COVERAGE = 0.5  # share of an item's words that must be tiled
 BLOCK_CHARS = 16_000_000  # benchmark text that is broadcast at once
@@ -87,59 +90,88 @@ class Items:
         self.owners = (np.concatenate(owners) if owners else empty)[order]
         self.places = (np.concatenate(places) if places else empty)[order]
 
-    def seeds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shared seeds of a document: (item, place in the item, place in the document)."""
+    def seeds(self, words: np.ndarray) -> Seeds:
+        """Seeds that a document shares with the items. Places of one seed are listed once, however often it occurs."""
         none = np.zeros(0, np.int64)
-        if not len(self.hashes) or len(words) < self.shortest:
-            return none, none, none
         # Only windows of words that items hold need a hash.
         known = np.cumsum(np.concatenate(([0], words != 0)))
         windows = np.flatnonzero(known[self.shortest:] - known[:-self.shortest] == self.shortest)
-        if not len(windows):
-            return none, none, none
+        if not len(self.hashes) or not len(windows):
+            return Seeds(none, none, none, none, none)
         hashes = np.zeros(len(windows), np.uint64)
         for at in range(self.shortest):
             hashes = hashes * BASE + words[windows + at].astype(np.uint64)
-        low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
+        order = np.argsort(hashes, kind="stable")
+        own, starts = np.unique(hashes[order], return_index=True)
+        low, high = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, "right")
         times = high - low
-        hit = np.flatnonzero(times)
-        if not len(hit):
-            return none, none, none
-        repeats = times[hit]
-        within = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
-        at = np.repeat(low[hit], repeats) + within
-        return self.owners[at], self.places[at], np.repeat(windows[hit], repeats)
+        entries = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        numbers = np.repeat(np.arange(len(own)), times)
+        by_item = np.lexsort((self.places[entries], self.owners[entries]))
+        return Seeds(self.owners[entries][by_item], self.places[entries][by_item], numbers[by_item],
+                     windows[order], np.append(starts, len(order)))
+
+
+class Seeds(NamedTuple):
+    """Shared seeds by (item, place in the item) with their number; seed s lies at ``windows[starts[s]:starts[s + 1]]``."""
+
+    owners: np.ndarray
+    places: np.ndarray
+    numbers: np.ndarray
+    windows: np.ndarray
+    starts: np.ndarray
+
 
+def matches(item: np.ndarray, words: np.ndarray, places: np.ndarray, found: list[np.ndarray], shortest: int) -> np.ndarray:
+    """Longest possible matches (place in the item, place in the document, length) of at least ``shortest`` words.
 
-def tiles(item: np.ndarray, words: np.ndarray, places: np.ndarray, found: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the item, place in the document, length) from seeds, the longest first.
+    ``found`` has for each place of the item, ascending, the document's places of its seed, ascending. One
+    place after the other prolongs the matches that reach it, so what is held follows the document's length
+    and the number of matches, not that of all pairs of places.
+    """
+    done, before = [np.zeros((0, 3), np.int64)], -1
+    diagonals, since = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def end(over: np.ndarray) -> None:
+        done.append(np.stack((since[over], diagonals[over] + since[over], before - since[over] + shortest), axis=1))
+
+    for place, own in zip(places.tolist(), found):
+        # A hash may meet by chance, so the words themselves decide.
+        own = own[np.all(words[own[:, None] + np.arange(shortest)] == item[place:place + shortest], axis=1)]
+        reached = own - place
+        starts = np.full(len(reached), place)
+        if place == before + 1 and len(diagonals):
+            at = np.minimum(np.searchsorted(diagonals, reached), len(diagonals) - 1)
+            goes_on = diagonals[at] == reached
+            starts[goes_on] = since[at[goes_on]]
+            over = np.ones(len(diagonals), bool)
+            over[at[goes_on]] = False
+            end(over)
+        else:
+            end(np.ones(len(diagonals), bool))
+        diagonals, since, before = reached, starts, place
+    end(np.ones(len(diagonals), bool))
+    return np.concatenate(done)
+
+
+def tiles(item: np.ndarray, words: np.ndarray, found: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in the item, place in the document, length) from matches, the longest first.
 
     Equal lengths go by place in the item, then in the document.
     """
-    order = np.lexsort((found, found - places))
-    places, found = places[order], found[order]
-    # A hash may meet by chance, so the words themselves decide.
-    same = np.all(item[places[:, None] + np.arange(shortest)] == words[found[:, None] + np.arange(shortest)], axis=1)
-    places, found = places[same], found[same]
-    if not len(places):
-        return []
-    new = np.ones(len(places), bool)
-    new[1:] = (found[1:] - places[1:] != found[:-1] - places[:-1]) | (found[1:] != found[:-1] + 1)
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(places))) + shortest - 1
-    heap = [(-n, i, d) for n, i, d in zip(lengths.tolist(), places[starts].tolist(), found[starts].tolist())]
+    heap = [(-n, i, d) for i, d, n in found.tolist()]
     heapq.heapify(heap)
-    in_item, in_words, kept = np.zeros(len(item), bool), set(), []
-    while heap:
+    in_item, in_words, kept = np.zeros(len(item), bool), np.zeros(len(words), bool), []
+    left = len(item)
+    while heap and left >= shortest:
         length, i, d = heapq.heappop(heap)
         length = -length
-        marked = in_item[i:i + length].copy()
-        for at in range(length):
-            marked[at] |= d + at in in_words
+        marked = in_item[i:i + length] | in_words[d:d + length]
         if not marked.any():
             kept.append((i, d, length))
             in_item[i:i + length] = True
-            in_words.update(range(d, d + length))
+            in_words[d:d + length] = True
+            left -= length
             continue
         edges = np.flatnonzero(np.diff(np.concatenate(([True], marked, [True])).astype(np.int8)))
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
@@ -159,12 +191,9 @@ def _search(shared, coverage: float):
                 if not text:
                     continue
                 words, origins = vocabulary.of_text(text)
-                owners, places, found = items.seeds(words)
-                if not len(owners):
-                    continue
-                order = np.argsort(owners, kind="stable")
-                owners, places, found = owners[order], places[order], found[order]
-                for number, start, count in zip(*np.unique(owners, return_index=True, return_counts=True)):
+                seeds = items.seeds(words)
+                places = seeds.places
+                for number, start, count in zip(*np.unique(seeds.owners, return_index=True, return_counts=True)):
                     item, span = items.texts[number], slice(start, start + count)
                     # What all seeds cover together is the most that tiles can cover.
                     most = np.zeros(len(item), bool)
@@ -172,7 +201,8 @@ def _search(shared, coverage: float):
                         most[places[span] + at] = True
                     if most.sum() < coverage * len(item):
                         continue
-                    own = tiles(item, words, places[span], found[span], items.shortest)
+                    found = [seeds.windows[seeds.starts[at]:seeds.starts[at + 1]] for at in seeds.numbers[span].tolist()]
+                    own = tiles(item, words, matches(item, words, places[span], found, items.shortest), items.shortest)
                     covered = sum(tile[2] for tile in own)
                     if covered >= coverage * len(item):
                         own_origins = items.origins[number]
@@ -183,14 +213,17 @@ def _search(shared, coverage: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, shortest: int, item: str, item_text: str) -> Iterator:
-    """The benchmark in blocks of bounded size, each broadcast."""
-    items = benchmark.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull())
-    chars = items.agg(F.sum(F.length("_text"))).first()[0] or 0
+def _blocks(texts: DataFrame, shortest: int) -> Iterator:
+    """Distinct texts (_text) of the benchmark in blocks of bounded size, each broadcast; an item's key is its digest."""
+    chars = texts.agg(F.sum(F.length("_text"))).first()[0] or 0
     blocks = max(1, -(-2 * chars // BLOCK_CHARS))
     for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("_text", "_item"), F.lit(blocks)) == block).orderBy("_item", "_text")
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([tuple(row) for row in own.collect()], shortest))
+        own = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == block).select(_digest("_text"), "_text").orderBy("_text")
+        yield texts.sparkSession.sparkContext.broadcast(Items([tuple(row) for row in own.collect()], shortest)), block == blocks - 1
+
+
+def _digest(text: str) -> Column:
+    return F.md5(F.col(text).cast("binary"))
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST,
@@ -202,21 +235,34 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COV
     places among all that white space parts. An item of fewer than ``shortest`` words cannot be told from
     chance and is contained nowhere; null and empty texts contain nothing and are contained
     nowhere. Repeated rows and equal or null keys give a row each. The benchmark is searched for in blocks
-    of bounded size, each broadcast on its own to one pass over the documents; an empty one gives no row.
+    of bounded size, one after the other broadcast to one pass over the documents; an empty one gives no row.
+    Items of equal texts are searched for once. What a task holds follows the length of a text, also of one
+    that says the same few words over and over.
     """
-    kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"key {kinds[0]}, item {kinds[1]}, covered bigint, words bigint, tiles array<struct<item_start:bigint,doc_start:bigint,length:bigint>>"
+    schema = (f"key {docs.schema[key].dataType.simpleString()}, item string, covered bigint, words bigint, "
+              "tiles array<struct<item_start:bigint,doc_start:bigint,length:bigint>>")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = [rows.mapInPandas(_search(shared, coverage), schema) for shared in _blocks(benchmark, shortest, item, item_text)]
-    result = reduce(DataFrame.union, found)
-    return result.select(F.col("key").alias(key), F.col("item").alias(item), "covered", "words", "tiles")
+    items = benchmark.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull())
+    found = []
+    for shared, last in _blocks(items.select("_text").distinct(), shortest):
+        own = rows.mapInPandas(_search(shared, coverage), schema)
+        if not last:
+            own = staged(own, "hits")
+            shared.destroy()
+        found.append(own)
+    result = reduce(DataFrame.union, found).join(items.select("_item", _digest("_text").alias("_of")), F.col("item") == F.col("_of"))
+    return result.select(F.col("key").alias(key), F.col("_item").alias(item), "covered", "words", "tiles")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST,
-                         text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+                         text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows, with all their columns, whose texts contain no benchmark item (see ``contained_items``)."""
-    for shared in _blocks(benchmark, shortest, item, item_text):
+    texts = benchmark.select(F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    for shared, last in _blocks(texts, shortest):
         docs = docs.filter(~_contaminated(shared, coverage)(F.col(text)))
+        if not last:
+            docs = staged(docs, "uncontaminated")
+            shared.destroy()
     return docs
 
 

@@ -126,9 +126,10 @@ def test_tiles_by_definition():
     for _ in range(150):
         item = [dice.randint(1, 3) for _ in range(dice.randint(3, 14))]
         text = [dice.randint(1, 4) for _ in range(dice.randint(3, 22))]
-        hits = [(i, d) for i in range(len(item) - 1) for d in range(len(text) - 1) if item[i:i + 2] == text[d:d + 2]]
-        places, where = (np.array([hit[at] for hit in hits], np.int64) for at in (0, 1))
-        assert decontamination.tiles(np.array(item), np.array(text), places, where, 2) == tiles_by_definition(item, text, 2)
+        own = {i: [d for d in range(len(text) - 1) if item[i:i + 2] == text[d:d + 2]] for i in range(len(item) - 1)}
+        places = np.array([i for i, where in own.items() if where], np.int64)
+        whole = decontamination.matches(np.array(item), np.array(text), places, [np.array(own[i]) for i in places.tolist()], 2)
+        assert decontamination.tiles(np.array(item), np.array(text), whole, 2) == tiles_by_definition(item, text, 2)
 
 
 def test_benchmark_in_blocks(spark, monkeypatch):
@@ -177,3 +178,67 @@ def test_texts_of_very_many_lines(spark, each):
     began = time.time()
     got = df.select(lines.without_spans(F.col("text"), F.col("spans"))).first()[0]
     assert got == plainly_cleaned(text, spans) and time.time() - began < 10
+
+
+def plain_words(text):
+    forms = (word.strip(decontamination.PUNCTUATION) for word in (text or "").lower().split())
+    return [word for word in forms if word]
+
+
+def test_contained_items_by_definition(spark):
+    dice = random.Random(4)
+    few = [f"w{at}" for at in range(9)]
+    items = {at: " ".join(dice.choice(few) for _ in range(dice.randint(3, 14))) for at in range(25)}
+    texts = {at: " ".join(dice.choice([*few, "-", "else,"]) for _ in range(dice.randint(0, 60))) for at in range(40)}
+    for at in range(25):
+        own = items[at].split()
+        cut = dice.randrange(len(own))
+        texts[100 + at] = " ".join([*texts[at].split(), *own[cut:], "between", *own[:cut], "| end"])
+    want = {}
+    for key, text in texts.items():
+        for item, item_text in items.items():
+            own = plain_words(item_text)
+            covered = sum(tile[2] for tile in tiles_by_definition(own, plain_words(text), 5))
+            if covered and covered >= 0.5 * len(own):
+                want[key, item] = covered
+    got = found(spark, texts, items)
+    assert {pair: row.covered for pair, row in got.items()} == want and len(want) > 10
+
+
+def test_texts_of_few_words_over_and_over(spark):
+    texts = {1: "ha " * 30_000, 2: "ha ho " * 15_000, 3: "ha " * 30_000 + "other words"}
+    began = time.time()
+    got = found(spark, texts, {10: "ha " * 500, 11: "ha ho " * 200, 12: "ho " * 40})
+    assert set(got) == {(1, 10), (3, 10), (2, 11)} and got[1, 10].covered == 500 and got[2, 11].covered == 400
+    assert time.time() - began < 60
+
+
+def test_matches_hold_no_list_of_all_pairs():
+    """Peak memory for one document and one item of a single word."""
+    import tracemalloc
+
+    items = decontamination.Items([("x", "ha " * 500)], 5)
+    words_of = decontamination.Vocabulary(items.numbers).of_text("ha " * 20_000)[0]
+    tracemalloc.start()
+    seeds = items.seeds(words_of)
+    places = [seeds.windows[seeds.starts[at]:seeds.starts[at + 1]] for at in seeds.numbers.tolist()]
+    tiled = decontamination.tiles(items.texts[0], words_of, decontamination.matches(items.texts[0], words_of, seeds.places, places, 5), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiled == [(0, 0, 500)] and peak < 60_000_000
+
+
+def test_repeated_items_are_searched_once(spark, monkeypatch):
+    items = [(at, ITEM) for at in range(30)] + [(100 + at, " ".join(words(400 + at, 20))) for at in range(30)]
+    sizes, whole = [], decontamination.Items
+
+    def counted(rows, shortest):
+        sizes.append(len(rows))
+        return whole(rows, shortest)
+
+    monkeypatch.setattr(decontamination, "Items", counted)
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 2500)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontamination.contained_items(plain_docs(spark, {1: f"so {ITEM} there"}), benchmark).collect()
+    assert sorted(row.item_id for row in rows) == list(range(30))
+    assert sum(sizes) == 31 and max(sizes) < 25
