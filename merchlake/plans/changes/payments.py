@@ -31,7 +31,7 @@ def signed_payments(events: DataFrame, secret: str, key_type: str) -> DataFrame:
     return parse_payment_events(events.select("event_id", "body", verdict.alias("signature_ok")), key_type)
 
 
-def _paid(parsed: DataFrame):
+def paid():
     """Genuine, successful, and with a reference that fits the shop's keys."""
     return F.col("signature_ok") & F.col("payment_status").eqNullSafe("success") & F.col("reference").isNotNull()
 
@@ -40,7 +40,34 @@ def valid_payments(parsed: DataFrame) -> DataFrame:
     """The first sending of each reference among the genuine, successful payments, by one grouping."""
     fields = [name for name in parsed.columns if name not in ("reference", "lines")]
     first = F.min_by(F.struct(*fields), F.col("event_id")).alias("_first")
-    return parsed.filter(_paid(parsed)).groupBy("reference").agg(first).select("reference", "_first.*")
+    return parsed.filter(paid()).groupBy("reference").agg(first).select("reference", "_first.*")
+
+
+def faulted_payments(shop: Shop, parsed: DataFrame) -> DataFrame:
+    """Parsed events with their complete lines, the customer's name, and ``fault``: what is wrong with the order itself."""
+    users = shop.users.select(F.col("id").alias("_user"), F.col("name").alias("customer_name"))
+    fault = first_reason(
+        (~F.col("has_products"), "Invalid payment metadata"),
+        (F.col("lines").isNull(), "Invalid product descriptions"),
+        (
+            address_is_incomplete(),
+            "Delivery address details are incomplete. Please provide complete address information.",
+        ),
+        (F.col("_user").isNull(), "User not found"),
+        (F.size("lines") == 0, "No valid orders were created"),
+    )
+    complete = parsed.withColumn("lines", F.filter("lines", line_is_complete))
+    return complete.join(users, F.col("user_id") == F.col("_user"), "left").withColumn("fault", fault).drop("_user")
+
+
+def refusal():
+    """Why an event is refused whatever else is sent for its reference; null if that decides."""
+    failure = F.concat(F.lit("Payment verification failed: "), F.coalesce("gateway_response", F.lit("Unknown error")))
+    return F.coalesce(
+        F.when(~F.col("signature_ok"), "Invalid signature"),
+        F.when(~F.col("payment_status").eqNullSafe("success"), failure),
+        F.when(F.col("reference").isNull(), "Invalid payment reference"),
+    )
 
 
 def judge_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -57,41 +84,19 @@ def judge_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = Non
     """
     if stored is None:
         stored = shop.order_lines.select("reference")
-    asked = parsed.filter(_paid(parsed)).select(F.col("reference").alias("_asked")).distinct()
+    asked = parsed.filter(paid()).select(F.col("reference").alias("_asked")).distinct()
     booked = asked.join(stored.select(F.col("reference").alias("_stored")), F.col("_asked") == F.col("_stored"), "left_semi")
     booked = booked.select(F.col("_asked").alias("_booked"))
-    users = shop.users.select(F.col("id").alias("_user"), F.col("name").alias("customer_name"))
-    fault = first_reason(
-        (~F.col("has_products"), "Invalid payment metadata"),
-        (F.col("lines").isNull(), "Invalid product descriptions"),
-        (
-            address_is_incomplete(),
-            "Delivery address details are incomplete. Please provide complete address information.",
-        ),
-        (F.col("_user").isNull(), "User not found"),
-        (F.size("lines") == 0, "No valid orders were created"),
-    )
-    events = (
-        parsed.withColumn("lines", F.filter("lines", line_is_complete))
-        .join(booked, F.col("reference") == F.col("_booked"), "left")
-        .join(users, F.col("user_id") == F.col("_user"), "left")
-        .withColumns({"_fault": fault, "_open": _paid(parsed) & F.col("_booked").isNull()})
-    )
-    acceptable = F.col("_open") & F.col("_fault").isNull()
+    events = faulted_payments(shop, parsed).join(booked, F.col("reference") == F.col("_booked"), "left")
+    events = events.withColumn("_open", paid() & F.col("_booked").isNull())
+    acceptable = F.col("_open") & F.col("fault").isNull()
     firsts = events.filter(acceptable).groupBy(F.col("reference").alias("_reference")).agg(F.min("event_id").alias("_first"))
     judged = events.join(firsts, F.col("reference") == F.col("_reference"), "left")
     is_new = acceptable & F.col("event_id").eqNullSafe(F.col("_first"))
-    failure = F.concat(F.lit("Payment verification failed: "), F.coalesce("gateway_response", F.lit("Unknown error")))
-    unpaid = ~F.col("payment_status").eqNullSafe("success")
     before = F.col("_first").isNull() | (F.col("event_id") < F.col("_first"))
-    reason = F.coalesce(
-        F.when(~F.col("signature_ok"), "Invalid signature"),
-        F.when(unpaid, failure),
-        F.when(F.col("reference").isNull(), "Invalid payment reference"),
-        # Everything else passed over is a repeat: neither new nor refused.
-        F.when(F.col("_open") & before, F.col("_fault")),
-    )
-    return judged.withColumns({"is_new": is_new, "reason": reason}).drop("_first", "_user", "_booked", "_fault", "_open", "_reference")
+    # Everything else passed over is a repeat: neither new nor refused.
+    reason = F.coalesce(refusal(), F.when(F.col("_open") & before, F.col("fault")))
+    return judged.withColumns({"is_new": is_new, "reason": reason}).drop("_first", "_booked", "fault", "_open", "_reference")
 
 
 def split_payments(judged: DataFrame) -> Payments:

@@ -362,14 +362,13 @@ def _payment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     shop = _replayed(spark, sf_dir)
     feed = _event_files(spark, sf_dir, f"{base}/events")
     jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint")
-    out = {table: spark.read.parquet(f"{base}/out/{table}") for table in ("order_lines", "deliveries", "rejects")}
-    stock, carts_left = jobs.products_after(spark, shop, f"{base}/out"), jobs.carts_after(spark, shop, f"{base}/out")
+    after = jobs.payment_state(spark, shop, f"{base}/out")
     parts = [
-        _state("order_lines", out["order_lines"], "reference", *_ORDER[1:]),
-        _state("deliveries", out["deliveries"], "order_id", "address", "city", "state", "country", "status"),
-        _state("products", stock, "id", "total_stock", "oversold"), _state("carts", carts_left, "id", "user_id", "product_id", "quantity"),
+        _state("order_lines", after["order_lines"], "reference", *_ORDER[1:]),
+        _state("deliveries", after["deliveries"], "order_id", "address", "city", "state", "country", "status"),
+        _state("products", after["products"], "id", "total_stock", "oversold"), _state("carts", after["carts"], "id", "user_id", "product_id", "quantity"),
     ]
-    return reduce(DataFrame.unionByName, [*parts, _rejects(out["rejects"])])
+    return reduce(DataFrame.unionByName, [*parts, _rejects(after["rejects"])])
 
 
 @_query("st_payment_dedup")
@@ -388,7 +387,7 @@ def _cart_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "cart-state")
     log = testdata.cart_log_rows(testdata.stream(spark, sf_dir, "events"))
     jobs.run_to_end(jobs.cart_feed(log, f"{base}/state"), f"{base}/checkpoint")
-    state = jobs.published(spark, f"{base}/state", "carts")
+    state = jobs.cart_store(spark, log.schema, f"{base}/state").read("carts")
     return _flat(state.select("user_id", "product_id", "quantity", "created_at"))
 
 

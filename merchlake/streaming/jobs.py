@@ -4,13 +4,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from merchlake.plans.changes import carts as cart_changes
-from merchlake.plans.changes.payments import (
-    decrement_stock, delivery_rows, judge_payments, order_rows, signed_payments, split_payments,
-)
+from merchlake.plans.changes.payments import signed_payments
+from merchlake.sources.buckets import BucketStore
 from merchlake.sources.shop import Shop
-from merchlake.sources.snapshots import last_batch, publish, published
+from merchlake.streaming.ledger import PaymentLedger
 
 EVENT_SCHEMA = "event_id string, sent_at timestamp, signature string, body string"
 
@@ -38,118 +38,96 @@ def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], f"{schema}, stream string, batch_id bigint")
 
 
-def _earlier(spark: SparkSession, path: str, schema: str, stream: str, batch_id: int) -> DataFrame:
-    """Rows written by other feeds, and by the micro-batches of this one before the given batch."""
-    written = _written(spark, path, schema)
-    return written.filter((F.col("stream") != stream) | (F.col("batch_id") < batch_id)).drop("stream", "batch_id")
+def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str, buckets: int = 64) -> DataStreamWriter:
+    """Signed events to the ledger of payments below ``out``, each reference booked once.
 
-
-def ingest_payments(feed: DataFrame, shop: Shop, secret: str, out: str, stream: str = "main") -> DataStreamWriter:
-    """Signed events to order lines, deliveries, stock and carts, each reference once.
-
-    Writes below ``out``: ``order_lines``, ``deliveries``, ``rejects``, and the changes ``stock_taken`` and
-    ``cleared_carts``, partitioned by the feed's name and the batch id. A batch that runs again overwrites
-    only what it wrote. Feeds with checkpoints of their own need names of their own. The state after
-    all batches is that of :func:`products_after` and :func:`carts_after`.
+    What the events make of the shop is read with :func:`payment_state`. It is that of all events in one
+    batch, in whatever order and cut they arrive; a batch that runs again, or another feed with the same
+    events, changes nothing. A batch reads and writes the buckets of its references alone.
     """
-    key_type = shop.key_type("order_lines", "reference")
 
     def book(events: DataFrame, batch_id: int) -> None:
-        spark = events.sparkSession
-        parsed = signed_payments(events, secret, key_type).persist()
-        # The references of the batch pick the few stored ones that matter; the store is scanned
-        # for one column and neither shuffled nor copied.
-        asked = parsed.select(F.col("reference").alias("_asked")).distinct()
-        earlier = _earlier(spark, f"{out}/order_lines", f"reference {key_type}", stream, batch_id)
-        stored = shop.order_lines.select("reference").unionByName(earlier).join(
-            asked, F.col("reference") == F.col("_asked"), "left_semi"
-        ).distinct()
-        judged = judge_payments(shop, parsed, stored).persist()
-        try:
-            taken = split_payments(judged)
-            orders = order_rows(shop, taken.lines)
-            written = {
-                "deliveries": delivery_rows(taken.accepted), "rejects": taken.rejects,
-                "stock_taken": orders.groupBy("product_id").agg(F.sum("quantity").alias("quantity")),
-                "cleared_carts": taken.accepted.select("user_id").distinct(), "order_lines": orders,
-            }
-            # The order lines come last: by them a reference counts as booked.
-            for table, rows in written.items():
-                rows.write.mode("overwrite").parquet(f"{out}/{table}/stream={stream}/batch_id={batch_id}")
-        finally:
-            judged.unpersist()
-            parsed.unpersist()
+        ledger = PaymentLedger(events.sparkSession, shop, out, buckets)
+        ledger.prepare()
+        ledger.apply(events, secret)
+        ledger.store.tidy()
 
     return feed.writeStream.foreachBatch(book)
 
 
-def products_after(spark: SparkSession, shop: Shop, out: str) -> DataFrame:
-    """The shop's products with all stock taken off that :func:`ingest_payments` has booked."""
-    kind = shop.key_type("products", "id")
-    taken = _written(spark, f"{out}/stock_taken", f"product_id {kind}, quantity bigint")
-    return decrement_stock(shop.products, taken)
-
-
-def carts_after(spark: SparkSession, shop: Shop, out: str) -> DataFrame:
-    """The shop's carts without those of users whose payments :func:`ingest_payments` has booked."""
-    payers = _written(spark, f"{out}/cleared_carts", f"user_id {shop.key_type('carts', 'user_id')}")
-    return cart_changes.clear_carts(shop, payers.select("user_id")).state["carts"]
+def payment_state(spark: SparkSession, shop: Shop, out: str, buckets: int = 64) -> dict[str, DataFrame]:
+    """Orders, deliveries, products, carts and rejects after all that :func:`ingest_payments` has booked, as of one version."""
+    return PaymentLedger(spark, shop, out, buckets).state()
 
 
 def dedup_payments(feed: DataFrame, stored: DataFrame, secret: str, key_type: str, out: str,
-                   remember: str = "1 day", stream: str = "main") -> DataStreamWriter:
+                   remember: str = "1 day", stream: str = "main", buckets: int = 64) -> DataStreamWriter:
     """Valid events, each reference once, however often it is sent.
 
     Repeats within ``remember`` of the first arrival are dropped by the state store. The time is
-    that of arrival, so no event is ever too late. Later repeats are found among the references
-    stored before or written by earlier batches.
+    that of arrival, so no event is ever too late. Later repeats are found in an index of references
+    beside ``out``, stored before or written by earlier batches, of which a batch reads its own buckets.
     """
     columns = ["reference", "payment_status", "amount_minor", "customer_email"]
     # Only these columns go through the shuffle and the state.
     # A failed attempt must not stand in the way of the payment that follows it.
-    paid = F.col("signature_ok") & F.col("payment_status").eqNullSafe("success") & F.col("reference").isNotNull()
-    parsed = signed_payments(feed, secret, key_type).filter(paid).select(columns)
+    valid = F.col("signature_ok") & F.col("payment_status").eqNullSafe("success") & F.col("reference").isNotNull()
+    parsed = signed_payments(feed, secret, key_type).filter(valid).select(columns)
     timed = parsed.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", remember)
     once = timed.dropDuplicatesWithinWatermark(["reference"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        earlier = _earlier(batch.sparkSession, out, f"reference {key_type}", stream, batch_id)
+        index = BucketStore(batch.sparkSession, f"{out.rstrip('/')}-index", "reference",
+                            {"known": f"reference {key_type}, stream string, batch_id bigint"}, buckets)
+        if not index.version():
+            before = stored.select("reference").filter("reference is not null").distinct()
+            index.write(range(buckets), {"known": before.select("reference", F.lit("").alias("stream"), F.lit(-1).cast("bigint").alias("batch_id"))})
         batch.persist()
         try:
-            asked = batch.select(F.col("reference").alias("_asked"))
-            known = stored.select("reference").unionByName(earlier).join(
-                asked, F.col("reference") == F.col("_asked"), "left_semi"
-            ).distinct()
-            fresh = batch.select(columns).join(known, "reference", "left_anti")
+            touched = index.touched(batch)
+            # A batch that runs again does not know what it wrote itself.
+            known = index.read("known", touched).filter((F.col("stream") != stream) | (F.col("batch_id") < batch_id))
+            fresh = batch.select(columns).join(known.select("reference"), "reference", "left_anti").persist()
             fresh.write.mode("overwrite").parquet(f"{out}/stream={stream}/batch_id={batch_id}")
+            own = fresh.select("reference", F.lit(stream).alias("stream"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+            index.write(touched, {"known": known.unionByName(own)})
+            index.tidy()
+            fresh.unpersist()
         finally:
             batch.unpersist()
 
     return once.writeStream.foreachBatch(write)
 
 
-def cart_feed(log: DataFrame, base: str) -> DataStreamWriter:
+def cart_store(spark: SparkSession, log_schema: StructType | str, base: str, buckets: int = 64) -> BucketStore:
+    """Keyed cart state below ``base``, in buckets by user; ``log_schema`` is that of the cart log."""
+    piece = spark.createDataFrame([], log_schema)
+    settings, payments = cart_changes.last_settings(piece), cart_changes.last_payments(piece).withColumnRenamed("_payer", "user_id")
+    carts = cart_changes.carts_from(settings, cart_changes.last_payments(piece))
+    return BucketStore(spark, base, "user_id", {"settings": settings.schema, "payments": payments.schema, "carts": carts.schema}, buckets)
+
+
+def cart_feed(log: DataFrame, base: str, buckets: int = 64) -> DataStreamWriter:
     """Keyed cart state from the cart log, published batch by batch.
 
     The state is the last setting per (user, product) and the last payment per user. Both are
     maxima, so log pieces may arrive in any order and more than once, from one feed or from several in
-    turn: each batch is merged into the newest state and published as the next one, whatever number
-    its own feed gives it. ``carts`` is derived from it.
+    turn. A batch merges its users' buckets and leaves all others as they are; ``carts`` is derived from
+    the merged ones and published with them. Read it with ``cart_store(...).read("carts")``.
     """
+    schema = log.schema
 
     def merge(piece: DataFrame, batch_id: int) -> None:
-        spark = piece.sparkSession
-        done = last_batch(spark, base)
+        store = cart_store(piece.sparkSession, schema, base, buckets)
         piece.persist()
         try:
-            settings, payments = cart_changes.last_settings(piece), cart_changes.last_payments(piece)
-            if done is not None:
-                settings = cart_changes.merge_settings(published(spark, base, "settings"), settings)
-                payments = cart_changes.merge_payments(published(spark, base, "payments"), payments)
-            publish(base, 0 if done is None else done + 1, {
-                "settings": settings, "payments": payments,
-                "carts": cart_changes.carts_from(settings, payments),
-            })
+            version, touched = store.version(), store.touched(piece)
+            earlier = store.read("payments", touched, version).withColumnRenamed("user_id", "_payer")
+            settings = cart_changes.merge_settings(store.read("settings", touched, version), cart_changes.last_settings(piece))
+            payments = cart_changes.merge_payments(earlier, cart_changes.last_payments(piece))
+            store.write(touched, {"settings": settings, "payments": payments.withColumnRenamed("_payer", "user_id"),
+                                  "carts": cart_changes.carts_from(settings, payments)})
+            store.tidy()
         finally:
             piece.unpersist()
 

@@ -8,10 +8,10 @@ from small_shop import T0, small_shop
 from test_payments import CAMEL, EVENTS, SECRET, SNAKE, event
 
 from merchlake.plans.changes import carts
-from merchlake.sources.snapshots import published
 from merchlake.streaming import jobs
 
 KEYS = ["event_id", "signature", "body"]
+CART_LOG = "event_id bigint, ts timestamp, user_id bigint, event_type string, product_id bigint, quantity bigint"
 
 
 def write_file(folder, number, lines):
@@ -37,15 +37,18 @@ def test_ingest_over_several_batches_books_each_reference_once(spark, tmp_path):
     def run():
         feed = jobs.payment_feed(spark, str(tmp_path / "in"), files_per_batch=1)
         jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out), str(tmp_path / "ckpt"))
-        return {(r.reference, r.product_id) for r in spark.read.parquet(f"{out}/order_lines").collect()}
+        return {(r.reference, r.product_id) for r in after("order_lines").collect()}
+
+    def after(table):
+        return jobs.payment_state(spark, shop, out)[table]
 
     assert run() == {(50, 1), (50, 2), (57, 2), (70, 2)}
-    assert spark.read.parquet(f"{out}/order_lines").count() == 4
-    assert spark.read.parquet(f"{out}/deliveries").count() == 3
-    assert spark.read.parquet(f"{out}/rejects").count() == 8
+    assert after("order_lines").count() == 4
+    assert after("deliveries").count() == 3
+    assert after("rejects").count() == 8
     drop_files(tmp_path / "in", [event("h1", 70, [SNAKE]), event("h2", 71, [CAMEL])])
     assert run() == {(50, 1), (50, 2), (57, 2), (70, 2), (71, 1)}
-    assert spark.read.parquet(f"{out}/order_lines").count() == 5
+    assert after("order_lines").count() == 5
 
 
 def test_a_lost_batch_runs_again_without_doubling(spark, tmp_path):
@@ -54,7 +57,7 @@ def test_a_lost_batch_runs_again_without_doubling(spark, tmp_path):
     for attempt in ("first", "second"):  # a new checkpoint: batch 0 is processed again
         feed = jobs.payment_feed(spark, str(tmp_path / "in"))
         jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out), str(tmp_path / f"ckpt-{attempt}"))
-        assert spark.read.parquet(f"{out}/order_lines").count() == 3
+        assert jobs.payment_state(spark, shop, out)["order_lines"].count() == 3
 
 
 def test_dedup_within_and_beyond_the_state(spark, tmp_path):
@@ -80,7 +83,7 @@ def test_cart_feed_equals_the_whole_log(spark, tmp_path, files):
     feed = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     base = str(tmp_path / "state")
     jobs.run_to_end(jobs.cart_feed(feed, base), str(tmp_path / "ckpt"))
-    got = published(spark, base, "carts").select("user_id", "product_id", "quantity").collect()
+    got = jobs.cart_store(spark, CART_LOG, base).read("carts").select("user_id", "product_id", "quantity").collect()
     want = carts.cart_state(log).select("user_id", "product_id", "quantity").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
@@ -119,7 +122,7 @@ def test_a_second_feed_is_not_lost(spark, tmp_path):
         spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / name))
         feed = spark.readStream.schema(kinds).parquet(str(tmp_path / name))
         jobs.run_to_end(jobs.cart_feed(feed, base), str(tmp_path / f"ckpt-{name}"))
-    got = published(spark, base, "carts").select("user_id", "product_id", "quantity").collect()
+    got = jobs.cart_store(spark, CART_LOG, base).read("carts").select("user_id", "product_id", "quantity").collect()
     assert sorted(map(tuple, got)) == [(1, 1, 2), (2, 5, 3)]
 
 
@@ -129,13 +132,14 @@ def test_stock_and_carts_follow_the_feed(spark, tmp_path):
     for attempt in ("first", "second"):
         feed = jobs.payment_feed(spark, str(tmp_path / "in"))
         jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out), str(tmp_path / f"ckpt-{attempt}"))
-        stock = {r.id: r.total_stock for r in jobs.products_after(spark, shop, out).collect()}
+        after = jobs.payment_state(spark, shop, out)
+        stock = {r.id: r.total_stock for r in after["products"].collect()}
         assert stock == {1: 7, 2: 2, 3: 0, 4: 3, 5: 1}
-        assert {r.id for r in jobs.carts_after(spark, shop, out).collect()} == {"k3"}
+        assert {r.id for r in after["carts"].collect()} == {"k3"}
     # Another feed with the same events books nothing more.
     feed = jobs.payment_feed(spark, str(tmp_path / "in"))
-    jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out, stream="other"), str(tmp_path / "ckpt-other"))
-    assert spark.read.parquet(f"{out}/order_lines").count() == 3
+    jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out), str(tmp_path / "ckpt-other"))
+    assert jobs.payment_state(spark, shop, out)["order_lines"].count() == 3
 
 
 def test_dedup_waits_for_the_paid_event(spark, tmp_path):
