@@ -273,8 +273,8 @@ def _stock_decrement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("ch_cart_clear")
 def _cart_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     shop = testdata.bind(spark, sf_dir)
-    # Users with a declined order keep their cart; the log holds few users, and nearly all have paid once.
-    payers = shop.order_lines.filter(F.col("status") == "declined")
+    # The payments of half a year, as nearly all users have paid at some time.
+    payers = shop.order_lines.filter((F.col("status") == "success") & (F.col("created_at") >= F.lit(dt.datetime(2001, 2, 1))))
     left = cart_changes.clear_carts(shop, payers.select("user_id")).state["carts"]
     return _flat(left.select("id", "user_id", "product_id", "quantity", "created_at"))
 
@@ -356,11 +356,18 @@ def _event_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return jobs.payment_feed(spark, folder)
 
 
+def _shuffled_event_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The events out of order, in two pieces of which each is a batch."""
+    events = testdata.payment_events(spark, sf_dir)
+    events.repartition(2, F.xxhash64("event_id", F.lit("order"))).write.json(folder)
+    return jobs.payment_feed(spark, folder, files_per_batch=1)
+
+
 @_query("st_payment_ingest")
 def _payment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "payment-ingest")
     shop = _replayed(spark, sf_dir)
-    feed = _event_files(spark, sf_dir, f"{base}/events")
+    feed = _shuffled_event_files(spark, sf_dir, f"{base}/events")
     jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint")
     after = jobs.payment_state(spark, shop, f"{base}/out")
     parts = [

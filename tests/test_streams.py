@@ -1,14 +1,17 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from small_shop import T0, small_shop
 from test_payments import CAMEL, EVENTS, SECRET, SNAKE, event
 
-from merchlake.plans.changes import carts
+from merchlake.plans.changes import carts, payments
+from merchlake.sources.buckets import BucketStore
 from merchlake.streaming import jobs
+from merchlake.streaming.ledger import PaymentLedger
 
 KEYS = ["event_id", "signature", "body"]
 CART_LOG = "event_id bigint, ts timestamp, user_id bigint, event_type string, product_id bigint, quantity bigint"
@@ -148,3 +151,97 @@ def test_dedup_waits_for_the_paid_event(spark, tmp_path):
     feed = jobs.payment_feed(spark, str(tmp_path / "in"), files_per_batch=1)
     jobs.run_to_end(jobs.dedup_payments(feed, stored, SECRET, "bigint", out), str(tmp_path / "ckpt"))
     assert [(r.reference, r.payment_status) for r in spark.read.parquet(out).collect()] == [(50, "success")]
+
+
+def shop_state(state):
+    """All that payments change, as plain values."""
+    shown = {"order_lines": ["reference", "product_id", "amount", "status", "created_at"], "deliveries": ["order_id", "city", "status"],
+             "products": ["id", "total_stock", "oversold"], "carts": ["id"], "rejects": ["request_id", "reason"]}
+    return {table: sorted(map(tuple, state[table].select(columns).collect()), key=repr) for table, columns in shown.items()}
+
+
+def batch_state(spark, shop, events):
+    parsed = payments.signed_payments(spark.createDataFrame(events, "event_id string, signature string, body string"), SECRET, "bigint")
+    return shop_state(payments.apply_payments(shop, payments.new_payments(shop, parsed)))
+
+
+# One reference: a bad event, a good one, a later bad one, a later good one of another amount.
+LATE = [event("m1", 90, []), event("m2", 90, [CAMEL]), event("m3", 90, []), event("m4", 90, [SNAKE])]
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 2, 1, 0], [2, 3, 0, 1], [3, 1, 2, 0]])
+def test_bookings_do_not_hang_on_arrival(spark, tmp_path, order):
+    shop, out = small_shop(spark), str(tmp_path / "out")
+    ledger = PaymentLedger(spark, shop, out, buckets=4)
+    ledger.prepare()
+    for events in ([LATE[at]] for at in order):
+        ledger.apply(spark.createDataFrame(events, "event_id string, signature string, body string"), SECRET)
+    got = shop_state(ledger.state())
+    assert got == batch_state(spark, shop, LATE)
+    assert [row[0] for row in got["rejects"]] == ["m1"] and {row[1] for row in got["order_lines"]} == {1}
+
+
+def test_shuffled_feeds_equal_the_batch_flow(spark, tmp_path):
+    shop, events = small_shop(spark), EVENTS + LATE
+    want = batch_state(spark, shop, events)
+    dice = random.Random(8)
+    for number in range(2):
+        mixed = dice.sample(events, len(events))
+        cut = dice.randrange(1, len(mixed))
+        drop_files(tmp_path / f"in-{number}", mixed[:cut], mixed[cut:], mixed[:3])  # some are sent again
+        feed = jobs.payment_feed(spark, str(tmp_path / f"in-{number}"), files_per_batch=1)
+        out = str(tmp_path / f"out-{number}")
+        jobs.run_to_end(jobs.ingest_payments(feed, shop, SECRET, out), str(tmp_path / f"ckpt-{number}"))
+        assert shop_state(jobs.payment_state(spark, shop, out)) == want
+
+
+def test_a_batch_reads_and_writes_its_own_buckets(spark, tmp_path):
+    store = BucketStore(spark, str(tmp_path / "s"), "k", {"t": "k bigint, v int", "log": "v int"}, buckets=16)
+    store.write(range(16), {"t": spark.range(400).select(F.col("id").alias("k"), F.lit(0).alias("v"))})
+    piece = spark.createDataFrame([(7, 1), (8, 1)], "k bigint, v int")
+    touched = store.touched(piece)
+    before = {path for _, _, path in store._entries(1)}
+    assert len(before) == 16 and 1 <= len(touched) <= 2
+    assert len({row[0] for row in store.read("t", touched).select(store.bucket()).distinct().collect()}) == len(touched)
+    assert len(store.read("t", touched).inputFiles()) == len(touched)
+    kept = store.read("t", touched).join(piece.select("k"), "k", "left_anti")
+    store.write(touched, {"t": kept.unionByName(piece)}, {"log": piece.select("v")})
+    after = {path for name, _, path in store._entries(2) if name == "t"}
+    assert len(after - before) == len(touched) and len(after & before) == 16 - len(touched)
+    assert store.read("t").filter("v = 1").count() == 2 and store.read("t").count() == 400 and store.read("log").count() == 2
+    assert store.read("t", version=1).filter("v = 1").count() == 0
+    store.write(touched, {"t": kept.filter("false")})
+    store.tidy(keep=1)
+    assert store.read("t").count() == 400 - kept.count() - 2 and store.read("log").count() == 2
+
+
+def test_a_reader_between_two_writes_sees_the_old_state(spark, tmp_path, monkeypatch):
+    shop, out = small_shop(spark), str(tmp_path / "out")
+    ledger = PaymentLedger(spark, shop, out, buckets=4)
+    ledger.prepare()
+    kinds = "event_id string, signature string, body string"
+    ledger.apply(spark.createDataFrame(EVENTS, kinds), SECRET)
+    want, seen, children = shop_state(ledger.state()), [], BucketStore._children
+
+    def looking(store, path):
+        # Called when a table of the new version has been written and its manifest has not.
+        if path.endswith(("/booked", "/faults")):
+            seen.append(shop_state(ledger.state()))
+        return children(store, path)
+
+    monkeypatch.setattr(BucketStore, "_children", looking)
+    ledger.apply(spark.createDataFrame([event("h2", 71, [CAMEL])], kinds), SECRET)
+    monkeypatch.undo()
+    assert seen == [want, want] and shop_state(ledger.state()) != want
+
+
+def test_a_repeated_cart_batch_changes_nothing(spark, tmp_path):
+    rows = [(n, T0 + dt.timedelta(minutes=n), n % 7, ["click", "error", "purchase"][n % 3], n % 3, n % 5 + 1) for n in range(60)]
+    spark.createDataFrame(rows, CART_LOG).write.parquet(str(tmp_path / "log"))
+    base, states = str(tmp_path / "state"), []
+    for attempt in ("one", "two"):
+        feed = spark.readStream.schema(CART_LOG).parquet(str(tmp_path / "log"))
+        jobs.run_to_end(jobs.cart_feed(feed, base), str(tmp_path / f"ckpt-{attempt}"))
+        store = jobs.cart_store(spark, CART_LOG, base)
+        states.append({table: sorted(map(repr, store.read(table).collect())) for table in ("settings", "payments", "carts")})
+    assert states[0] == states[1] and states[0]["carts"]
