@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import staged
-from merchlake.llm.packing import text_ids
+from merchlake.llm.common import arrow_rows, staged
+from merchlake.llm.packing import TEXTS, text_ids
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 BROADCAST_PARTITIONS = 2000  # partitions up to which the numbers before each (8 bytes a length) are broadcast
 
 
@@ -251,8 +251,10 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks_file: str, length: int = 10
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_key {kind}, _part int, _n bigint, _first int, _number bigint, _full bigint, _ids binary"
     files = (tokenizer_json, ranks_file)
-    tokens = staged(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        lambda batches: _tokenise(files, end_id, length, batches), schema), "tokens")
+    tokens = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
+        lambda batches: _tokenise(files, end_id, length, batches), schema)
+    with arrow_rows(docs.sparkSession, TEXTS):
+        tokens = staged(tokens, "tokens")
     before, counts = _numbers_before(tokens, length)
     plan = Plan(counts, length)
     shared = docs.sparkSession.sparkContext.broadcast(plan)

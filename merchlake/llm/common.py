@@ -45,6 +45,18 @@ def interim(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python gets at most so many rows at once from what runs inside: for tables whose rows are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {column.lower() for column in df.columns}

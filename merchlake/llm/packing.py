@@ -20,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import staged
+from merchlake.llm.common import arrow_rows, staged
 
 BLOCK = 1024
+TEXTS = 1000  # texts that a task holds at once
 BROADCAST_PARTITIONS = 500_000  # partitions up to which their offsets (some 20 bytes each) are broadcast
 
 
@@ -38,15 +39,22 @@ class TextIds:
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(tokenizer_json)
+        # Kept only for the texts that need it, since it is large.
+        self.tokenizer_json, exact = tokenizer_json, Tokenizer.from_file(tokenizer_json)
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [token.content for token in self.exact.get_added_tokens_decoder().values()]
+        self.special = [token.content for token in exact.get_added_tokens_decoder().values()]
         probe = "The 1st word, déjà vu — 漢字\n\n  x" * 3
-        if self.exact.encode(probe, add_special_tokens=False).ids != self.fast.encode_ordinary(probe):
+        if exact.encode(probe, add_special_tokens=False).ids != self.fast.encode_ordinary(probe):
             raise ValueError(f"{ranks_file} does not hold the vocabulary of {tokenizer_json}")
 
+    @functools.cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer_json)
+
     def of_text(self, text: str) -> bytes:
         if any(token in text for token in self.special):
             ids = self.exact.encode(text, add_special_tokens=False).ids
@@ -80,7 +88,7 @@ def _tokenise(files: tuple[str, str], end_id: int, batches: Iterator[pa.RecordBa
             rows.append((ids, before))
             before += len(ids) // 4
             size += len(ids)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield batch(rows, keys.slice(first, len(rows)))
                 rows, first, size = [], at + 1, 0
         if rows:
@@ -117,7 +125,8 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks_file: str, length: int = 10
     files = (tokenizer_json, ranks_file)
     tokens = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
         lambda batches: _tokenise(files, end_id, batches), schema)
-    tokens = staged(tokens, "tokens")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        tokens = staged(tokens, "tokens")
     # One short row for each partition of the input; without the hint all ids would be shuffled to meet them.
     offsets = partition_offsets(tokens)
     few = (tokens.agg(F.max("_part")).first()[0] or 0) < BROADCAST_PARTITIONS
