@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import as_row, interim, staged
+from merchlake.llm.common import arrow_rows, as_row, interim, staged
 
 CACHED_WORDS = 30_000
+TEXTS = 1000  # texts and sets that a task holds at once
 SET_BYTES = 2_000_000  # sets held before they are sent on
 SKETCH_BITS = 22  # shingle frequencies are kept in 2^22 counters, whatever the number of shingles
 SKETCH_SLICE = 2**16
@@ -289,13 +290,16 @@ class Join:
         texts = docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
         sets = texts.mapInArrow(_sets(words_each), f"key {kind}, digest binary, n int, s1 bigint, s2 bigint, set binary")
         # The numbers of rows and nodes hold because the tables are written before they are used.
-        self.sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+        with arrow_rows(docs.sparkSession, TEXTS):
+            self.sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
         filled = self.sets.filter("n > 0")
-        counters = docs.sparkSession.sparkContext.broadcast(_sketch(filled))
+        with arrow_rows(docs.sparkSession, TEXTS):
+            counters = docs.sparkSession.sparkContext.broadcast(_sketch(filled))
         prefixes = filled.select("row", "n", "s1", "s2", "set").mapInArrow(
             _prefixes(counters, percent), "row bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
         nodes = prefixes.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
-        self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        with arrow_rows(docs.sparkSession, TEXTS):
+            self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         counters.destroy()
 
     def shared_lists(self) -> DataFrame:
