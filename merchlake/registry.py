@@ -164,6 +164,8 @@ def _last_order(shop: Shop) -> dict:
 
 _RANGE = {"start": dt.datetime(1996, 3, 10), "end": dt.datetime(1998, 8, 20)}
 _keyed("rp_category_products_one", catalog.category_products, lambda shop: {"category_id": _ends(shop.products, "category_id")[1]})
+_keyed("rp_products_json_images_one", catalog.products_json_images,
+       lambda shop: {"category_id": _ends(shop.products, "category_id")[1], "limit": 10, "offset": 2})
 _keyed("rp_product_detail_keys", catalog.product_detail, lambda shop: {"product_ids": _ends(shop.products, "id")})
 _keyed("rp_product_with_images_keys", catalog.product_with_images, lambda shop: {"product_ids": _ends(shop.products, "id")})
 _keyed("rp_order_details_keys", orders.order_details, _last_order)

@@ -236,6 +236,9 @@ ENDS = "in (select unnest([min({0}), max({0})]) from {1})"
 RANGE = "between timestamp '1996-03-10' and timestamp '1998-08-20'"
 BODIES |= {
     "rp_category_products_one": f"{BODIES['rp_category_products']} where p.category_id = (select max(category_id) from shop_products)",
+    "rp_products_json_images_one": BODIES["rp_products_json_images"].replace(
+        "from shop_products p order by p.created_at, p.id limit 10 offset 5",
+        "from shop_products p where p.category_id = (select max(category_id) from shop_products) order by p.created_at, p.id limit 10 offset 2"),
     "rp_product_detail_keys": f"{BODIES['rp_product_detail']} where p.id {ENDS.format('id', 'shop_products')}",
     "rp_product_with_images_keys": f"{BODIES['rp_product_with_images']} where p.id {ENDS.format('id', 'shop_products')}",
     "rp_order_details_keys": f"{BODIES['rp_order_details']} where o.reference = (select max(reference) from shop_lines)",
