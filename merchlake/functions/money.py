@@ -30,3 +30,9 @@ def from_minor(value: Column) -> Column:
 def mean(total: Column, count: Column) -> Column:
     """Mean of a decimal total; null when nothing was counted."""
     return F.when(count > 0, total.cast("double") / count)
+
+
+def exact_mean(total: Column, count: Column) -> Column:
+    """Mean of a decimal total as a decimal of twelve places; null when nothing was counted."""
+    quotient = total.cast("decimal(38,12)") / F.nullif(count, F.lit(0)).cast("decimal(18,0)")
+    return quotient.cast("decimal(38,12)")

@@ -135,9 +135,9 @@ def delete_addresses(shop: Shop, requests: DataFrame) -> Outcome:
         rest.join(latest, (F.col("user_id") == F.col("_heir_user")) & (newest == F.col("_newest")))
         .groupBy("user_id").agg(F.min("id").alias("_heir")).select("_heir")
     )
-    state = rest.join(heirs, F.col("id") == F.col("_heir"), "left").withColumn(
+    promoted = rest.join(heirs, F.col("id") == F.col("_heir"), "left").withColumn(
         "is_default_address", F.col("is_default_address") | F.col("_heir").isNotNull()
-    ).drop("_heir")
+    )
 
     # A request fails if it names the spared address, or comes after the removal it repeats.
     done = removed.select(F.col("_first").alias("request_id"))
@@ -146,5 +146,7 @@ def delete_addresses(shop: Shop, requests: DataFrame) -> Outcome:
         F.col("_kept").isNotNull(), "Cannot delete the only address. Please add another address first."
     ).otherwise("Address not found")
     return Outcome(
-        {"customers": state}, unknown.select("request_id", "reason").unionByName(rejected(failed, message))
+        {"customers": promoted.drop("_heir")},
+        unknown.select("request_id", "reason").unionByName(rejected(failed, message)),
+        promoted.filter(F.col("_heir").isNotNull()).drop("_heir"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlake.functions import from_minor
 from merchlake.operators import (
-    asked_for, attach_images, computed_once, envelope, first_rows, look_up, page, page_per, written_once,
+    DIRECT_RANKS, asked_for, attach_images, computed_once, deep_page, envelope, first_rows, look_up, page, page_per, written_once,
 )
 from merchlake.plans.facts import money_columns, newest_first
 from merchlake.sources.shop import Shop
@@ -28,34 +28,49 @@ def _emails(shop: Shop) -> DataFrame:
     return shop.users.select(F.col("id").alias("_user"), F.col("email").alias("user_email"))
 
 
-def orders_page(shop: Shop, page_no: int = 1, size: int = 10) -> DataFrame:
+def _page_lines(lines: DataFrame, page_no: int, size: int, direct: int) -> tuple[DataFrame, int]:
+    """The lines to build a page from, a short list, and the number that the page has in this list.
+
+    Up to ``direct`` rows deep it is the list's beginning, found as a top-k; deeper, the page alone.
+    """
+    if page_no * size <= direct:
+        return computed_once(first_rows(lines, newest_first(), page_no, size)), page_no
+    return computed_once(deep_page(lines, "created_at", "id", page_no, size).limit(size)), 1
+
+
+def orders_page(shop: Shop, page_no: int = 1, size: int = 10, direct: int = DIRECT_RANKS) -> DataFrame:
     """A page of order lines with buyer's e-mail and delivery, newest first.
 
-    The fact is read once for its first rows; users and deliveries are filtered by those rows.
+    The fact is read once for its first rows, or by day counts for a page deeper than ``direct`` rows;
+    users and deliveries are filtered by those rows.
     """
     order = newest_first()
     columns = [*_LINE, "user_id", "quantity", "status", "created_at"]
-    head = computed_once(first_rows(shop.order_lines.select(columns), order, page_no, size))
+    head, page_no = _page_lines(shop.order_lines.select(columns), page_no, size, direct)
     joined = look_up(head, _emails(shop), "user_id", "_user")
     joined = look_up(joined, _deliveries(shop), "reference", "_order", keys=head)
     shown = page(joined.select(*columns, "user_email", *_PLACE, "delivery_status"), order, page_no, size)
     return money_columns(shown, "amount")
 
 
-def my_orders(shop: Shop, user_id=None, page_no: int = 1, size: int = 10) -> DataFrame:
-    """A page of a user's order lines with their delivery; without a user, the same page of each."""
+def my_orders(shop: Shop, user_id=None, page_no: int = 1, size: int = 10, direct: int = DIRECT_RANKS) -> DataFrame:
+    """A page of a user's order lines with their delivery; without a user, the same page of each.
+
+    A page deeper than ``direct`` rows is found by day counts, so no user's list is sorted in one task.
+    """
     columns = [*_LINE, "quantity", "status", "created_at"]
     lines = shop.order_lines.select(*columns, "user_id")
     if user_id is not None:
-        lines = lines.filter(F.col("user_id") == F.lit(user_id))
-        head = computed_once(first_rows(lines, newest_first(), page_no, size))
+        head, page_no = _page_lines(lines.filter(F.col("user_id") == F.lit(user_id)), page_no, size, direct)
         joined = look_up(head, _deliveries(shop), "reference", "_order")
         shown = page(joined, newest_first(), page_no, size)
     else:
+        if page_no * size <= direct:
+            cut = page_per(lines, "user_id", newest_first(), page_no, size)
+        else:
+            cut = deep_page(lines, "created_at", "id", page_no, size, "user_id")
         # A checkout has one delivery, so the page can be cut before the join.
-        shown = page_per(lines, "user_id", newest_first(), page_no, size).join(
-            _deliveries(shop), F.col("reference") == F.col("_order"), "left"
-        )
+        shown = cut.join(_deliveries(shop), F.col("reference") == F.col("_order"), "left")
     return money_columns(shown.select(*columns, *_PLACE, "delivery_status"), "amount")
 
 

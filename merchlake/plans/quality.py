@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.functions import missing, missing_number, trimmed
+from merchlake.functions import missing, missing_number, normalise_email, trimmed
 from merchlake.operators import Rule, not_empty
 from merchlake.schemas import DELIVERY_STATUSES, ORDER_STATUSES, USER_STATUSES
 from merchlake.sources.payments import signature_is_valid
@@ -18,6 +18,12 @@ _PHONE = r"^[0-9]{10}$"
 _EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
 
 
+def normalised(forms: DataFrame) -> DataFrame:
+    """Forms with the e-mail as it is stored, in small letters; what the rules refuse stays as it was sent."""
+    email = F.col("email")
+    return forms.withColumn("email", F.when(email.rlike(_EMAIL), normalise_email(email)).otherwise(email))
+
+
 def customer_rules() -> list[Rule]:
     """A sign-up form; all failures are listed, in this order."""
     password = F.coalesce(F.col("password"), F.lit(""))

@@ -141,6 +141,54 @@ _report("rp_blogs_all", blogs.blogs_all)
 
 
 
+# --- documents, read back into one row per value -------------------------------------------------
+
+_ENTRY = "map<string,string>"
+_SERIES = "struct<labels:array<string>,datasets:array<struct<label:string,data:array<string>>>>"
+
+
+def _values(entries: DataFrame) -> DataFrame:
+    """Numbers as numbers, other values as text."""
+    number = F.expr("try_cast(value as double)")
+    return entries.select("section", "field", "place", F.when(number.isNull(), F.col("value")).alias("text"), number.alias("number"))
+
+
+@_query("rp_dashboard_document")
+def _dashboard_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    single, listed = ["productMetrics", "categoryMetrics", "salesMetrics"], ["topProducts", "lowStockProducts", "categorySales"]
+    kinds = [*(f"{name} {_ENTRY}" for name in single), *(f"{name} array<{_ENTRY}>" for name in listed)]
+    document = dashboard.dashboard_document(testdata.bind(spark, sf_dir))
+    parts = document.select(F.from_json("document", ", ".join(kinds)).alias("d"))
+
+    def entries(name: str) -> Column:
+        rows = F.array(f"d.{name}") if name in single else F.col(f"d.{name}")
+        return F.transform(rows, lambda row, place: F.struct(F.lit(name).alias("section"), place.alias("place"), row.alias("row")))
+
+    rows = parts.select(F.inline(F.concat(*[entries(name) for name in (*single, *listed)])))
+    return _values(rows.select("section", "place", F.explode("row").alias("field", "value")))
+
+
+@_query("rp_charts_document")
+def _charts_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = f"monthlySales {_SERIES}, productPerformance {_SERIES}, categoryDistribution struct<labels:array<string>,data:array<string>>"
+    document = charts.charts_document(testdata.bind(spark, sf_dir), AS_OF)
+    parts = document.select(F.from_json("document", kinds).alias("d"))
+
+    def series(section: str, field: Column, data: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), field.alias("field"), data.alias("data"))
+
+    listed = [series("categoryDistribution", F.lit(name), F.col(f"d.categoryDistribution.{name}")) for name in ("labels", "data")]
+    for section in ("monthlySales", "productPerformance"):
+        listed.append(series(section, F.lit("labels"), F.col(f"d.{section}.labels")))
+
+    def datasets(section: str) -> Column:
+        return F.transform(F.col(f"d.{section}.datasets"), lambda one: series(section, one["label"], one["data"]))
+
+    drawn = [datasets("monthlySales"), datasets("productPerformance")]
+    rows = parts.select(F.inline(F.concat(F.array(*listed), *drawn)))
+    return _values(rows.select("section", "field", F.posexplode("data").alias("place", "value")))
+
+
 # --- reports for given keys, which the tables themselves provide -----------------------------------
 
 
@@ -171,6 +219,11 @@ _keyed("rp_product_with_images_keys", catalog.product_with_images, lambda shop:
 _keyed("rp_order_details_keys", orders.order_details, _last_order)
 _keyed("rp_orders_by_reference_keys", orders.orders_by_reference, lambda shop: {"references": _ends(shop.order_lines, "reference")})
 _keyed("rp_my_orders_one", orders.my_orders, lambda shop: {"user_id": _ends(shop.order_lines, "user_id")[1], "page_no": 2, "size": 5})
+_keyed("rp_orders_deep_page", orders.orders_page,
+       lambda shop: {"page_no": shop.order_lines.count() // 20 + 1, "size": 10, "direct": 0})
+_keyed("rp_my_orders_deep", orders.my_orders,
+       lambda shop: {"user_id": _ends(shop.order_lines, "user_id")[1], "page_no": 3, "size": 4, "direct": 0})
+_report("rp_my_orders_deep_all", orders.my_orders, page_no=4, size=6, direct=0)
 _keyed("rp_addresses_one", customers.addresses, lambda shop: {"user_id": _ends(shop.customers.filter("not is_default_address"), "user_id")[1]})
 _keyed("rp_cart_view_one", carts.cart_view, lambda shop: {"user_id": _ends(shop.carts, "user_id")[1]})
 _report("rp_monthly_sales_range", sales.monthly_sales, **_RANGE)
@@ -248,6 +301,34 @@ _flow("ch_blog_create", blog_changes.create_blogs, testdata.blog_forms,
 _flow("ch_blog_toggle", blog_changes.toggle_blogs, testdata.blog_toggles, {"blogs": ["id", "status"]})
 
 
+def _change_rows(key: str, flow: Callable[..., Outcome], requests: Callable[[SparkSession, str], DataFrame], table: str,
+                 columns: list[str], **params) -> None:
+    """What a flow did to one table, row by row."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shop = testdata.bind(spark, sf_dir)
+        found = flow(shop, requests(spark, sf_dir), **params).changes(shop, table)
+        kinds = {field.name: field.dataType for field in getattr(shop, table).schema.fields}
+
+        def shown(side: str) -> Column:
+            values = F.concat_ws("|", *[_text(F.col(f"{side}.{name}"), kinds[name]) for name in columns[1:]])
+            return F.when(F.col(side).isNotNull(), values).alias(side)
+
+        return found.select("operation", F.col("key").cast("string").alias("key"), shown("before"), shown("after"))
+
+    _query(key)(build)
+
+
+_change_rows("ch_rows_users", accounts.signup, testdata.signup_requests, "users",
+             ["id", "name", "email", "role_id", "role_name", "verified", "status"], as_of=AS_OF)
+_change_rows("ch_rows_categories", catalog_changes.update_categories, testdata.category_updates, "categories", _CATEGORY, as_of=AS_OF)
+_change_rows("ch_rows_products", catalog_changes.update_products, testdata.product_updates, "products", _PRODUCT, as_of=AS_OF)
+_change_rows("ch_rows_images", catalog_changes.delete_categories, testdata.category_deletes, "images", ["id", "product_id"])
+_change_rows("ch_rows_carts", cart_changes.set_quantities, testdata.cart_quantities, "carts",
+             ["id", "user_id", "product_id", "quantity", "created_at", "updated_at"])
+_change_rows("ch_rows_customers", addresses.delete_addresses, testdata.address_deletes, "customers", _ADDRESS)
+_change_rows("ch_rows_blogs", blog_changes.toggle_blogs, testdata.blog_toggles, "blogs", ["id", "status"])
+
+
 def _replayed(spark: SparkSession, sf_dir: str) -> Shop:
     """The shop with its early orders only, to which all payments are fed again."""
     shop = testdata.bind(spark, sf_dir)
@@ -316,7 +397,7 @@ def _verdicts(df: DataFrame, rules: list, *keys: str) -> DataFrame:
 
 
 _query("dq_customer")(lambda spark, sf_dir: _verdicts(
-    testdata.customer_forms(spark, sf_dir), quality.customer_rules(), "form_id"))
+    quality.normalised(testdata.customer_forms(spark, sf_dir)), quality.customer_rules(), "form_id", "email"))
 _query("dq_blog")(lambda spark, sf_dir: _verdicts(
     testdata.blog_forms(spark, sf_dir), quality.blog_rules(), "request_id"))
 _query("dq_product")(lambda spark, sf_dir: _verdicts(

@@ -518,6 +518,7 @@ def customer_forms(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("form_id"),
         F.when(key % 7 == 0, "  ").when(key % 7 == 1, " ab ").otherwise(F.col("c_name")).alias("name"),
         F.when(key % 5 == 0, "no-mail").when(key % 5 == 1, F.concat(F.lit("a b@x.com")))
+        .when(key % 5 == 2, F.concat(F.lit("User"), text, F.lit("@Example.COM")))
         .otherwise(F.concat(F.lit("u"), text, F.lit("@example.com"))).alias("email"),
         F.when(key % 11 == 0, " ").otherwise(F.concat(F.lit("Street "), text)).alias("address"),
         F.when(key % 3 == 0, F.lpad(text, 10, "0")).when(key % 3 == 1, F.lpad(text, 9, "0"))

@@ -254,7 +254,8 @@ BODIES: dict[str, str] = {
             cast(null as varchar) as country, false as is_default_address, {stamp('created_at')} as created_at
         from shop_customers""",
     "dq_customer": """
-        select form_id, concat_ws('; ',
+        select form_id, case k % 5 when 0 then 'no-mail' when 1 then 'a b@x.com' when 2 then 'user' || t || '@example.com'
+                else 'u' || t || '@example.com' end as email, concat_ws('; ',
             case when k % 7 = 0 then 'Customer name is empty' end,
             case when k % 7 in (0, 1) then 'Customer name must be at least 3 characters long' end,
             case when k % 5 in (0, 1) then 'Invalid email address' end,
@@ -307,6 +308,15 @@ BODIES: dict[str, str] = {
 }
 
 
+def change_rows(flow: str, table: str, before: str) -> str:
+    """The rows of a table in which the state that a flow shows differs from the shop's."""
+    return f"""select case when o.key is null then 'insert' when n.key is null then 'delete' else 'update' end as operation,
+            coalesce(o.key, n.key) as key, o.value as before, n.value as after
+        from (select cast(id as varchar) as key, {before} as value from shop_{table}) o
+        full join (select key, value from ({BODIES[flow]}) where section = '{table}') n on n.key = o.key
+        where o.value is distinct from n.value"""
+
+
 def _statement(body: str) -> str:
     """The base tables come before the query's own ones in one list."""
     sql = with_base(body)
@@ -315,4 +325,14 @@ def _statement(body: str) -> str:
     return sql
 
 
+CREATED = stamp("created_at")
+BODIES |= {
+    "ch_rows_users": change_rows("ch_signup", "users", value("name", "email", "role_id", "null", "'false'", "'deactivated'")),
+    "ch_rows_categories": change_rows("ch_category_update", "categories", value("name", "status", CREATED)),
+    "ch_rows_products": change_rows("ch_product_update", "products", value(*PRODUCT, CREATED)),
+    "ch_rows_images": change_rows("ch_category_delete", "images", value("product_id")),
+    "ch_rows_carts": change_rows("ch_cart_set_quantity", "carts", value("user_id", "product_id", "quantity", CREATED, CREATED)),
+    "ch_rows_customers": change_rows("ch_address_delete", "customers", value(*ADDRESS)),
+    "ch_rows_blogs": change_rows("ch_blog_toggle", "blogs", value("status")),
+}
 CHANGES = {key: _statement(body) for key, body in BODIES.items()}

@@ -31,6 +31,12 @@ def period_names(unit: str, where: str = "true") -> str:
         from paid o join shop_products p on p.id = o.product_id where {where} group by 1, 2"""
 
 
+def twelve_places(whole: str) -> str:
+    """A whole number of units of the twelfth decimal place as a double, through text and thus without an error."""
+    unit = "cast(1000000000000 as hugeint)"
+    return f"cast(({whole}) // {unit} || '.' || lpad(cast(({whole}) % {unit} as varchar), 12, '0') as double)"
+
+
 WEEKS12 = "o.created_at >= timestamp '2001-08-01' - interval 84 day"
 MONTHS = """select date_trunc('month', created_at) as m, count(distinct id) as n, sum(quantity) as q, sum(amount) as r
     from paid group by 1"""
@@ -117,8 +123,8 @@ BODIES: dict[str, str] = {
         from paid o join shop_products p on p.id = o.product_id join shop_categories c on c.id = p.category_id group by 1, 2, 3""",
     "rp_monthly_summary": f"""
         select count(*) as total_months, cast(sum(n) as bigint) as total_orders, cast(sum(q) as bigint) as total_items_sold,
-            cast(sum(r) as double) as total_revenue, round(avg(cast(r as double) / n), 4) as overall_average_order_value
-        from ({MONTHS})""",
+            cast(sum(r) as double) as total_revenue, {twelve_places('(2 * sum(a) + count(*)) // (2 * count(*))')} as overall_average_order_value
+        from (select *, (2 * cast(r * 100 as hugeint) * 10000000000 + n) // (2 * n) as a from ({MONTHS}))""",
     "rp_weekly_sales": period_totals("week", WEEKS12),
     "rp_weekly_product_sales": period_names("week", WEEKS12),
     "rp_yearly_sales": period_totals("year"),
@@ -245,6 +251,14 @@ BODIES |= {
     "rp_orders_by_reference_keys": f"{BY_REFERENCE} where o.reference {ENDS.format('reference', 'shop_lines')}",
     "rp_my_orders_one": BODIES["rp_my_orders"].replace(
         "where o.place <= 10", "where o.place between 6 and 10 and o.user_id = (select max(user_id) from shop_lines)"),
+    "rp_orders_deep_page": f"""select * exclude (place, middle) from (
+        select {LINE}, o.user_id, u.email as user_email, {PLACE},
+            row_number() over (order by o.created_at desc, o.id) as place, count(*) over () // 20 * 10 as middle
+        from shop_lines o left join shop_users u on u.id = o.user_id left join shop_deliveries d on d.order_id = o.reference)
+        where place > middle and place <= middle + 10""",
+    "rp_my_orders_deep": BODIES["rp_my_orders"].replace(
+        "where o.place <= 10", "where o.place between 9 and 12 and o.user_id = (select max(user_id) from shop_lines)"),
+    "rp_my_orders_deep_all": BODIES["rp_my_orders"].replace("where o.place <= 10", "where o.place between 19 and 24"),
     "rp_addresses_one": f"""{BODIES['rp_addresses']}
         where user_id = (select max(user_id) from shop_customers where not is_default_address)""",
     "rp_cart_view_one": f"{BODIES['rp_cart_view']} where c.user_id = (select max(user_id) from shop_carts)",
@@ -254,4 +268,51 @@ BODIES |= {
     "rp_monthly_summary_range": BODIES["rp_monthly_summary"].replace(MONTHS, MONTHS.replace("group by", f"where created_at {RANGE} group by")),
 }
 
+
+
+def figures(section: str, report: str, *fields: str) -> str:
+    """The fields of a one-row report as a row each."""
+    listed = ", ".join(f"{{'field': '{name}', 'number': cast({name} as double)}}" for name in fields)
+    return f"""select '{section}' as section, v.field as field, cast(0 as int) as place, cast(null as varchar) as text, v.number as number
+        from (select unnest([{listed}]) as v from ({BODIES[report]}))"""
+
+
+def entries(section: str, report: str, order: str, texts: list[str], numbers: list[str]) -> str:
+    """The fields of a list's rows as a row each, with the row's place in the list."""
+    listed = ", ".join(
+        [f"{{'field': '{name}', 'text': cast({name} as varchar), 'number': cast(null as double)}}" for name in texts]
+        + [f"{{'field': '{name}', 'text': null, 'number': cast({name} as double)}}" for name in numbers])
+    return f"""select '{section}', v.field, place, v.text, v.number from (select place, unnest([{listed}]) as v
+        from (select *, cast(row_number() over (order by {order}) - 1 as int) as place from ({BODIES[report]})))"""
+
+
+def drawn(section: str, field: str, place: str, text: str, number: str, rows: str) -> str:
+    return f"""select '{section}' as section, {field} as field, cast({place} - 1 as int) as place,
+        cast({text} as varchar) as text, cast({number} as double) as number from ({rows})"""
+
+
+BY_MONTH, BY_SHARE = "row_number() over (order by month_date)", "row_number() over (order by total_revenue desc, category_name)"
+WEEKLY, SHARES = BODIES["rp_chart_product_performance"], BODIES["rp_chart_category_share"]
+BODIES |= {
+    "rp_dashboard_document": " union all ".join([
+        figures("productMetrics", "rp_dashboard", "total_products", "total_stock", "low_stock_count", "active_products", "average_price"),
+        figures("categoryMetrics", "rp_dashboard", "total_categories", "active_categories"),
+        figures("salesMetrics", "rp_dashboard", "total_orders", "total_items_sold", "total_revenue", "unique_customers", "average_order_value"),
+        entries("topProducts", "rp_dashboard_top_products", "total_sold desc, id", ["name"], ["id", "price", "stock", "total_sold", "total_revenue"]),
+        entries("lowStockProducts", "rp_dashboard_low_stock", "stock, id", ["name", "category_name"], ["id", "stock"]),
+        entries("categorySales", "rp_dashboard_category_sales", "revenue desc, id", ["id", "name"], ["order_count", "items_sold", "revenue"]),
+    ]),
+    "rp_charts_document": " union all ".join([
+        drawn("monthlySales", "'labels'", BY_MONTH, "month", "null", BODIES["rp_chart_monthly"]),
+        drawn("monthlySales", "'Revenue'", BY_MONTH, "null", "revenue", BODIES["rp_chart_monthly"]),
+        drawn("monthlySales", "'Orders'", BY_MONTH, "null", "order_count", BODIES["rp_chart_monthly"]),
+        drawn("productPerformance", "'labels'", "row_number() over (order by first)", "'Week ' || week_number", "null",
+              f"select week_number, min(week_date) as first from ({WEEKLY}) group by 1"),
+        drawn("productPerformance", "product_name", "row_number() over (partition by product_name order by week_date, week_number)",
+              "null", "quantity_sold", WEEKLY),
+        drawn("categoryDistribution", "'labels'", BY_SHARE, "category_name", "null", SHARES),
+        drawn("categoryDistribution", "'data'", BY_SHARE, "null", "percentage", SHARES),
+    ]),
+}
+
 REPORTS = {key: with_base(body) for key, body in BODIES.items()}

@@ -4,10 +4,13 @@ import datetime as dt
 import random
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 from small_shop import T0, small_shop
 
 from merchlake.plans.changes import accounts, addresses, blogs, carts, catalog, payments
+from merchlake.plans.changes.outcome import row_changes
+from merchlake.sources import testdata
 
 NOW = dt.datetime(2024, 6, 1)
 
@@ -295,3 +298,44 @@ def test_flows_return_the_rows_they_wrote(spark):
     assert ids(blogs.toggle_blogs(shop, toggles).changed) == [1]
     payers = spark.createDataFrame([(row.user_id,) for row in shop.carts.collect()], "user_id bigint")
     assert ids(carts.clear_carts(shop, payers).changed) == ids(shop.carts)
+
+
+def test_row_changes_by_hand(spark):
+    kinds = "id string, a int, b string"
+    old = spark.createDataFrame([("1", 1, "x"), ("2", None, "y"), ("3", 3, None), (None, 4, "z"), ("5", 5, "e")], kinds)
+    new = spark.createDataFrame([("1", 1, "x", 9), ("2", 2, "y", None), ("3", 3, None, None), (None, 4, "zz", None), ("6", 6, "f", None)], f"{kinds}, c int")
+    found = {r.key: (r.operation, r.before and tuple(r.before), r.after and tuple(r.after)) for r in row_changes(old, new).collect()}
+    assert found == {
+        "1": ("update", ("1", 1, "x", None), ("1", 1, "x", 9)),
+        "2": ("update", ("2", None, "y", None), ("2", 2, "y", None)),
+        None: ("update", (None, 4, "z", None), (None, 4, "zz", None)),
+        "5": ("delete", ("5", 5, "e", None), None), "6": ("insert", None, ("6", 6, "f", None)),
+    }
+    assert row_changes(old, old).count() == 0 and row_changes(old.limit(0), old.limit(0)).count() == 0
+    assert {r.operation for r in row_changes(old.limit(0), old).collect()} == {"insert"}
+
+
+@pytest.mark.parametrize("flow, requests, table", [
+    (accounts.signup, testdata.signup_requests, "users"),
+    (catalog.create_categories, testdata.category_requests, "categories"),
+    (catalog.update_categories, testdata.category_updates, "categories"),
+    (catalog.create_products, testdata.product_requests, "products"),
+    (catalog.update_products, testdata.product_updates, "products"),
+    (catalog.replace_products, testdata.product_replacements, "products"),
+    (carts.set_quantities, testdata.cart_quantities, "carts"),
+    (carts.apply_adds, testdata.cart_adds, "carts"),
+    (addresses.update_addresses, testdata.address_updates, "customers"),
+    (addresses.add_addresses, testdata.address_adds, "customers"),
+    (addresses.delete_addresses, testdata.address_deletes, "customers"),
+    (blogs.create_blogs, testdata.blog_forms, "blogs"),
+    (blogs.toggle_blogs, testdata.blog_toggles, "blogs"),
+])
+def test_written_rows_agree_with_the_difference(spark, shop, flow, requests, table):
+    """Every row that a flow says it wrote stands in the new state; a row that is new was written."""
+    outcome = flow(shop, requests(spark, SMALL))
+    found = outcome.changes(shop, table)
+    assert outcome.changed is not None
+    written = {r[0] for r in outcome.changed.select("id").collect()}
+    state = {r[0] for r in outcome.state[table].select("id").collect()}
+    assert written <= state
+    assert {r.key for r in found.filter("operation = 'insert'").select("key").collect()} <= written

@@ -7,6 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from small_shop import small_shop
 
+from merchlake.operators import deep_page
 from merchlake.plans import carts, catalog, orders, sales
 from merchlake.registry import QUERIES
 from merchlake.sources import Shop, testdata
@@ -47,6 +48,17 @@ def test_lists_are_cut_before_they_are_shuffled(spark):
     assert "TakeOrderedAndProject" in plan(catalog.best_selling(shop))
 
 
+def test_a_deep_page_reads_its_days_only(spark, tmp_path):
+    small = small_shop(spark)
+    small.order_lines.write.parquet(f"{tmp_path}/order_lines")
+    lines = spark.read.parquet(f"{tmp_path}/order_lines").select("id", "created_at", "amount")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    text = plan(deep_page(lines, "created_at", "id", 2, 4))
+    assert re.search(r"PushedFilters: [^\n]*GreaterThanOrEqual\(created_at,2023-11-30", text), text
+    assert re.search(r"LessThan\(created_at,2024-01-01", text)
+    assert "TakeOrdered" not in text and "collect_list" not in text
+
+
 def test_a_hot_checkout_is_split(spark):
     """Half of all lines share one order: its partition is joined in pieces, with the same result."""
     lines = spark.range(200_000).select(

@@ -1,11 +1,12 @@
 import datetime as dt
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from small_shop import ROWS, T0, empty_shop, frame, small_shop
 
-from merchlake.operators import page_after
+from merchlake.operators import deep_page, page_after, page_per
 from merchlake.plans import blogs, carts, catalog, charts, customers, dashboard, insights, orders, sales
 
 
@@ -54,6 +55,46 @@ def test_key_pages_equal_offset_pages(shop):
     assert seen == [r.id for r in top]
 
 
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Most lines on one day, many at one time, some without a time, one owner with nearly all of them."""
+    lines = spark.range(1500).select(
+        F.format_string("k%05d", F.col("id")).alias("key"), F.when(F.col("id") % 9 == 0, 2).when(F.col("id") == 1, None).otherwise(1).alias("owner"),
+        F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 3 == 0, F.lit("2024-02-01 10:00:00"))
+        .when(F.col("id") % 3 == 1, F.format_string("2024-02-01 %02d:00:00", F.col("id") % 24))
+        .otherwise(F.format_string("2024-01-%02d 23:59:59", F.col("id") % 20 + 1)).cast("timestamp").alias("at"),
+    )
+    return lines.persist()
+
+
+@pytest.mark.parametrize("page_no, size", [(1, 10), (37, 20), (2, 700), (75, 20), (76, 20), (10**9, 50), (1, 5000)])
+def test_deep_pages_equal_sorted_list(crowded, page_no, size):
+    order = [F.col("at").desc_nulls_last(), F.col("key")]
+    whole = [r.key for r in crowded.orderBy(*order).collect()]
+    found = {r.key for r in deep_page(crowded, "at", "key", page_no, size).collect()}
+    assert found == set(whole[(page_no - 1) * size:page_no * size])
+
+
+@pytest.mark.parametrize("page_no, size", [(1, 3), (2, 100), (9, 100), (40, 4), (1, 2000)])
+def test_deep_pages_of_every_owner(crowded, page_no, size):
+    order = [F.col("at").desc_nulls_last(), F.col("key")]
+    ours = sorted(deep_page(crowded, "at", "key", page_no, size, "owner").collect(), key=repr)
+    assert ours == sorted(page_per(crowded, "owner", order, page_no, size).collect(), key=repr)
+
+
+def test_deep_pages_of_nothing(spark, crowded):
+    none = crowded.filter("key is null")
+    assert deep_page(none, "at", "key", 3, 10).count() == 0 and deep_page(none, "at", "key", 3, 10, "owner").count() == 0
+    with pytest.raises(ValueError):
+        deep_page(crowded, "at", "key", 0, 10)
+
+
+def test_reports_take_either_way_to_a_page(shop):
+    for report in (lambda **way: orders.orders_page(shop, 60, 7, **way), lambda **way: orders.my_orders(shop, None, 3, 4, **way)):
+        shallow, deep = (sorted(report(direct=depth).collect(), key=repr) for depth in (10**6, 0))
+        assert shallow == deep and shallow
+
+
 def test_dashboard_keeps_unsold_rows_last(small):
     tops = dashboard.top_products(small).collect()
     assert [(r.id, r.total_sold) for r in tops] == [(1, 5), (2, 1), (5, 1), (3, 0), (4, 0)]
@@ -183,6 +224,13 @@ def test_json_orders_drop_unknown_products(spark, small):
     assert [(r.order_key, r.product_id, r.product_total, r.total_price) for r in rows] == [("j1", 1, 5.0, 5.0)]
 
 
+def test_mean_of_monthly_means_is_exact(spark, small):
+    rows = [(f"o{n}", n, 1, 1, 1, Decimal(amount), "success", T0 - dt.timedelta(days=31 * month))
+            for n, (month, amount) in enumerate([(0, "1.00"), (0, "1.00"), (0, "0.00"), (1, "0.10"), (2, "0.20")])]
+    summary = sales.monthly_summary(small.replace(order_lines=frame(spark, "order_lines", rows))).first()
+    assert summary.overall_average_order_value == float((Decimal("0.666666666667") + Decimal("0.3")) / 3 // Decimal("1e-12") * Decimal("1e-12"))
+
+
 def test_documents(shop):
     board = json.loads(dashboard.dashboard_document(shop).first().document)
     assert board["productMetrics"]["total_products"] == 200 and len(board["topProducts"]) == 5
