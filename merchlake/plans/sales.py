@@ -52,7 +52,7 @@ def by_product(lines: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def _with_names(shop: Shop, sold: DataFrame, *, category: bool = False) -> DataFrame:
+def with_names(shop: Shop, sold: DataFrame, *, category: bool = False) -> DataFrame:
     products = shop.products.select(
         F.col("id").alias("_product"), F.col("name").alias("product_name"), "category_id"
     )
@@ -65,7 +65,7 @@ def _with_names(shop: Shop, sold: DataFrame, *, category: bool = False) -> DataF
 
 def _by_name(shop: Shop, lines: DataFrame, unit: str) -> DataFrame:
     """Per bucket and product name: products of one name are added up."""
-    named = _with_names(shop, by_product(lines, unit))
+    named = with_names(shop, by_product(lines, unit))
     summed = named.groupBy(unit, "product_name").agg(
         F.sum("quantity_sold").alias("quantity_sold"), F.sum("revenue").alias("revenue")
     )
@@ -73,7 +73,7 @@ def _by_name(shop: Shop, lines: DataFrame, unit: str) -> DataFrame:
 
 
 def _by_category(shop: Shop, lines: DataFrame, unit: str, *keys: str) -> DataFrame:
-    named = _with_names(shop, by_product(lines, unit), category=True)
+    named = with_names(shop, by_product(lines, unit), category=True)
     return named.groupBy(unit, *keys).agg(
         F.sum("order_count").alias("order_count"),
         F.sum("quantity_sold").alias("items_sold"),
@@ -89,7 +89,7 @@ def monthly_sales(shop: Shop, start: Day | None = None, end: Day | None = None)
 
 def monthly_product_sales(shop: Shop, start: Day | None = None, end: Day | None = None) -> DataFrame:
     sold = by_product(_in_range(paid_lines(shop), start, end), "month")
-    named = _with_names(shop, sold).select(
+    named = with_names(shop, sold).select(
         "month", "product_name", "product_id", "quantity_sold", "revenue", "order_count"
     )
     return money_columns(named, "revenue").orderBy("month", F.desc("revenue"), "product_id")

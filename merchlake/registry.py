@@ -23,12 +23,14 @@ from merchlake.plans.changes import blogs as blog_changes
 from merchlake.plans.changes import carts as cart_changes
 from merchlake.plans.changes import catalog as catalog_changes
 from merchlake.plans.changes.outcome import Outcome
+from merchlake.plans.facts import paid_lines
 from merchlake.session import configure, work_folder
 from merchlake.sources import testdata
 from merchlake.sources.shop import Shop
 from merchlake.sources.snapshots import write_snapshot
 from merchlake.sources.tables import conform
-from merchlake.streaming import jobs
+from merchlake.streaming import jobs, rollup
+from merchlake.streaming.rollup import SalesRollUp
 
 AS_OF = dt.datetime(2001, 8, 1)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,6 +483,35 @@ def _cart_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(state.select("user_id", "product_id", "quantity", "created_at"))
 
 
+def _rolled(spark: SparkSession, sf_dir: str) -> tuple[Shop, SalesRollUp]:
+    """The orders rolled up in two batches, of which the first is sent again."""
+    shop = testdata.bind(spark, sf_dir)
+    rolled = SalesRollUp(spark, work_folder(spark, "sales-rollup"), shop.key_type("order_lines", "product_id"), buckets=8)
+    for batch in (0, 1, 0):
+        rolled.add(f"lines-{batch}", shop.order_lines.filter(F.col("reference") % 2 == batch))
+    return shop, rolled
+
+
+@_query("st_rollup_product_sales")
+def _rollup_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(rollup.product_sales(*_rolled(spark, sf_dir), "month"))
+
+
+@_query("st_rollup_category_sales")
+def _rollup_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(rollup.category_sales(*_rolled(spark, sf_dir), "year"))
+
+
+@_query("st_rollup_customers")
+def _rollup_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weeks of the roll-up, and whether their customers by sketch are within 2 % of the exact number."""
+    shop, rolled = _rolled(spark, sf_dir)
+    exact = sales.totals(paid_lines(shop), "week").select("week", "unique_customers")
+    error = F.abs(F.col("approx_customers") - F.col("unique_customers")) / F.col("unique_customers")
+    weeks = rolled.totals("week").join(exact, "week").withColumn("sketch_is_close", error < 0.02)
+    return _flat(weeks.drop("approx_customers"))
+
+
 @_query("st_daily_sales")
 def _daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "daily-sales")

@@ -269,6 +269,12 @@ BODIES |= {
 }
 
 
+BODIES |= {
+    "st_rollup_product_sales": BODIES["rp_monthly_product_sales"],
+    "st_rollup_category_sales": BODIES["rp_yearly_category_sales"],
+    "st_rollup_customers": f"select *, true as sketch_is_close from ({period_totals('week')})",
+}
+
 
 def figures(section: str, report: str, *fields: str) -> str:
     """The fields of a one-row report as a row each."""

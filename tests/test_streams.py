@@ -5,13 +5,16 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from small_shop import T0, small_shop
+from small_shop import ROWS, T0, frame, small_shop
 from test_payments import CAMEL, EVENTS, SECRET, SNAKE, event
 
+from merchlake.plans import sales
 from merchlake.plans.changes import carts, payments
+from merchlake.plans.facts import paid_lines
 from merchlake.sources.buckets import BucketStore
 from merchlake.streaming import jobs
 from merchlake.streaming.ledger import PaymentLedger
+from merchlake.streaming.rollup import SalesRollUp
 
 KEYS = ["event_id", "signature", "body"]
 CART_LOG = "event_id bigint, ts timestamp, user_id bigint, event_type string, product_id bigint, quantity bigint"
@@ -245,3 +248,38 @@ def test_a_repeated_cart_batch_changes_nothing(spark, tmp_path):
         store = jobs.cart_store(spark, CART_LOG, base)
         states.append({table: sorted(map(repr, store.read(table).collect())) for table in ("settings", "payments", "carts")})
     assert states[0] == states[1] and states[0]["carts"]
+
+
+def test_rollup_in_any_cut(spark, shop, tmp_path):
+    """Batches in any number and order, some of them sent again, give the sums of the whole; untouched buckets stay."""
+    lines = shop.order_lines
+    whole, cut = (SalesRollUp(spark, f"{tmp_path}/{name}", buckets=4) for name in ("whole", "cut"))
+    assert whole.add("all", lines)
+    for part in (2, 0, 2, 1):
+        cut.add(f"part {part}", lines.filter(F.col("reference") % 3 == part))
+    assert not cut.add("part 1", lines) and cut.store.version() == 3
+    for unit in ("week", "year"):
+        assert sorted(whole.products(unit).collect()) == sorted(cut.products(unit).collect())
+        assert sorted(whole.totals(unit).collect()) == sorted(cut.totals(unit).collect())
+    before = cut.store.read("product_days").inputFiles()
+    day = lines.filter("status = 'success'").agg(F.max("created_at")).first()[0]
+    cut.add("one day", lines.filter(F.col("created_at") == F.lit(day)).limit(5))
+    assert 0 < len(set(before) - set(cut.store.read("product_days").inputFiles())) < len(before)
+
+
+def test_rollup_of_odd_rows(spark, tmp_path):
+    rows = ROWS["order_lines"] + [("o7", 15, None, None, None, None, "success", None)]
+    rolled = SalesRollUp(spark, f"{tmp_path}/odd", buckets=2)
+    assert rolled.add("none", frame(spark, "order_lines", [])) and rolled.totals("month").count() == 0
+    assert rolled.add("some", frame(spark, "order_lines", rows))
+    found = {str(r.month): (r.order_count, r.items_sold, r.revenue and float(r.revenue), r.approx_customers) for r in rolled.totals("month").collect()}
+    assert found == {"2024-01-01": (3, 4, 15.0, 1), "2023-12-01": (1, 1, 9.99, 1), "2023-11-01": (1, 3, None, 1), "None": (1, None, None, 0)}
+
+
+def test_rollup_as_a_stream(spark, shop, tmp_path):
+    shop.order_lines.repartition(3).write.parquet(f"{tmp_path}/lines")
+    feed = spark.readStream.schema(shop.order_lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/lines")
+    rolled = SalesRollUp(spark, f"{tmp_path}/rolled", buckets=2)
+    jobs.run_to_end(rolled.feed(feed, "lines"), f"{tmp_path}/checkpoint")
+    expected = sales.by_product(paid_lines(shop), "month").select("month", "product_id", "quantity_sold", "revenue", "order_count")
+    assert sorted(rolled.products("month").collect()) == sorted(expected.collect())
