@@ -1,11 +1,11 @@
 """Exact set-similarity join on word shingles with skipping by set relations, and the classes it makes.
 
-Equal sets are one node. Every node is listed under the shingles of its prefix (rarest first), each list
-sorted by set size and read only as far as sizes and positions allow a link. Nodes that already belong
-together are skipped: a first round compares every list's members with the partner that looks most like
-them, so a group of near copies becomes one class from a number of pairs in proportion to its size. Between
-classes, a set's overlaps are derived from those of its class's leader and the few shingles in which the
-two differ; only what these bounds leave open is compared shingle by shingle.
+Equal sets are one node. Every node is listed under the shingles of its prefix (rarest first). A first round
+compares a list's members with a few elected leaders and with the nearest of their neighbours, so a group of
+near copies becomes one class in time linear in its lists. A second round reads lists in blocks of neighbours
+and skips pairs of blocks whose best sizes, positions and profiles cannot reach a link, or that are of one
+class. The pairs left lie between classes: the overlaps of each leader are computed once and kept as a table,
+and a follower's overlaps are derived from them by the few shingles in which the two differ.
 """
 
 from __future__ import annotations
@@ -23,29 +23,27 @@ from pyspark.sql import functions as F
 from merchlake.llm.common import arrow_rows, as_row, interim, staged
 
 CACHED_WORDS = 30_000
-TEXTS = 1000  # texts and sets that a task holds at once
+TEXTS = 250  # texts and sets that a task holds at once
 SET_BYTES = 2_000_000  # sets held before they are sent on
 SKETCH_BITS = 22  # shingle frequencies are kept in 2^22 counters, whatever the number of shingles
 SKETCH_SLICE = 2**16
-LIST_BLOCK = 2048  # longer lists are dealt out in blocks, and blocks meet in pairs
+LIST_BLOCK = 8192  # longer lists are dealt out in blocks
+NEIGHBOURS = 64  # entries of a list, in order of size, among which the first round looks for a partner
+LEADERS = 8  # leaders that a long list elects in the first round
+SKIP_BLOCK = 64  # entries of a long list that the second round skips at once
 BINS, FULL = 64, 255
 BROADCAST_PAIRS = 1_000_000  # pairs of row numbers (16 bytes each) up to which no set is shuffled to be picked
+OVERLAPS = "a bigint, b bigint, n_a int, n_b int, common bigint"
 # Odd 64-bit constants of the mixing steps (fixed values).
 MIX = tuple(np.uint64(value) for value in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-WHOLE = np.uint64(0xFFFFFFFFFFFFFF00)
-
-
 def packed(values: np.ndarray) -> bytes:
-    """A set as seven bytes for each hash."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+    return np.ascontiguousarray(values, "<u8").tobytes()
 
 
 def unpacked(own: bytes) -> np.ndarray:
-    out = np.zeros((len(own) // 7, 8), np.uint8)
-    out[:, 1:] = np.frombuffer(own, np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
+    return np.frombuffer(own, "<u8")
 
 
 class WordHashes(dict):
@@ -63,7 +61,7 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, words_each: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 56-bit hashes (the upper bits of 64) of the word shingles: A-Z lower-cased, words between blanks.
+    """Sorted distinct 64-bit hashes of the word shingles: A-Z lower-cased, words between blanks.
 
     With fewer words than a shingle has, the whole sequence is one shingle.
     """
@@ -78,7 +76,7 @@ def shingle_set(text: str | None, words_each: int, hashes: WordHashes) -> np.nda
     mixed = np.full(count, size, np.uint64)
     for at in range(size):
         mixed = _mixed(mixed * MIX[0] + own[at:at + count])
-    return np.unique(mixed & WHOLE)
+    return np.unique(mixed)
 
 
 def _sets(words_each: int):
@@ -193,64 +191,161 @@ def _possible(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where((one[:, 0] == FULL) | (other[:, 0] == FULL), np.iinfo(np.int64).max // 4, most)
 
 
-def _list_pairs(percent: int, nearest: bool):
-    """Pairs of different classes from lists that arrive sorted by (token, block pair, size, position).
+class Lists:
+    """Entries of one or more lists, sorted by (token, block pair, size, position), as arrays."""
 
-    All pairs pass the bounds of sizes, positions and profiles; a member whose partner's size is out of
-    bounds skips the rest of its list. ``nearest``: of each member's pairs in a list only the one whose
-    bounds leave the largest similarity.
-    """
     heads = ("token", "one", "two")
+    names = (*heads, "block", "n", "place", "node", "kind", "profile")
 
-    def of_lists(rows: dict[str, np.ndarray]) -> pd.DataFrame:
-        size, place, node, kind, profile = (rows[name] for name in ("n", "place", "node", "kind", "profile"))
-        changed = np.zeros(len(size), bool)
+    def __init__(self, rows: dict[str, np.ndarray], percent: int):
+        self.rows, self.percent = rows, percent
+        self.size, self.kind, self.profile, self.block = (rows[name] for name in ("n", "kind", "profile", "block"))
+        self.left = rows["n"] - rows["place"]  # shingles from the shared one on, itself included
+        self.crossing = rows["one"] != rows["two"]
+
+    def starts(self) -> np.ndarray:
+        changed = np.zeros(len(self.size), bool)
         changed[0] = True
-        for name in heads:
-            changed[1:] |= rows[name][1:] != rows[name][:-1]
-        last = np.append(np.flatnonzero(changed)[1:], len(size))[np.cumsum(changed) - 1]
-        crossing = rows["one"] != rows["two"]
-        found, closest, partner = [], np.full(len(size), -1.0), np.full(len(size), -1)
-        alive, step = np.arange(len(size)), 1
-        while True:
+        for name in self.heads:
+            changed[1:] |= self.rows[name][1:] != self.rows[name][:-1]
+        return np.flatnonzero(changed)
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those pairs of entries that sizes, positions, classes and profiles allow, with their largest overlap."""
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        needed = least_overlap(small, large, self.percent)
+        good = (100 * small >= self.percent * large) & (np.minimum(self.left[a], self.left[b]) >= needed) & (self.kind[a] != self.kind[b])
+        good &= ~self.crossing[a] | (self.block[a] != self.block[b])
+        a, b, needed = a[good], b[good], needed[good]
+        most = _possible(self.profile[a], self.profile[b])
+        good = most >= needed
+        return a[good], b[good], most[good]
+
+    def neighbours(self, starts: np.ndarray, window: int, nearest: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Possible pairs at most ``window`` entries apart; ``nearest``: of each entry the most similar by its bounds."""
+        count = len(self.size)
+        ends = np.append(starts[1:], count)
+        last = np.repeat(ends, ends - starts)
+        found, closest, partner = [], np.full(count, -1.0), np.full(count, -1)
+        alive = np.arange(count)
+        for step in range(1, window + 1):
             alive = alive[alive + step < last[alive]]
-            alive = alive[100 * size[alive] >= percent * size[alive + step]]
+            # Sizes rise, so an entry whose partner is too large skips the rest of its list.
+            alive = alive[100 * self.size[alive] >= self.percent * self.size[alive + step]]
             if not len(alive):
                 break
-            a, b = alive, alive + step
-            needed = least_overlap(size[a], size[b], percent)
-            good = (np.minimum(size[a] - place[a], size[b] - place[b]) >= needed) & (kind[a] != kind[b])
-            good &= ~crossing[a] | (rows["block"][a] != rows["block"][b])
-            a, b, needed = a[good], b[good], needed[good]
-            most = _possible(profile[a], profile[b])
-            good = most >= needed
-            a, b, most = a[good], b[good], most[good]
+            a, b, most = self.possible(alive, alive + step)
             if nearest:
-                share = np.minimum(most, size[a]) / (size[a] + size[b])
+                share = np.minimum(most, self.size[a]) / (self.size[a] + self.size[b])
                 for mine, other in ((a, b), (b, a)):
                     better = share > closest[mine]
                     closest[mine[better]], partner[mine[better]] = share[better], other[better]
-            elif len(a):
-                found.append(np.stack((node[a], node[b]), axis=1))
-            step += 1
+            else:
+                found.append((a, b))
         if nearest:
             mine = np.flatnonzero(partner >= 0)
-            found.append(np.stack((node[mine], node[partner[mine]]), axis=1))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.append((mine, partner[mine]))
+        return found
+
+    def led(self, start: int, end: int, leaders: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Possible pairs of a long list's leaders and the entries that no earlier leader may be linked with.
+
+        A leader is the entry whose profile is nearest to the mean of those that are left.
+        """
+        found, rest = [], np.arange(start, end)
+        for _ in range(leaders):
+            if len(rest) < 2:
+                break
+            centre = self.profile[rest].mean(axis=0, dtype=np.float32)
+            common = np.minimum(self.profile[rest], centre).sum(axis=1)
+            leader = rest[np.argmax(common / (self.profile[rest].sum(axis=1, dtype=np.int64) + centre.sum() - common))]
+            rest = rest[rest != leader]
+            a, _, _ = self.possible(rest, np.full(len(rest), leader))
+            found.append((a, np.full(len(a), leader)))
+            rest = np.setdiff1d(rest, a, assume_unique=True)
+        return found
+
+    def skipping(self, start: int, end: int, each: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All possible pairs of a long list, whose entries are read in blocks.
+
+        Classes of a block's length and more lie together, all else in order of size and position. A pair of
+        blocks is skipped if its best sizes, positions and profiles leave no link, or both are of one class.
+        """
+        kind = self.kind[start:end]
+        _, which, counts = np.unique(kind, return_inverse=True, return_counts=True)
+        group = np.where(counts[which] >= each, which + 1, 0)
+        order = start + np.lexsort((self.left[start:end], self.size[start:end], group))
+        cuts = np.arange(0, len(order), each)
+        low, high = (pick.reduceat(self.size[order], cuts) for pick in (np.minimum, np.maximum))
+        left = np.maximum.reduceat(self.left[order], cuts)
+        most = np.maximum.reduceat(self.profile[order], cuts, axis=0)
+        full = np.maximum.reduceat((self.profile[order, 0] == FULL).astype(np.int8), cuts) > 0
+        least_kind, largest_kind = (pick.reduceat(self.kind[order], cuts) for pick in (np.minimum, np.maximum))
+        one_class = least_kind == largest_kind
+        found = []
+        for at in range(len(cuts)):
+            others = np.arange(at, len(cuts))
+            if one_class[at]:
+                others = others[~(one_class[others] & (least_kind[others] == least_kind[at]))]
+            needed = least_overlap(low[at], low[others], self.percent)
+            good = (100 * high[at] >= self.percent * low[others]) & (100 * high[others] >= self.percent * low[at])
+            good &= np.minimum(left[at], left[others]) >= needed
+            others, needed = others[good], needed[good]
+            good = (np.minimum(most[at], most[others]).sum(axis=1, dtype=np.int64) >= needed) | full[at] | full[others]
+            own = order[cuts[at]:cuts[at] + each]
+            for other in others[good]:
+                second = order[cuts[other]:cuts[other] + each]
+                a, b = np.repeat(own, len(second)), np.tile(second, len(own))
+                if other == at:
+                    a, b = a[a < b], b[a < b]
+                a, b, _ = self.possible(a, b)
+                if len(a):
+                    found.append((a, b))
+        return found
+
+
+def _list_pairs(percent: int, nearest: bool, window: int, leaders: int, each: int):
+    """Pairs of nodes of different classes that a list allows.
+
+    ``nearest`` (first round): every entry's nearest neighbour and its list's leaders; else all that are possible.
+    """
+
+    def of_lists(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        lists = Lists(rows, percent)
+        starts = lists.starts()
+        ends = np.append(starts[1:], len(lists.size))
+        long = ends - starts > window
+        if nearest:
+            found = lists.neighbours(starts, window, True)
+            for start, end in zip(starts[long].tolist(), ends[long].tolist()):
+                found += lists.led(start, end, leaders)
+        else:
+            found = []
+            short = np.repeat(~long, ends - starts)
+            if short.any():
+                own = Lists({name: values[short] for name, values in rows.items()}, percent)
+                place = np.flatnonzero(short)
+                found += [(place[a], place[b]) for a, b in own.neighbours(own.starts(), window, False)]
+            for start, end in zip(starts[long].tolist(), ends[long].tolist()):
+                found += lists.skipping(start, end, each)
+        node = rows["node"]
+        a, b = (np.concatenate([node[pair[side]] for pair in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
+        pairs = np.unique(np.sort(np.stack((a, b), axis=1), axis=1), axis=0)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, held = [*heads, "block", "n", "place", "node", "kind", "profile"], None
+        names, held = Lists.names, None
         for batch in batches:
             if not len(batch):
                 continue
             own = {name: batch[name].to_numpy() for name in names[:-1]}
+            own["n"], own["place"] = own["n"].astype(np.int64), own["place"].astype(np.int64)
             own["profile"] = np.frombuffer(b"".join(batch["profile"]), np.uint8).reshape(-1, BINS)
             if held is not None:
                 own = {name: np.concatenate((held[name], own[name])) for name in names}
-            # The last list may go on in the next batch; a block pair holds at most a few thousand rows.
+            # The last list may go on in the next batch; a block pair holds a bounded number of rows.
             same = np.ones(len(own["n"]), bool)
-            for name in heads:
+            for name in Lists.heads:
                 same &= own[name] == own[name][-1]
             cut = len(same) - int(same[::-1].cumprod().sum())
             if cut:
@@ -262,15 +357,51 @@ def _list_pairs(percent: int, nearest: bool):
     return run
 
 
-def _candidates(shared: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Distinct candidate pairs of nodes from the shared lists, which are dealt out in bounded blocks."""
-    blocks = F.ceil(F.col("listed") / LIST_BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = shared.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("one", F.least("block", "_other")).withColumn("two", F.greatest("block", "_other"))
+def _paired(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Distinct pairs of nodes from entries that are dealt to block pairs (one, two)."""
     rows = rows.select("token", "one", "two", "block", "n", "place", "node", "kind", "profile")
     rows = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "place", "node")
-    return rows.mapInPandas(_list_pairs(percent, nearest), "a bigint, b bigint").distinct()
+    return rows.mapInPandas(_list_pairs(percent, nearest, NEIGHBOURS, LEADERS, SKIP_BLOCK), "a bigint, b bigint").distinct()
+
+
+def _near_members(shared: DataFrame, percent: int) -> DataFrame:
+    """First round: pairs in proportion to the lists. A long list's blocks differ from shingle to shingle."""
+    block = F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("listed") / LIST_BLOCK)).cast("int")
+    rows = shared.withColumn("block", block)
+    return _paired(rows.withColumns({"one": F.col("block"), "two": F.col("block"), "kind": F.col("node")}), percent, True)
+
+
+def _near_classes(placed: DataFrame, percent: int) -> DataFrame:
+    """Second round: every possible pair of different classes.
+
+    Lists of more than ``LIST_BLOCK`` entries are dealt out in blocks that meet in pairs. A class that has so many
+    entries in a list has blocks of its own there, which do not meet each other: a list of one great class
+    and a few other nodes costs no more than its length.
+    """
+    short = placed.filter(F.col("listed") <= LIST_BLOCK).withColumns({name: F.lit(0) for name in ("block", "one", "two")})
+    hot = placed.filter(F.col("listed") > LIST_BLOCK)
+    great = hot.groupBy("token", "kind").agg(F.count("*").alias("_count")).filter(F.col("_count") >= LIST_BLOCK)
+    great = great.withColumn("_own", F.ceil(F.col("_count") / LIST_BLOCK).cast("int"))
+    # At most one row for each LIST_BLOCK entries of a list, so this window is short.
+    of_list = W.partitionBy("token")
+    great = great.withColumns({"_end": F.sum("_own").over(of_list.orderBy("kind")), "_blocks": F.sum("_own").over(of_list),
+                               "_in_great": F.sum("_count").over(of_list)})
+    lists = great.select("token", "_blocks", "_in_great").distinct()
+    dealt = hot.join(lists, "token", "left").join(great.select("token", "kind", "_own", "_end"), ["token", "kind"], "left")
+    rest = F.ceil((F.col("listed") - F.coalesce("_in_great", F.lit(0))) / LIST_BLOCK).cast("int")
+    dealt = dealt.withColumns({"_rest": rest, "_first": (F.col("_end") - F.col("_own")).cast("int")})
+    dealt = dealt.withColumn("_total", (F.col("_rest") + F.coalesce("_blocks", F.lit(0))).cast("int"))
+    spread = F.xxhash64("node")
+    block = F.when(F.col("_own").isNull(), F.pmod(spread, F.col("_rest"))).otherwise(F.col("_rest") + F.col("_first") + F.pmod(spread, F.col("_own")))
+    dealt = dealt.withColumn("block", block.cast("int"))
+
+    def meets(other):
+        own = (other >= F.col("_rest") + F.col("_first")) & (other < F.col("_rest") + F.col("_first") + F.col("_own"))
+        return F.col("_own").isNull() | ~own
+
+    dealt = dealt.withColumn("_other", F.explode(F.filter(F.sequence(F.lit(0), F.col("_total") - 1), meets)))
+    dealt = dealt.withColumns({"one": F.least("block", "_other"), "two": F.greatest("block", "_other")})
+    return _paired(short.unionByName(dealt.select(*short.columns)), percent, False)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +412,31 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(common, pa.int64())], names=[*names, "common"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a follower (a) lacks of its leader (b) and what it has beyond it."""
+    for batch in batches:
+        pairs = [(unpacked(x.as_buffer()), unpacked(y.as_buffer())) for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
+        lacks = [packed(np.setdiff1d(leader, own, assume_unique=True)) for own, leader in pairs]
+        extra = [packed(np.setdiff1d(own, leader, assume_unique=True)) for own, leader in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(lacks, pa.binary()), pa.array(extra, pa.binary())],
+                                         names=["node", "leader", "lacks", "extra"])
+
+
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A follower's overlap with another set: its leader's, less what it lacks, and what it has beyond."""
+    names = ["a", "b", "n_a", "n_b"]
+
+    def within(few: np.ndarray, own: np.ndarray) -> int:
+        return int((own[np.minimum(np.searchsorted(own, few), len(own) - 1)] == few).sum()) if len(few) else 0
+
+    for batch in batches:
+        common = []
+        for known, lacks, extra, other in zip(*(batch.column(name) for name in ("common", "lacks", "extra", "set"))):
+            own = unpacked(other.as_buffer())
+            common.append(known.as_py() - within(unpacked(lacks.as_buffer()), own) + within(unpacked(extra.as_buffer()), own))
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(common, pa.int64())], names=[*names, "common"])
+
+
 class Join:
     """One join: nodes with their sets written to the shared folder, and the steps on pairs of nodes."""
 
@@ -322,22 +478,44 @@ class Join:
             pairs = pairs.join(side, name)
         return pairs
 
-    def overlaps(self, near: DataFrame) -> DataFrame:
-        """Exact overlaps: (a, b, n_a, n_b, common).
+    def set_of(self, near: DataFrame, name: str, small: bool) -> DataFrame:
+        """(a, b, set_a) or (a, b, set_b) of pairs.
 
         Up to ``BROADCAST_PAIRS`` pairs their row numbers are broadcast, and only the sets they name are
         shuffled; beyond, rows and sets are joined by shuffling both.
         """
+        asked = near.select("a", "b", F.col(f"row_{name}").alias("_row"))
+        asked = F.broadcast(asked) if small else asked
+        return self.sets.select("row", F.col("set").alias(f"set_{name}")).join(asked, F.col("row") == F.col("_row")).drop("row", "_row")
+
+    def both_sets(self, near: DataFrame) -> DataFrame:
         near = staged(near, "near")
         small = near.count() <= BROADCAST_PAIRS
+        both = self.set_of(near, "a", small).join(self.set_of(near, "b", small), ["a", "b"])
+        return both.join(near.select("a", "b", "n_a", "n_b"), ["a", "b"])
+
+    def compared(self, near: DataFrame, run, schema: str, purpose: str) -> DataFrame:
+        """A written table of what a comparison of both sets gives, a few pairs at a time."""
+        both = self.both_sets(near)
+        with arrow_rows(near.sparkSession, TEXTS):
+            return staged(both.mapInArrow(run, schema), purpose)
 
-        def side(name: str) -> DataFrame:
-            asked = near.select("a", "b", F.col(f"row_{name}").alias("_row"))
-            asked = F.broadcast(asked) if small else asked
-            return self.sets.select("row", F.col("set").alias(f"set_{name}")).join(asked, F.col("row") == F.col("_row")).drop("row", "_row")
+    def overlaps(self, near: DataFrame) -> DataFrame:
+        """Exact overlaps: (a, b, n_a, n_b, common)."""
+        return self.compared(near, _overlaps, OVERLAPS, "overlaps")
+
+    def differences(self, led: DataFrame) -> DataFrame:
+        """(node, leader, lacks, extra) of pairs (follower a, leader b)."""
+        return self.compared(led, _differences, "node bigint, leader bigint, lacks binary, extra binary", "differences")
 
-        both = side("a").join(side("b"), ["a", "b"]).join(near.select("a", "b", "n_a", "n_b"), ["a", "b"])
-        return both.mapInArrow(_overlaps, "a bigint, b bigint, n_a int, n_b int, common bigint")
+    def derived(self, open_pairs: DataFrame, differences: DataFrame) -> DataFrame:
+        """Overlaps of followers ``a`` with ``b`` from their leaders' (``common``): only b's set is read."""
+        near = staged(open_pairs, "open")
+        small = near.count() <= BROADCAST_PAIRS
+        rows = self.set_of(near, "b", small).withColumnRenamed("set_b", "set").join(near.select("a", "b", "n_a", "n_b", "common"), ["a", "b"])
+        rows = rows.join(differences.select(F.col("node").alias("a"), "lacks", "extra"), "a")
+        with arrow_rows(near.sparkSession, TEXTS):
+            return staged(rows.mapInArrow(_derived, OVERLAPS), "derived")
 
     def linked(self, overlaps: DataFrame) -> DataFrame:
         return overlaps.filter(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
@@ -375,15 +553,14 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
     with interim(docs.sparkSession):
         join = Join(docs, words_each, percent, key, text)
         shared = join.shared_lists()
-        alone = F.col("node").alias("kind")
-        first = staged(join.linked(join.overlaps(join.sized(_candidates(shared.select("*", alone), percent, True)))), "links")
+        first = join.linked(join.overlaps(join.sized(_near_members(shared, percent))))
         roots = staged(components(first), "roots")
 
         # Lists whose members are not all of one class go into the second round.
         placed = shared.join(roots, "node", "left").withColumn("kind", F.coalesce("root", "node")).drop("root")
         mixed = placed.groupBy("token").agg(F.min("kind").alias("_low"), F.max("kind").alias("_high")).filter("_low <> _high").select("token")
-        near = staged(join.sized(_candidates(placed.join(mixed, "token", "left_semi"), percent, False)), "between")
-        second = staged(_between_classes(join, near, first, roots), "links")
+        near = staged(join.sized(_near_classes(placed.join(mixed, "token", "left_semi"), percent)), "between")
+        second = _between_classes(join, near, first)
 
         found = components(first.select("a", "b").union(second.select("a", "b")))
         of_node = join.nodes.select("node", "s1", "s2", F.col("n").alias("_n")).join(found, "node", "left")
@@ -428,23 +605,45 @@ def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80, key: st
     return once.select("_row.*").union(rows.filter("not _filled").select("_row.*"))
 
 
-def _between_classes(join: Join, near: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
+def _leaders(links: DataFrame) -> DataFrame:
+    """(node, leader): the neighbour with the most links, more than the node's own, the smallest of equal ones."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    degrees = both.groupBy("a").agg(F.count("*").alias("links"))
+    other = degrees.select(F.col("a").alias("b"), F.col("links").alias("other_links"))
+    rows = both.join(degrees, "a").join(other, "b")
+    more = (F.col("other_links") > F.col("links")) | ((F.col("other_links") == F.col("links")) & (F.col("b") < F.col("a")))
+    best = F.min_by("b", F.struct(-F.col("other_links"), F.col("b"))).alias("leader")
+    return rows.filter(more).groupBy(F.col("a").alias("node")).agg(best)
+
+
+def _between_classes(join: Join, near: DataFrame, first: DataFrame) -> DataFrame:
     """Links among near pairs of different classes.
 
-    Where a set's leader (the root it is linked to) is known with their overlap, the leader's overlap with
-    the other set bounds its own from above: at most the leader's plus what the leader lacks.
+    Pairs of a follower become pairs of its leader, whose overlaps are computed once for all followers. A
+    follower's overlap is at most its leader's and all that it has beyond it; where this leaves a link
+    possible, the exact one is derived from the difference of the two.
     """
-    to_root = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), F.col("n_a").alias("n"), "common").union(
-        first.select(F.col("b"), F.col("a"), F.col("n_b"), "common"))
-    to_root = to_root.join(roots, "node").filter("leader = root").select("node", "leader", (F.col("n") - F.col("common")).alias("extra"))
-    led = near.join(to_root.withColumnsRenamed({"node": "a", "leader": "la", "extra": "ea"}), "a", "left")
-    led = led.join(to_root.withColumnsRenamed({"node": "b", "leader": "lb", "extra": "eb"}), "b", "left")
-    led = led.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b"),
-                           "extra": F.coalesce("ea", F.lit(0)) + F.coalesce("eb", F.lit(0))})
-    led = staged(led.select(*near.columns, F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"), "extra"), "led")
-    # One comparison of two leaders serves all pairs of their followers.
-    leaders = led.filter("extra > 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    known = join.overlaps(join.sized(leaders)).select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
-    needed = F.ceil(join.percent * (F.col("n_a") + F.col("n_b")) / (100 + join.percent))
-    possible = F.col("common").isNull() | (F.col("common") + F.col("extra") >= needed)
-    return join.linked(join.overlaps(led.join(known, ["x", "y"], "left").filter(possible).select(*near.columns)))
+    of_a = _leaders(first)
+    led = near.join(of_a.withColumnsRenamed({"node": "a", "leader": "la"}), "a", "left")
+    led = led.join(of_a.withColumnsRenamed({"node": "b", "leader": "lb"}), "b", "left")
+    # The follower comes first in its pair; of two followers the one with the larger set.
+    turn = F.col("la").isNull() | (F.col("lb").isNotNull() & (F.col("n_b") > F.col("n_a")))
+    columns = [F.when(turn, F.col(one)).otherwise(F.col(other)).alias(name)
+               for name, one, other in (("a", "b", "a"), ("b", "a", "b"), ("n_a", "n_b", "n_a"), ("n_b", "n_a", "n_b"),
+                                        ("row_a", "row_b", "row_a"), ("row_b", "row_a", "row_b"), ("leader", "lb", "la"))]
+    led = staged(led.select(*columns), "led")
+    plain = join.linked(join.overlaps(led.filter("leader is null").drop("leader")))
+
+    led = led.filter("leader is not null")
+    differences = join.differences(join.sized(led.select("a", F.col("leader").alias("b")).distinct()))
+    asked = led.select(F.col("leader").alias("a"), "b").distinct()
+    answers = join.overlaps(join.sized(asked)).select(F.col("a").alias("leader"), "b", "common")
+    beyond = differences.select(F.col("node").alias("a"), (F.length("extra") / 8).cast("int").alias("beyond"))
+    bounds = led.join(answers, ["leader", "b"]).join(beyond, "a")
+    left_open = bounds.filter(F.col("common") + F.col("beyond") >= least_overlap_of(join.percent))
+    return plain.unionByName(join.linked(join.derived(left_open.select(*near.columns, "common"), differences)))
+
+
+def least_overlap_of(percent: int):
+    """:func:`least_overlap` of columns n_a and n_b."""
+    return F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))

@@ -62,12 +62,56 @@ def test_chains_of_near_copies(spark, size, percent):
     assert classes(plain_docs(spark, texts), size, percent) == by_brute_force(list(texts.items()), size, percent)
 
 
-def test_long_lists_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "LIST_BLOCK", 4)
-    texts = {at: " ".join([*words(7, 60)[: 50 + at % 5], f"end{at}"]) for at in range(40)}
+@pytest.mark.parametrize("block, window, leaders, each", [(4, 64, 8, 64), (4, 2, 1, 3), (7, 1, 0, 2), (8192, 3, 2, 4)])
+def test_long_lists(spark, monkeypatch, block, window, leaders, each):
+    """Blocks, great classes, elected leaders and skipped blocks change no class."""
+    for name, value in (("LIST_BLOCK", block), ("NEIGHBOURS", window), ("LEADERS", leaders), ("SKIP_BLOCK", each)):
+        monkeypatch.setattr(similarity, name, value)
+    dice, texts = random.Random(block), {}
+    for at in range(60):
+        own = [*words(7, 60)[: 50 + at % 5], f"end{at}"]
+        if at % 3 == 0:
+            own[dice.randrange(50)] = f"other{at}"
+        if at % 4 == 0:
+            own[:3] = ["far", "from", f"all{at % 8}"]
+        texts[at] = " ".join(own)
     assert classes(plain_docs(spark, texts), 3, 90) == by_brute_force(list(texts.items()), 3, 90)
 
 
+def test_skipped_blocks_hold_no_pair():
+    dice = np.random.default_rng(3)
+    count, percent = 500, 80
+    size = np.sort(dice.integers(20, 60, count))
+    profile = dice.multinomial(40, np.ones(similarity.BINS) / similarity.BINS, count).astype(np.uint8)
+    profile[:, :8] += (3 * dice.integers(0, 2, (count, 1))).astype(np.uint8)
+    profile[5] = similarity.FULL
+    rows = {"n": size, "place": dice.integers(0, 12, count), "kind": dice.integers(0, 9, count), "block": dice.integers(0, 2, count), "profile": profile,
+            "one": np.zeros(count, int), "two": np.ones(count, int), "token": np.zeros(count, int), "node": np.arange(count)}
+    lists = similarity.Lists(rows, percent)
+    a, b = np.triu_indices(count, 1)
+    want = {tuple(pair) for pair in np.stack(lists.possible(a, b)[:2], axis=1).tolist()}
+    for each in (1, 7, 64):
+        got = [tuple(sorted(pair)) for x, y in lists.skipping(0, count, each) for pair in zip(x.tolist(), y.tolist())]
+        assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_derived_overlaps(spark):
+    """A follower's overlap, from its leader's and their difference, is the exact one."""
+    rows = [(f"d{at}", " ".join([*words(at // 6, 40), f"own{at % 6}"][at % 3:])) for at in range(18)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    join = similarity.Join(docs, 2, 50, "doc_id", "text")
+    nodes = [row.node for row in join.nodes.select("node").orderBy("n", "node").collect()]
+    leader = {node: nodes[0] for node in nodes[1:]}
+    led = spark.createDataFrame(list(leader.items()), "a bigint, b bigint")
+    differences = join.differences(join.sized(led))
+    pairs = spark.createDataFrame([(a, b) for a in leader for b in leader if a != b], "a bigint, b bigint")
+    exact = join.overlaps(join.sized(pairs)).select("a", "b", "common")
+    answers = join.overlaps(join.sized(led)).select("a", "common").union(join.sized(led).limit(1).selectExpr("b", "n_b")).collect()
+    answers = spark.createDataFrame([(row.a, row.common) for row in answers], "b bigint, common bigint")
+    got = join.derived(join.sized(pairs).join(answers, "b"), differences).select("a", "b", "common")
+    assert sorted(got.collect()) == sorted(exact.collect())
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BROADCAST_PAIRS", 0)
     texts = {at: " ".join([*words(at // 4, 60), f"end{at}"]) for at in range(24)}
