@@ -24,15 +24,14 @@ from merchlake.llm.common import arrow_rows, as_row, interim, staged
 
 CACHED_WORDS = 30_000
 TEXTS = 250  # texts and sets that a task holds at once
-SET_BYTES = 2_000_000  # sets held before they are sent on
 SKETCH_BITS = 22  # shingle frequencies are kept in 2^22 counters, whatever the number of shingles
 SKETCH_SLICE = 2**16
 LIST_BLOCK = 8192  # longer lists are dealt out in blocks
 NEIGHBOURS = 64  # entries of a list, in order of size, among which the first round looks for a partner
 LEADERS = 8  # leaders that a long list elects in the first round
 SKIP_BLOCK = 64  # entries of a long list that the second round skips at once
-BINS, FULL = 64, 255
-BROADCAST_PAIRS = 1_000_000  # pairs of row numbers (16 bytes each) up to which no set is shuffled to be picked
+BINS, FULL = 32, 255
+BROADCAST_ROWS = 1_000_000  # row numbers (8 bytes each) up to which no text is shuffled to be picked
 OVERLAPS = "a bigint, b bigint, n_a int, n_b int, common bigint"
 # Odd 64-bit constants of the mixing steps (fixed values).
 MIX = tuple(np.uint64(value) for value in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -79,45 +78,39 @@ def shingle_set(text: str | None, words_each: int, hashes: WordHashes) -> np.nda
     return np.unique(mixed)
 
 
-def _sets(words_each: int):
-    """Rows (key, digest, n, s1, s2, set) of texts; texts and sets are held a few at a time."""
-    names = ["key", "digest", "n", "s1", "s2", "set"]
+def _own_sets(words_each: int):
+    """Rows (row, set) of rows (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        for batch in batches:
+            sets = [packed(shingle_set(text.as_py(), words_each, hashes)) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "set"])
+
+    return run
 
-        def part(batch: pa.RecordBatch, start: int, rows: list) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
-            return pa.RecordBatch.from_arrays([*(batch.column(at).slice(start, len(rows)) for at in (0, 1)), *columns], names=names)
 
+def _frequencies(words_each: int):
+    """Counters of a partition's shingles as rows (slice, at, count): all counts of a slice, or places and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        # A task's shingles stay far below what four bytes count; more stand at the most, as in the sum.
+        totals = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            rows, start, size = [], 0, 0
-            for at, text in enumerate(batch.column(2)):
+            for text in batch.column(0):
+                # A set's hashes are sorted, so equal counters are neighbours.
                 own = shingle_set(text.as_py(), words_each, hashes)
-                one, two = int(own.sum(dtype=np.uint64)), int(_mixed(own).sum(dtype=np.uint64))
-                rows.append((len(own), one - 2**63, two - 2**63, packed(own)))
-                size += own.nbytes
-                if size > SET_BYTES:
-                    yield part(batch, start, rows)
-                    rows, start, size = [], at + 1, 0
-            if rows:
-                yield part(batch, start, rows)
+                counters, counts = np.unique(own >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                at = counters.astype(np.int64)
+                totals[at] += np.minimum(counts, 2**32 - 1 - totals[at].astype(np.int64)).astype(np.uint32)
         hashes.clear()
+        yield from _slices(totals)
 
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of this partition as rows (slice, at, count): all counts of a slice, or places and counts."""
-    # A task's shingles stay far below what four bytes count; more stand at the most, as in the sum.
-    totals = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
-        for own in batch.column(0):
-            # A set's hashes are sorted, so equal counters are neighbours.
-            counters, counts = np.unique(unpacked(own.as_buffer()) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            at = counters.astype(np.int64)
-            totals[at] += np.minimum(counts, 2**32 - 1 - totals[at].astype(np.int64)).astype(np.uint32)
+def _slices(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
     for number, own in enumerate(totals.reshape(-1, SKETCH_SLICE)):
         used = np.flatnonzero(own)
         if len(used) > SKETCH_SLICE // 4 and own.max() < 2**16:
@@ -143,9 +136,9 @@ def _added_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     yield pd.DataFrame(rows, columns=["slice", "count"])
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """How often shingles fall on each counter, over all sets."""
-    parts = sets.select("set").mapInArrow(_frequencies, "slice int, at binary, count binary")
+def _sketch(texts: DataFrame, words_each: int) -> np.ndarray:
+    """How often shingles fall on each counter, over all texts."""
+    parts = texts.select("text").mapInArrow(_frequencies(words_each), "slice int, at binary, count binary")
     sums = parts.repartition((1 << SKETCH_BITS) // SKETCH_SLICE, "slice").mapInPandas(_added_frequencies, "slice int, count binary").toPandas()
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICE * SKETCH_SLICE, np.uint32).reshape(-1, SKETCH_SLICE)
     for number, count in zip(sums["slice"].tolist(), sums["count"]):
@@ -158,29 +151,35 @@ def least_overlap(one, other, percent: int):
     return -(-(percent * (one + other)) // (100 + percent))
 
 
-def _prefixes(counters, percent: int):
-    """Per set: its rarest shingles, as many as a linked set cannot all miss, and its shingles by bin.
+def _prefixes(counters, words_each: int, percent: int):
+    """Rows (key, digest, text) with the size and two sums of their set, its prefix and its profile.
 
-    The overlap of two sets is at most the sum over all bins of the smaller count. A large set, of which a
-    bin is full, has a profile of full bins, which rules nothing out.
+    The prefix holds the rarest shingles, as many as a linked set cannot all miss; the profile counts
+    shingles by bin. The overlap of two sets is at most the sum over all bins of the smaller count. A large
+    set, of which a bin is full, has a profile of full bins, which rules nothing out. No set is written:
+    those of near pairs are made again from their texts.
     """
+    names = ["key", "digest", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_counts = counters.value
+        own_counts, hashes = counters.value, WordHashes()
         for batch in batches:
-            prefixes, profiles = [], []
-            for own in batch.column("set"):
-                values = unpacked(own.as_buffer())
-                bins = (values >> np.uint64(8)).astype(np.int64) % BINS
-                profile = np.bincount(bins, minlength=BINS)
+            prefixes, profiles, rows = [], [], []
+            for text in batch.column(2):
+                values = shingle_set(text.as_py(), words_each, hashes)
+                profile = np.bincount((values >> np.uint64(8)).astype(np.int64) % BINS, minlength=BINS)
                 profiles.append((profile if profile.max() < FULL else np.full(BINS, FULL)).astype(np.uint8).tobytes())
                 length = len(values) - -(-percent * len(values) // 100) + 1
                 counts = own_counts[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefixes.append(values[np.lexsort((values, counts))[:length]].view(np.int64))
+                one, two = int(values.sum(dtype=np.uint64)), int(_mixed(values).sum(dtype=np.uint64))
+                rows.append((len(values), one - 2**63, two - 2**63))
             starts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            names = ["row", "n", "s1", "s2"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), lists, pa.array(profiles, pa.binary())], names=[*names, "prefix", "profile"])
+            figures = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at) for at in range(3)), *figures, lists, pa.array(profiles, pa.binary())],
+                                             names=[*names, "n", "s1", "s2", "prefix", "profile"])
+        hashes.clear()
 
     return run
 
@@ -438,37 +437,32 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Join:
-    """One join: nodes with their sets written to the shared folder, and the steps on pairs of nodes."""
+    """One join: rows and nodes written to the shared folder, and the steps on pairs of nodes."""
 
     def __init__(self, docs: DataFrame, words_each: int, percent: int, key: str, text: str):
-        self.percent = percent
+        self.words_each, self.percent = words_each, percent
         kind = docs.schema[key].dataType.simpleString()
         texts = docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
-        sets = texts.mapInArrow(_sets(words_each), f"key {kind}, digest binary, n int, s1 bigint, s2 bigint, set binary")
-        # The numbers of rows and nodes hold because the tables are written before they are used.
-        with arrow_rows(docs.sparkSession, TEXTS):
-            self.sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-        filled = self.sets.filter("n > 0")
         with arrow_rows(docs.sparkSession, TEXTS):
-            counters = docs.sparkSession.sparkContext.broadcast(_sketch(filled))
-        prefixes = filled.select("row", "n", "s1", "s2", "set").mapInArrow(
-            _prefixes(counters, percent), "row bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
-        nodes = prefixes.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
-        with arrow_rows(docs.sparkSession, TEXTS):
-            self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+            counters = docs.sparkSession.sparkContext.broadcast(_sketch(texts, words_each))
+            rows = texts.mapInArrow(_prefixes(counters, words_each, percent),
+                                    f"key {kind}, digest binary, text string, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
+            # The numbers of rows and nodes hold because the tables are written before they are used.
+            self.rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         counters.destroy()
+        nodes = self.rows.filter("n > 0").groupBy("s1", "s2", "n").agg(
+            F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
+        self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def shared_lists(self) -> DataFrame:
         """Prefix entries of shingles that at least two nodes list, with the length of the list.
 
-        Only such entries are kept after the one shuffle of all; the lists are then counted.
+        All entries are shuffled once; only the shared ones, which are few, meet their nodes' profiles.
         """
         entries = self.nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-        in_list = W.partitionBy("token").orderBy("node")
-        near = F.lag("node").over(in_list).isNotNull() | F.lead("node").over(in_list).isNotNull()
-        kept = staged(entries.withColumn("_shared", near).filter("_shared").drop("_shared"), "entries")
-        lists = kept.groupBy("token").agg(F.count("*").alias("listed"))
-        rows = kept.join(lists, "token").join(self.nodes.select("node", "profile"), "node")
+        listed = F.count("*").over(W.partitionBy("token")).cast("int")
+        kept = staged(entries.withColumn("listed", listed).filter("listed > 1"), "entries")
+        rows = kept.join(self.nodes.select("node", "profile"), "node")
         return staged(rows.select("token", "node", "n", "place", "listed", "profile"), "lists")
 
     def sized(self, pairs: DataFrame) -> DataFrame:
@@ -478,42 +472,36 @@ class Join:
             pairs = pairs.join(side, name)
         return pairs
 
-    def set_of(self, near: DataFrame, name: str, small: bool) -> DataFrame:
-        """(a, b, set_a) or (a, b, set_b) of pairs.
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(row, set) of the rows that sized pairs name, made from their texts.
 
-        Up to ``BROADCAST_PAIRS`` pairs their row numbers are broadcast, and only the sets they name are
-        shuffled; beyond, rows and sets are joined by shuffling both.
+        Up to ``BROADCAST_ROWS`` row numbers are broadcast; beyond, rows and texts are joined by shuffling both.
         """
-        asked = near.select("a", "b", F.col(f"row_{name}").alias("_row"))
-        asked = F.broadcast(asked) if small else asked
-        return self.sets.select("row", F.col("set").alias(f"set_{name}")).join(asked, F.col("row") == F.col("_row")).drop("row", "_row")
-
-    def both_sets(self, near: DataFrame) -> DataFrame:
-        near = staged(near, "near")
-        small = near.count() <= BROADCAST_PAIRS
-        both = self.set_of(near, "a", small).join(self.set_of(near, "b", small), ["a", "b"])
-        return both.join(near.select("a", "b", "n_a", "n_b"), ["a", "b"])
+        asked = staged(pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct(), "asked")
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+        texts = self.rows.select("row", "text").join(asked, "row", "left_semi")
+        with arrow_rows(pairs.sparkSession, TEXTS):
+            return staged(texts.mapInArrow(_own_sets(self.words_each), "row bigint, set binary"), "sets")
 
-    def compared(self, near: DataFrame, run, schema: str, purpose: str) -> DataFrame:
+    def compared(self, near: DataFrame, sets: DataFrame, run, schema: str, purpose: str) -> DataFrame:
         """A written table of what a comparison of both sets gives, a few pairs at a time."""
-        both = self.both_sets(near)
+        for name in ("a", "b"):
+            near = near.join(sets.select(F.col("row").alias(f"row_{name}"), F.col("set").alias(f"set_{name}")), f"row_{name}")
         with arrow_rows(near.sparkSession, TEXTS):
-            return staged(both.mapInArrow(run, schema), purpose)
+            return staged(near.mapInArrow(run, schema), purpose)
 
-    def overlaps(self, near: DataFrame) -> DataFrame:
+    def overlaps(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         """Exact overlaps: (a, b, n_a, n_b, common)."""
-        return self.compared(near, _overlaps, OVERLAPS, "overlaps")
+        return self.compared(near, sets, _overlaps, OVERLAPS, "overlaps")
 
-    def differences(self, led: DataFrame) -> DataFrame:
+    def differences(self, led: DataFrame, sets: DataFrame) -> DataFrame:
         """(node, leader, lacks, extra) of pairs (follower a, leader b)."""
-        return self.compared(led, _differences, "node bigint, leader bigint, lacks binary, extra binary", "differences")
+        return self.compared(led, sets, _differences, "node bigint, leader bigint, lacks binary, extra binary", "differences")
 
-    def derived(self, open_pairs: DataFrame, differences: DataFrame) -> DataFrame:
+    def derived(self, near: DataFrame, sets: DataFrame, differences: DataFrame) -> DataFrame:
         """Overlaps of followers ``a`` with ``b`` from their leaders' (``common``): only b's set is read."""
-        near = staged(open_pairs, "open")
-        small = near.count() <= BROADCAST_PAIRS
-        rows = self.set_of(near, "b", small).withColumnRenamed("set_b", "set").join(near.select("a", "b", "n_a", "n_b", "common"), ["a", "b"])
-        rows = rows.join(differences.select(F.col("node").alias("a"), "lacks", "extra"), "a")
+        rows = near.join(differences.select(F.col("node").alias("a"), "lacks", "extra"), "a")
+        rows = rows.join(sets.select(F.col("row").alias("row_b"), "set"), "row_b")
         with arrow_rows(near.sparkSession, TEXTS):
             return staged(rows.mapInArrow(_derived, OVERLAPS), "derived")
 
@@ -553,7 +541,8 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
     with interim(docs.sparkSession):
         join = Join(docs, words_each, percent, key, text)
         shared = join.shared_lists()
-        first = join.linked(join.overlaps(join.sized(_near_members(shared, percent))))
+        near = staged(join.sized(_near_members(shared, percent)), "near")
+        first = join.linked(join.overlaps(near, join.sets(near)))
         roots = staged(components(first), "roots")
 
         # Lists whose members are not all of one class go into the second round.
@@ -566,7 +555,7 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
         of_node = join.nodes.select("node", "s1", "s2", F.col("n").alias("_n")).join(found, "node", "left")
         of_node = of_node.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "_n", F.coalesce("root", "node").alias("_class"))
         same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
-        rows = join.sets.select("key", "digest", "n", "s1", "s2")
+        rows = join.rows.select("key", "digest", "n", "s1", "s2")
         filled = rows.filter("n > 0").join(of_node, same).select("key", "digest", "n", "_class")
         empty = rows.filter("n = 0").select("key", "digest", "n", F.lit(None).cast("bigint").alias("_class"))
         return staged(filled.union(empty), "members", keep=True)
@@ -632,16 +621,18 @@ def _between_classes(join: Join, near: DataFrame, first: DataFrame) -> DataFrame
                for name, one, other in (("a", "b", "a"), ("b", "a", "b"), ("n_a", "n_b", "n_a"), ("n_b", "n_a", "n_b"),
                                         ("row_a", "row_b", "row_a"), ("row_b", "row_a", "row_b"), ("leader", "lb", "la"))]
     led = staged(led.select(*columns), "led")
-    plain = join.linked(join.overlaps(led.filter("leader is null").drop("leader")))
+    leaders = staged(join.sized(led.filter("leader is not null").select("a", F.col("leader").alias("b")).distinct()), "leaders")
+    sets = join.sets(near.select("row_a", "row_b").union(leaders.select("row_a", "row_b")))
+    plain = join.linked(join.overlaps(led.filter("leader is null").drop("leader"), sets))
 
     led = led.filter("leader is not null")
-    differences = join.differences(join.sized(led.select("a", F.col("leader").alias("b")).distinct()))
+    differences = join.differences(leaders, sets)
     asked = led.select(F.col("leader").alias("a"), "b").distinct()
-    answers = join.overlaps(join.sized(asked)).select(F.col("a").alias("leader"), "b", "common")
+    answers = join.overlaps(join.sized(asked), sets).select(F.col("a").alias("leader"), "b", "common")
     beyond = differences.select(F.col("node").alias("a"), (F.length("extra") / 8).cast("int").alias("beyond"))
     bounds = led.join(answers, ["leader", "b"]).join(beyond, "a")
     left_open = bounds.filter(F.col("common") + F.col("beyond") >= least_overlap_of(join.percent))
-    return plain.unionByName(join.linked(join.derived(left_open.select(*near.columns, "common"), differences)))
+    return plain.unionByName(join.linked(join.derived(left_open.select(*near.columns, "common"), sets, differences)))
 
 
 def least_overlap_of(percent: int):

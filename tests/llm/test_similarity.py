@@ -103,17 +103,18 @@ def test_derived_overlaps(spark):
     nodes = [row.node for row in join.nodes.select("node").orderBy("n", "node").collect()]
     leader = {node: nodes[0] for node in nodes[1:]}
     led = spark.createDataFrame(list(leader.items()), "a bigint, b bigint")
-    differences = join.differences(join.sized(led))
+    sets = join.sets(join.sized(led))
+    differences = join.differences(join.sized(led), sets)
     pairs = spark.createDataFrame([(a, b) for a in leader for b in leader if a != b], "a bigint, b bigint")
-    exact = join.overlaps(join.sized(pairs)).select("a", "b", "common")
-    answers = join.overlaps(join.sized(led)).select("a", "common").union(join.sized(led).limit(1).selectExpr("b", "n_b")).collect()
+    exact = join.overlaps(join.sized(pairs), sets).select("a", "b", "common")
+    answers = join.overlaps(join.sized(led), sets).select("a", "common").union(join.sized(led).limit(1).selectExpr("b", "n_b")).collect()
     answers = spark.createDataFrame([(row.a, row.common) for row in answers], "b bigint, common bigint")
-    got = join.derived(join.sized(pairs).join(answers, "b"), differences).select("a", "b", "common")
+    got = join.derived(join.sized(pairs).join(answers, "b"), sets, differences).select("a", "b", "common")
     assert sorted(got.collect()) == sorted(exact.collect())
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 0)
     texts = {at: " ".join([*words(at // 4, 60), f"end{at}"]) for at in range(24)}
     assert classes(plain_docs(spark, texts), 3, 90) == by_brute_force(list(texts.items()), 3, 90)
 
