@@ -116,7 +116,7 @@ def _slices(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(used) > SKETCH_SLICE // 4 and own.max() < 2**16:
             row = number, b"", own.astype("<u2").tobytes()
         elif len(used):
-            row = number, used.astype("<u2").tobytes(), own[used].astype("<i8").tobytes()
+            row = number, used.astype("<u2").tobytes(), own[used].astype("<u2" if own.max() < 2**16 else "<i8").tobytes()
         else:
             continue
         columns = [pa.array([value], kind) for value, kind in zip(row, (pa.int32(), pa.binary(), pa.binary()))]
@@ -129,7 +129,7 @@ def _added_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         for number, at, count in zip(batch["slice"].tolist(), batch["at"], batch["count"]):
             own = sums.setdefault(number, np.zeros(SKETCH_SLICE, np.int64))
             if len(at):
-                own[np.frombuffer(at, "<u2")] += np.frombuffer(count, "<i8")
+                own[np.frombuffer(at, "<u2")] += np.frombuffer(count, "<u2" if len(count) == len(at) else "<i8")
             else:
                 own += np.frombuffer(count, "<u2")
     rows = [(number, np.minimum(own, 2**32 - 1).astype("<u4").tobytes()) for number, own in sums.items()]
@@ -483,12 +483,19 @@ class Join:
         with arrow_rows(pairs.sparkSession, TEXTS):
             return staged(texts.mapInArrow(_own_sets(self.words_each), "row bigint, set binary"), "sets")
 
+    def side(self, near: DataFrame, sets: DataFrame, name: str, small: bool) -> DataFrame:
+        """Pairs with one side's set; up to ``BROADCAST_ROWS`` pairs (ids and sizes only) the sets stay where they are."""
+        near = F.broadcast(near) if small else near
+        return sets.select(F.col("row").alias(f"row_{name}"), F.col("set").alias(f"set_{name}")).join(near, f"row_{name}").drop(f"row_{name}")
+
     def compared(self, near: DataFrame, sets: DataFrame, run, schema: str, purpose: str) -> DataFrame:
-        """A written table of what a comparison of both sets gives, a few pairs at a time."""
-        for name in ("a", "b"):
-            near = near.join(sets.select(F.col("row").alias(f"row_{name}"), F.col("set").alias(f"set_{name}")), f"row_{name}")
+        """A written table of what a comparison of both sets gives, a few pairs at a time: each pair's two sets are shuffled once."""
+        near = staged(near, "compared")
+        small = near.count() <= BROADCAST_ROWS
+        both = self.side(near.select("a", "b", "n_a", "n_b", "row_a"), sets, "a", small).join(
+            self.side(near.select("a", "b", "row_b"), sets, "b", small), ["a", "b"])
         with arrow_rows(near.sparkSession, TEXTS):
-            return staged(near.mapInArrow(run, schema), purpose)
+            return staged(both.mapInArrow(run, schema), purpose)
 
     def overlaps(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         """Exact overlaps: (a, b, n_a, n_b, common)."""
@@ -500,8 +507,9 @@ class Join:
 
     def derived(self, near: DataFrame, sets: DataFrame, differences: DataFrame) -> DataFrame:
         """Overlaps of followers ``a`` with ``b`` from their leaders' (``common``): only b's set is read."""
-        rows = near.join(differences.select(F.col("node").alias("a"), "lacks", "extra"), "a")
-        rows = rows.join(sets.select(F.col("row").alias("row_b"), "set"), "row_b")
+        near = staged(near.select("a", "b", "n_a", "n_b", "row_b", "common"), "open")
+        rows = self.side(near, sets, "b", near.count() <= BROADCAST_ROWS).withColumnRenamed("set_b", "set")
+        rows = rows.join(differences.select(F.col("node").alias("a"), "lacks", "extra"), "a")
         with arrow_rows(near.sparkSession, TEXTS):
             return staged(rows.mapInArrow(_derived, OVERLAPS), "derived")
 
@@ -552,12 +560,14 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
         second = _between_classes(join, near, first)
 
         found = components(first.select("a", "b").union(second.select("a", "b")))
-        of_node = join.nodes.select("node", "s1", "s2", F.col("n").alias("_n")).join(found, "node", "left")
-        of_node = of_node.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "_n", F.coalesce("root", "node").alias("_class"))
+        # Only linked nodes are joined back; any other class is named by the sums of its set.
+        linked = join.nodes.select("node", F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("n").alias("_n")).join(found, "node")
         same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
         rows = join.rows.select("key", "digest", "n", "s1", "s2")
-        filled = rows.filter("n > 0").join(of_node, same).select("key", "digest", "n", "_class")
-        empty = rows.filter("n = 0").select("key", "digest", "n", F.lit(None).cast("bigint").alias("_class"))
+        placed = rows.filter("n > 0").join(linked, same, "left")
+        own = [F.when(F.col("root").isNull(), F.col(name)).otherwise(0).cast("bigint").alias(name) for name in ("n", "s1", "s2")]
+        filled = placed.select("key", "digest", "n", F.struct(F.coalesce("root", F.lit(-1).cast("bigint")).alias("root"), *own).alias("_class"))
+        empty = rows.filter("n = 0").select("key", "digest", "n", F.lit(None).cast(filled.schema["_class"].dataType).alias("_class"))
         return staged(filled.union(empty), "members", keep=True)
 
 
