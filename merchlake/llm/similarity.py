@@ -560,7 +560,8 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
         second = _between_classes(join, near, first)
 
         found = components(first.select("a", "b").union(second.select("a", "b")))
-        # Only linked nodes are joined back; any other class is named by the sums of its set.
+        # Only linked nodes, roots included, are joined back; any other class is named by the sums of its set.
+        found = found.union(found.select(F.col("root").alias("node"), "root").distinct())
         linked = join.nodes.select("node", F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("n").alias("_n")).join(found, "node")
         same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
         rows = join.rows.select("key", "digest", "n", "s1", "s2")
