@@ -87,7 +87,7 @@ def _digest(outcome: Outcome, **tables: list[str]) -> DataFrame:
 def _query(key: str) -> Callable[[Callable[[SparkSession, str], DataFrame]], Query]:
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(configure(spark), sf_dir)
+            return build(configure(spark, testdata.size(spark, sf_dir)), sf_dir)
 
         QUERIES[key] = run
         return build

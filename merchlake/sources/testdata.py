@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlake.functions import hmac_sha512, to_minor
+from merchlake.session import stored_bytes
 from merchlake.sources.shop import Shop
 from merchlake.sources.tables import conform
 
@@ -44,6 +45,11 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(FILES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def size(spark: SparkSession, folder: str) -> int:
+    """Bytes of the test files that the shop's tables are made of."""
+    return stored_bytes(spark, *[f"{folder}/{name}.parquet" for name in FILES])
+
+
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test file as a stream; the source takes a pattern, not a single file."""
     return spark.readStream.schema(FILES[name]).parquet(f"{folder}/{name}.parq*")

@@ -7,6 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from small_shop import small_shop
 
+from merchlake import session
 from merchlake.operators import deep_page
 from merchlake.plans import carts, catalog, orders, sales
 from merchlake.registry import QUERIES
@@ -112,3 +113,18 @@ def test_details_of_ids_in_a_table(spark):
     ids = shop.order_lines.filter("reference <= 3").select("id")
     listed = orders.order_details(shop, order_ids=[row.id for row in ids.collect()]).collect()
     assert listed and sorted(orders.order_details(shop, order_ids=ids.union(ids)).collect()) == sorted(listed)
+
+
+def test_shuffles_begin_with_partitions_by_the_size_of_the_tables(spark, monkeypatch):
+    """A task's share of a join or grouping is bounded, however large the tables are."""
+    monkeypatch.setattr(session, "PARTITION_BYTES", 10_000)
+    wanted = -(-testdata.size(spark, SMALL) // 10_000)
+    assert wanted > 20
+    try:
+        text = plan(QUERIES["rp_orders_by_reference"](spark, SMALL))
+        assert re.search(rf"hashpartitioning\(l_orderkey#\d+L, {wanted}\)", text), text
+        # A small folder takes the cluster's own number again.
+        monkeypatch.setattr(session, "PARTITION_BYTES", 1 << 40)
+        assert re.search(r"hashpartitioning\(l_orderkey#\d+L, 8\)", plan(QUERIES["rp_orders_by_reference"](spark, SMALL)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
