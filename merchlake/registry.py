@@ -441,19 +441,20 @@ def _event_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return jobs.payment_feed(spark, folder)
 
 
-def _shuffled_event_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The events out of order, in two pieces of which each is a batch."""
+def _event_pieces(spark: SparkSession, sf_dir: str, folder: str) -> list[DataFrame]:
+    """The events out of order, in two pieces of any number of files, each a feed and a batch."""
     events = testdata.payment_events(spark, sf_dir)
-    events.repartition(2, F.xxhash64("event_id", F.lit("order"))).write.json(folder)
-    return jobs.payment_feed(spark, folder, files_per_batch=1)
+    piece = F.pmod(F.xxhash64("event_id", F.lit("order")), F.lit(2))
+    events.withColumn("piece", piece).write.partitionBy("piece").json(folder)
+    return [jobs.payment_feed(spark, f"{folder}/piece={number}") for number in range(2)]
 
 
 @_query("st_payment_ingest")
 def _payment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "payment-ingest")
     shop = _replayed(spark, sf_dir)
-    feed = _shuffled_event_files(spark, sf_dir, f"{base}/events")
-    jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint")
+    for number, feed in enumerate(_event_pieces(spark, sf_dir, f"{base}/events")):
+        jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint-{number}")
     after = jobs.payment_state(spark, shop, f"{base}/out")
     parts = [
         _state("order_lines", after["order_lines"], "reference", *_ORDER[1:]),

@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from small_shop import small_shop
 
-from merchlake import session
+from merchlake import registry, session
 from merchlake.operators import deep_page
 from merchlake.plans import carts, catalog, orders, sales
 from merchlake.registry import QUERIES
@@ -128,3 +128,17 @@ def test_shuffles_begin_with_partitions_by_the_size_of_the_tables(spark, monkeyp
         assert re.search(r"hashpartitioning\(l_orderkey#\d+L, 8\)", plan(QUERIES["rp_orders_by_reference"](spark, SMALL)))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
+def test_pieces_of_the_payment_feed_are_written_by_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        feeds = registry._event_pieces(spark, SMALL, str(tmp_path / "events"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(feeds) == 2 and all(feed.isStreaming for feed in feeds)
+    for number in range(2):
+        assert len(list((tmp_path / "events" / f"piece={number}").glob("part-*"))) > 2
+    sent = spark.read.json(str(tmp_path / "events"))
+    assert sorted(row[0] for row in sent.select("event_id").collect()) == sorted(
+        row[0] for row in testdata.payment_events(spark, SMALL).select("event_id").collect())
