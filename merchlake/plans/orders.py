@@ -16,6 +16,8 @@ from merchlake.sources.shop import Shop
 
 _LINE = ["id", "reference", "product_id", "product_name", "customer_name", "amount"]
 _PLACE = ["address", "city", "state", "country"]
+# What a payment gives to the lines of its checkout.
+PAYMENT_FIELDS = ["reference", "payment_status", "paid_at", "channel", "amount_minor", "customer_email", "card_type", "bank", "last4"]
 
 
 def _deliveries(shop: Shop) -> DataFrame:
@@ -111,6 +113,14 @@ def orders_by_reference(shop: Shop, references: Sequence | None = None) -> DataF
     With references, only the rows that the lines of those checkouts ask for go on of every other table.
     One reference may hold very many lines, so they are written once to the shared folder.
     """
+    return _by_reference(shop, references)
+
+
+def _by_reference(shop: Shop, references: Sequence | None, paid: DataFrame | None = None) -> DataFrame:
+    """Lines with product, images and delivery; with ``paid`` only the lines of its checkouts, and its columns.
+
+    What has the checkout as its key is joined first, so images are shuffled by their products alone.
+    """
     lines = shop.order_lines.drop("product_name")
     items, images, deliveries = shop.products, shop.images, _deliveries(shop)
     if references is not None:
@@ -120,6 +130,8 @@ def orders_by_reference(shop: Shop, references: Sequence | None = None) -> DataF
     products = attach_images(
         items.select(F.col("id").alias("_product"), F.col("name").alias("product_name"), "total_stock"), images, "_product",
     )
+    if paid is not None:
+        lines = lines.join(paid, F.col("reference") == F.col("_paid_reference"))
     joined = (
         lines
         .join(deliveries, F.col("reference") == F.col("_order"), "left")
@@ -128,6 +140,7 @@ def orders_by_reference(shop: Shop, references: Sequence | None = None) -> DataF
     detail = joined.select(
         "id", "reference", "product_id", "product_name", "customer_name", "amount", "status", "created_at",
         "updated_at", "total_stock", "images", *_PLACE, "delivery_status",
+        *([] if paid is None else [name for name in paid.columns if name != "_paid_reference"]),
     )
     return money_columns(detail, "amount")
 
@@ -142,8 +155,7 @@ def order_payment_details(shop: Shop, payments: DataFrame, references: Sequence
         from_minor(F.col("amount_minor")).cast("double").alias("paid_amount"),
         "customer_email", "card_type", "bank", "last4",
     )
-    lines = orders_by_reference(shop, references)
-    return lines.join(paid, F.col("reference") == F.col("_paid_reference")).drop("_paid_reference")
+    return _by_reference(shop, references, paid)
 
 
 def page_envelopes(shop: Shop, page_no: int = 1, size: int = 10) -> DataFrame:

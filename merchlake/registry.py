@@ -244,7 +244,7 @@ def _parsed_events(spark: SparkSession, sf_dir: str, shop: Shop) -> DataFrame:
 @_query("rp_order_payment_details")
 def _payment_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     shop = testdata.bind(spark, sf_dir)
-    paid = payments.valid_payments(_parsed_events(spark, sf_dir, shop))
+    paid = payments.valid_payments(_parsed_events(spark, sf_dir, shop).select("event_id", "signature_ok", *orders.PAYMENT_FIELDS))
     return _flat(orders.order_payment_details(shop, paid))
 
 

@@ -142,3 +142,13 @@ def test_pieces_of_the_payment_feed_are_written_by_many_tasks(spark, tmp_path):
     sent = spark.read.json(str(tmp_path / "events"))
     assert sorted(row[0] for row in sent.select("event_id").collect()) == sorted(
         row[0] for row in testdata.payment_events(spark, SMALL).select("event_id").collect())
+
+
+def test_payment_details_join_by_checkout_before_images_are_attached(spark):
+    shop = testdata.bind(spark, SMALL)
+    paid = spark.range(3).select(
+        F.col("id").alias("reference"), F.lit("success").alias("payment_status"), F.col("id").alias("amount_minor"),
+        *[F.lit(None).cast("string").alias(name) for name in ("paid_at", "channel", "customer_email", "card_type", "bank", "last4")])
+    text = orders.order_payment_details(shop, paid)._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in text.splitlines() if "Join" in line)
+    assert "_product" in top and "_paid_reference" not in top, top
