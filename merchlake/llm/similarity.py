@@ -10,6 +10,7 @@ and a follower's overlaps are derived from them by the few shingles in which the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,7 +92,7 @@ def _own_sets(words_each: int):
 
 
 def _frequencies(words_each: int):
-    """Counters of a partition's shingles as rows (slice, at, count): all counts of a slice, or places and counts."""
+    """Counters of a partition's shingles as rows (slice, count): all counts of a slice, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -111,34 +112,27 @@ def _frequencies(words_each: int):
 
 
 def _slices(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Most counts of one task are 0 to 2, which take two or three bits each when packed."""
     for number, own in enumerate(totals.reshape(-1, SKETCH_SLICE)):
-        used = np.flatnonzero(own)
-        if len(used) > SKETCH_SLICE // 4 and own.max() < 2**16:
-            row = number, b"", own.astype("<u2").tobytes()
-        elif len(used):
-            row = number, used.astype("<u2").tobytes(), own[used].astype("<u2" if own.max() < 2**16 else "<i8").tobytes()
-        else:
-            continue
-        columns = [pa.array([value], kind) for value, kind in zip(row, (pa.int32(), pa.binary(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "count"])
+        most = own.max()
+        if most:
+            count = zlib.compress(own.astype("<u1" if most < 2**8 else "<u2" if most < 2**16 else "<u4").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([count], pa.binary())], names=["slice", "count"])
 
 
 def _added_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for number, at, count in zip(batch["slice"].tolist(), batch["at"], batch["count"]):
-            own = sums.setdefault(number, np.zeros(SKETCH_SLICE, np.int64))
-            if len(at):
-                own[np.frombuffer(at, "<u2")] += np.frombuffer(count, "<u2" if len(count) == len(at) else "<i8")
-            else:
-                own += np.frombuffer(count, "<u2")
+        for number, count in zip(batch["slice"].tolist(), batch["count"]):
+            own = zlib.decompress(count)
+            sums.setdefault(number, np.zeros(SKETCH_SLICE, np.int64))[:] += np.frombuffer(own, f"<u{len(own) // SKETCH_SLICE}")
     rows = [(number, np.minimum(own, 2**32 - 1).astype("<u4").tobytes()) for number, own in sums.items()]
     yield pd.DataFrame(rows, columns=["slice", "count"])
 
 
 def _sketch(texts: DataFrame, words_each: int) -> np.ndarray:
     """How often shingles fall on each counter, over all texts."""
-    parts = texts.select("text").mapInArrow(_frequencies(words_each), "slice int, at binary, count binary")
+    parts = texts.select("text").mapInArrow(_frequencies(words_each), "slice int, count binary")
     sums = parts.repartition((1 << SKETCH_BITS) // SKETCH_SLICE, "slice").mapInPandas(_added_frequencies, "slice int, count binary").toPandas()
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICE * SKETCH_SLICE, np.uint32).reshape(-1, SKETCH_SLICE)
     for number, count in zip(sums["slice"].tolist(), sums["count"]):
@@ -303,6 +297,15 @@ class Lists:
         return found
 
 
+def _mixed_lists(rows: dict[str, np.ndarray], percent: int) -> dict[str, np.ndarray]:
+    """The entries of lists whose members are not all of one class."""
+    lists = Lists(rows, percent)
+    starts = lists.starts()
+    mixed = np.minimum.reduceat(lists.kind, starts) != np.maximum.reduceat(lists.kind, starts)
+    kept = np.repeat(mixed, np.diff(np.append(starts, len(lists.kind))))
+    return {name: values[kept] for name, values in rows.items()}
+
+
 def _list_pairs(percent: int, nearest: bool, window: int, leaders: int, each: int):
     """Pairs of nodes of different classes that a list allows.
 
@@ -310,6 +313,10 @@ def _list_pairs(percent: int, nearest: bool, window: int, leaders: int, each: in
     """
 
     def of_lists(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        if not nearest:
+            rows = _mixed_lists(rows, percent)
+            if not len(rows["n"]):
+                return pd.DataFrame(np.zeros((0, 2), np.int64), columns=["a", "b"])
         lists = Lists(rows, percent)
         starts = lists.starts()
         ends = np.append(starts[1:], len(lists.size))
@@ -450,19 +457,27 @@ class Join:
             # The numbers of rows and nodes hold because the tables are written before they are used.
             self.rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         counters.destroy()
-        nodes = self.rows.filter("n > 0").groupBy("s1", "s2", "n").agg(
-            F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
-        self.nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        # A node is the first row of its set and has that row's number. Prefixes and profiles stay in the rows.
+        filled = self.rows.filter("n > 0")
+        nodes = filled.groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+        nodes = staged(nodes.withColumn("node", F.col("row")), "nodes")
+        self.nodes = nodes.drop("copies")
+        # Rows of the sets that occur more than once, but for the first of each.
+        firsts = nodes.filter("copies > 1").select("s1", "s2", "n", "node")
+        twice = filled.select("s1", "s2", "n", "row").join(firsts, ["s1", "s2", "n"])
+        self.copies = staged(twice.filter("row <> node").select("row"), "copies")
 
     def shared_lists(self) -> DataFrame:
         """Prefix entries of shingles that at least two nodes list, with the length of the list.
 
         All entries are shuffled once; only the shared ones, which are few, meet their nodes' profiles.
         """
-        entries = self.nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+        copies = F.broadcast(self.copies) if self.copies.count() <= BROADCAST_ROWS else self.copies
+        firsts = self.rows.filter("n > 0").select("row", "prefix").join(copies, "row", "left_anti")
+        entries = firsts.select(F.col("row").alias("node"), F.posexplode("prefix").alias("place", "token"))
         listed = F.count("*").over(W.partitionBy("token")).cast("int")
         kept = staged(entries.withColumn("listed", listed).filter("listed > 1"), "entries")
-        rows = kept.join(self.nodes.select("node", "profile"), "node")
+        rows = kept.join(self.rows.select(F.col("row").alias("node"), "n", "profile"), "node")
         return staged(rows.select("token", "node", "n", "place", "listed", "profile"), "lists")
 
     def sized(self, pairs: DataFrame) -> DataFrame:
@@ -553,10 +568,9 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
         first = join.linked(join.overlaps(near, join.sets(near)))
         roots = staged(components(first), "roots")
 
-        # Lists whose members are not all of one class go into the second round.
+        # Lists whose members are all of one class give nothing in the second round.
         placed = shared.join(roots, "node", "left").withColumn("kind", F.coalesce("root", "node")).drop("root")
-        mixed = placed.groupBy("token").agg(F.min("kind").alias("_low"), F.max("kind").alias("_high")).filter("_low <> _high").select("token")
-        near = staged(join.sized(_near_classes(placed.join(mixed, "token", "left_semi"), percent)), "between")
+        near = staged(join.sized(_near_classes(placed, percent)), "between")
         second = _between_classes(join, near, first)
 
         found = components(first.select("a", "b").union(second.select("a", "b")))

@@ -113,6 +113,39 @@ def test_derived_overlaps(spark):
     assert sorted(got.collect()) == sorted(exact.collect())
 
 
+def test_counters_of_a_task_are_packed():
+    """Counts as a task of 16 MB has them take under three bits each, and any counts add up again."""
+    dice = np.random.default_rng(3)
+    totals = dice.poisson(0.75, 1 << similarity.SKETCH_BITS).astype(np.uint32)
+    rows = [batch.to_pandas() for batch in similarity._slices(totals)]
+    assert sum(len(value) for row in rows for value in row["count"]) < 3 * len(totals) / 8
+    for most in (2**8 - 1, 2**16 - 1, 2**32 - 1):
+        one, other = np.zeros(len(totals), np.uint32), totals.copy()
+        one[5], one[similarity.SKETCH_SLICE * 7], other[5] = most, 3, 2
+        rows = [batch.to_pandas() for own in (one, other) for batch in similarity._slices(own)]
+        added = next(similarity._added_frequencies(iter(rows)))
+        sums = {number: np.frombuffer(count, "<u4") for number, count in zip(added["slice"], added["count"])}
+        assert sums[0][5] == min(most + 2, 2**32 - 1) and sums[0][6] == totals[6]
+        assert sums[7][0] == 3 + int(totals[similarity.SKETCH_SLICE * 7])
+
+
+def test_prefixes_are_written_once(spark):
+    """Nodes and copies are numbers of rows; a prefix lies with its row alone, and a copy lists nothing."""
+    texts = {0: "a b c d e f", 1: "a b c d e f", 2: "a b c d e g", 3: "A B c d e f", 4: "", 5: "x y z"}
+    join = similarity.Join(plain_docs(spark, texts), 2, 50, "doc_id", "text")
+    keys = {row.row: row.key for row in join.rows.select("row", "key").collect()}
+    assert not {"prefix", "profile"} & set(join.nodes.columns)
+    nodes, copies = ({keys[row[0]] for row in table.select("row").collect()} for table in (join.nodes, join.copies))
+    assert len(nodes & {0, 1, 3}) == 1 and nodes | copies == {0, 1, 2, 3, 5} and not nodes & copies
+    assert {keys[row.node] for row in join.shared_lists().select("node").collect()} <= nodes
+
+
+def test_lists_of_one_class_are_left_out():
+    rows = {name: np.zeros(6, np.int64) for name in similarity.Lists.names}
+    rows["token"], rows["kind"] = np.array([1, 1, 2, 2, 3, 3]), np.array([7, 7, 7, 8, 9, 9])
+    assert similarity._mixed_lists(rows, 90)["token"].tolist() == [2, 2]
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BROADCAST_ROWS", 0)
     texts = {at: " ".join([*words(at // 4, 60), f"end{at}"]) for at in range(24)}
