@@ -152,3 +152,15 @@ def test_payment_details_join_by_checkout_before_images_are_attached(spark):
     text = orders.order_payment_details(shop, paid)._jdf.queryExecution().optimizedPlan().toString()
     top = next(line for line in text.splitlines() if "Join" in line)
     assert "_product" in top and "_paid_reference" not in top, top
+
+
+@pytest.mark.parametrize("name", ["rp_my_orders", "rp_orders_by_reference", "rp_order_details", "rp_sales_by_product", "rp_json_order_quote",
+                                  "rp_page_envelope", "dq_delivery_address", "dq_payment_line", "dq_signature"])
+def test_queries_on_order_lines_begin_with_partitions_by_size(spark, monkeypatch, name):
+    monkeypatch.setattr(session, "PARTITION_BYTES", 10_000)
+    wanted = -(-testdata.size(spark, SMALL) // 10_000)
+    try:
+        found = re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)", plan(QUERIES[name](spark, SMALL)))
+        assert found and set(found) == {str(wanted)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
