@@ -33,6 +33,14 @@ def staged(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*frames: DataFrame) -> None:
+    """Remove staged tables before their block ends: large ones that nothing reads any more."""
+    for df in frames:
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextlib.contextmanager
 def interim(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are removed at the end; what leaves the block must be staged with ``keep``."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import arrow_rows, as_row, interim, staged
+from merchlake.llm.common import arrow_rows, as_row, interim, removed, staged
 
 CACHED_WORDS = 30_000
 TEXTS = 250  # texts and sets that a task holds at once
@@ -146,14 +146,14 @@ def least_overlap(one, other, percent: int):
 
 
 def _prefixes(counters, words_each: int, percent: int):
-    """Rows (key, digest, text) with the size and two sums of their set, its prefix and its profile.
+    """Rows (key, digest) of rows (key, digest, text), with the size and two sums of their set, its prefix and its profile.
 
     The prefix holds the rarest shingles, as many as a linked set cannot all miss; the profile counts
     shingles by bin. The overlap of two sets is at most the sum over all bins of the smaller count. A large
-    set, of which a bin is full, has a profile of full bins, which rules nothing out. No set is written:
-    those of near pairs are made again from their texts.
+    set, of which a bin is full, has a profile of full bins, which rules nothing out. No set and no text is
+    written: the sets of near pairs are made again from the input.
     """
-    names = ["key", "digest", "text"]
+    names = ["key", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_counts, hashes = counters.value, WordHashes()
@@ -171,7 +171,7 @@ def _prefixes(counters, words_each: int, percent: int):
             starts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             figures = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at) for at in range(3)), *figures, lists, pa.array(profiles, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*(batch.column(at) for at in range(2)), *figures, lists, pa.array(profiles, pa.binary())],
                                              names=[*names, "n", "s1", "s2", "prefix", "profile"])
         hashes.clear()
 
@@ -444,16 +444,21 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Join:
-    """One join: rows and nodes written to the shared folder, and the steps on pairs of nodes."""
+    """One join: rows and nodes written to the shared folder, and the steps on pairs of nodes.
+
+    Texts are read again from ``docs``, which must give the same rows each time.
+    """
 
     def __init__(self, docs: DataFrame, words_each: int, percent: int, key: str, text: str):
         self.words_each, self.percent = words_each, percent
         kind = docs.schema[key].dataType.simpleString()
         texts = docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+        # A row is found again by its text's digest and its key's hash; of rows equal in both any one will do.
+        self.texts = texts.select("digest", F.xxhash64("key").alias("mark"), "text")
         with arrow_rows(docs.sparkSession, TEXTS):
             counters = docs.sparkSession.sparkContext.broadcast(_sketch(texts, words_each))
             rows = texts.mapInArrow(_prefixes(counters, words_each, percent),
-                                    f"key {kind}, digest binary, text string, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
+                                    f"key {kind}, digest binary, n int, s1 bigint, s2 bigint, prefix array<bigint>, profile binary")
             # The numbers of rows and nodes hold because the tables are written before they are used.
             self.rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         counters.destroy()
@@ -478,7 +483,15 @@ class Join:
         listed = F.count("*").over(W.partitionBy("token")).cast("int")
         kept = staged(entries.withColumn("listed", listed).filter("listed > 1"), "entries")
         rows = kept.join(self.rows.select(F.col("row").alias("node"), "n", "profile"), "node")
-        return staged(rows.select("token", "node", "n", "place", "listed", "profile"), "lists")
+        lists = staged(rows.select("token", "node", "n", "place", "listed", "profile"), "lists")
+        removed(kept)
+        return lists
+
+    def without_prefixes(self) -> None:
+        """Rows are written again without what only the lists need, which is most of them."""
+        rows = staged(self.rows.drop("prefix", "profile"), "marked")
+        removed(self.rows)
+        self.rows = rows
 
     def sized(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with the sizes and row numbers of their sets."""
@@ -490,13 +503,24 @@ class Join:
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(row, set) of the rows that sized pairs name, made from their texts.
 
-        Up to ``BROADCAST_ROWS`` row numbers are broadcast; beyond, rows and texts are joined by shuffling both.
+        Up to ``BROADCAST_ROWS`` row numbers and digests are broadcast; beyond, rows and texts are joined by shuffling both.
         """
         asked = staged(pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct(), "asked")
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-        texts = self.rows.select("row", "text").join(asked, "row", "left_semi")
+        count = asked.count()
+        few = F.broadcast if count <= BROADCAST_ROWS else lambda rows: rows
+        marked = self.rows.select("row", "digest", F.xxhash64("key").alias("mark")).join(few(asked), "row", "left_semi")
+        texts = self.texts.join(few(staged(marked, "marks")), ["digest", "mark"]).select("row", "text")
         with arrow_rows(pairs.sparkSession, TEXTS):
-            return staged(texts.mapInArrow(_own_sets(self.words_each), "row bigint, set binary"), "sets")
+            sets = staged(texts.mapInArrow(_own_sets(self.words_each), "row bigint, set binary"), "sets")
+        found = sets.count()
+        if found > count:
+            # Repeated rows, of one key and text, each gave their set.
+            every, sets = sets, staged(sets.dropDuplicates(["row"]), "sets")
+            removed(every)
+            found = sets.count()
+        if found < count:
+            raise RuntimeError(f"the documents gave other rows when they were read again: {count - found} texts are missing")
+        return sets
 
     def side(self, near: DataFrame, sets: DataFrame, name: str, small: bool) -> DataFrame:
         """Pairs with one side's set; up to ``BROADCAST_ROWS`` pairs (ids and sizes only) the sets stay where they are."""
@@ -564,13 +588,18 @@ def _members(docs: DataFrame, words_each: int, percent: int, key: str, text: str
     with interim(docs.sparkSession):
         join = Join(docs, words_each, percent, key, text)
         shared = join.shared_lists()
+        join.without_prefixes()
         near = staged(join.sized(_near_members(shared, percent)), "near")
-        first = join.linked(join.overlaps(near, join.sets(near)))
+        sets = join.sets(near)
+        first = join.linked(join.overlaps(near, sets))
+        # Each round's sets are the largest table that it writes.
+        removed(sets)
         roots = staged(components(first), "roots")
 
         # Lists whose members are all of one class give nothing in the second round.
         placed = shared.join(roots, "node", "left").withColumn("kind", F.coalesce("root", "node")).drop("root")
         near = staged(join.sized(_near_classes(placed, percent)), "between")
+        removed(shared)
         second = _between_classes(join, near, first)
 
         found = components(first.select("a", "b").union(second.select("a", "b")))
@@ -657,7 +686,9 @@ def _between_classes(join: Join, near: DataFrame, first: DataFrame) -> DataFrame
     beyond = differences.select(F.col("node").alias("a"), (F.length("extra") / 8).cast("int").alias("beyond"))
     bounds = led.join(answers, ["leader", "b"]).join(beyond, "a")
     left_open = bounds.filter(F.col("common") + F.col("beyond") >= least_overlap_of(join.percent))
-    return plain.unionByName(join.linked(join.derived(left_open.select(*near.columns, "common"), sets, differences)))
+    derived = join.derived(left_open.select(*near.columns, "common"), sets, differences)
+    removed(sets, differences)
+    return plain.unionByName(join.linked(derived))
 
 
 def least_overlap_of(percent: int):

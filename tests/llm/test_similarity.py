@@ -1,6 +1,8 @@
 import collections
+import os
 import random
 import re
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -152,6 +154,38 @@ def test_without_broadcast(spark, monkeypatch):
     assert classes(plain_docs(spark, texts), 3, 90) == by_brute_force(list(texts.items()), 3, 90)
 
 
+def test_no_text_is_written_and_sets_go_with_their_round(spark, monkeypatch):
+    """Of the texts only the sets of one round's near pairs lie in the work folder; prefixes lie there for the lists alone."""
+    written, plain = [], similarity.staged
+
+    def watched(df, purpose, keep=False):
+        held = {name for name, table in written if os.path.exists(urllib.parse.urlparse(table.inputFiles()[0]).path)}
+        table = plain(df, purpose, keep)
+        assert "text" not in table.columns
+        assert not held & ({"sets", "rows", "entries"} if purpose == "between" else {"rows", "entries"} if purpose == "near" else set()), (purpose, held)
+        written.append((purpose, table))
+        return table
+
+    monkeypatch.setattr(similarity, "staged", watched)
+    texts = {at: " ".join([*words(at // 4, 60), f"end{at}"]) for at in range(24)}
+    assert classes(plain_docs(spark, texts), 3, 90) == by_brute_force(list(texts.items()), 3, 90)
+    assert {"rows", "entries", "near", "sets", "between"} <= {name for name, _ in written}
+
+
+@pytest.mark.parametrize("broadcast", [0, similarity.BROADCAST_ROWS])
+def test_repeated_rows_have_near_copies(spark, monkeypatch, broadcast):
+    """Rows of one key and text, or of no key, are told apart by nothing: a set is still made once for a node."""
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", broadcast)
+    rows = [(key, " ".join([*words(5, 60), end])) for key, end in [(4, "a"), (4, "a"), (4, "a"), (None, "b"), (None, "b"), (2, "c"), (9, "a"), (4, "d")]]
+    rows += [(None, " ".join([*words(6, 60), end])) for end in "xxy"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    join = similarity.Join(docs, 3, 90, "doc_id", "text")
+    pairs = spark.createDataFrame([tuple(sorted(row.node for row in join.nodes.filter("n < 1000").select("node").limit(2).collect()))], "a bigint, b bigint")
+    sets = join.sets(join.sized(pairs)).collect()
+    assert len(sets) == 2 == len({row.row for row in sets})
+    assert classes(docs, 3, 90) == by_brute_force(rows, 3, 90)
+
+
 def test_one_of_each(spark):
     docs = odd_docs(spark)
     kept = similarity.one_of_each(docs)
