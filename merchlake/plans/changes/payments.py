@@ -84,19 +84,23 @@ def judge_payments(shop: Shop, parsed: DataFrame, stored: DataFrame | None = Non
     """
     if stored is None:
         stored = shop.order_lines.select("reference")
-    asked = parsed.filter(paid()).select(F.col("reference").alias("_asked")).distinct()
-    booked = asked.join(stored.select(F.col("reference").alias("_stored")), F.col("_asked") == F.col("_stored"), "left_semi")
-    booked = booked.select(F.col("_asked").alias("_booked"))
-    events = faulted_payments(shop, parsed).join(booked, F.col("reference") == F.col("_booked"), "left")
-    events = events.withColumn("_open", paid() & F.col("_booked").isNull())
-    acceptable = F.col("_open") & F.col("fault").isNull()
-    firsts = events.filter(acceptable).groupBy(F.col("reference").alias("_reference")).agg(F.min("event_id").alias("_first"))
-    judged = events.join(firsts, F.col("reference") == F.col("_reference"), "left")
-    is_new = acceptable & F.col("event_id").eqNullSafe(F.col("_first"))
+    events = faulted_payments(shop, parsed)
+    # One row per reference still to be booked, so that the stored ones are joined once and to narrow rows.
+    sound = F.when(F.col("fault").isNull(), F.col("event_id"))
+    asked = events.filter(paid()).groupBy(F.col("reference").alias("_reference")).agg(F.min(sound).alias("_first"))
+    unbooked = asked.join(stored.select(F.col("reference").alias("_stored")), F.col("_reference") == F.col("_stored"), "left_anti")
+    # Events without a reference find none: kept out of the join, they do not meet in one task.
+    named = events.filter(F.col("reference").isNotNull()).join(unbooked, F.col("reference") == F.col("_reference"), "left")
+    nameless = events.filter(F.col("reference").isNull()).withColumns({
+        name: F.lit(None).cast(unbooked.schema[name].dataType) for name in unbooked.columns
+    })
+    judged = named.unionByName(nameless)
+    is_open = paid() & F.col("_reference").isNotNull()
+    is_new = is_open & F.col("fault").isNull() & F.col("event_id").eqNullSafe(F.col("_first"))
     before = F.col("_first").isNull() | (F.col("event_id") < F.col("_first"))
     # Everything else passed over is a repeat: neither new nor refused.
-    reason = F.coalesce(refusal(), F.when(F.col("_open") & before, F.col("fault")))
-    return judged.withColumns({"is_new": is_new, "reason": reason}).drop("_first", "_booked", "fault", "_open", "_reference")
+    reason = F.coalesce(refusal(), F.when(is_open & before, F.col("fault")))
+    return judged.withColumns({"is_new": is_new, "reason": reason}).drop("_first", "fault", "_reference")
 
 
 def split_payments(judged: DataFrame) -> Payments:
