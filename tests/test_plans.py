@@ -6,10 +6,12 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 from small_shop import small_shop
+from test_payments import CAMEL, SECRET, event
 
 from merchlake import registry, session
 from merchlake.operators import deep_page
 from merchlake.plans import carts, catalog, orders, sales
+from merchlake.plans.changes import payments
 from merchlake.registry import QUERIES
 from merchlake.sources import Shop, testdata
 
@@ -170,3 +172,21 @@ def test_stored_orders_are_joined_once_to_judge_payments(spark):
     """Their grouping and sorts lie in the stage that judges: a second copy doubles what its tasks hold."""
     text = QUERIES["ch_delivery_create"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[l_orderkey", text)) == 1, text
+
+
+def test_payments_without_reference_do_not_meet_in_one_task(spark):
+    sent = [event(f"n{n}", f"no-key-{n}", [CAMEL], user=str(n)) for n in range(200)]
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {name: spark.conf.get(name) for name in off}
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        feed = spark.createDataFrame(sent, "event_id string, signature string, body string")
+        judged = payments.judge_payments(small_shop(spark), payments.signed_payments(feed, SECRET, "bigint"))
+        rows = judged.select("event_id", "is_new", "reason", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert sorted(row.event_id for row in rows) == sorted(one[0] for one in sent)
+    assert {(row.is_new, row.reason) for row in rows} == {(False, "Invalid payment reference")}
+    assert len({row.part for row in rows}) > 1
