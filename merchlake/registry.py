@@ -24,7 +24,7 @@ from merchlake.plans.changes import carts as cart_changes
 from merchlake.plans.changes import catalog as catalog_changes
 from merchlake.plans.changes.outcome import Outcome
 from merchlake.plans.facts import paid_lines
-from merchlake.session import configure, work_folder
+from merchlake.session import configure, remove_folder, shuffles_removed, work_folder
 from merchlake.sources import testdata
 from merchlake.sources.shop import Shop
 from merchlake.sources.snapshots import write_snapshot
@@ -445,7 +445,7 @@ def _event_pieces(spark: SparkSession, sf_dir: str, folder: str) -> list[DataFra
     """The events out of order, in two pieces of any number of files, each a feed and a batch."""
     events = testdata.payment_events(spark, sf_dir)
     piece = F.pmod(F.xxhash64("event_id", F.lit("order")), F.lit(2))
-    events.withColumn("piece", piece).write.partitionBy("piece").json(folder)
+    jobs.drop_events(events.withColumn("piece", piece), folder, "piece")
     return [jobs.payment_feed(spark, f"{folder}/piece={number}") for number in range(2)]
 
 
@@ -453,8 +453,10 @@ def _event_pieces(spark: SparkSession, sf_dir: str, folder: str) -> list[DataFra
 def _payment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_folder(spark, "payment-ingest")
     shop = _replayed(spark, sf_dir)
-    for number, feed in enumerate(_event_pieces(spark, sf_dir, f"{base}/events")):
-        jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint-{number}")
+    with shuffles_removed(spark):
+        for number, feed in enumerate(_event_pieces(spark, sf_dir, f"{base}/events")):
+            jobs.run_to_end(jobs.ingest_payments(feed, shop, testdata.TEST_SECRET, f"{base}/out"), f"{base}/checkpoint-{number}")
+            remove_folder(spark, f"{base}/events/piece={number}")
     after = jobs.payment_state(spark, shop, f"{base}/out")
     parts = [
         _state("order_lines", after["order_lines"], "reference", *_ORDER[1:]),

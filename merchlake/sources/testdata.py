@@ -471,7 +471,12 @@ def payment_events(spark: SparkSession, folder: str) -> DataFrame:
     checkouts = shop.order_lines.groupBy("reference", "user_id", "status", "created_at").agg(
         F.sort_array(F.collect_list(line)).alias("lines"), F.sum("amount").alias("total")
     )
-    homes = shop.customers.filter("is_default_address").select("user_id", "address", "city", "state", "country")
+    # Homes are joined to the keys of checkouts and then by reference, so the lines stay where their grouping left them;
+    # the user, compared so that it is no join key, keeps apart those whose reference is the same.
+    buyers = _read(spark, folder, "orders").select(F.col("o_orderkey").alias("_reference"), F.col("o_custkey").alias("_buyer")).distinct()
+    homes = shop.customers.filter("is_default_address").select(F.col("user_id").alias("_home"), "address", "city", "state", "country")
+    placed = buyers.join(homes, F.col("_buyer") == F.col("_home")).drop("_home")
+    own = (reference == F.col("_reference")) & (user <= F.col("_buyer")) & (user >= F.col("_buyer"))
     first = F.col("sending") == 1
     paid = (F.col("status") == "success") & ~((reference % 49 == 0) & first)
     name_of = F.when(reference % 23 == 0, F.concat(F.lit("no-key-"), reference.cast("string"))).otherwise(reference.cast("string"))
@@ -500,7 +505,7 @@ def payment_events(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("metadata"),
     ).alias("data"))
     sendings = F.when(reference % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    sent = checkouts.join(homes, "user_id").withColumn("sending", F.explode(sendings))
+    sent = checkouts.join(placed, own).withColumn("sending", F.explode(sendings))
     bodies = sent.select(
         reference, "sending", F.col("created_at").alias("sent_at"), F.to_json(body).alias("body")
     )

@@ -28,6 +28,14 @@ def payment_feed(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.json(folder)
 
 
+def drop_events(events: DataFrame, folder: str, *parts: str, records: int = 20_000) -> None:
+    """Write events as such a folder, or one per value of ``parts``: lines of JSON, packed to about a sixth.
+
+    A packed file is read by one task, so a file has at most ``records`` events.
+    """
+    events.write.partitionBy(*parts).option("compression", "gzip").option("maxRecordsPerFile", records).json(folder)
+
+
 def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of all feeds and micro-batches so far, with ``stream`` and ``batch_id``."""
     try:

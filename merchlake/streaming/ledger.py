@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.plans.changes.payments import Payments, apply_payments, faulted_payments, paid, refusal, signed_payments
+from merchlake.plans.changes.payments import Payments, apply_payments, faulted_payments, refusal, signed_payments
 from merchlake.sources.buckets import BucketStore
 from merchlake.sources.payments import payment_lines
 from merchlake.sources.shop import Shop
 
 _BOOKING = ["reference", "event_id", "user_id", "customer_name", "paid_at", "address", "city", "state", "country", "lines"]
+# What an event is booked or refused by, besides its id; the customer's name comes from the shop.
+_ASKED = [*(name for name in _BOOKING if name not in ("event_id", "customer_name")), "has_products"]
 
 
 class PaymentLedger:
@@ -41,13 +43,16 @@ class PaymentLedger:
 
     def apply(self, events: DataFrame, secret: str) -> None:
         """Book a batch. Only the buckets of the batch's references are read and written."""
-        parsed = signed_payments(events, secret, self.key_type)
-        judged = faulted_payments(self.shop, parsed).withColumn("_reason", refusal()).persist()
+        parsed = signed_payments(events, secret, self.key_type).withColumn("_reason", refusal())
+        # A refused event is done with its answer: nothing else of it is kept, on disk where memory ends.
+        asked = [F.when(F.col("_reason").isNull(), F.col(name)).alias(name) for name in _ASKED]
+        judged = parsed.select("event_id", "_reason", *asked).persist()
         try:
-            open_ = judged.filter(paid())
+            open_ = judged.filter("_reason is null")
             touched = self.store.touched(open_)
             version = self.store.version()
-            fresh = open_.join(self.store.read("known", touched, version), "reference", "left_anti")
+            # Only what is not known yet is shuffled to its user.
+            fresh = faulted_payments(self.shop, open_.join(self.store.read("known", touched, version), "reference", "left_anti"))
             rest = [name for name in _BOOKING if name not in ("reference", "event_id")]
             booked = self.store.read("booked", touched, version).unionByName(fresh.filter("fault is null").select(_BOOKING))
             booked = booked.groupBy("reference").agg(F.min(F.struct("event_id", *rest)).alias("_first")).select("reference", "_first.*")

@@ -1,5 +1,6 @@
 """What the plans must look like to hold on large data."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -14,6 +15,7 @@ from merchlake.plans import carts, catalog, orders, sales
 from merchlake.plans.changes import payments
 from merchlake.registry import QUERIES
 from merchlake.sources import Shop, testdata
+from merchlake.streaming import jobs
 
 STREAMS = {key for key in QUERIES if key.startswith("st_")}
 
@@ -146,6 +148,50 @@ def test_pieces_of_the_payment_feed_are_written_by_many_tasks(spark, tmp_path):
         row[0] for row in testdata.payment_events(spark, SMALL).select("event_id").collect())
 
 
+@pytest.mark.parametrize("drop", ["_event_pieces"])
+def test_the_feed_is_packed_in_files_of_bounded_size(spark, tmp_path, monkeypatch, drop):
+    """As plain text it took twenty times the space of the tables that it is made of."""
+    sent = [event(f"p{n}", n, [CAMEL] * 5, user=str(n)) for n in range(300)]
+    rows = spark.createDataFrame(sent, "event_id string, signature string, body string").withColumn("sent_at", F.lit("2024-05-01").cast("timestamp"))
+    monkeypatch.setattr(testdata, "payment_events", lambda *_: rows.coalesce(1))
+    whole = jobs.drop_events
+    monkeypatch.setattr(jobs, "drop_events", lambda *parts: whole(*parts, records=60))
+    getattr(registry, drop)(spark, SMALL, str(tmp_path / "events"))
+    files = list((tmp_path / "events").rglob("part-*"))
+    assert len(files) >= 5 and sum(path.stat().st_size for path in files) < sum(len(one[2]) for one in sent) / 3
+    read = spark.read.schema(jobs.EVENT_SCHEMA).json(str(tmp_path / "events")).select("event_id", "signature", "body", "sent_at")
+    assert sorted(read.collect()) == sorted(rows.select("event_id", "signature", "body", "sent_at").collect())
+    assert read.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_events_are_made_where_their_lines_lie(spark, monkeypatch):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(testdata.payment_events(spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Exchange" not in text[:text.index("collect_list(")], text
+
+
+def test_events_of_repeated_keys(spark, tmp_path):
+    """A reference of two users, a user with two homes, an order that comes twice: each checkout is sent to each home."""
+    at = dt.datetime(1999, 1, 1)
+    tables = {
+        "region": [(0, "R")], "nation": [(0, "N", 0)],
+        "customer": [(5, "c5", 0, 1.0, "s"), (5, "c5 again", 0, 1.0, "s"), (6, "c6", 0, 1.0, "s"), (None, "none", 0, 1.0, "s")],
+        "orders": [(1, 5, "F", 1.0, at, "1"), (1, 6, "F", 1.0, at, "1"), (2, 6, "O", 1.0, at, "1"), (2, 6, "O", 1.0, at, "1"),
+                   (3, None, "F", 1.0, at, "1"), (4, 8, "F", 1.0, at, "1")],
+        "lineitem": [(key, part, 1, 1, 2.0, 3.5, 0.0, 0.0, "R", "O", at) for key in (1, 2, 3, 4, None) for part in (7, 9)],
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, testdata.FILES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    body = "data struct<amount: bigint, metadata: struct<userId: string, products: struct<deliveryDetails: struct<address: string>>>>"
+    sent = testdata.payment_events(spark, str(tmp_path)).select("event_id", F.from_json("body", body)["data"].alias("d"))
+    assert sorted(map(tuple, sent.select("event_id", "d.metadata.userId", "d.metadata.products.deliveryDetails.address", "d.amount").collect())) == [
+        ("1#1", "5", "c5 again street", 700), ("1#1", "5", "c5 street", 700), ("1#1", "6", "c6 street", 700), ("2#1", "6", "c6 street", 1400)]
+
+
 def test_payment_details_join_by_checkout_before_images_are_attached(spark):
     shop = testdata.bind(spark, SMALL)
     paid = spark.range(3).select(

@@ -12,7 +12,7 @@ from merchlake.plans import sales
 from merchlake.plans.changes import carts, payments
 from merchlake.plans.facts import paid_lines
 from merchlake.sources.buckets import BucketStore
-from merchlake.streaming import jobs
+from merchlake.streaming import jobs, ledger as ledgers
 from merchlake.streaming.ledger import PaymentLedger
 from merchlake.streaming.rollup import SalesRollUp
 
@@ -283,3 +283,20 @@ def test_rollup_as_a_stream(spark, shop, tmp_path):
     jobs.run_to_end(rolled.feed(feed, "lines"), f"{tmp_path}/checkpoint")
     expected = sales.by_product(paid_lines(shop), "month").select("month", "product_id", "quantity_sold", "revenue", "order_count")
     assert sorted(rolled.products("month").collect()) == sorted(expected.collect())
+
+
+def test_only_unknown_payments_are_joined_to_users(spark, tmp_path, monkeypatch):
+    """Refused events and repeats of stored references are the most of a feed; neither is shuffled to its user."""
+    shop, seen, faulted = small_shop(spark), [], payments.faulted_payments
+
+    def looking(shop, parsed):
+        seen.append({(row.event_id, row.lines is None) for row in parsed.collect()})
+        return faulted(shop, parsed)
+
+    ledger = PaymentLedger(spark, shop, str(tmp_path / "out"), buckets=4)
+    monkeypatch.setattr(ledgers, "faulted_payments", looking)
+    ledger.prepare()
+    ledger.apply(spark.createDataFrame(EVENTS, "event_id string, signature string, body string"), SECRET)
+    assert [{name for name, _ in one} for one in seen] == [{"e1", "e2", "e7", "e8", "e9", "f1", "f2", "f3"}]
+    assert {name for name, bare in seen[0] if bare} == {"f2", "f3"}
+    assert shop_state(ledger.state()) == batch_state(spark, shop, EVENTS)
