@@ -148,7 +148,7 @@ def test_pieces_of_the_payment_feed_are_written_by_many_tasks(spark, tmp_path):
         row[0] for row in testdata.payment_events(spark, SMALL).select("event_id").collect())
 
 
-@pytest.mark.parametrize("drop", ["_event_pieces"])
+@pytest.mark.parametrize("drop", ["_event_files", "_event_pieces"])
 def test_the_feed_is_packed_in_files_of_bounded_size(spark, tmp_path, monkeypatch, drop):
     """As plain text it took twenty times the space of the tables that it is made of."""
     sent = [event(f"p{n}", n, [CAMEL] * 5, user=str(n)) for n in range(300)]

@@ -11,6 +11,7 @@ from test_payments import CAMEL, EVENTS, SECRET, SNAKE, event
 from merchlake.plans import sales
 from merchlake.plans.changes import carts, payments
 from merchlake.plans.facts import paid_lines
+from merchlake.session import shuffles_removed
 from merchlake.sources.buckets import BucketStore
 from merchlake.streaming import jobs, ledger as ledgers
 from merchlake.streaming.ledger import PaymentLedger
@@ -300,3 +301,24 @@ def test_only_unknown_payments_are_joined_to_users(spark, tmp_path, monkeypatch)
     assert [{name for name, _ in one} for one in seen] == [{"e1", "e2", "e7", "e8", "e9", "f1", "f2", "f3"}]
     assert {name for name, bare in seen[0] if bare} == {"f2", "f3"}
     assert shop_state(ledger.state()) == batch_state(spark, shop, EVENTS)
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {os.path.join(at, name) for folder in folders for at, _, names in os.walk(folder.getPath()) for name in names if name.startswith("shuffle_")}
+
+
+def test_shuffles_go_with_their_action(spark, tmp_path):
+    name, kept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files(spark)
+    before = spark.conf.get(name, None)
+    with shuffles_removed(spark):
+        spark.range(1000).repartition(5).write.parquet(str(tmp_path / "one"))
+        drop_files(tmp_path / "in", EVENTS)
+        stored = spark.createDataFrame([(10,)], "reference bigint")
+        feed = jobs.payment_feed(spark, str(tmp_path / "in"))
+        jobs.run_to_end(jobs.dedup_payments(feed, stored, SECRET, "bigint", str(tmp_path / "out"), buckets=4), str(tmp_path / "ckpt"))
+    assert spark.conf.get(name, None) == before
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 1000
+    assert sorted(row.reference for row in spark.read.parquet(str(tmp_path / "out")).collect()) == [50, 54, 55, 56, 57, 58, 59]
+    # The stream's own shuffle, of four columns, belongs to the kept batch and goes with it.
+    assert len({path.split("shuffle_")[1].split("_")[0] for path in shuffle_files(spark) - kept}) <= 1
